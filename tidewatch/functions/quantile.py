@@ -64,9 +64,52 @@ def percentiles(
     ]
     brackets = sketch.select(
         *keys, count, "_p0", "_p1",
+        F.array(*[F.lit(p) for p in ps]).alias("_ps"),
         F.array(*[l.cast("double") for l in lo]).alias("_lo"),
         F.array(*[h.cast("double") for h in hi]).alias("_hi"),
     )
+    return _read_ranks(df, keys, value, part, brackets, names, count)
+
+
+GRID = 1000
+
+
+def percentiles_by(
+    df: DataFrame, keys: Sequence[str], value: str, wanted: DataFrame, names: Sequence[str],
+    part: str = "chunk", count: str = "n_values",
+) -> DataFrame:
+    """As ``percentiles`` with probabilities that differ between groups.
+
+    ``wanted`` has the keys and one probability column per name.  The sketch gives a grid
+    of values, from which each group takes the cells around its own probabilities.
+    """
+    keys = list(keys)
+    df = df.filter(F.col(value).isNotNull())
+    grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
+    sketch = df.groupBy(*keys).agg(
+        F.count(value).alias(count), F.min(part).alias("_p0"), F.max(part).alias("_p1"),
+        F.min(value).alias("_min"), F.max(value).alias("_max"),
+        F.percentile_approx(value, grid, F.lit(ACCURACY)).alias("_e"),
+    ).join(wanted.select(*keys, *names), keys)
+    small = F.col(count) <= ACCURACY
+
+    def edge(p, step, outer, fallback):
+        cell = (F.floor(F.col(p) * GRID) + step).cast("int")
+        beyond = (cell <= 0) if step < 0 else (cell >= GRID)
+        return F.when(small | beyond, F.col(fallback)).otherwise(F.get("_e", cell)).cast("double")
+
+    brackets = sketch.select(
+        *keys, count, "_p0", "_p1",
+        F.array(*[F.col(p).cast("double") for p in names]).alias("_ps"),
+        F.array(*[edge(p, -1, 0, "_min") for p in names]).alias("_lo"),
+        F.array(*[edge(p, 2, GRID, "_max") for p in names]).alias("_hi"),
+    )
+    return _read_ranks(df, keys, value, part, brackets, list(names), count)
+
+
+def _read_ranks(df, keys, value, part, brackets, names, count):
+    """Exact order statistics from rows inside the brackets and a count of those below."""
+    k = len(names)
     spread = brackets.withColumn(part, F.explode(F.sequence("_p0", "_p1")))
     tagged = df.select(*keys, part, F.col(value).cast("double").alias("_v")).join(
         spread.select(*keys, part, "_lo", "_hi"), [*keys, part]
@@ -83,8 +126,8 @@ def percentiles(
     )
     w = Window.partitionBy(*keys, "_i").orderBy(F.col("_c").asc_nulls_first())
     ranked = counted.withColumn("_to", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    p_of = F.element_at(F.array(*[F.lit(p) for p in ps]), F.col("_i") + 1)
-    picked = ranked.join(brackets.select(*keys, count), keys).withColumn(
+    p_of = F.element_at("_ps", F.col("_i") + 1)
+    picked = ranked.join(brackets.select(*keys, count, "_ps"), keys).withColumn(
         "_r", p_of * (F.col(count) - 1)
     )
     below = F.col("_to") - F.col("_n")

@@ -134,46 +134,56 @@ def attach(df: DataFrame, stats: DataFrame, rows: int = CHUNK_ROWS, on: Sequence
     return df.join(over_chunks(stats, rows).drop(LEN), [*KEYS, *on], "left")
 
 
-def running_total(df: DataFrame, value: Column, name: str) -> DataFrame:
-    """Inclusive running sum along each series: inside the chunk, plus earlier chunks."""
-    df = df.withColumn("_v", value)
-    totals = df.groupBy(*KEYS).agg(F.sum("_v").alias("_t"))
-    before = totals.select(
-        *KEYS,
-        (F.sum("_t").over(Window.partitionBy(SERIES).orderBy(CHUNK)) - F.col("_t")).alias("_before"),
-    )
-    inside = F.sum("_v").over(frame(Window.unboundedPreceding, 0))
-    return (
-        df.withColumn("_in", inside).join(before, KEYS, "left")
-        .withColumn(name, F.col("_in") + F.col("_before"))
-        .drop("_v", "_in", "_before")
-    )
+def running(df: DataFrame, values: dict[str, Column], how=F.sum) -> DataFrame:
+    """Inclusive running sums (or minima, maxima) along each series.
 
-
-def runs(df: DataFrame, flag: str, rows: int = CHUNK_ROWS) -> DataFrame:
+    Inside the chunk by a frame, and from earlier chunks by one value per chunk, so no
+    task walks a whole series.  All columns share one sort and one small join.
+    """
+    tmp = {name: f"_in_{name}" for name in values}
+    df = df.select("*", *[v.alias(tmp[k]) for k, v in values.items()])
+    per_chunk = df.groupBy(*KEYS).agg(*[how(t).alias(t) for t in tmp.values()])
+    past = Window.partitionBy(SERIES).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    before = per_chunk.select(*KEYS, *[how(t).over(past).alias(f"_before_{k}") for k, t in tmp.items()])
+    inside = frame(Window.unboundedPreceding, 0)
+    out = df.select("*", *[how(t).over(inside).alias(k) for k, t in tmp.items()]).drop(*tmp.values())
+    out = out.join(before, KEYS, "left")
+    for k in values:
+        earlier = F.col(f"_before_{k}")
+        joined = F.col(k) + F.coalesce(earlier, F.lit(0)) if how is F.sum else (
+            F.least(k, earlier) if how is F.min else F.greatest(k, earlier))
+        out = out.withColumn(k, joined)
+    return out.drop(*[f"_before_{k}" for k in values])
+
+
+def runs(df: DataFrame, flag: str, rows: int = CHUNK_ROWS, total: str | None = None) -> DataFrame:
     """Maximal runs of true ``flag``: ``series_id, start, end`` (both inclusive).
 
+    ``total`` names a column whose sum over the run is added.
+
     Runs are found inside chunks; only those touching a chunk edge, at most two per
     chunk, are put in order per series and merged.
     """
     w = by_chunk()
-    marked = df.filter(F.col(flag)).select(*KEYS, IDX).withColumn(
+    extra = [total] if total else []
+    marked = df.filter(F.col(flag)).select(*KEYS, IDX, *extra).withColumn(
         "_new", (F.col(IDX) - F.coalesce(F.lag(IDX).over(w), F.lit(-2)) > 1).cast("int")
     ).withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    pieces = marked.groupBy(*KEYS, "_g").agg(F.min(IDX).alias("start"), F.max(IDX).alias("end"))
+    sums = [F.sum(c).alias(c) for c in extra]
+    pieces = marked.groupBy(*KEYS, "_g").agg(F.min(IDX).alias("start"), F.max(IDX).alias("end"), *sums)
     pieces = pieces.withColumn(
         "_edge",
         (F.col("start") == F.col(CHUNK) * rows) | (F.col("end") == (F.col(CHUNK) + 1) * rows - 1),
     )
-    whole = pieces.filter(~F.col("_edge")).select(SERIES, "start", "end")
+    whole = pieces.filter(~F.col("_edge")).select(SERIES, "start", "end", *extra)
     ws = Window.partitionBy(SERIES).orderBy("start")
     edges = (
         pieces.filter("_edge")
         .withColumn("_new", (F.col("start") - F.coalesce(F.lag("end").over(ws), F.lit(-2)) > 1).cast("int"))
         .withColumn("_g", F.sum("_new").over(ws.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(SERIES, "_g").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+        .groupBy(SERIES, "_g").agg(F.min("start").alias("start"), F.max("end").alias("end"), *sums)
     )
-    return whole.unionByName(edges.select(SERIES, "start", "end"))
+    return whole.unionByName(edges.select(SERIES, "start", "end", *extra))
 
 
 def long_form(df: DataFrame, cols: Sequence[str], name: str, value: str, keep: Sequence[str]) -> DataFrame:

@@ -179,7 +179,7 @@ def jump_vote(spark, sf):
 
 FIVE_Z = ["z0", "z1", "z2", "z3"]
 VOTE5 = [DAILY, BASE_DAILY, JUMP_SQL, JUMP_THR, JUMP_SCORE, GRAD_SQL, DRIFT_SQL, step_sql(FIVE_Z), kernel_sql(FIVE_Z),
-         thr("tg", "gradual_cal", "0", "gg"), thr("td", "drift", "0", "dr"), thr("tk", "kernel", "1e-12", "kr"),
+         thr("tg", "gradual_cal", "0", "gg"), thr("td", "drift", "1e-12", "dr"), thr("tk", "kernel", "1e-12", "kr"),
          "tss AS (SELECT series_id, quantile_cont(struct, 0.99) AS thr FROM ss WHERE idx < cal_end AND idx >= 20 AND fitted GROUP BY 1)",
          """v AS (SELECT js.series_id, js.idx, js.cal_end, jump, gradual, drift, kernel, struct,
   greatest(jump / (1 + 1e-12), coalesce(CASE WHEN tg.thr > 0 THEN gradual / (tg.thr + 1e-12) END, 0),

@@ -16,8 +16,8 @@ evz AS (
 
 DAILY = """daily0 AS (
   SELECT l_suppkey, CAST(l_shipdate AS DATE) AS day, sum(l_quantity) AS f0,
-         round(sum(l_extendedprice), 2) AS f1, round(sum(l_discount), 2) AS f2,
-         round(sum(l_tax), 2) AS f3
+         round(sum(l_extendedprice) * 100) AS f1, round(sum(l_discount) * 100) AS f2,
+         round(sum(l_tax) * 100) AS f3
   FROM lineitem GROUP BY 1, 2),
 daily AS (
   SELECT CAST(l_suppkey AS VARCHAR) AS series_id,

@@ -133,8 +133,9 @@ def threshold_inputs(names: Sequence[str], cal_rows: Column) -> dict[str, Column
         elif name == "struct":
             out[name] = F.when((F.col(IDX) >= C.DELAY) & F.col("struct_mu").isNotNull(), F.col("struct"))
         else:
-            floor = 0.0 if name == "drift" else 1e-12
-            out[name] = F.when(F.col(name) > floor, F.col(name))
+            # a trailing mean that equals the baseline differs from it by rounding only,
+            # so "positive" means above 1e-12 for every scorer here
+            out[name] = F.when(F.col(name) > 1e-12, F.col(name))
     return out
 
 

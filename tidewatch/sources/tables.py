@@ -40,7 +40,9 @@ def event_series(spark: SparkSession, sf_dir: str, key: str = "event_type", rows
 def daily_series(spark: SparkSession, sf_dir: str, rows: int = CHUNK_ROWS) -> DataFrame:
     """``lineitem`` as one series per supplier with one row per shipping day, d = 4.
 
-    A series has at most one row per calendar day, so its length is bounded.
+    Money is in cents and rates are in percent points, so sums are whole numbers and do
+    not depend on the order of addition.  A series has at most one row per calendar day,
+    so its length is bounded.
     """
     raw = (
         table(spark, sf_dir, "lineitem")
@@ -50,9 +52,9 @@ def daily_series(spark: SparkSession, sf_dir: str, rows: int = CHUNK_ROWS) -> Da
         )
         .agg(
             F.sum("l_quantity").alias("f0"),
-            F.round(F.sum("l_extendedprice"), 2).alias("f1"),
-            F.round(F.sum("l_discount"), 2).alias("f2"),
-            F.round(F.sum("l_tax"), 2).alias("f3"),
+            F.round(F.sum("l_extendedprice") * 100).alias("f1"),
+            F.round(F.sum("l_discount") * 100).alias("f2"),
+            F.round(F.sum("l_tax") * 100).alias("f3"),
         )
     )
     return index_series(raw, ["day"], rows=rows, short=True)
