@@ -245,7 +245,7 @@ def _gradient_step(
         aggs.append(F.array(*[how(F.abs(f"dx_{p}")) for p in paths]).alias(name))
     sums = moved.groupBy(SERIES).agg(*aggs)
     wide = with_halo(attach(df, sums, rows), back=3, ahead=3, rows=rows)
-    d, k, names = len(cols), len(paths), list(paths)
+    d, k, names, kept = len(cols), len(paths), list(paths), list(df.columns)
 
     def update(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(IDX)
@@ -281,7 +281,7 @@ def _gradient_step(
             grad[:-1] -= by_phase * there / r2
             grad[1:] += by_phase * here / r2
         pdf[names] = lam - step / max(float(one["size"]), 1e-12) * grad
-        return pdf.loc[pdf["home"], df.columns]
+        return pdf.loc[pdf["home"], kept]
 
     return wide.groupBy(*KEYS).applyInPandas(update, df.schema)
 
