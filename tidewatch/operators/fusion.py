@@ -160,10 +160,14 @@ def weak_anomalies(
         im = F.aggregate(F.transform("_near", lambda r, i: r[j] * F.sin(angle(i))), num(0), lambda s, v: s + v)
         return F.sqrt(re * re + im * im)
 
-    spectra = F.flatten(F.array(*[F.transform(F.sequence(F.lit(0), m - 1), lambda k, j=j: magnitude(k, j)) for j in range(d)]))
+    def bins(first, last):
+        def of(j):
+            return F.transform(F.sequence(first, last), lambda k: magnitude(k, j))
+        return F.flatten(F.array(*[of(j) for j in range(d)]))
+
+    spectra = bins(F.lit(0), m - 1)
     mean = F.aggregate(spectra, num(0), lambda s, v: s + v) / (m * d)
-    upper = F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(m / 2).cast("int") - 1)), lambda k, j=j: magnitude(k, j)) for j in range(d)])
-    peak = F.array_max(F.flatten(upper))
+    peak = F.array_max(bins(F.lit(1), F.greatest(F.lit(1), F.floor(m / 2).cast("int") - 1)))
     hum = peak > 5 * mean
     weak_jump = (F.col("importance") > 0.2) & (F.col("importance") < 0.4) if "importance" in df.columns else F.lit(False)
     middle = (F.col(score) >= F.col("_lo")) & (F.col(score) <= F.col("_hi"))

@@ -128,7 +128,7 @@ cpm AS (SELECT series_id, any_value(thr) AS threshold, any_value(m) AS cal_mean,
   count(*) FILTER (WHERE above AND idx >= cal AND idx < st) AS fpre, count(*) FILTER (WHERE above AND idx >= en) AS fpost,
   fpre / greatest(1, count(*) FILTER (WHERE idx >= cal AND idx < st)) AS rpre, fpost / greatest(1, count(*) FILTER (WHERE idx >= en)) AS rpost,
   avg(above::INT) FILTER (WHERE label = 1) AS recall, bool_or(above AND label = 1) AS detected FROM cpa GROUP BY 1)"""
-CPSEL = (f"SELECT series_id, {r('threshold', 'threshold')}, {r('cal_mean', 'cal_mean')}, {r('cal_std', 'cal_std')}, fd AS first_detection, greatest(fd - st, 0) AS ttd, greatest(st - fd, 0) AS overshoot, "
+CPSEL = (f"SELECT series_id, {r('threshold', 'threshold')}, {r('cal_mean', 'cal_mean')}, {r('cal_std', 'cal_std')}, coalesce(fd, -1) AS first_detection, coalesce(greatest(fd - st, 0), -1) AS ttd, coalesce(greatest(st - fd, 0), -1) AS overshoot, "
          f"fpre AS false_alarms_pre, fpost AS false_alarms_post, {r('rpre', 'rate_pre')}, {r('rpost', 'rate_post')}, {r('recall', 'recall')}, detected, {r('auc', 'auc')} FROM cpm JOIN au USING (series_id)")
 
 
@@ -137,7 +137,7 @@ def _change_point(method):
         df = components(spark, sf)
         half = F.floor(F.max(LEN) / 2)
         truth = df.groupBy(SERIES).agg(half.alias("true_start"), (half + 60).alias("true_end"), half.alias("n_pre"))
-        m = Q.change_point(df, truth, "hybrid", method=method, bounded=True)
+        m = Q.change_point(df, truth, "hybrid", method=method, bounded=True).fillna(-1, ["first_detection", "ttd", "overshoot"])
         return out(m, "threshold", "cal_mean", "cal_std", "rate_pre", "rate_post", "recall", "auc",
                    keys=(SERIES, "first_detection", "ttd", "overshoot", "false_alarms_pre", "false_alarms_post", "detected"))
     return run
