@@ -12,6 +12,7 @@ from tidewatch.functions.numeric import finite, num, total
 from tidewatch.functions.spectrum import shape, spectrum
 from tidewatch.operators.evaluate import auc
 from tidewatch.operators.layout import IDX, KEYS, LEN, SERIES, attach, by_chunk, home, long_form, with_halo
+from tidewatch.session import stage
 from tidewatch.operators.paths import energy, entropies, per_path, pulsation, topology
 
 TOP_FEATURES = 20
@@ -154,16 +155,17 @@ def select_by_correlation(df: DataFrame, features: Sequence[str], label: str, to
 def select_by_lasso(df: DataFrame, features: Sequence[str], label: str, c: float = 10.0, top: int = TOP_FEATURES) -> tuple[DataFrame, DataFrame]:
     """Features with non-zero weight in an L1 logistic model over all rows, and its AUC.
 
-    Falls back to the single best correlated feature when every weight is zero.
+    Falls back to the single best correlated feature when every weight is zero.  The rows
+    are staged, since the solver passes over them many times.
     """
     spark = df.sparkSession
-    rows = df.select(*features, F.col(label).cast("double").alias("_label"))
+    rows = stage(df.select(*features, F.col(label).cast("double").alias("_label")), "lasso")
     n = rows.count()
     stats = rows.agg(*[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features],
                      *[F.corr(f, "_label").alias(f"c_{f}") for f in features]).first().asDict()
     z = [((F.col(f) - num(stats[f"m_{f}"])) / num(stats[f"s_{f}"] or 1.0)).alias(f) for f in features]
     data = VectorAssembler(inputCols=list(features), outputCol="x").transform(rows.select(*z, "_label"))
-    model = LogisticRegression(featuresCol="x", labelCol="_label", elasticNetParam=1.0, regParam=1.0 / (c * max(n, 1)), maxIter=200,
+    model = LogisticRegression(featuresCol="x", labelCol="_label", elasticNetParam=1.0, regParam=1.0 / (c * max(n, 1)), maxIter=60, tol=1e-5,
                                standardization=False).fit(data)
     raw = {f: float(v) for f, v in zip(features, model.coefficients)}
     kept = [f for f in features if abs(raw[f]) > 1e-5][:top]
