@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from tidewatch.operators.layout import CHUNK, CHUNK_ROWS, IDX, KEYS, LEN, SERIES, chunk_of, over_chunks, running
+from tidewatch.operators.layout import CHUNK, CHUNK_ROWS, IDX, KEYS, LEN, SERIES, attach, chunk_of, over_chunks, running
 from tidewatch.session import stage
 
 MAX_REGIMES = 5
@@ -137,12 +137,10 @@ def fit_long(
     def begin(batches):
         for pdf in batches:
             out = []
-            for r in pdf.itertuples(index=False):
-                row = r._asdict() if hasattr(r, "_asdict") else dict(zip(pdf.columns, r))
-                count, t, q = row[LEN], np.asarray(r[2], dtype=float), np.asarray(r[3], dtype=float).reshape(d, d)
+            for series, count, t, q in zip(pdf[SERIES], pdf[LEN], pdf["_t"], pdf["_q"]):
                 for k in candidate_sizes(count, fixed, most, min_rows):
-                    w, m, c = start(count, t, q, k, d)
-                    out.append((r[0], int(count), k, w, m.ravel(), c.ravel()))
+                    w, m, c = start(count, np.asarray(t, dtype=float), np.reshape(q, (d, d)), k, d)
+                    out.append((series, int(count), k, w, m.ravel(), c.ravel()))
             yield pd.DataFrame(out, columns=[SERIES, LEN, "k", "weights", "means", "covs"])
 
     model_schema = f"{SERIES} string, {LEN} long, {MODEL}"
@@ -232,8 +230,6 @@ def renumber(df: DataFrame, keep, rows: int = CHUNK_ROWS) -> DataFrame:
     counted = running(df, {"_at": F.when(keep, 1).otherwise(0)})
     kept = counted.filter(keep)
     sizes = df.groupBy(SERIES).agg(F.count(F.when(keep, F.lit(1))).alias("_n"))
-    from tidewatch.operators.layout import attach
-
     lengths = df.groupBy(SERIES).agg(F.max(LEN).alias(LEN)).join(sizes, SERIES)
     out = attach(kept, lengths, rows)
     return out.withColumn(IDX, F.col("_at") - 1).withColumn(LEN, F.col("_n")).withColumn(CHUNK, chunk_of(rows=rows)).drop("_at", "_n")
