@@ -8,8 +8,7 @@ subspace (reconstruction); their groups are single chunks.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
 from itertools import combinations_with_replacement
 from math import factorial
 
@@ -18,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from tidewatch.functions.numeric import largest, mean_of, num, total
+from tidewatch.functions.numeric import largest, num, total
 from tidewatch.functions.spectrum import dominant_period
 from tidewatch.operators.layout import (
     CHUNK, CHUNK_ROWS, IDX, KEYS, LEN, SERIES, attach, by_chunk, chunk_of, frame, home, over_chunks, with_halo,
@@ -41,7 +40,7 @@ def jump_raw(window: int, sig: str = "sig") -> Column:
     """Distance to the mean of the previous ``window`` rows, in their deviations."""
     w = frame(-window, -1)
     value = F.abs(F.col(sig) - F.avg(sig).over(w)) / (F.stddev_pop(sig).over(w) + num(1e-12))
-    return F.when((F.col(IDX) >= 2) & (F.count(sig).over(w) >= 2), value).otherwise(num(0))
+    return F.when(F.col(IDX) >= 2, value).otherwise(num(0))
 
 
 def jump_columns(windows: Sequence[int] = JUMP_WINDOWS) -> dict[str, Column]:
@@ -115,7 +114,7 @@ def gradual_score(length: Column, windows: Sequence[int] = GRADUAL_WINDOWS) -> C
 def drift_raw(baseline: Column, sig: str = "sig", window: int = DRIFT_WINDOW, least: int = DRIFT_MIN) -> Column:
     """Distance of the trailing mean from the calibration mean."""
     w = frame(-(window - 1), 0)
-    return F.when(F.count(sig).over(w) >= least, F.abs(F.avg(sig).over(w) - baseline)).otherwise(num(0))
+    return F.when(F.col(IDX) + 1 >= least, F.abs(F.avg(sig).over(w) - baseline)).otherwise(num(0))
 
 
 # --- structural ---------------------------------------------------------------------

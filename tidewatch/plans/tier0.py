@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -76,7 +75,7 @@ def window_features(df: DataFrame, cols: Sequence[str], cfg: CausalConfig) -> Da
         more.append(C.step_distance().alias("step"))
     if "drift" in names:
         w = frame(-(C.DRIFT_WINDOW - 1), 0)
-        more.append(F.when(F.count("sig").over(w) >= C.DRIFT_MIN, F.avg("sig").over(w)).alias("local"))
+        more.append(F.when(F.col(IDX) + 1 >= C.DRIFT_MIN, F.avg("sig").over(w)).alias("local"))
     second = first.select("*", *more).drop("_step")
     return C.gradual_columns(second, orientation=cfg.orientation) if "gradual" in names else home(second)
 

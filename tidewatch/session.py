@@ -17,6 +17,8 @@ def local_session(cpus: int = 8, **conf: str) -> SparkSession:
         .appName("tidewatch")
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.adaptive.enabled", "true")
+        # frames cost far more time than bytes, so small shuffles should stay spread out
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
