@@ -99,10 +99,10 @@ FIT = " + ".join(f"a{i}{j} - 2 * b{i}{j} + c{i}{j}" for i in range(4) for j in r
 @query("path_objective", with_(DAILY, GIVEN, STEP, PHASE.replace("CASE WHEN idx = n - 1 THEN x0 ELSE nx END", "nx"), f"gr AS (SELECT series_id, {GRAM} FROM given GROUP BY 1)",
        "t1 AS (SELECT series_id, sum(abs(dx)) AS tvt, sum(abs(x)) AS l1, sum(abs(dx)) FILTER (WHERE abs(dx) > dm + 2.5 * ds) AS jump FROM pj GROUP BY 1)",
        "t2 AS (SELECT series_id, sum(abs(p1 - p0) + abs(p2 - p1) + abs(p3 - p2)) AS tvp FROM given GROUP BY 1)", "t3 AS (SELECT series_id, sum(dth * dth) AS topo FROM pq GROUP BY 1)")
-       + f"SELECT series_id, {r(FIT, 'data_fit', 2)}, {r('tvt + tvp', 'tv')}, {r('l1', 'l1')}, {r('coalesce(jump, 0)', 'jump')}, {r('topo', 'topology', 4)} FROM gr JOIN t1 USING (series_id) JOIN t2 USING (series_id) JOIN t3 USING (series_id)")
+       + f"SELECT series_id, {r(FIT, 'data_fit', 2)}, {r('tvt + tvp', 'tv', 9)}, {r('l1', 'l1', 9)}, {r('coalesce(jump, 0)', 'jump', 9)}, {r('topo', 'topology', 4)} FROM gr JOIN t1 USING (series_id) JOIN t2 USING (series_id) JOIN t3 USING (series_id)")
 def path_objective(spark, sf):
     t = K.objective_terms(given(spark, sf), XS, PATHS)
-    return t.select(SERIES, rounded(F.col("data_fit"), 2).alias("data_fit"), *[rounded(F.col(c)).alias(c) for c in ("tv", "l1", "jump")],
+    return t.select(SERIES, rounded(F.col("data_fit"), 2).alias("data_fit"), *[rounded(F.col(c), 9).alias(c) for c in ("tv", "l1", "jump")],
                     rounded(F.col("topology"), 4).alias("topology"))
 
 
