@@ -143,12 +143,13 @@ def sweep(df: DataFrame, positions: DataFrame, score: str, profiles: Mapping[str
     A row inside a label window is worth more the earlier it is, a window counts its best
     row; a row outside costs more the further it is behind the last window.  Raising a
     window's best row and adding false alarms are both increments along falling scores,
-    so one cumulative sum per series gives the score of every threshold.
+    so one cumulative sum per series gives the score of every threshold.  Series without
+    label windows have nothing to find and are left out.
     """
     lengths = df.groupBy(SERIES).agg(F.max(LEN).alias(LEN), F.max(CHUNK).alias("_last"))
     windows = positions.select(SERIES, "start", "end")
     listed = windows.groupBy(SERIES).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_w"))
-    rows = attach(df, listed.join(lengths, SERIES).drop("_last"))
+    rows = attach(df, listed.join(lengths, SERIES).drop("_last")).filter(F.col("_w").isNotNull())
     at = F.col(IDX)
     inside = F.filter("_w", lambda w: (w["start"] <= at) & (w["end"] >= at))
     past = F.filter("_w", lambda w: w["end"] < at)
