@@ -29,3 +29,39 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewatch.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+MIX_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key
+  FROM documents
+), s AS (
+  SELECT source, sum(size) AS source_size,
+         [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w
+  FROM d GROUP BY source
+), r AS (
+  SELECT *, 2.0 * source_size AS cap, 2.0::DOUBLE * source_size / w AS ratio FROM s
+), l AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level, row_number() OVER o AS nth
+  FROM r WINDOW o AS (ORDER BY ratio, source NULLS LAST)
+), t AS (
+  SELECT source, source_size, CAST(coalesce(least(cap, w * (SELECT arg_min(level, nth) FROM l WHERE level <= ratio)), cap) AS DOUBLE) AS target
+  FROM l
+), p AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS take,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.size ROWS UNBOUNDED PRECEDING) - d.size AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target,
+       CAST(greatest(0, least(size, take - start)) + greatest(0, least(size, take - start - source_size)) AS BIGINT) AS taken
+FROM p
+"""
+
+
+@query("op1_mixing", MIX_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.llm.mixing import taken
+
+    return taken(table(spark, sf_dir, "documents")).drop("slots")
