@@ -65,3 +65,41 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewatch.llm.mixing import taken
 
     return taken(table(spark, sf_dir, "documents")).drop("slots")
+
+
+RULES_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+         coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w,
+         list_filter(str_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), g AS (
+  SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram
+  FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)
+), p AS (
+  SELECT DISTINCT r, i + unnest([0, 1, 2]) AS i
+  FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM g) WHERE n > 1
+), n AS (SELECT r, count(*) AS n FROM p GROUP BY r),
+s AS (
+  SELECT doc_id, text, len(w) AS n_words, len(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+         len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n.n, 0) AS n_repeat_words,
+         len(regexp_extract_all(text, '\p{L}')) AS letters, len(regexp_extract_all(text, '\p{Lu}')) AS capitals,
+         len(list_filter(w, lambda x: NOT regexp_matches(x, '\p{L}'))) AS no_letter
+  FROM d LEFT JOIN n USING (r)
+), b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 5 * n_symbols > n_words
+            OR 2 * n_dup_lines > n_lines OR 2 * capitals > letters OR 2 * letters < word_chars OR 2 * no_letter > n_words) AS kept
+FROM b
+"""
+
+
+@query("op2_quality_rules", RULES_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.llm.rules import cascade
+
+    return cascade(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
