@@ -103,3 +103,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query("op9_secrets")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.llm.secrets import digest, scan
+
+    return digest(scan(table(spark, sf_dir, "documents")))
