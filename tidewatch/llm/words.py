@@ -64,12 +64,18 @@ def raw(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Words of some rows: byte bounds, 64-bit hashes, and the first word of each row."""
+    """Words of some rows: byte bounds, 64-bit hashes, and the first word of each row.
 
-    def __init__(self, text: pa.Array, lower: bool = False):
+    ``lower`` folds A to Z; ``bare`` takes ASCII punctuation for blanks.
+    """
+
+    def __init__(self, text: pa.Array, lower: bool = False, bare: bool = False):
         data, bounds = raw(text)
         if lower:
             data = np.where((data >= 65) & (data <= 90), data | 32, data).astype(np.uint8)
+        if bare:
+            kept = ((data | 32) >= 97) & ((data | 32) <= 122) | (data >= 48) & (data <= 57) | (data >= 128)
+            data = np.where(kept, data, np.uint8(32))
         self.data, self.bounds = data, bounds
         inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
         before = np.empty_like(inside)
