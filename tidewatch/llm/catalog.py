@@ -163,3 +163,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewatch.llm.neighbours import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op6_jaccard_join")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.llm.jaccard import components_of
+
+    return components_of(table(spark, sf_dir, "documents"))
