@@ -170,3 +170,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewatch.llm.jaccard import components_of
 
     return components_of(table(spark, sf_dir, "documents"))
+
+
+@query("op5_substring_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.llm.substrings import deduplicated
+
+    return deduplicated(table(spark, sf_dir, "documents"), with_text=False)
