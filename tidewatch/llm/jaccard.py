@@ -362,6 +362,27 @@ def components_of(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCEN
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("top", "comp").alias("component_id"))
 
 
+def representatives(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each component does: the one with the smallest doc_id.
+
+    Of rows with that one doc_id one stays (the smallest text).  Documents without words and rows that
+    only have a null doc_id are never linked to another and all stay.
+    """
+    found = components_of(docs, k, percent)
+    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    gone = gone.join(found.filter("doc_id = component_id").select("doc_id"), "doc_id", "left_anti")
+    few = stage(gone, "jaccard_gone")
+    if few.count() <= BROADCAST_IDS:
+        few = F.broadcast(few)
+    kept = docs.join(few, "doc_id", "left_anti")
+    again = stage(found.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "jaccard_again")
+    twice = kept.join(F.broadcast(again) if again.count() <= BROADCAST_IDS else again, "doc_id", "left_semi")
+    once = kept.join(F.broadcast(again) if again.count() <= BROADCAST_IDS else again, "doc_id", "left_anti")
+    named = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    least = twice.groupBy("doc_id").agg(F.min(F.struct("text", *named)).alias("_row"))
+    return once.unionByName(least.select("doc_id", "_row.*").select(*docs.columns))
+
+
 def surviving(members: DataFrame, open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that some key holds and the trees cannot rule out.
 
