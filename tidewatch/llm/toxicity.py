@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine, with their votes as score and evidence.
 
-Terms are words without ASCII punctuation, A to Z folded.  The vector space has the terms that are tied
-to the label in the examples (chi-squared above ``LEAST_CHI2``, at most ``TERMS`` of them); their document
+Terms are words without ASCII punctuation, A to Z folded.  The vector space has the terms that are more
+frequent in toxic examples (chi-squared above ``LEAST_CHI2``, at most ``TERMS`` of them); their document
 frequencies are counted over all documents.  Examples are at most about ``EXAMPLES`` labelled rows, drawn
 by a hash of their ids, so the index is bounded whatever the corpus: it is an inverted index whose
 postings lie in blocks of examples, with the largest weight of each term in each block.  A query adds
@@ -22,10 +22,10 @@ from tidewatch.llm.words import Words, slices
 from tidewatch.session import stage
 
 EXAMPLES = 20_000
-TERMS = 4096
+TERMS = 1024
 LEAST_CHI2 = 20.0
 NEIGHBOURS = 15
-BLOCK = 128
+BLOCK = 256
 
 
 def _distinct(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -44,7 +44,7 @@ def _words(text: pa.Array) -> Words:
 
 
 def choose_terms(examples: DataFrame, terms: int = TERMS, least: float = LEAST_CHI2) -> np.ndarray:
-    """Hashes, sorted, of the terms of (text, label) most tied to the label; those in fewer than three examples are left out."""
+    """Hashes, sorted, of the terms of (text, label) most tied to label 1; those in fewer than three examples are left out."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,7 +64,7 @@ def choose_terms(examples: DataFrame, terms: int = TERMS, least: float = LEAST_C
     counts = counts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).filter("n >= 3")
     expected = F.col("n") * F.lit(a / (a + b))
     chi2 = F.pow(F.col("toxic") - expected, F.lit(2)) / (expected * F.lit(b / (a + b)) * (1 - (F.col("n") - 1) / F.lit(float(a + b))))
-    best = counts.select("term", chi2.alias("chi2")).filter(F.col("chi2") >= least).orderBy(F.desc("chi2"), "term").limit(terms)
+    best = counts.withColumn("chi2", chi2).filter((F.col("chi2") >= least) & (F.col("toxic") > F.col("n") * F.lit(a / (a + b)))).orderBy(F.desc("chi2"), "term").limit(terms)
     return np.sort(np.array([r.term for r in best.collect()], np.int64))
 
 
@@ -91,91 +91,122 @@ class BlockMaxIndex:
     """Unit vectors of examples as postings in blocks; ``search`` gives the exact nearest."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK):
-        # neighbours in the order of their heaviest terms share blocks, which keeps the block maxima telling
-        self.order = sorted(range(len(vectors)), key=lambda i: tuple(vectors[i][0][np.argsort(-vectors[i][1], kind="stable")][:4].tolist()))
+        # examples in the order of their heaviest terms share blocks, which keeps the block maxima telling
+        heavy = [tuple(t[np.argsort(-w, kind="stable")][:4].tolist()) for t, w in vectors]
+        self.order = np.array(sorted(range(len(vectors)), key=heavy.__getitem__), np.int64)
         self.n, self.block = len(vectors), block
         self.blocks = -(-self.n // block)
-        self.top = np.zeros((max(terms, 1), self.blocks), np.float64)
-        lists: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for place, i in enumerate(self.order):
-            b, inside = divmod(place, block)
-            for t, x in zip(vectors[i][0].tolist(), vectors[i][1].tolist()):
-                self.top[t, b] = max(self.top[t, b], x)
-                lists.setdefault((t, b), []).append((inside, x))
-        self.postings = {key: (np.array([p for p, _ in v]), np.array([x for _, x in v])) for key, v in lists.items()}
+        sizes = np.array([len(vectors[i][0]) for i in self.order], np.int64)
+        term = np.concatenate([vectors[i][0] for i in self.order] or [np.zeros(0, np.int64)])
+        self.weight = np.concatenate([vectors[i][1] for i in self.order] or [np.zeros(0)])
+        place = np.repeat(np.arange(self.n), sizes)
+        by = np.lexsort((place, term))
+        term, place, self.weight = term[by], place[by], self.weight[by]
+        self.inside = place % block
+        # postings of term t in block b lie at ends[t, b] .. ends[t, b + 1]
+        cell = term * self.blocks + place // block
+        self.ends = np.searchsorted(cell, np.arange(terms * self.blocks + 1))
+        self.top = np.zeros((max(terms, 1), self.blocks))
+        np.maximum.at(self.top.reshape(-1), cell, self.weight)
         self.opened = 0
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest with a positive cosine, nearest first, ties to the smaller number."""
-        bound = weights @ self.top[terms] if len(terms) else np.zeros(self.blocks)
-        found: list[tuple[float, int]] = []
+        near, cos = np.zeros(0, np.int64), np.zeros(0)
+        if not len(terms) or not self.n:
+            return near, cos
+        bound = weights @ self.top[terms]
         for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(found) == k and bound[b] < -found[-1][0] - 1e-12:
+            if bound[b] <= 0 or len(cos) == k and bound[b] < cos[-1] - 1e-12:
                 break
             self.opened += 1
-            score = np.zeros(self.block)
-            for t, x in zip(terms.tolist(), weights.tolist()):
-                if (t, b) in self.postings:
-                    inside, w = self.postings[t, b]
-                    score[inside] += x * w
-            hits = np.flatnonzero(score > 0)
-            found += [(-s, i) for s, i in zip(score[hits].tolist(), (self.order[b * self.block + j] for j in hits.tolist())) if i != skip]
-            found = sorted((round(s, 12), i) for s, i in found)[:k]
-        return np.array([i for _, i in found], np.int64), np.array([-s for s, _ in found])
+            cells = terms * self.blocks + b
+            lo, hi = self.ends[cells], self.ends[cells + 1]
+            size = hi - lo
+            at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            score = np.round(np.bincount(self.inside[at], np.repeat(weights, size) * self.weight[at], self.block), 12)
+            hits = np.flatnonzero(score > 0 if len(cos) < k else score >= cos[-1])
+            number = self.order[b * self.block + hits]
+            hits, number = hits[number != skip], number[number != skip]
+            near, cos = np.concatenate([near, number]), np.concatenate([cos, score[hits]])
+            best = np.lexsort((near, -cos))[:k]
+            near, cos = near[best], cos[best]
+        return near, cos
 
 
 class Voter:
-    """Votes of the nearest examples, turned into probabilities on the examples themselves (each left out of its own vote)."""
+    """Votes of the nearest examples, turned into probabilities on the examples themselves (each left out of its own vote).
+
+    Examples with equal vectors are one neighbour that votes with its share of toxic labels.
+    """
 
     def __init__(self, examples: list[tuple[int, int, list[int], list[int]]], idf: np.ndarray, k: int = NEIGHBOURS):
         self.idf, self.k = idf, k
-        self.ids = [e[0] for e in examples]
-        self.labels = np.array([e[1] for e in examples], np.int64)
-        vectors = [self.vector(e[2], e[3]) for e in examples]
-        self.index = BlockMaxIndex(vectors, len(idf))
-        empty = np.array([len(e[2]) == 0 for e in examples], bool)
-        toxic, n = self.labels.sum(), len(self.labels)
+        groups: dict[tuple, list] = {}
+        for i, label, terms, counts in examples:
+            g = groups.setdefault((tuple(terms), tuple(counts)), [i, 0, 0])
+            g[1] += 1
+            g[2] += label
+        toxic, n = sum(g[2] for g in groups.values()), len(examples)
         self.prior = (toxic + 0.5) / (n + 2)
         # documents without any chosen term have no neighbours: the rate among such examples
-        self.blank = (self.labels[empty].sum() + 2 * self.prior) / (empty.sum() + 2)
+        _, blank_n, blank_toxic = groups.pop(((), ()), [None, 0, 0])
+        self.blank = (blank_toxic + 2 * self.prior) / (blank_n + 2)
+        self.ids = [g[0] for g in groups.values()]
+        self.count = np.array([g[1] for g in groups.values()], np.float64)
+        self.toxic = np.array([g[2] for g in groups.values()], np.float64)
+        vectors = [self.vector(t, c) for t, c in groups]
+        self.index = BlockMaxIndex(vectors, len(idf))
         self.seen: dict[tuple, tuple[float, list]] = {}
         self.curve = (0.0, 1.0)
         if 0 < toxic < n:
-            votes = np.array([self.vote(v, skip=i)[0] for i, v in enumerate(vectors)])
-            self.curve = _logistic(np.log(votes / (1 - votes)), self.labels)
+            votes, labels, weights = [self.blank, self.blank], [0, 1], [blank_n - blank_toxic, blank_toxic]
+            for i, v in enumerate(vectors):
+                for label, many in ((1, self.toxic[i]), (0, self.count[i] - self.toxic[i])):
+                    if many:
+                        votes.append(self.vote(v, own=i, label=label)[0])
+                        labels.append(label)
+                        weights.append(many)
+            votes = np.array(votes)
+            self.curve = _logistic(np.log(votes / (1 - votes)), np.array(labels), np.array(weights, np.float64))
 
     def vector(self, terms: list[int], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
         t = np.asarray(terms, np.int64)
         w = (1 + np.log(np.asarray(counts, np.float64))) * self.idf[t] if len(t) else np.zeros(0)
         return t, w / np.sqrt((w * w).sum()) if len(t) else w
 
-    def vote(self, v: tuple[np.ndarray, np.ndarray], skip: int = -1) -> tuple[float, list]:
-        near, cos = self.index.search(*v, self.k, skip)
+    def vote(self, v: tuple[np.ndarray, np.ndarray], own: int = -1, label: int = 0) -> tuple[float, list]:
+        """The share of the neighbours' votes; ``own`` with ``label`` is an example that leaves its own vote out."""
+        alone = own >= 0 and self.count[own] == 1
+        near, cos = self.index.search(*v, self.k, own if alone else -1)
         if not len(near):
             return self.blank, []
+        share = self.toxic[near] / self.count[near]
+        if own >= 0 and not alone:
+            share = np.where(near == own, (self.toxic[own] - label) / (self.count[own] - 1), share)
         weight = cos**2
-        share = (float(weight @ self.labels[near]) + 0.2 * self.prior) / (float(weight.sum()) + 0.2)
-        return share, [(self.ids[i], float(c), int(self.labels[i])) for i, c in zip(near[:3].tolist(), cos[:3].tolist())]
+        vote = (float(weight @ share) + 0.2 * self.prior) / (float(weight.sum()) + 0.2)
+        return vote, [(self.ids[i], float(c), float(y)) for i, c, y in zip(near[:3].tolist(), cos[:3].tolist(), share[:3].tolist())]
 
     def score(self, terms: list[int], counts: list[int]) -> tuple[float, list]:
         key = (*terms, -1, *counts)
         if key not in self.seen:
-            if len(self.seen) >= 100_000:
+            if len(self.seen) >= 20_000:
                 self.seen.clear()
-            share, evidence = self.vote(self.vector(terms, counts))
+            vote, evidence = self.vote(self.vector(terms, counts))
             a, b = self.curve
-            self.seen[key] = 1 / (1 + float(np.exp(-(a + b * np.log(share / (1 - share)))))), evidence
+            self.seen[key] = 1 / (1 + float(np.exp(-(a + b * np.log(vote / (1 - vote)))))), evidence
         return self.seen[key]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
     """Intercept and slope by Newton's method to convergence, drawn towards (0, 1)."""
     beta, start = np.array([0.0, 1.0]), np.array([0.0, 1.0])
     design = np.stack([np.ones(len(x)), x], axis=1)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        slope = design.T @ (y - p) - ridge * (beta - start)
-        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + ridge * np.eye(2), slope)
+        slope = design.T @ (weight * (y - p)) - ridge * (beta - start)
+        step = np.linalg.solve((design * (weight * p * (1 - p))[:, None]).T @ design + ridge * np.eye(2), slope)
         step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
         beta = beta + step
         if np.abs(step).max() < 1e-9:
@@ -186,7 +217,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float,
 def classify(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS, k: int = NEIGHBOURS) -> DataFrame:
     """(doc_id, score, predicted, evidence) for every row of (doc_id, text), from labels (doc_id, label 0 or 1).
 
-    Other and null labels are left out.  Evidence holds up to three neighbours with cosine and label.
+    Other and null labels are left out.  Evidence holds up to three neighbours with cosine and share of toxic labels.
     Null and empty texts, and texts without a chosen term, get the rate of such examples.  Repeated rows
     get equal scores; without labelled rows all scores are that of an even prior, below 1/2.
     """
@@ -211,12 +242,12 @@ def classify(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms
         voter = made.value
         for batch in batches:
             out = [voter.score(t, c) for t, c in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist())]
-            evidence = [[{"doc_id": i, "cosine": c, "label": y} for i, c, y in e] for _, e in out]
+            evidence = [[{"doc_id": i, "cosine": c, "toxic": y} for i, c, y in e] for _, e in out]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array([s for s, _ in out], pa.float64()), pa.array([int(s >= 0.5) for s, _ in out], pa.int32()),
-                pa.array(evidence, pa.list_(pa.struct([("doc_id", batch.column("doc_id").type), ("cosine", pa.float64()), ("label", pa.int32())]))),
+                pa.array(evidence, pa.list_(pa.struct([("doc_id", batch.column("doc_id").type), ("cosine", pa.float64()), ("toxic", pa.float64())]))),
             ], ["doc_id", "score", "predicted", "evidence"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shape = f"doc_id {kind}, score double, predicted int, evidence array<struct<doc_id:{kind},cosine:double,label:int>>"
+    shape = f"doc_id {kind}, score double, predicted int, evidence array<struct<doc_id:{kind},cosine:double,toxic:double>>"
     return rows.mapInArrow(judge, shape)
