@@ -22,10 +22,10 @@ def test_block_stops_early_and_finds():
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(40, 32)) * 3
     v = centres[rng.integers(40, size=6000)] + rng.normal(size=(6000, 32)) * 0.3
-    block = Block(v, float(np.sqrt((v * v).sum(axis=1)).max()))
+    block = Block(v, float(np.sqrt((v * v).sum(axis=1)).max()), leaf=64)
     hit = 0
-    for q in v[:100]:
-        rows, _ = block.search(q, 20)
+    found, _ = block.search(v[:100], 20)
+    for q, rows in zip(v, found):
         hit += len(set(rows.tolist()) & set(np.argsort(-(v @ q))[:20].tolist()))
     assert hit / 2000 > 0.9 and block.verified < 100 * 6000 * 0.8
 

@@ -24,9 +24,9 @@ from tidewatch.session import stage
 #: Projected dimensions; even, so that the chi-square distribution has a closed form.
 DIMS = 8
 SURE = 0.97
-LEAF = 64
-BLOCK_ROWS = 8192
-CHUNK_QUERIES = 2048
+LEAF = 512
+BLOCK_ROWS = 16384
+CHUNK_QUERIES = 1024
 SEED = 20
 
 
@@ -55,9 +55,13 @@ class Tree:
         self.high = np.array([points[r].max(axis=0) for r in self.leaves])
 
     def distances2(self, q: np.ndarray) -> np.ndarray:
-        """Squared distance of one point to every leaf."""
-        gap = np.maximum(np.maximum(self.low - q, q - self.high), 0)
-        return (gap * gap).sum(axis=1)
+        """Squared distance of each of some points (rows) to every leaf (columns)."""
+        out = np.zeros((len(q), len(self.leaves)))
+        for d in range(q.shape[1]):
+            at = q[:, d, None]
+            gap = np.maximum(np.maximum(self.low[:, d] - at, at - self.high[:, d]), 0)
+            out += gap * gap
+        return out
 
 
 def projection(dim: int) -> np.ndarray:
@@ -67,34 +71,37 @@ def projection(dim: int) -> np.ndarray:
 class Block:
     """The index of some vectors."""
 
-    def __init__(self, vectors: np.ndarray, most: float):
+    def __init__(self, vectors: np.ndarray, most: float, leaf: int = LEAF):
         self.vectors, self.most2 = vectors, most * most
         self.matrix = projection(vectors.shape[1])
         rest = np.sqrt(np.maximum(self.most2 - (vectors * vectors).sum(axis=1), 0))
-        self.tree = Tree(np.concatenate([vectors, rest[:, None]], axis=1) @ self.matrix)
+        self.tree = Tree(np.concatenate([vectors, rest[:, None]], axis=1) @ self.matrix, leaf)
         self.verified = 0
 
     def search(self, q: np.ndarray, k: int, sure: float = SURE) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and inner products of (nearly always) the k nearest, in no order."""
+        """For each query (row) the rows and inner products of, nearly always, its k nearest, in no order; -1 fills up.
+
+        In round t every query that has not stopped opens its t-th leaf; queries at one leaf are verified together.
+        """
         near2 = self.tree.distances2(q @ self.matrix[:-1])
-        order = np.argsort(near2)
-        rows, scores = np.zeros(0, np.int64), np.zeros(0)
-        q2 = float(q @ q)
-        for leaf in order.tolist():
-            if len(scores) >= k:
-                worst2 = max(q2 + self.most2 - 2 * float(scores.min()), 0.0)
-                if worst2 <= 0 or chi2_below(near2[leaf] / worst2, DIMS) >= sure:
-                    break
-            own = self.tree.leaves[leaf]
-            self.verified += len(own)
-            got = self.vectors[own] @ q
-            if len(scores) >= k:
-                better = got >= scores.min()
-                own, got = own[better], got[better]
-            rows, scores = np.concatenate([rows, own]), np.concatenate([scores, got])
-            if len(scores) > k:
-                keep = np.argpartition(-scores, k - 1)[:k]
-                rows, scores = rows[keep], scores[keep]
+        order = np.argsort(near2, axis=1)
+        rows, scores = np.full((len(q), k), -1), np.full((len(q), k), -np.inf)
+        q2, active = (q * q).sum(axis=1), np.arange(len(q))
+        for t in range(order.shape[1]):
+            leaf, worst = order[active, t], scores[active].min(axis=1)
+            full = np.isfinite(worst)
+            worst2 = np.maximum(q2[active] + self.most2 - 2 * np.where(full, worst, 0), 1e-300)
+            stop = full & (chi2_below(near2[active, leaf] / worst2, DIMS) >= sure)
+            active, leaf = active[~stop], leaf[~stop]
+            if not len(active):
+                break
+            for one in np.unique(leaf):
+                who, own = active[leaf == one], self.tree.leaves[one]
+                self.verified += len(who) * len(own)
+                both = np.concatenate([scores[who], q[who] @ self.vectors[own].T], axis=1)
+                names = np.concatenate([rows[who], np.broadcast_to(own, (len(who), len(own)))], axis=1)
+                best = np.argpartition(-both, k - 1, axis=1)[:, :k]
+                scores[who], rows[who] = np.take_along_axis(both, best, 1), np.take_along_axis(names, best, 1)
         return rows, scores
 
 
@@ -148,8 +155,10 @@ def nearest(
         stored = _matrix(index.column("v"), index.num_rows)
         block, ids = Block(stored, most), index.column("ids").to_pylist()
         out_q, out_v, out_s = [], [], []
-        for qid, q in zip(query.column("query_id").to_pylist(), _matrix(query.column("v"), query.num_rows)):
-            found, _ = block.search(q, k + 1, sure)
+        asked_v = _matrix(query.column("v"), query.num_rows)
+        near, _ = block.search(asked_v, k + 1, sure)
+        for qid, q, found in zip(query.column("query_id").to_pylist(), asked_v, near):
+            found = found[found >= 0]
             exact = (stored[found] * q).sum(axis=1)
             best = sorted((-s, i) for r, s in zip(found.tolist(), exact.tolist()) for i in ids[r] if i != qid)[:k]
             out_q += [qid] * len(best)
