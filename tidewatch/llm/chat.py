@@ -106,10 +106,11 @@ def paths(messages: DataFrame, best: int = 1) -> DataFrame:
         if not open_ or (1 << (len(jumps) - 1)) > replies + 1:
             break
         above = step.select("conv", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("length").alias("further"))
-        jumps.append(stage(step.join(above, ["conv", "up"], "left").select(
-            "conv", "node", F.col("next").alias("up"), "id",
-            (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("length") + F.coalesce("further", F.lit(0))).alias("length"),
-        ), "chat_step"))
+        # messages that have reached their root are done; only the others meet their ancestors
+        further = step.filter("up IS NOT NULL").join(above, ["conv", "up"]).select(
+            "conv", "node", F.col("next").alias("up"), "id", (F.col("total") + F.col("more")).alias("total"), (F.col("length") + F.col("further")).alias("length"),
+        )
+        jumps.append(stage(step.filter("up IS NULL").unionByName(further), "chat_step"))
     replied = jumps[0].filter("up IS NOT NULL").select("conv", F.col("up").alias("node")).distinct()
     leaves = jumps[-1].filter("up IS NULL").join(replied, ["conv", "node"], "left_anti")
     rank = F.row_number().over(W.partitionBy("conv").orderBy(F.desc("total"), F.desc("length"), "id"))
