@@ -33,7 +33,7 @@ def test_csv_series_and_json_windows(spark, tmp_path):
 
 
 def test_batch_analysis_is_saved(spark, indexed, tmp_path):
-    a = batch.analyse(indexed(), ["f0", "f1", "f2"], n_steps=1, bounded=True, longest=1000)
+    a = batch.analyse(indexed(), ["f0", "f1", "f2"], n_steps=1)
     scores = batch.fuse(a)
     names = sinks.save_analysis(a, scores, str(tmp_path / "out"), full=True)
     assert "path_stats" in names and "paths" in names

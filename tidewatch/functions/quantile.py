@@ -22,27 +22,20 @@ def percentiles(
     value: str,
     probs: Mapping[str, float],
     part: str | None = "chunk",
-    bounded: bool = False,
     count: str = "n_values",
     carry: str | None = None,
 ) -> DataFrame:
     """One row per ``keys`` with the number of non-null values and one column per prob.
 
     ``part`` is a column that spreads a key over tasks (the chunk the rows are already
-    partitioned by); None uses a hash salt.  ``bounded`` is for groups with a known small
-    size and takes the built-in aggregate.  ``carry`` is a column that is constant within
+    partitioned by); None uses a hash salt.  ``carry`` is a column that is constant within
     a series (its length) and is passed on.
     """
     keys = list(keys)
     if carry:
-        out = percentiles(df, [*keys, carry], value, probs, part, bounded, count)
+        out = percentiles(df, [*keys, carry], value, probs, part, count)
         return out
     df = df.filter(F.col(value).isNotNull())
-    if bounded:
-        return df.groupBy(*keys).agg(
-            F.count(value).alias(count),
-            *[F.percentile(value, F.lit(p)).alias(name) for name, p in probs.items()],
-        )
     if part is None:
         part = "_salt"
         df = df.withColumn(part, F.pmod(F.xxhash64(value), F.lit(64)).cast("long"))

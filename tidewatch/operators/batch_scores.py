@@ -15,7 +15,7 @@ from tidewatch.operators.layout import (
     CHUNK, CHUNK_ROWS, IDX, KEYS, LEN, SERIES, attach, by_chunk, home, over_chunks, with_halo,
 )
 from tidewatch.operators.paths import (
-    HASH_MOD, HASH_STEP, frobenius_sq, quadratic, small_matrices, step_over, with_step_stats,
+    frobenius_sq, position_hash, quadratic, small_matrices, step_over, with_step_stats,
 )
 from tidewatch.operators.scale import series_stats
 
@@ -142,7 +142,7 @@ def kernel_errors(
 
 def sampled_rows(df: DataFrame, size: int = SAMPLE, seed: int = 0) -> DataFrame:
     """The ``size`` rows of each series with the lowest hash of their position."""
-    hashed = df.withColumn("_h", ((F.col(IDX) + seed) * F.lit(HASH_STEP)) % F.lit(HASH_MOD))
+    hashed = df.withColumn("_h", position_hash(seed))
     local = hashed.withColumn("_r", F.row_number().over(Window.partitionBy(*KEYS).orderBy("_h", IDX))).filter(F.col("_r") <= size)
     return local.withColumn("_r", F.row_number().over(Window.partitionBy(SERIES).orderBy("_h", IDX))).filter(F.col("_r") <= size).drop("_r", "_h")
 

@@ -65,7 +65,7 @@ def rolling_cusum(
 
 
 def static_cusum(
-    df: DataFrame, cols: Sequence[str], k_factor: float = 0.5, bounded: bool = False, rows: int = CHUNK_ROWS,
+    df: DataFrame, cols: Sequence[str], k_factor: float = 0.5, rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Add ``drift``: two-sided CUSUM of value and of absolute deviation, feature mean.
 
@@ -76,7 +76,7 @@ def static_cusum(
     def with_median(frame_, prefix, name):
         names = [f"{prefix}{c}" for c in cols]
         long = long_form(frame_, names, "feature", "v", [*KEYS, LEN])
-        q = percentiles(long, [SERIES, "feature"], "v", {"q": 0.5}, bounded=bounded, carry=LEN)
+        q = percentiles(long, [SERIES, "feature"], "v", {"q": 0.5}, carry=LEN)
         wide = q.groupBy(SERIES, LEN).agg(*[
             F.max(F.when(F.col("feature") == f"{prefix}{c}", F.col("q"))).alias(f"{name}{c}") for c in cols
         ])

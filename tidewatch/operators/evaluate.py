@@ -26,7 +26,7 @@ CATEGORY_FILES = {
 }
 
 
-def below(df: DataFrame, keys: Sequence[str], value: str, measures: Mapping[str, Column], bounded: bool = False) -> DataFrame:
+def below(df: DataFrame, keys: Sequence[str], value: str, measures: Mapping[str, Column]) -> DataFrame:
     """Per distinct value of a key: each measure's sum there and ``<m>_below`` at lower values.
 
     A long key is cut at approximate quantiles into ranges; sums of earlier ranges are
@@ -40,8 +40,6 @@ def below(df: DataFrame, keys: Sequence[str], value: str, measures: Mapping[str,
         w = Window.partitionBy(*parts).orderBy(value)
         return [(F.sum(m).over(w) - F.col(m)).alias(f"{m}_below") for m in names]
 
-    if bounded:
-        return at.select("*", *run(keys))
     probs = F.array(*[F.lit(i / SPLITS) for i in range(1, SPLITS)])
     cuts = df.groupBy(*keys).agg(F.percentile_approx(value, probs).alias("_cuts"))
     salted = cuts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -56,11 +54,11 @@ def below(df: DataFrame, keys: Sequence[str], value: str, measures: Mapping[str,
     return out.drop("_range", *[f"_e_{m}" for m in names])
 
 
-def auc(df: DataFrame, keys: Sequence[str], score: str, label: str, weight: str | None = None, bounded: bool = False) -> DataFrame:
+def auc(df: DataFrame, keys: Sequence[str], score: str, label: str, weight: str | None = None) -> DataFrame:
     """Exact ROC area per key; ties count half; null when only one class is present."""
     w = num(1) if weight is None else F.col(weight)
     hit = F.col(label) == 1
-    ranks = below(df, keys, score, {"_p": F.when(hit, w).otherwise(num(0)), "_q": F.when(hit, num(0)).otherwise(w)}, bounded)
+    ranks = below(df, keys, score, {"_p": F.when(hit, w).otherwise(num(0)), "_q": F.when(hit, num(0)).otherwise(w)})
     area = F.sum(F.col("_p") * (F.col("_q_below") + 0.5 * F.col("_q"))) / (F.sum("_p") * F.sum("_q"))
     return ranks.groupBy(*keys).agg(F.when((F.sum("_p") > 0) & (F.sum("_q") > 0), area).alias("auc"))
 
@@ -78,7 +76,6 @@ def top_precision(df: DataFrame, score: str, label: str, k: int = 10) -> DataFra
 
 def change_point(
     df: DataFrame, truth: DataFrame, score: str, method: str = "percentile", prob: float = 0.99, k: float = 3.0,
-    bounded: bool = False,
 ) -> DataFrame:
     """Detection metrics per series.
 
@@ -96,7 +93,7 @@ def change_point(
     stats = rows.groupBy(SERIES).agg(
         F.max(LEN).alias(LEN), F.avg(v).alias("cal_mean"), (F.stddev_pop(v) + num(1e-12)).alias("cal_std"))
     if method == "percentile":
-        q = percentiles(rows.withColumn("_v", v), [SERIES], "_v", {"threshold": prob}, bounded=bounded).drop("n_values")
+        q = percentiles(rows.withColumn("_v", v), [SERIES], "_v", {"threshold": prob}).drop("n_values")
         stats = stats.join(q, SERIES)
     else:
         stats = stats.withColumn("threshold", F.col("cal_mean") + k * F.col("cal_std"))
@@ -109,7 +106,7 @@ def change_point(
         return F.count(F.when(c, F.lit(1)))
 
     label = F.when(inside, F.lit(1)).otherwise(F.lit(0))
-    area = auc(rows.withColumn("_label", label), [SERIES], score, "_label", bounded=bounded)
+    area = auc(rows.withColumn("_label", label), [SERIES], score, "_label")
     agg = out.groupBy(SERIES).agg(
         F.max("threshold").alias("threshold"), F.max("cal_mean").alias("cal_mean"), F.max("cal_std").alias("cal_std"),
         F.max("true_start").alias("_start"),
@@ -137,7 +134,7 @@ def _sigmoid(x: Column) -> Column:
     return F.when(x > 3, num(-1)).otherwise(2 / (1 + F.exp(5 * x)) - 1)
 
 
-def sweep(df: DataFrame, positions: DataFrame, score: str, profiles: Mapping[str, tuple] = PROFILES, bounded: bool = False) -> DataFrame:
+def sweep(df: DataFrame, positions: DataFrame, score: str, profiles: Mapping[str, tuple] = PROFILES) -> DataFrame:
     """Best threshold and normalised benchmark score per series and profile.
 
     A row inside a label window is worth more the earlier it is, a window counts its best
@@ -178,7 +175,7 @@ def sweep(df: DataFrame, positions: DataFrame, score: str, profiles: Mapping[str
     alarms = costed.filter(F.col("_win").isNull()).select(
         SERIES, "profile", "_n", "tp_w", "fn_w", "_s", (F.col("_fp") * F.col("fp_w")).alias("_d"))
     keys = [SERIES, "profile", "_n", "tp_w", "fn_w"]
-    falling = below(gains.unionByName(alarms).withColumn("_neg", -F.col("_s")), keys, "_neg", {"_d": F.col("_d")}, bounded)
+    falling = below(gains.unionByName(alarms).withColumn("_neg", -F.col("_s")), keys, "_neg", {"_d": F.col("_d")})
     null_score = -F.col("_n") * F.col("fn_w")
     reached_score = null_score + F.col("_d_below") + F.col("_d")
     top = falling.groupBy(*keys).agg(F.max(F.struct(reached_score.alias("v"), (-F.col("_neg")).alias("t"))).alias("_b"))
@@ -208,10 +205,10 @@ def correlations(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (SERI
         *keys, F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("corr")) for a, b in pairs])))
 
 
-def rank_correlations(df: DataFrame, cols: Sequence[str], bounded: bool = False) -> DataFrame:
+def rank_correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Spearman correlation: Pearson of average ranks."""
     long = long_form(df, cols, "scorer", "_s", [*KEYS, IDX, LEN])
-    ranks = below(long, [SERIES, "scorer"], "_s", {"_c": num(1)}, bounded).select(
+    ranks = below(long, [SERIES, "scorer"], "_s", {"_c": num(1)}).select(
         SERIES, "scorer", "_s", (F.col("_c_below") + (F.col("_c") + 1) / 2).alias("_rank"))
     wide = long.join(ranks, [SERIES, "scorer", "_s"]).groupBy(*KEYS, IDX).agg(
         *[F.max(F.when(F.col("scorer") == c, F.col("_rank"))).alias(c) for c in cols])
@@ -240,7 +237,7 @@ def sweep_weight(base: Mapping[str, float], extra: str, shares: Sequence[float])
     return {f"{extra}={s:g}": {**{k: v / scale * (1 - s) for k, v in base.items()}, extra: s} for s in shares}
 
 
-def ablation(z: DataFrame, weights: Mapping[str, Mapping[str, float]], label: str, bounded: bool = False) -> DataFrame:
+def ablation(z: DataFrame, weights: Mapping[str, Mapping[str, float]], label: str) -> DataFrame:
     """AUC per series and weighting; ``z`` holds standardised component scores.
 
     All weightings are scored in one pass and ranked in one job.
@@ -250,7 +247,7 @@ def ablation(z: DataFrame, weights: Mapping[str, Mapping[str, float]], label: st
     }
     pairs = F.array(*[F.struct(F.lit(n).alias("config"), c.alias("_score")) for n, c in combos.items()])
     long = z.select(SERIES, label, F.inline(pairs))
-    return auc(long, [SERIES, "config"], "_score", label, bounded=bounded)
+    return auc(long, [SERIES, "config"], "_score", label)
 
 
 def path_agreement(df: DataFrame, a: Sequence[str], b: Sequence[str]) -> DataFrame:

@@ -56,12 +56,12 @@ def expand_5(df: DataFrame, col: str = "f0", window: int = WINDOW) -> DataFrame:
     return out if col == "f0" else out.withColumn("f0", F.col(col))
 
 
-def expand_6(df: DataFrame, col: str = "f0", window: int = WINDOW, bounded: bool = False) -> DataFrame:
+def expand_6(df: DataFrame, col: str = "f0", window: int = WINDOW) -> DataFrame:
     """``expand_5`` plus ``f5``: capped distance of the rolling std from its median, in MADs."""
     five = expand_5(df, col, window)
-    med = percentiles(five, [SERIES], "f2", {"_med": 0.5}, bounded=bounded, carry=LEN)
+    med = percentiles(five, [SERIES], "f2", {"_med": 0.5}, carry=LEN)
     centred = attach(five, med.drop("n_values")).withColumn("_dev", F.abs(F.col("f2") - F.col("_med")))
-    mad = percentiles(centred, [SERIES], "_dev", {"_mad": 0.5}, bounded=bounded, carry=LEN)
+    mad = percentiles(centred, [SERIES], "_dev", {"_mad": 0.5}, carry=LEN)
     out = attach(centred, mad.drop("n_values"))
     return out.withColumn("f5", F.least(num(50), F.col("_dev") / (F.col("_mad") + 1e-12))).drop(
         "_med", "_dev", "_mad"

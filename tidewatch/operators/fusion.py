@@ -11,6 +11,7 @@ from tidewatch.functions.quantile import percentiles
 from tidewatch.operators.evaluate import auc
 from tidewatch.operators.layout import CHUNK, IDX, KEYS, LEN, SERIES, attach
 from tidewatch.operators.scale import calibration_score_z, safe_z, series_stats, symmetric, zscore_safe
+from tidewatch.session import stage
 
 # fixed values: default weights of the batch components
 DEFAULT_WEIGHTS = {"jump": 0.20, "hybrid": 0.35, "kernel": 0.30, "structural": 0.15}
@@ -67,12 +68,12 @@ def dual_track(df: DataFrame) -> DataFrame:
     return final.withColumn("score", F.greatest("acute", "chronic"))
 
 
-def clear_rows(df: DataFrame, score: str, low: float = 0.1, high: float = 0.9, bounded: bool = False) -> DataFrame:
+def clear_rows(df: DataFrame, score: str, low: float = 0.1, high: float = 0.9) -> DataFrame:
     """Rows below the low or above the high percentile, labelled 0 or 1.
 
     Series with five or fewer rows on a side give none.
     """
-    q = percentiles(df, [SERIES], score, {"_lo": low, "_hi": high}, bounded=bounded, carry=LEN).drop("n_values")
+    q = percentiles(df, [SERIES], score, {"_lo": low, "_hi": high}, carry=LEN).drop("n_values")
     marked = attach(df, q).withColumn(
         "label", F.when(F.col(score) > F.col("_hi"), 1).when(F.col(score) < F.col("_lo"), 0))
     sizes = marked.groupBy(SERIES).agg(
@@ -96,8 +97,7 @@ def weight_lattice(names: Sequence[str], least: float = 0.05, step: float = 0.1)
     return [{n: least + step * u for n, u in zip(names, combo)} for combo in split(units, len(names))]
 
 
-def search_weights(df: DataFrame, names: Sequence[str], label: str = "label", least: float = 0.05, step: float = 0.1,
-                   bounded: bool = False) -> DataFrame:
+def search_weights(df: DataFrame, names: Sequence[str], label: str = "label", least: float = 0.05, step: float = 0.1) -> DataFrame:
     """Best weights per series on labelled rows by class-balanced AUC over a weight lattice.
 
     Rows of the rarer class weigh more (power 1.5 of the class ratio, within [0.1, 10]).
@@ -115,13 +115,13 @@ def search_weights(df: DataFrame, names: Sequence[str], label: str = "label", le
     score = total([F.col(f"w_{n}") * F.when(F.col(f"{n}_sd") > 1e-10, (F.col(n) - F.col(f"{n}_mu")) / F.col(f"{n}_sd")).otherwise(F.col(n)) for n in names])
     ws = [f"w_{n}" for n in names]
     long = z.select("*", F.inline(points)).select(SERIES, label, "_w", "_even", *ws, F.round(score, 9).alias("_score"))
-    ranked = auc(long, [SERIES, "_even", *ws], "_score", label, weight="_w", bounded=bounded)
+    ranked = auc(long, [SERIES, "_even", *ws], "_score", label, weight="_w")
     best = ranked.groupBy(SERIES).agg(F.max(F.struct(F.round("auc", 9).alias("auc"), F.round("_even", 9).alias("_even"), *ws)).alias("_b"))
     return best.select(SERIES, *[F.col(f"_b.{w}").alias(w) for w in ws], F.col("_b.auc").alias("auc"))
 
 
 def weak_anomalies(
-    df: DataFrame, cols: Sequence[str], score: str, low: float = 0.1, high: float = 0.9, bounded: bool = False,
+    df: DataFrame, cols: Sequence[str], score: str, low: float = 0.1, high: float = 0.9,
 ) -> DataFrame:
     """Clear rows plus the stronger of the weak anomalies between them, with ``label``.
 
@@ -133,9 +133,9 @@ def weak_anomalies(
 
     d = len(cols)
     long = long_form(df, cols, "feature", "_v", [*KEYS, LEN])
-    med = percentiles(long, [SERIES, "feature"], "_v", {"_m": 0.5}, bounded=bounded, carry=LEN)
+    med = percentiles(long, [SERIES, "feature"], "_v", {"_m": 0.5}, carry=LEN)
     meds = med.groupBy(SERIES, LEN).agg(*[F.max(F.when(F.col("feature") == c, F.col("_m"))).alias(f"_m_{c}") for c in cols])
-    q = percentiles(df, [SERIES], score, {"_lo": low, "_hi": high}, bounded=bounded).drop("n_values")
+    q = percentiles(df, [SERIES], score, {"_lo": low, "_hi": high}).drop("n_values")
     base = attach(df, meds.join(q, SERIES).join(series_stats(df, cols).drop(LEN), SERIES))
     wide = with_halo(base, back=5, ahead=5)
     w = by_chunk()
@@ -172,7 +172,9 @@ def weak_anomalies(
     weak_jump = (F.col("importance") > 0.2) & (F.col("importance") < 0.4) if "importance" in df.columns else F.lit(False)
     middle = (F.col(score) >= F.col("_lo")) & (F.col(score) <= F.col("_hi"))
     tagged = rows.withColumn("weak", middle & ((far >= 0.3 * d) | F.coalesce(apart, F.lit(False)) | hum | weak_jump))
-    cut = percentiles(tagged.withColumn("_ws", F.when(F.col("weak"), F.col(score))), [SERIES], "_ws", {"_cut": 0.7}, bounded=bounded, carry=LEN)
+    # the marks are dear and read three times
+    tagged = stage(tagged.select(SERIES, CHUNK, IDX, LEN, score, "_lo", "_hi", "weak"), "weak-rows")
+    cut = percentiles(tagged.withColumn("_ws", F.when(F.col("weak"), F.col(score))), [SERIES], "_ws", {"_cut": 0.7}, carry=LEN)
     out = attach(tagged, cut.drop("n_values"))
     strong = (F.col(score) > F.col("_hi")) | (F.col("weak") & (F.col(score) >= F.col("_cut")))
     label = F.when(strong, 1).when(F.col(score) < F.col("_lo"), 0)

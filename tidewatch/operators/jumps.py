@@ -37,7 +37,6 @@ class Jumps:
     rows: DataFrame
     features: DataFrame
     cols: tuple[str, ...]
-    bounded: bool = False
 
 
 def difference(col: str) -> Column:
@@ -109,8 +108,7 @@ def _feature_stats(df: DataFrame, cols: Sequence[str], extra: Sequence[str] = ()
 
 
 def detect(
-    df: DataFrame, cols: Sequence[str], prob: float = DIFF_PROB, local_prob: float = LOCAL_PROB,
-    bounded: bool = False, rows: int = CHUNK_ROWS,
+    df: DataFrame, cols: Sequence[str], prob: float = DIFF_PROB, local_prob: float = LOCAL_PROB, rows: int = CHUNK_ROWS,
 ) -> Jumps:
     """Jumps of every feature with one set of parameters.
 
@@ -120,11 +118,11 @@ def detect(
     keep = [*KEYS, LEN]
     sizes = long_form(m.select(*keep, *[F.abs(f"d_{c}").alias(c) for c in cols]), cols, "feature", "v", keep)
     ratios = long_form(m.select(*keep, *[local_ratio(c).alias(c) for c in cols]), cols, "feature", "v", keep)
-    a = percentiles(sizes, [SERIES, "feature"], "v", {"t": prob}, bounded=bounded, carry=LEN).drop("n_values")
-    b = percentiles(ratios, [SERIES, "feature"], "v", {"l": local_prob}, bounded=bounded).drop("n_values")
+    a = percentiles(sizes, [SERIES, "feature"], "v", {"t": prob}, carry=LEN).drop("n_values")
+    b = percentiles(ratios, [SERIES, "feature"], "v", {"l": local_prob}).drop("n_values")
     thr = _wide_thresholds(a.join(b, [SERIES, "feature"]), cols, {"t": "thr", "l": "lthr"})
     out = _flags(attach(m, thr, rows), cols)
-    return Jumps(out, _feature_stats(out, cols), tuple(cols), bounded)
+    return Jumps(out, _feature_stats(out, cols), tuple(cols))
 
 
 def feature_parameters(df: DataFrame, cols: Sequence[str], window: Column, prob: Column) -> DataFrame:
@@ -178,8 +176,7 @@ def _variable_std(df: DataFrame, cols: Sequence[str], rows: int) -> DataFrame:
 
 
 def detect_tuned(
-    df: DataFrame, cols: Sequence[str], window: Column | int, prob: Column | float,
-    bounded: bool = False, rows: int = CHUNK_ROWS,
+    df: DataFrame, cols: Sequence[str], window: Column | int, prob: Column | float, rows: int = CHUNK_ROWS,
 ) -> Jumps:
     """Jumps with per-feature windows and percentiles.
 
@@ -206,7 +203,7 @@ def detect_tuned(
     b = percentiles_by(ratios, keys, "v", wanted, ["l"]).drop("n_values")
     thr = _wide_thresholds(a.join(b, keys, "left"), cols, {"t": "thr", "l": "lthr"})
     out = _flags(attach(m, thr, rows), cols)
-    return Jumps(out, _feature_stats(out, cols, ("v", "w", "tw", "p")), tuple(cols), bounded)
+    return Jumps(out, _feature_stats(out, cols, ("v", "w", "tw", "p")), tuple(cols))
 
 
 def jump_rows(jumps: Jumps) -> DataFrame:
@@ -287,10 +284,10 @@ def batch_score(jumps: Jumps, rows: int = CHUNK_ROWS) -> DataFrame:
     """Rows with ``jump_score``: strong importance plus the strongest feature's intensity."""
     df, cols = jumps.rows, jumps.cols
     positive = df.select(*KEYS, LEN, F.when(F.col("importance") > 0, F.col("importance")).alias("v"))
-    q = percentiles(positive, [SERIES], "v", {"_imp": 0.75}, bounded=jumps.bounded).drop("n_values")
+    q = percentiles(positive, [SERIES], "v", {"_imp": 0.75}).drop("n_values")
     keep = [*KEYS, LEN]
     sizes = long_form(df.select(*keep, *[F.abs(f"d_{c}").alias(c) for c in cols]), cols, "feature", "v", keep)
-    strong = percentiles(sizes, [SERIES, "feature"], "v", {"_s": 0.98}, bounded=jumps.bounded, carry=LEN)
+    strong = percentiles(sizes, [SERIES, "feature"], "v", {"_s": 0.98}, carry=LEN)
     figures = strong.join(jumps.features.select(SERIES, "feature", "intensity", "asymmetry"), [SERIES, "feature"])
     wide = _wide_thresholds(figures, cols, {"_s": "p98", "intensity": "int", "asymmetry": "asym"})
     out = attach(df, wide.join(q, SERIES, "left"), rows)

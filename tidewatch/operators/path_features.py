@@ -19,18 +19,18 @@ TOP_FEATURES = 20
 FREQUENCY_WORDS = ("freq", "fft")
 
 
-def path_spectrum(df: DataFrame, paths: Sequence[str], longest: int | None = None) -> DataFrame:
+def path_spectrum(df: DataFrame, paths: Sequence[str]) -> DataFrame:
     """Spectral shape per path."""
     long = long_form(df, paths, "path", "x", [SERIES, IDX])
-    return shape(spectrum(long, [SERIES, "path"], "x", longest), [SERIES, "path"])
+    return shape(spectrum(long, [SERIES, "path"], "x"), [SERIES, "path"])
 
 
-def basic_features(df: DataFrame, paths: Sequence[str], longest: int | None = None) -> DataFrame:
+def basic_features(df: DataFrame, paths: Sequence[str]) -> DataFrame:
     """Charge, stability, energy, entropies, pulsation and spectrum per path."""
     key = [SERIES, "path"]
     return (
         topology(df, paths).join(energy(pulsation(df, paths)), key).join(entropies(df, paths), key)
-        .join(path_spectrum(df, paths, longest), key)
+        .join(path_spectrum(df, paths), key)
     )
 
 
@@ -60,12 +60,12 @@ def path_shape(df: DataFrame, paths: Sequence[str]) -> DataFrame:
     return per_path(lagged.groupBy(SERIES).agg(*aggs), paths, {"skew": "sk", "kurtosis": "ku", "autocorr": "ac"})
 
 
-def event_spectrum(df: DataFrame, cols: Sequence[str], longest: int | None = None) -> DataFrame:
+def event_spectrum(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Spectral figures over all features, one row per series.
 
     Total energy needs no transform: it is the row count times the sum of squares.
     """
-    s = spectrum(long_form(df, cols, "feature", "x", [SERIES, IDX]), [SERIES, "feature"], "x", longest)
+    s = spectrum(long_form(df, cols, "feature", "x", [SERIES, IDX]), [SERIES, "feature"], "x")
     half, k, amp = F.floor(F.col("m") / 2), F.col("k"), F.col("amp")
     inner = (k >= 1) & (k < half)
     cut = F.floor(F.col("m") / 10)
@@ -140,7 +140,7 @@ def project(df: DataFrame, paths: Sequence[str], values: DataFrame, names: Seque
     return out.drop(*[f"_{n}_{p}" for p in paths for n in names])
 
 
-def select_by_correlation(df: DataFrame, features: Sequence[str], label: str, top: int = TOP_FEATURES, bounded: bool = False) -> tuple[DataFrame, DataFrame]:
+def select_by_correlation(df: DataFrame, features: Sequence[str], label: str, top: int = TOP_FEATURES) -> tuple[DataFrame, DataFrame]:
     """The features that correlate most with the label, and the AUC of their plain sum."""
     agg = df.groupBy(SERIES).agg(*[F.coalesce(finite(F.abs(F.corr(f, label))), num(0)).alias(f) for f in features])
     long = agg.select(SERIES, F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("corr")) for f in features])))
@@ -149,7 +149,7 @@ def select_by_correlation(df: DataFrame, features: Sequence[str], label: str, to
     flags = chosen.groupBy(SERIES).agg(*[F.max(F.when(F.col("feature") == f, num(1)).otherwise(num(0))).alias(f"_u_{f}") for f in features])
     lengths = df.groupBy(SERIES).agg(F.max(LEN).alias(LEN))
     summed = attach(df, flags.join(lengths, SERIES)).withColumn("_sum", total([F.col(f) * F.col(f"_u_{f}") for f in features]))
-    return chosen, auc(summed, [SERIES], "_sum", label, bounded=bounded)
+    return chosen, auc(summed, [SERIES], "_sum", label)
 
 
 def select_by_lasso(df: DataFrame, features: Sequence[str], label: str, c: float = 10.0, top: int = TOP_FEATURES) -> tuple[DataFrame, DataFrame]:

@@ -182,6 +182,11 @@ def objective(terms: DataFrame, alpha: float = 0.05, beta: float = 0.005, jump:
     return terms.withColumn("objective", value)
 
 
+def position_hash(seed: int = 0):
+    """Multiplicative hash of a row's position; the position is reduced first, so the product fits a long."""
+    return ((F.col(IDX) + seed) % F.lit(HASH_MOD // 2) * F.lit(HASH_STEP)) % F.lit(HASH_MOD)
+
+
 def key_rows(df: DataFrame, flag: str = "unified", expand: int = VICINITY, samples: int = STATIC_ROWS, seed: int = 0, rows: int = CHUNK_ROWS) -> DataFrame:
     """Add ``role``: ``jump`` near a jump, ``static`` for sampled other rows, else ``diagonal``.
 
@@ -191,7 +196,7 @@ def key_rows(df: DataFrame, flag: str = "unified", expand: int = VICINITY, sampl
     """
     wide = with_halo(df, back=expand, ahead=expand, rows=rows)
     near = home(wide.withColumn("_near", F.max(flag).over(frame(-expand, expand))))
-    hashed = near.withColumn("_h", ((F.col(IDX) + seed) * F.lit(HASH_STEP)) % F.lit(HASH_MOD))
+    hashed = near.withColumn("_h", position_hash(seed))
     pool = hashed.filter(~F.col("_near")).select(*KEYS, IDX, "_h")
     local = pool.withColumn("_r", F.row_number().over(Window.partitionBy(*KEYS).orderBy("_h", IDX))).filter(F.col("_r") <= samples)
     chosen = (

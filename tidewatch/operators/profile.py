@@ -26,7 +26,7 @@ def _chain(start: Column, rules) -> Column:
     return out
 
 
-def volatility(df: DataFrame, cols: Sequence[str], base: int = BASE, longest: int | None = None) -> DataFrame:
+def volatility(df: DataFrame, cols: Sequence[str], base: int = BASE) -> DataFrame:
     """The five figures that the window sizes depend on, one row per series."""
     d = len(cols)
     wide = with_halo(df, back=1, ahead=base - 1)
@@ -50,7 +50,7 @@ def volatility(df: DataFrame, cols: Sequence[str], base: int = BASE, longest: in
         (total([F.stddev_pop(f"_d_{c}") for c in cols]) / num(d)).alias("temporal_volatility"),
         complexity.alias("correlation_complexity"),
         (F.stddev_pop("_local") / (F.avg("_local") + num(1e-10))).alias("local_variation"))
-    s = spectrum(long_form(df, cols, "feature", "x", [SERIES, IDX]), [SERIES, "feature"], "x", longest)
+    s = spectrum(long_form(df, cols, "feature", "x", [SERIES, IDX]), [SERIES, "feature"], "x")
     low = F.sum(F.when(F.col("k") < F.floor(F.col("m") / 10), F.col("amp")))
     ratio = s.groupBy(SERIES).agg(
         (F.coalesce(low, num(0)) / F.sum(F.when(F.col("k") < F.floor(F.col("m") / 2), F.col("amp")))).alias("low_freq_ratio"))

@@ -22,6 +22,8 @@ MAX_REGIMES = 5
 MIN_ROWS = 50
 RIDGE = 1e-6
 MAX_STEPS = 200
+#: Rows of a series that one task solves; longer series take one job per step.
+IN_TASK = 200_000
 TOLERANCE = 1e-3
 MODEL = "k int, weights array<double>, means array<double>, covs array<double>"
 
@@ -145,7 +147,7 @@ def fit_long(
 
     model_schema = f"{SERIES} string, {LEN} long, {MODEL}"
     active = stage(base.mapInPandas(begin, model_schema).withColumn("loglik", F.lit(None).cast("double")), "regimes")
-    finished = None
+    finished = active.select("*", F.lit(None).cast("long").alias("smallest")).limit(0)
 
     def accumulate(key, pdf: pd.DataFrame, fits: pd.DataFrame) -> pd.DataFrame:
         x, out = pdf[names].to_numpy(dtype=float), []
@@ -163,7 +165,8 @@ def fit_long(
         return pd.DataFrame(out, columns=["weights", "means", "covs", "loglik", "smallest"])
 
     move = F.pandas_udf(advance, "struct<weights: array<double>, means: array<double>, covs: array<double>, loglik: double, smallest: long>")
-    for i in range(max_steps):
+    # as many updates as within a task, and one more pass for the likelihood of the last
+    for i in range(0 if active.isEmpty() else max_steps + 1):
         spread = over_chunks(active, rows).select(F.col(SERIES).alias("_ks"), F.col(CHUNK).alias("_kc"), "k", "weights", "means", "covs")
         part = df.groupBy(*KEYS).cogroup(spread.groupBy("_ks", "_kc")).applyInPandas(accumulate, f"{SERIES} string, k int, s array<double>")
         sums = (
@@ -173,11 +176,11 @@ def fit_long(
         )
         joined = active.join(sums, [SERIES, "k"])
         still = F.col("loglik").isNull() | (F.abs(F.col("_n.loglik") - F.col("loglik")) / F.col(LEN) >= TOLERANCE)
-        last = i == max_steps - 1
+        last = i == max_steps
         step = stage(joined.withColumn("_on", still & F.lit(not last)), "regimes")
         done = step.filter(~F.col("_on")).select(
             SERIES, LEN, "k", "weights", "means", "covs", F.col("_n.loglik").alias("loglik"), F.col("_n.smallest").alias("smallest"))
-        finished = done if finished is None else finished.unionByName(done)
+        finished = finished.unionByName(done)
         active = step.filter("_on").select(SERIES, LEN, "k", "_n.weights", "_n.means", "_n.covs", "_n.loglik")
         if active.isEmpty():
             break
@@ -196,10 +199,14 @@ def fit_long(
         SERIES, LEN, "k", "_o.*", (-2 * F.col("loglik") + free * F.log(LEN)).alias("bic"), "smallest")
 
 
-def fit(df: DataFrame, cols: Sequence[str], fixed: int | None = None, most: int = MAX_REGIMES, min_rows: int = MIN_ROWS,
-        bounded: bool = False, rows: int = CHUNK_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Model per series (``n`` is its number of fitted rows) and BIC per candidate."""
-    fits = fit_short(df, cols, fixed, most, min_rows) if bounded else fit_long(df, cols, fixed, most, min_rows, rows)
+def fit(df: DataFrame, cols: Sequence[str], fixed: int | None = None, most: int = MAX_REGIMES, min_rows: int = MIN_ROWS, rows: int = CHUNK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Model per series (``n`` is its number of fitted rows) and BIC per candidate.
+
+    Series of up to ``IN_TASK`` rows are solved many to a task, longer ones by one job per step; the
+    steps are the same, so the split does not show in the result.
+    """
+    short = fit_short(df.filter(F.col(LEN) <= IN_TASK), cols, fixed, most, min_rows)
+    fits = short.unionByName(fit_long(df.filter(F.col(LEN) > IN_TASK), cols, fixed, most, min_rows, rows))
     if fixed is not None:
         fits = fits.withColumn("_most", F.least(F.lit(fixed), F.greatest(F.lit(1), F.floor(F.col(LEN) / min_rows))).cast("int"))
         wanted = (F.col("k") == F.col("_most")) | (F.col("k") == 1)

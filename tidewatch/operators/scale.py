@@ -83,12 +83,12 @@ def calibration_score_z(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return znorm(df, cols, F.col(IDX) < calibration_end(), eps=1e-12)
 
 
-def adaptive(df: DataFrame, col: str, bounded: bool = False) -> DataFrame:
+def adaptive(df: DataFrame, col: str) -> DataFrame:
     """Robust z-score with the part beyond +-2 compressed logarithmically."""
     base = series_stats(df, [col])
-    med = percentiles(df, [SERIES], col, {"_med": 0.5}, bounded=bounded).drop("n_values")
+    med = percentiles(df, [SERIES], col, {"_med": 0.5}).drop("n_values")
     first = attach(df, base.join(med, SERIES)).withColumn("_dev", F.abs(F.col(col) - F.col("_med")))
-    mad = percentiles(first, [SERIES], "_dev", {"_mad": 0.5}, bounded=bounded, carry=LEN).drop("n_values")
+    mad = percentiles(first, [SERIES], "_dev", {"_mad": 0.5}, carry=LEN).drop("n_values")
     out = attach(first, mad)
     mu, sd = F.col(f"{col}_mu"), F.col(f"{col}_sd")
     z = (
@@ -102,10 +102,10 @@ def adaptive(df: DataFrame, col: str, bounded: bool = False) -> DataFrame:
     )
 
 
-def iqr_scale(df: DataFrame, col: str, bounded: bool = False) -> DataFrame:
+def iqr_scale(df: DataFrame, col: str) -> DataFrame:
     """``(x - median) / (1.5 IQR)``; falls back to the z-score, then to the raw value."""
     base = series_stats(df, [col])
-    q = percentiles(df, [SERIES], col, {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75}, bounded=bounded)
+    q = percentiles(df, [SERIES], col, {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75})
     out = attach(df, base.join(q.drop("n_values"), SERIES))
     iqr, sd = F.col("_q3") - F.col("_q1"), F.col(f"{col}_sd")
     scaled = (

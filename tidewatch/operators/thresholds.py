@@ -20,11 +20,11 @@ MIN_VALUES = 5
 
 def positive_percentile(
     df: DataFrame, keys: Sequence[str], value: str, above: float | Column = 0.0,
-    prob: float = 0.99, bounded: bool = False,
+    prob: float = 0.99,
 ) -> DataFrame:
     """Percentile of the values above ``above``; needs more than five of them."""
     positive = df.filter(F.col(value) > above)
-    q = percentiles(positive, keys, value, {"q": prob}, bounded=bounded)
+    q = percentiles(positive, keys, value, {"q": prob})
     return q.select(
         *keys, F.when(F.col("n_values") > MIN_VALUES, F.col("q")).alias("threshold"),
         F.col("n_values").alias("n_positive"),
@@ -35,7 +35,6 @@ def robust_threshold(
     df: DataFrame, keys: Sequence[str], value: str, method: str = "percentile",
     prob: float = 0.99, trim: float = 0.01, iqr_k: float = 3.0, mad_k: float = 2.5,
     cap_ratio: float = 5.0, cap_prob: float = 0.9, cap_off: Column | None = None,
-    bounded: bool = False,
 ) -> DataFrame:
     """``keys, n_values, threshold`` by one of ``METHODS``; fewer than five values is off.
 
@@ -46,20 +45,20 @@ def robust_threshold(
     extra = [k for k in keys if k != SERIES]
 
     def q(frame, probs):
-        return percentiles(frame, keys, value, probs, bounded=bounded, carry=LEN)
+        return percentiles(frame, keys, value, probs, carry=LEN)
 
     first = q(df, {"_p": prob, "_q1": 0.25, "_q2": 0.5, "_q3": 0.75, "_cap": cap_prob, "_cut": 1 - trim})
     out = F.col("_p")
     if method == "trimmed_percentile":
         kept = attach(df, first.select(*keys, LEN, "_cut"), on=extra).filter(F.col(value) <= F.col("_cut"))
-        second = percentiles(kept, keys, value, {"_t": prob}, bounded=bounded, count="_left")
+        second = percentiles(kept, keys, value, {"_t": prob}, count="_left")
         first = first.join(second, list(keys), "left")
         out = F.when(F.col("_left") < MIN_VALUES, F.col("_cut")).otherwise(F.col("_t"))
     elif method == "mad":
         dev = attach(df, first.select(*keys, LEN, "_q2"), on=extra).withColumn(
             "_dev", F.abs(F.col(value) - F.col("_q2"))
         )
-        second = percentiles(dev, keys, "_dev", {"_mad": 0.5}, bounded=bounded, count="_m")
+        second = percentiles(dev, keys, "_dev", {"_mad": 0.5}, count="_m")
         first = first.join(second, list(keys), "left")
         out = F.when(F.col("_mad") <= 0, F.col("_p")).otherwise(
             F.col("_q2") + mad_k * 1.4826 * F.col("_mad")
@@ -85,7 +84,7 @@ def sigma_threshold(df: DataFrame, keys: Sequence[str], value: str, rows: Column
 
 def regime_thresholds(
     df: DataFrame, value: str = "raw", scorer: str = "scorer", method: str = "trimmed_percentile",
-    min_frames: int = 50, small: int = 300, bounded: bool = False,
+    min_frames: int = 50, small: int = 300,
 ) -> DataFrame:
     """Threshold per (series, regime, scorer) over the positive scores of clean rows.
 
@@ -96,6 +95,6 @@ def regime_thresholds(
     enough = df.filter((F.col("regime_rows") >= min_frames) & (F.col(value) > 1e-12))
     sized = enough if method != "capped" else enough.withColumn("_small", F.col("regime_rows") < small)
     if method != "capped":
-        return robust_threshold(sized, keys, value, method, bounded=bounded)
-    out = robust_threshold(sized, [*keys, "_small"], value, method, cap_off=F.col("_small"), bounded=bounded)
+        return robust_threshold(sized, keys, value, method)
+    out = robust_threshold(sized, [*keys, "_small"], value, method, cap_off=F.col("_small"))
     return out.drop("_small")

@@ -28,17 +28,16 @@ class Analysis:
     path_stats: DataFrame
     windows: DataFrame
     cols: tuple[str, ...]
-    bounded: bool
 
 
 def analyse(
-    df: DataFrame, cols: Sequence[str], n_paths: int = 7, n_steps: int = 3, sparse: bool = True, bounded: bool = False,
-    longest: int | None = None, rows: int = CHUNK_ROWS,
+    df: DataFrame, cols: Sequence[str], n_paths: int = 7, n_steps: int = 3, sparse: bool = True,
+    rows: int = CHUNK_ROWS,
 ) -> Analysis:
     """Windows from the data, jumps, refined paths and the figures of every path."""
     df = stage(df.select(*KEYS, IDX, LEN, *cols), "batch-input")
-    windows = N.window_sizes(N.volatility(df, cols, longest=longest))
-    jumps = I.detect(df, cols, bounded=bounded, rows=rows)
+    windows = N.window_sizes(N.volatility(df, cols))
+    jumps = I.detect(df, cols, rows=rows)
     start, names = K.spectral_paths(jumps.rows.select(*KEYS, IDX, LEN, *cols, "unified", "importance"), cols, n_paths, unit=False, rows=rows)
     start = K.key_rows(start, rows=rows) if sparse else start
     refined = stage(K.refine_paths(start, cols, names, jumps=not sparse, sparse=sparse, n_steps=n_steps, rows=rows), "paths")
@@ -53,7 +52,7 @@ def analyse(
     labelled = K.classify(stats.join(own, key, "left").withColumnsRenamed({"power": "p_power", "asymmetry": "p_asym"})
                           .withColumnsRenamed({"f_power": "power", "f_asym": "asymmetry"}))
     path_stats = stage(labelled.drop("power", "asymmetry").withColumnsRenamed({"p_power": "power", "p_asym": "asymmetry"}), "path-stats")
-    return Analysis(refined, jumps, tuple(names), path_stats, windows, tuple(cols), bounded)
+    return Analysis(refined, jumps, tuple(names), path_stats, windows, tuple(cols))
 
 
 def fuse(a: Analysis, rows: int = CHUNK_ROWS) -> DataFrame:
@@ -66,7 +65,7 @@ def fuse(a: Analysis, rows: int = CHUNK_ROWS) -> DataFrame:
     ids = [*KEYS, IDX]
     scales = None
     for i, (window, prob) in enumerate(JUMP_SCALES):
-        tuned = I.detect_tuned(base, a.cols, window, prob, bounded=a.bounded, rows=rows)
+        tuned = I.detect_tuned(base, a.cols, window, prob, rows=rows)
         s = stage(I.batch_score(tuned, rows).select(*ids, F.col("jump_score").alias(f"_j{i}")), "jump-scale")
         scales = s if scales is None else scales.join(s, ids)
     jump = scales.select(*ids, F.greatest(*[f"_j{i}" for i in range(len(JUMP_SCALES))]).alias("jump"))
@@ -78,4 +77,4 @@ def fuse(a: Analysis, rows: int = CHUNK_ROWS) -> DataFrame:
     weighted = sum((num(w) * F.col(c) for c, w in DEFAULT_WEIGHTS.items()), num(0))
     scored = stage(parts.withColumn("score", S.power(weighted)), "fused")
     rescored = I.rescore(scored, I.clusters(a.jumps, rows=rows), rows=rows)
-    return S.adaptive(rescored, "score", bounded=a.bounded).select(*ids, LEN, *DEFAULT_WEIGHTS, "score")
+    return S.adaptive(rescored, "score").select(*ids, LEN, *DEFAULT_WEIGHTS, "score")

@@ -9,7 +9,7 @@ from tidewatch.operators import features as B, scale as S, thresholds as D
 from tidewatch.operators.layout import CHUNK, IDX, KEYS, LEN, SERIES, by_chunk, home, long_form, with_halo
 from tidewatch.plans.registry import query
 from tidewatch.plans.sql import DAILY, EV, FIVE, r, with_
-from tidewatch.sources.tables import DAILY_COLS, daily_series, event_series, events_short
+from tidewatch.sources.tables import DAILY_COLS, daily_series, event_series
 
 
 def out(df, *cols, keys=(SERIES, IDX)):
@@ -61,7 +61,7 @@ mad AS (SELECT series_id, median(d) AS q FROM dev GROUP BY 1)""")
        + "SELECT series_id, idx, " + ", ".join(r(f"f{i}", f"f{i}") for i in range(5)) + ", "
        + r("least(50, d / (q + 1e-12))", "f5") + " FROM dev JOIN mad USING (series_id)")
 def expand_6(spark, sf):
-    return out(B.expand_6(event_series(spark, sf), bounded=events_short(spark, sf)), *[f"f{i}" for i in range(6)])
+    return out(B.expand_6(event_series(spark, sf)), *[f"f{i}" for i in range(6)])
 
 
 @query("channel_mean", with_(DAILY) + f"SELECT series_id, idx, {r('(f0 + f1 + f2 + f3) / 4', 'sig')} FROM daily")
@@ -134,7 +134,7 @@ mad AS (SELECT series_id, median(d) AS q FROM dev GROUP BY 1),
 zz AS (SELECT series_id, idx, CASE WHEN q > 0 THEN 0.6745 * (f0 - m) / q ELSE (f0 - mu) / (sd + 1e-10) END AS z FROM dev JOIN mad USING (series_id))""")
        + f"SELECT series_id, idx, {r('CASE WHEN abs(z) < 2 THEN z ELSE sign(z) * (2 + 3 * ln(1 + abs(z) - 2)) END', 'f0')} FROM zz")
 def adaptive_standardise(spark, sf):
-    return out(S.adaptive(event_series(spark, sf), "f0", bounded=events_short(spark, sf)), "f0")
+    return out(S.adaptive(event_series(spark, sf), "f0"), "f0")
 
 
 @query("iqr_standardise", with_(EV, """q AS (SELECT series_id, quantile_cont(f0, 0.25) AS a, median(f0) AS m, quantile_cont(f0, 0.75) AS b,
@@ -142,7 +142,7 @@ def adaptive_standardise(spark, sf):
        + "SELECT series_id, idx, " + r("CASE WHEN b > a THEN (f0 - m) / (1.5 * (b - a)) WHEN sd > 0 THEN (f0 - mu) / sd ELSE f0 END", "f0")
        + " FROM ev JOIN q USING (series_id)")
 def iqr_standardise(spark, sf):
-    return out(S.iqr_scale(event_series(spark, sf), "f0", bounded=events_short(spark, sf)), "f0")
+    return out(S.iqr_scale(event_series(spark, sf), "f0"), "f0")
 
 
 @query("power_transform", with_(EV) + f"SELECT series_id, idx, {r('sign(z) * pow(abs(z), 0.8)', 'f0')} FROM evz")
@@ -183,13 +183,13 @@ def _absz(spark, sf):
 @query("positive_percentile", with_(DAILY, ABSZ) + "SELECT series_id, feature, count(*) AS n_positive, "
        + r("CASE WHEN count(*) > 5 THEN quantile_cont(v, 0.99) END", "threshold") + " FROM az WHERE v > 0 GROUP BY 1, 2")
 def positive_percentile(spark, sf):
-    t = D.positive_percentile(_absz(spark, sf), [SERIES, "feature"], "v", bounded=True)
+    t = D.positive_percentile(_absz(spark, sf), [SERIES, "feature"], "v")
     return out(t, "threshold", keys=(SERIES, "feature", "n_positive"))
 
 
 def _robust(method):
     def run(spark, sf):
-        t = D.robust_threshold(_absz(spark, sf), [SERIES, "feature"], "v", method, bounded=True)
+        t = D.robust_threshold(_absz(spark, sf), [SERIES, "feature"], "v", method)
         return out(t, "threshold", keys=(SERIES, "feature", "n_values"))
 
     return run
@@ -207,19 +207,31 @@ query("threshold_mad", with_(DAILY, ABSZ, Q, "d AS (SELECT series_id, feature, m
 query("threshold_capped", with_(DAILY, ABSZ, Q) + f"SELECT series_id, feature, n_values, {r('CASE WHEN p90 <= 0 THEN p ELSE least(p, 5 * p90) END', 'threshold')} FROM q")(_robust("capped"))
 
 
-@query("threshold_by_regime", with_(DAILY, ABSZ, """rz AS (SELECT *, CAST(idx % 3 AS INTEGER) AS regime FROM az WHERE idx % 7 <> 3),
-sized AS (SELECT *, count(*) OVER (PARTITION BY series_id, regime, feature) AS rows_ FROM rz),
-p AS (SELECT series_id, regime, feature, rows_, quantile_cont(v, 0.99) AS p, quantile_cont(v, 0.9) AS p90, count(*) AS n_values
-  FROM sized WHERE rows_ >= 50 AND v > 1e-12 GROUP BY 1, 2, 3, 4)""")
-       + "SELECT series_id, regime, feature AS scorer, n_values, " + r("CASE WHEN p90 <= 0 OR rows_ < 150 THEN p ELSE least(p, 1.5 * p90) END", "threshold") + " FROM p WHERE n_values >= 5")
-def threshold_by_regime(spark, sf):
+REGIMED = """rz AS (SELECT *, CAST(idx % 3 AS INTEGER) AS regime FROM az WHERE idx % 7 <> 3),
+sized AS (SELECT *, feature AS scorer, count(*) OVER (PARTITION BY series_id, regime, feature) AS rows_ FROM rz),
+used AS (SELECT * FROM sized WHERE rows_ >= 50 AND v > 1e-12),
+p AS (SELECT series_id, regime, scorer, rows_, quantile_cont(v, 0.99) AS p, quantile_cont(v, 0.9) AS p90, count(*) AS n_values
+  FROM used GROUP BY 1, 2, 3, 4)"""
+
+
+def _regimed(spark, sf):
     df = _absz(spark, sf).filter(F.col(IDX) % 7 != 3).withColumn("regime", (F.col(IDX) % 3).cast("int"))
     sizes = df.groupBy(SERIES, "feature", "regime").agg(F.count(F.lit(1)).alias("regime_rows"))
-    df = df.join(sizes, [SERIES, "feature", "regime"]).withColumnRenamed("feature", "scorer")
-    keys = [SERIES, "regime", "scorer"]
-    used = df.filter((F.col("regime_rows") >= 50) & (F.col("v") > 1e-12)).withColumn("small", F.col("regime_rows") < 150)
-    t = D.robust_threshold(used, [*keys, "small"], "v", "capped", cap_ratio=1.5, cap_off=F.col("small"), bounded=True)
-    return out(t, "threshold", keys=(*keys, "n_values"))
+    return df.join(sizes, [SERIES, "feature", "regime"]).withColumnRenamed("feature", "scorer")
+
+
+@query("threshold_by_regime", with_(DAILY, ABSZ, REGIMED, """t AS (SELECT series_id, regime, scorer, quantile_cont(v, 0.99) AS t, count(*) AS c
+  FROM used JOIN p USING (series_id, regime, scorer) WHERE v <= p GROUP BY 1, 2, 3)""")
+       + "SELECT series_id, regime, scorer, n_values, " + r("CASE WHEN n_values >= 5 THEN CASE WHEN c < 5 THEN p ELSE t END END", "threshold") + " FROM p LEFT JOIN t USING (series_id, regime, scorer)")
+def threshold_by_regime(spark, sf):
+    return out(D.regime_thresholds(_regimed(spark, sf), value="v"), "threshold", keys=(SERIES, "regime", "scorer", "n_values"))
+
+
+@query("threshold_by_regime_capped", with_(DAILY, ABSZ, REGIMED)
+       + "SELECT series_id, regime, scorer, n_values, " + r("CASE WHEN n_values >= 5 THEN CASE WHEN p90 <= 0 OR rows_ < 300 THEN p ELSE least(p, 5 * p90) END END", "threshold") + " FROM p")
+def threshold_by_regime_capped(spark, sf):
+    t = D.regime_thresholds(_regimed(spark, sf), value="v", method="capped")
+    return out(t, "threshold", keys=(SERIES, "regime", "scorer", "n_values"))
 
 
 @query("threshold_sigma", with_(DAILY, ABSZ) + f"SELECT series_id, feature, {r('avg(v) + 3 * (stddev_pop(v) + 1e-12)', 'threshold')} FROM az WHERE idx < 100 GROUP BY 1, 2")

@@ -11,12 +11,11 @@ from tidewatch.operators import batch_scores as L, paths as K
 from tidewatch.operators.layout import IDX, LEN, SERIES, by_chunk, home, long_form, with_halo
 from tidewatch.plans import batch
 from tidewatch.plans.catalog_basic import out
-from tidewatch.plans.catalog_features import LONGEST
 from tidewatch.plans.catalog_paths import GIVEN, PATHS, PHASE, PULSE, STEP, XS, given
 from tidewatch.plans.registry import query
 from tidewatch.plans.sql import DAILY, EV, r, with_
 from tidewatch.sources.sinks import score_summary
-from tidewatch.sources.tables import event_series, events_short
+from tidewatch.sources.tables import event_series
 
 XDOT = " + ".join(f"a.x{i} * b.x{i}" for i in range(4))
 PDOT = " + ".join(f"a.p{i} * b.p{i}" for i in range(4))
@@ -95,25 +94,25 @@ for _k in ("rbf", "polynomial", "laplacian"):
 @query("kernel_auto")
 def kernel_auto(spark, sf):
     df = given(spark, sf)
-    s = SP.spectrum(long_form(df, XS, "feature", "x", [SERIES, IDX]), [SERIES, "feature"], "x", LONGEST)
+    s = SP.spectrum(long_form(df, XS, "feature", "x", [SERIES, IDX]), [SERIES, "feature"], "x")
     scored, _ = L.kernel_auto(df, XS, PATHS, SP.period_candidates(s, [SERIES, "feature"]))
     return out(scored, "kernel")
 
 
 @query("score_summary", with_(EV) + f"SELECT series_id, n, {r('avg(f0)', 'mean')}, {r('stddev_pop(f0)', 'std')}, {r('max(f0)', 'max')}, {r('min(f0)', 'min')}, {r('quantile_cont(f0, 0.95)', 'p95')} FROM ev GROUP BY 1, 2")
 def summary_of_scores(spark, sf):
-    return out(score_summary(event_series(spark, sf), "f0", bounded=events_short(spark, sf)), "mean", "std", "max", "min", "p95", keys=(SERIES, LEN))
+    return out(score_summary(event_series(spark, sf), "f0"), "mean", "std", "max", "min", "p95", keys=(SERIES, LEN))
 
 
 @query("batch_analysis")
 def batch_analysis(spark, sf):
-    a = batch.analyse(given(spark, sf), XS, n_steps=2, bounded=True, longest=LONGEST)
+    a = batch.analyse(given(spark, sf), XS, n_steps=2)
     return a.path_stats.select(SERIES, "path", "charge", "stability", "energy", "shannon", "class")
 
 
 @query("batch_score")
 def batch_score(spark, sf):
-    a = batch.analyse(given(spark, sf), XS, n_steps=1, bounded=True, longest=LONGEST)
+    a = batch.analyse(given(spark, sf), XS, n_steps=1)
     return batch.fuse(a)
 
 

@@ -12,7 +12,7 @@ from tidewatch.plans.catalog_basic import out
 from tidewatch.plans.registry import query
 from tidewatch.plans.sql import DAILY, EV, r, with_
 from tidewatch.session import stage
-from tidewatch.sources.tables import DAILY_COLS, daily_series, event_series, events_short
+from tidewatch.sources.tables import DAILY_COLS, daily_series, event_series
 
 JW = (5, 20, 50, 200)
 
@@ -103,7 +103,7 @@ def _base(spark, sf, daily=False):
 @query("causal_jump", with_(EV, BASE_EV, JUMP_SQL, JUMP_THR, JUMP_SCORE)
        + "SELECT js.series_id, js.idx, " + ", ".join(r(f"j{w}", f"jump_{w}") for w in JW) + f", {r('jump', 'jump')} FROM js JOIN jr USING (series_id, idx)")
 def causal_jump(spark, sf):
-    cfg = tier0.CausalConfig(scorers=("jump",), bounded=events_short(spark, sf))
+    cfg = tier0.CausalConfig(scorers=("jump",))
     df, _ = _base(spark, sf)
     raw = home(with_halo(df, back=200).select("*", *[c.alias(k) for k, c in C.jump_columns().items()]))
     rows = F.col(IDX) < F.col("cal_end")
@@ -172,7 +172,7 @@ VOTE_TAIL = " FROM js "
        + f"SELECT series_id, idx, {r('CASE WHEN idx >= cal_end THEN jump / (1 + 1e-12) ELSE 0 END', 'score')}, "
          "CAST(idx >= cal_end AND jump / (1 + 1e-12) >= 1 AS INTEGER) AS flag FROM js")
 def jump_vote(spark, sf):
-    cfg = tier0.CausalConfig(scorers=("jump",), bounded=events_short(spark, sf))
+    cfg = tier0.CausalConfig(scorers=("jump",))
     scores, _ = tier0.fit_predict(event_series(spark, sf), ["f0"], cfg)
     return out(scores, "score", keys=(SERIES, IDX, "flag"))
 
@@ -194,7 +194,7 @@ VOTE5 = [DAILY, BASE_DAILY, JUMP_SQL, JUMP_THR, JUMP_SCORE, GRAD_SQL, DRIFT_SQL,
     r(f"CASE WHEN idx >= cal_end THEN {a} ELSE 0 END", b, 5) for a, b in
     [("s", "score"), ("jump", "jump"), ("gradual", "gradual"), ("drift", "drift"), ("kernel", "kernel"), ("struct", "struct")]) + " FROM v")
 def vote_five_scorers(spark, sf):
-    cfg = tier0.CausalConfig(scorers=("jump", "gradual", "drift", "kernel", "struct"), bounded=True)
+    cfg = tier0.CausalConfig(scorers=("jump", "gradual", "drift", "kernel", "struct"))
     scores, _ = tier0.fit_predict(daily_series(spark, sf), DAILY_COLS, cfg, between=stage)
     names = ["score", "jump", "gradual", "drift", "kernel", "struct"]
     return scores.select(SERIES, IDX, *[rounded(F.col(c), 5).alias(c) for c in names])
@@ -203,13 +203,13 @@ def vote_five_scorers(spark, sf):
 @query("causal_tier")
 def causal_tier(spark, sf):
     """All six scorers on the five-column expansion of the event series."""
-    cfg = tier0.CausalConfig(bounded=events_short(spark, sf))
+    cfg = tier0.CausalConfig()
     scores, _ = tier0.fit_predict(B.expand_5(event_series(spark, sf)), [f"f{i}" for i in range(5)], cfg, between=stage)
     return out(scores, "score", *cfg.names(), keys=(SERIES, IDX, "flag"))
 
 
 @query("causal_tier_daily")
 def causal_tier_daily(spark, sf):
-    cfg = tier0.CausalConfig(bounded=True)
+    cfg = tier0.CausalConfig()
     scores, _ = tier0.fit_predict(daily_series(spark, sf), DAILY_COLS, cfg, between=stage)
     return out(scores, "score", *cfg.names(), keys=(SERIES, IDX, "flag"))

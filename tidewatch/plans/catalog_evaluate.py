@@ -13,7 +13,7 @@ from tidewatch.plans.catalog_masks import POS_SQL, WINDOWS_SQL, label_windows
 from tidewatch.plans.catalog_paths import GIVEN, PATHS, XS, given
 from tidewatch.plans.registry import query
 from tidewatch.plans.sql import DAILY, EV, r, with_
-from tidewatch.sources.tables import event_series, events_short
+from tidewatch.sources.tables import event_series
 
 PARTS = ["jump", "hybrid", "kernel", "structural"]
 COMP = """comp AS (SELECT series_id, idx, n, abs(x0) AS jump, abs(x1) AS hybrid, abs(x2) AS kernel, abs(x3) AS structural, round(x0 + x1, 6) AS drift,
@@ -76,7 +76,7 @@ CLEAR = "cq AS (SELECT series_id, quantile_cont(jump, 0.1) AS lo, quantile_cont(
 
 @query("fuse_clear_rows", with_(*C, CLEAR) + "SELECT series_id, idx, label FROM cl")
 def fuse_clear_rows(spark, sf):
-    return FU.clear_rows(components(spark, sf), "jump", bounded=True).select(SERIES, IDX, "label")
+    return FU.clear_rows(components(spark, sf), "jump").select(SERIES, IDX, "label")
 
 
 @query("fuse_search_weights", with_(*C, CLEAR, "cx AS (SELECT series_id, idx, label, hybrid, kernel, structural FROM cl)", zs(["hybrid", "kernel", "structural"], "cx"),
@@ -89,15 +89,15 @@ def fuse_clear_rows(spark, sf):
        "pick AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY auc DESC, even DESC, w1 DESC, w2 DESC, w3 DESC) AS rn FROM au)")
        + f"SELECT series_id, {r('w1', 'w_hybrid')}, {r('w2', 'w_kernel')}, {r('w3', 'w_structural')}, {r('auc', 'auc')} FROM pick WHERE rn = 1")
 def fuse_search_weights(spark, sf):
-    clear = FU.clear_rows(components(spark, sf).drop("label"), "jump", bounded=True)
-    s = FU.search_weights(clear, ["hybrid", "kernel", "structural"], step=0.17, bounded=True)
+    clear = FU.clear_rows(components(spark, sf).drop("label"), "jump")
+    s = FU.search_weights(clear, ["hybrid", "kernel", "structural"], step=0.17)
     return out(s, "w_hybrid", "w_kernel", "w_structural", "auc", keys=(SERIES,))
 
 
 @query("fuse_weak_anomalies")
 def fuse_weak_anomalies(spark, sf):
     df = given(spark, sf, jumps=True).withColumn("score", F.abs("x0"))
-    return FU.weak_anomalies(df, XS, "score", bounded=True).select(SERIES, IDX, "weak", "label")
+    return FU.weak_anomalies(df, XS, "score").select(SERIES, IDX, "weak", "label")
 
 
 # --- evaluation --------------------------------------------------------------------------------
@@ -137,7 +137,7 @@ def _change_point(method):
         df = components(spark, sf)
         half = F.floor(F.max(LEN) / 2)
         truth = df.groupBy(SERIES).agg(half.alias("true_start"), (half + 60).alias("true_end"), half.alias("n_pre"))
-        m = Q.change_point(df, truth, "hybrid", method=method, bounded=True).fillna(-1, ["first_detection", "ttd", "overshoot"])
+        m = Q.change_point(df, truth, "hybrid", method=method).fillna(-1, ["first_detection", "ttd", "overshoot"])
         return out(m, "threshold", "cal_mean", "cal_std", "rate_pre", "rate_post", "recall", "auc",
                    keys=(SERIES, "first_detection", "ttd", "overshoot", "false_alarms_pre", "false_alarms_post", "detected"))
     return run
@@ -177,7 +177,7 @@ tot AS (SELECT t.series_id, t.s, p.profile, k, tp, fn, coalesce(g, 0) - fn * (k
 def eval_benchmark_sweep(spark, sf):
     df = event_series(spark, sf)
     positions = G.window_positions(df, label_windows(spark, sf))
-    s = Q.sweep(df, positions, "f0", bounded=events_short(spark, sf))
+    s = Q.sweep(df, positions, "f0")
     return out(s, "best_raw", "null_score", "perfect", "normalized", keys=(SERIES, "profile"))
 
 
@@ -212,7 +212,7 @@ RANKS = "rks AS (SELECT series_id, " + ", ".join(f"rank() OVER (PARTITION BY ser
 
 @query("eval_score_spearman", with_(*C, RANKS) + " UNION ALL ".join(f"SELECT series_id, '{a}' AS a, '{b}' AS b, {r(f'corr({a}, {b})', 'corr')} FROM rks GROUP BY 1" for a, b in PAIRS))
 def eval_score_spearman(spark, sf):
-    return out(Q.rank_correlations(components(spark, sf), PARTS, bounded=True), "corr", keys=(SERIES, "a", "b"))
+    return out(Q.rank_correlations(components(spark, sf), PARTS), "corr", keys=(SERIES, "a", "b"))
 
 
 CONFIGS = {**Q.subsets(PARTS), **Q.leave_one_out(W), **Q.sweep_weight(W, "drift", [0.0, 0.05, 0.1, 0.2])}
@@ -223,7 +223,7 @@ ABL = "abl AS (" + " UNION ALL ".join(
 @query("eval_ablation", with_(*C, zs(DUAL), ABL, auc_sql("abl", ["series_id", "config"], "s")) + f"SELECT series_id, config, {r('auc', 'auc', 4)} FROM au")
 def eval_ablation(spark, sf):
     z = zscore_safe(components(spark, sf), DUAL)
-    a = Q.ablation(z, CONFIGS, "label", bounded=True)
+    a = Q.ablation(z, CONFIGS, "label")
     return a.select(SERIES, "config", rounded(F.col("auc"), 4).alias("auc"))
 
 
@@ -236,5 +236,5 @@ def eval_path_agreement(spark, sf):
        + f"SELECT part, count(auc) AS runs, {r('avg(auc)', 'mean')}, {r('stddev_pop(auc)', 'std')}, {r('min(auc)', 'min')}, {r('max(auc)', 'max')} FROM au GROUP BY 1")
 def eval_robustness(spark, sf):
     long = long_form(components(spark, sf), PARTS, "part", "v", [SERIES, "label"])
-    a = Q.auc(long, [SERIES, "part"], "v", "label", bounded=True)
+    a = Q.auc(long, [SERIES, "part"], "v", "label")
     return out(Q.robustness(a, ["part"]), "mean", "std", "min", "max", keys=("part", "runs"))

@@ -13,9 +13,8 @@ from tidewatch.plans.catalog_evaluate import auc_sql
 from tidewatch.plans.catalog_paths import GIVEN, PATHS, STEP, PHASE, PULSE, XS, ent_sql, given
 from tidewatch.plans.registry import query
 from tidewatch.plans.sql import DAILY, EV, r, with_
-from tidewatch.sources.tables import DAILY_COLS, daily_series, event_series, events_short, SHORT_ROWS
+from tidewatch.sources.tables import DAILY_COLS, daily_series, event_series
 
-LONGEST = 4096  # days in the calendar of the daily series
 TAU = "6.283185307179586"
 
 
@@ -24,10 +23,6 @@ def dft(src, dst, key, value, top="n // 2"):
   FROM (SELECT *, unnest(range(0, {top} + 1)) AS k FROM {src}) GROUP BY 1, 2, 3, 4)"""
 
 
-def events_longest(spark, sf):
-    return SHORT_ROWS if events_short(spark, sf) else None
-
-
 PERIOD_SQL = """cal AS (SELECT series_id, 'sig' AS feature, idx, cal_end AS n, z FROM evz WHERE idx < cal_end)""", dft("cal", "sp", "feature", "z"), """
 pd AS (SELECT series_id, any_value(m) AS m, arg_max(k, amp) AS k FROM sp WHERE m >= 24 AND m // 3 > 12 AND k / m > 1.0 / (m // 3) AND k / m < 1.0 / 12 GROUP BY 1),
 per AS (SELECT DISTINCT evc.series_id, cal_end AS m, CASE WHEN pd.k IS NOT NULL THEN greatest(12, CAST(round_even(pd.m / pd.k, 0) AS INTEGER)) END AS period FROM evc LEFT JOIN pd USING (series_id))"""
@@ -36,7 +31,7 @@ per AS (SELECT DISTINCT evc.series_id, cal_end AS m, CASE WHEN pd.k IS NOT NULL
 def _periods(spark, sf):
     df = S.calibration_znorm(event_series(spark, sf), ["f0"]).withColumnRenamed("f0", "sig")
     cal = df.filter(F.col(IDX) < F.col("cal_end"))
-    return df, SP.dominant_period(cal, "sig", longest=events_longest(spark, sf))
+    return df, SP.dominant_period(cal, "sig")
 
 
 @query("period_dominant", with_(EV, *PERIOD_SQL) + "SELECT series_id, m, period FROM per")
@@ -54,7 +49,7 @@ def causal_periodic(spark, sf):
 @query("period_candidates")
 def period_candidates(spark, sf):
     df = given(spark, sf)
-    s = SP.spectrum(long_form(df, XS, "feature", "x", [SERIES, IDX]), [SERIES, "feature"], "x", LONGEST)
+    s = SP.spectrum(long_form(df, XS, "feature", "x", [SERIES, IDX]), [SERIES, "feature"], "x")
     return SP.period_candidates(s, [SERIES, "feature"]).select(SERIES, F.posexplode("periods").alias("rank", "period"))
 
 
@@ -68,14 +63,14 @@ SHAPES = ["freq_peak", "freq_peak_amp", "freq_energy", "freq_centroid", "freq_en
 @query("path_spectrum", with_(DAILY, GIVEN, dft("pl", "sp", "path", "x"), SHAPE_SQL) + f"SELECT series_id, path, {r('pk / m', 'freq_peak')}, " + ", ".join(r(c, c) for c in SHAPES[1:4])
        + f", {r('freq_entropy', 'freq_entropy')}, {r('freq_hf_lf_ratio', 'freq_hf_lf_ratio')} FROM sh JOIN se USING (series_id, path)")
 def path_spectrum(spark, sf):
-    return out(M.path_spectrum(given(spark, sf), PATHS, LONGEST), *SHAPES, keys=(SERIES, "path"))
+    return out(M.path_spectrum(given(spark, sf), PATHS), *SHAPES, keys=(SERIES, "path"))
 
 
 @query("path_basic_features", with_(DAILY, GIVEN, STEP, PHASE, PULSE, dft("pl", "sp", "path", "x"), SHAPE_SQL, "ea AS (SELECT series_id, path, abs(x) + 1e-10 AS a FROM pl)", f"en AS (SELECT series_id, path, {ent_sql('a')} FROM ea GROUP BY 1, 2)")
        + f"SELECT series_id, path, {r('charge', 'charge')}, {r('stability', 'stability')}, {r('ss + 0.3 * power', 'energy')}, {r('shannon', 'shannon')}, {r('intensity', 'intensity')}, {r('freq_centroid', 'freq_centroid')} "
          "FROM ch JOIN tp USING (series_id, path) JOIN pz USING (series_id, path) JOIN sh USING (series_id, path) JOIN en USING (series_id, path)")
 def path_basic_features(spark, sf):
-    b = M.basic_features(given(spark, sf), PATHS, LONGEST)
+    b = M.basic_features(given(spark, sf), PATHS)
     return out(b, "charge", "stability", "energy", "shannon", "intensity", "freq_centroid", keys=(SERIES, "path"))
 
 
@@ -100,7 +95,7 @@ wd AS (PIVOT sp ON feature IN ('x0', 'x1', 'x2', 'x3') USING max(amp) GROUP BY s
 co AS (SELECT series_id, (""" + " + ".join(f"corr(x{i}, x{j})" for i, j in PAIRS4) + ") / 6 AS freq_correlation FROM wd GROUP BY 1)")
        + f"SELECT series_id, {r('freq_peak_amp', 'freq_peak_amp')}, {r('freq_energy', 'freq_energy', 3)}, {r('freq_dispersion', 'freq_dispersion')}, {r('low_freq_ratio', 'low_freq_ratio')}, {r('freq_correlation', 'freq_correlation')} FROM pa JOIN co USING (series_id)")
 def event_spectrum(spark, sf):
-    e = M.event_spectrum(given(spark, sf), XS, LONGEST).withColumn("freq_energy", rounded(F.col("freq_energy"), 3))
+    e = M.event_spectrum(given(spark, sf), XS).withColumn("freq_energy", rounded(F.col("freq_energy"), 3))
     return e.select(SERIES, "freq_energy", *[rounded(F.col(c)).alias(c) for c in ("freq_peak_amp", "freq_dispersion", "low_freq_ratio", "freq_correlation")])
 
 
@@ -138,7 +133,7 @@ wg AS (SELECT series_id, any_value(n) * sum(x * x) / 4 AS w FROM xl GROUP BY 1),
        + "SELECT series_id, " + ", ".join(r(v, k, 3) for k, v in INTER.items()) + " FROM ag JOIN wg USING (series_id) JOIN qg USING (series_id)")
 def feature_spectral_interactions(spark, sf):
     means = _qse(spark, sf).groupBy(SERIES).agg(*[F.avg(c).alias(f"mean_{c}") for c in ("charge", "stability", "energy")])
-    e = M.event_spectrum(given(spark, sf), XS, LONGEST).join(means, SERIES)
+    e = M.event_spectrum(given(spark, sf), XS).join(means, SERIES)
     return e.select(SERIES, *[rounded(v, 3).alias(k) for k, v in M.spectral_interactions().items()])
 
 
@@ -162,13 +157,13 @@ SEL = (DAILY, GIVEN, LAB, "cr AS (" + " UNION ALL ".join(f"SELECT series_id, 'x{
 
 @query("feature_select_fast", with_(*SEL) + f"SELECT series_id, feature, {r('corr', 'corr')} FROM tk")
 def feature_select_fast(spark, sf):
-    return out(M.select_by_correlation(labelled(spark, sf), XS, "label", top=2, bounded=True)[0], "corr", keys=(SERIES, "feature"))
+    return out(M.select_by_correlation(labelled(spark, sf), XS, "label", top=2)[0], "corr", keys=(SERIES, "feature"))
 
 
 @query("feature_select_fast_auc", with_(*SEL, "lx AS (SELECT series_id, idx, label, feature, x FROM lab UNPIVOT (x FOR feature IN (x0, x1, x2, x3)))",
        "su AS (SELECT series_id, label, round(sum(x), 9) AS s FROM lx JOIN tk USING (series_id, feature) GROUP BY series_id, idx, label)", auc_sql("su", ["series_id"], "s")) + f"SELECT series_id, {r('auc', 'auc', 3)} FROM au")
 def feature_select_fast_auc(spark, sf):
-    return M.select_by_correlation(labelled(spark, sf), XS, "label", top=2, bounded=True)[1].select(SERIES, rounded(F.col("auc"), 3).alias("auc"))
+    return M.select_by_correlation(labelled(spark, sf), XS, "label", top=2)[1].select(SERIES, rounded(F.col("auc"), 3).alias("auc"))
 
 
 @query("feature_select_robust")
@@ -203,7 +198,7 @@ wl AS (SELECT *, least(greatest(floor(base * f), 10), top) AS w FROM sc)""")
 
 @query("profile_volatility", with_(*PROFILE) + f"SELECT series_id, n, {r('gv', 'global_volatility')}, {r('tv', 'temporal_volatility')}, {r('cc', 'correlation_complexity')}, {r('lv', 'local_variation')}, {r('lf', 'low_freq_ratio')} FROM pr")
 def profile_volatility(spark, sf):
-    v = N.volatility(given(spark, sf), XS, longest=LONGEST)
+    v = N.volatility(given(spark, sf), XS)
     return out(v, "global_volatility", "temporal_volatility", "correlation_complexity", "local_variation", "low_freq_ratio", keys=(SERIES, LEN))
 
 
@@ -214,7 +209,7 @@ def _i(expr, name):
 @query("profile_windows", with_(*PROFILE) + f"SELECT series_id, {r('f', 'scale_factor')}, {_i('w', 'w_local')}, {_i('least(greatest(floor(w * 0.5), 5), top // 3)', 'w_jump')}, {_i('least(greatest(floor(w * 1.3), 20), top)', 'w_entropy')}, "
        f"{_i('least(greatest(floor(w * 1.5), 10), top)', 'w_tension')}, " + ", ".join(_i(f"least(greatest(floor(w * {s}), 10), top)", f"w_scale_{i}") for i, s in enumerate(N.SCALES)) + " FROM wl")
 def profile_windows(spark, sf):
-    w = N.window_sizes(N.volatility(given(spark, sf), XS, longest=LONGEST))
+    w = N.window_sizes(N.volatility(given(spark, sf), XS))
     return out(w, "scale_factor", keys=(SERIES, "w_local", "w_jump", "w_entropy", "w_tension", *[f"w_scale_{i}" for i in range(5)]))
 
 
@@ -226,5 +221,5 @@ def profile_windows(spark, sf):
 def profile_refine(spark, sf):
     df = given(spark, sf)
     result = df.groupBy(SERIES).agg((F.avg(F.abs("x0")) * 2.5).alias("mean_stability"), F.avg(F.when(F.col("x1") > 0.8, 1.0).otherwise(0.0)).alias("jump_density"))
-    t = N.refine(N.window_sizes(N.volatility(df, XS, longest=LONGEST)), result)
+    t = N.refine(N.window_sizes(N.volatility(df, XS)), result)
     return out(t, "delta_percentile", "local_percentile", "p_scale_2", "jump_scale", "alpha", "w_topo", keys=(SERIES, "w_local", "w_jump", "use_union"))

@@ -10,7 +10,7 @@ from tidewatch.operators.layout import IDX, LEN, SERIES, home, with_halo
 from tidewatch.plans.catalog_basic import out
 from tidewatch.plans.registry import query
 from tidewatch.plans.sql import DAILY, EV, r, with_
-from tidewatch.sources.tables import DAILY_COLS, daily_series, event_series, events_short
+from tidewatch.sources.tables import DAILY_COLS, daily_series, event_series
 
 # --- SQL: jumps of the daily series in long form --------------------------------------------
 DIFF = """jd AS (SELECT series_id, idx, n, feature, value, coalesce(value - lag(value) OVER w, 0) AS d
@@ -39,7 +39,7 @@ BASE = (DAILY, DIFF, MEAS)
 
 
 def detected(spark, sf):
-    return I.detect(daily_series(spark, sf), DAILY_COLS, bounded=True)
+    return I.detect(daily_series(spark, sf), DAILY_COLS)
 
 
 def long_rows(jumps, *names):
@@ -175,7 +175,7 @@ s AS (SELECT series_id, idx, sum(dev - k) OVER w AS s0, sum(-dev - k) OVER w AS
 g AS (SELECT series_id, idx, """ + ", ".join(f"s{i} - least(0, min(s{i}) OVER w) AS g{i}" for i in range(4)) + """ FROM s WINDOW w AS (PARTITION BY series_id ORDER BY idx))""")
        + f"SELECT series_id, idx, {r('greatest(g0, g1) + greatest(g2, g3)', 'drift', 4)} FROM g")
 def drift_static_cusum(spark, sf):
-    d = J.drift(event_series(spark, sf), ["f0"], mode="static", bounded=events_short(spark, sf))
+    d = J.drift(event_series(spark, sf), ["f0"], mode="static")
     return d.select(SERIES, IDX, rounded(F.col("drift"), 4).alias("drift"))
 
 

@@ -14,7 +14,7 @@ from tidewatch.plans.catalog_paths import GIVEN, XS, given
 from tidewatch.plans.registry import query
 from tidewatch.plans.sql import DAILY, r, with_
 from tidewatch.operators import features as B, masks as G
-from tidewatch.sources.tables import event_series, events_short
+from tidewatch.sources.tables import event_series
 
 
 @query("renumber_clean", with_(DAILY) + "SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY idx) - 1 AS idx, count(*) OVER (PARTITION BY series_id) AS n, f0 FROM daily WHERE f0 <= 60")
@@ -36,19 +36,19 @@ def vote_by_regime(spark, sf):
 
 @query("regime_fit")
 def regime_fit(spark, sf):
-    model, _ = H.fit(given(spark, sf), XS, bounded=True)
+    model, _ = H.fit(given(spark, sf), XS)
     return model.select(SERIES, LEN, "k", F.posexplode("weights").alias("regime", "weight"))
 
 
 @query("regime_bic")
 def regime_bic(spark, sf):
-    return H.fit(given(spark, sf), XS, bounded=True)[1]
+    return H.fit(given(spark, sf), XS)[1]
 
 
 @query("regime_predict")
 def regime_predict(spark, sf):
     df = given(spark, sf)
-    return H.predict(df, H.fit(df, XS, bounded=True)[0], XS).select(SERIES, IDX, "regime")
+    return H.predict(df, H.fit(df, XS)[0], XS).select(SERIES, IDX, "regime")
 
 
 def regime_events(spark, sf):
@@ -58,13 +58,13 @@ def regime_events(spark, sf):
 
 @query("regime_tier")
 def regime_tier(spark, sf):
-    cfg = tier2.RegimeConfig(causal=tier0.CausalConfig(bounded=events_short(spark, sf)), margin=5)
+    cfg = tier2.RegimeConfig(causal=tier0.CausalConfig(), margin=5)
     scores, _ = tier2.fit_predict(regime_events(spark, sf), [f"f{i}" for i in range(5)], "is_anomaly", cfg)
     return out(scores, "score", keys=(SERIES, IDX, "regime", "flag"))
 
 
 @query("regime_tier_adaptive")
 def regime_tier_adaptive(spark, sf):
-    cfg = tier2.RegimeConfig(causal=tier0.CausalConfig(scorers=("jump", "kernel"), bounded=events_short(spark, sf)), margin=10, adaptive_margin=True, regimes=2)
+    cfg = tier2.RegimeConfig(causal=tier0.CausalConfig(scorers=("jump", "kernel")), margin=10, adaptive_margin=True, regimes=2)
     scores, _ = tier2.fit_predict(regime_events(spark, sf), [f"f{i}" for i in range(5)], "is_anomaly", cfg)
     return out(scores, "score", keys=(SERIES, IDX, "regime", "flag"))

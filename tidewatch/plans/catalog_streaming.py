@@ -11,7 +11,7 @@ from tidewatch.plans import tier0
 from tidewatch.plans.catalog_basic import out
 from tidewatch.plans.registry import ORACLES, query
 from tidewatch.session import shared_dir
-from tidewatch.sources.tables import event_series, events_short, table
+from tidewatch.sources.tables import event_series, table
 from tidewatch.streaming import online as R
 
 
@@ -25,16 +25,35 @@ def run(spark, sf, score, lookback):
     job = R.OnlineJob(f"{shared_dir(spark)}/tidewatch/stream-{uuid.uuid4().hex}", ["f0"], ["ts", "event_id"], score, lookback)
     q = job.start(event_stream(spark, sf), available_now=True)
     q.awaitTermination()
+    job.finish(spark)
     return job.results(spark)
 
 
 @query("stream_jump_vote", ORACLES["jump_vote"])
 def stream_jump_vote(spark, sf):
-    cfg = tier0.CausalConfig(scorers=("jump",), bounded=events_short(spark, sf))
+    cfg = tier0.CausalConfig(scorers=("jump",))
     _, model = tier0.fit_predict(event_series(spark, sf), ["f0"], cfg)
     return out(run(spark, sf, R.causal_score(model, ["f0"], cfg), R.CAUSAL_LOOKBACK), "score", keys=(SERIES, IDX, "flag"))
 
 
+LATE_SQL = """
+SELECT event_type AS series_id, event_id FROM events
+WHERE event_id % 2 = 1 AND ts < (SELECT max(ts) - INTERVAL 2 DAY FROM events WHERE event_id % 2 = 0)"""
+
+
+@query("stream_late_rows", LATE_SQL)
+def stream_late_rows(spark, sf):
+    """All events in two batches, even ids first; odd ones from before the watermark then come too late."""
+    score, lookback = R.cusum_score(["f0"])
+    folder = f"{shared_dir(spark)}/tidewatch/stream-{uuid.uuid4().hex}"
+    job = R.OnlineJob(folder, ["f0"], ["ts", "event_id"], score, lookback, delay="INTERVAL 2 DAYS")
+    rows = table(spark, sf, "events").select(F.col("event_type").alias(SERIES), "ts", "event_id", F.col("value").alias("f0"))
+    for epoch in (0, 1):
+        job.process(rows.filter(F.col("event_id") % 2 == epoch), epoch)
+    job.finish(spark)
+    return job.late(spark).select(SERIES, "event_id")
+
+
 @query("stream_cusum", ORACLES["drift_rolling_cusum"])
 def stream_cusum(spark, sf):
     score, lookback = R.cusum_score(["f0"])
@@ -43,6 +62,6 @@ def stream_cusum(spark, sf):
 
 @query("stream_causal_tier")
 def stream_causal_tier(spark, sf):
-    cfg = tier0.CausalConfig(bounded=events_short(spark, sf))
+    cfg = tier0.CausalConfig()
     _, model = tier0.fit_predict(event_series(spark, sf), ["f0"], cfg)
     return out(run(spark, sf, R.causal_score(model, ["f0"], cfg), R.CAUSAL_LOOKBACK), "score", keys=(SERIES, IDX, "flag"))

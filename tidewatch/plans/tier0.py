@@ -27,7 +27,6 @@ class CausalConfig:
     normalize: bool = True
     chunk_rows: int = CHUNK_ROWS
     freeze_scales: bool = False
-    bounded: bool = False
     orientation: str = "oldest"
 
     def names(self) -> list[str]:
@@ -143,7 +142,7 @@ def fit_thresholds(scored: DataFrame, rows: Column, cfg: CausalConfig, cal_rows:
     values = threshold_inputs(cfg.names(), cal_rows)
     wide = scored.filter(rows).select(*KEYS, LEN, *[v.alias(k) for k, v in values.items()])
     long = long_form(wide, list(values), "scorer", "raw", [*KEYS, LEN])
-    q = percentiles(long, [SERIES, "scorer"], "raw", {"q": cfg.prob}, bounded=cfg.bounded, carry=LEN)
+    q = percentiles(long, [SERIES, "scorer"], "raw", {"q": cfg.prob}, carry=LEN)
     enough = (F.col("n_values") > 5) | (F.col("scorer") == "struct")
     thresholds = [
         F.max(F.when((F.col("scorer") == k) & enough, F.col("q"))).alias(f"thr_{k}") for k in values

@@ -73,7 +73,7 @@ def fit_predict(df: DataFrame, cols: Sequence[str], mask: str, cfg: RegimeConfig
     z = stage(tier0.normalise(usable, stats, cols, causal), "normal")
     zs = [f"z_{c}" for c in cols]
     clean = stage(H.renumber(z, ~F.col("masked"), rows), "clean")
-    mixture, bics = H.fit(clean, zs, cfg.regimes, cfg.most, cfg.min_frames, causal.bounded, rows)
+    mixture, bics = H.fit(clean, zs, cfg.regimes, cfg.most, cfg.min_frames, rows)
     lengths = guard.select(SERIES, LEN)
     clean_lengths = guard.select(SERIES, F.col("clean_rows").alias(LEN))
 
@@ -84,12 +84,12 @@ def fit_predict(df: DataFrame, cols: Sequence[str], mask: str, cfg: RegimeConfig
     raw = stage(tier0.raw_scores(feats, fits, subspace, cols, causal, F.col(LEN)), "clean-raw")
     scales = None
     if "jump" in names:
-        one = tier0.CausalConfig(scorers=("jump",), bounded=causal.bounded, chunk_rows=rows, prob=causal.prob)
+        one = tier0.CausalConfig(scorers=("jump",), chunk_rows=rows, prob=causal.prob)
         scales = stage(tier0.fit_thresholds(raw, every, one, F.col(LEN)), "jump-scales")
     scored = with_jump(raw, scales, causal)
     sizes = scored.groupBy(SERIES, "regime").agg(F.max(LEN).alias(LEN), F.count(F.lit(1)).alias("regime_rows"))
     long = long_form(attach(scored, sizes, rows, on=["regime"]), names, "scorer", "raw", [*KEYS, LEN, "regime", "regime_rows"])
-    per = D.regime_thresholds(long, method=cfg.method, min_frames=cfg.min_frames, bounded=causal.bounded)
+    per = D.regime_thresholds(long, method=cfg.method, min_frames=cfg.min_frames)
     thresholds = stage(
         per.groupBy(SERIES, "regime").agg(*[F.max(F.when(F.col("scorer") == x, F.col("threshold"))).alias(f"thr_{x}") for x in names])
         .join(lengths, SERIES), "regime-thresholds")

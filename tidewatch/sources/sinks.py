@@ -10,11 +10,11 @@ from tidewatch.operators.layout import IDX, LEN, SERIES
 from tidewatch.plans.batch import Analysis
 
 
-def score_summary(scores: DataFrame, score: str = "score", bounded: bool = False) -> DataFrame:
+def score_summary(scores: DataFrame, score: str = "score") -> DataFrame:
     """Mean, deviation, extremes and 95th percentile of the score per series."""
     base = scores.groupBy(SERIES).agg(
         F.max(LEN).alias(LEN), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"), F.max(score).alias("max"), F.min(score).alias("min"))
-    p95 = percentiles(scores, [SERIES], score, {"p95": 0.95}, bounded=bounded).drop("n_values")
+    p95 = percentiles(scores, [SERIES], score, {"p95": 0.95}).drop("n_values")
     return base.join(p95, SERIES)
 
 
@@ -30,7 +30,7 @@ def save_analysis(a: Analysis, scores: DataFrame, path: str, full: bool = False,
         "jump_rows": rows.filter("unified").select(SERIES, IDX, "importance", *[c for f in a.cols for c in (f"pos_{f}", f"neg_{f}", f"d_{f}")]),
         "jump_features": a.jumps.features, "sync_pairs": I.sync_matrix(a.jumps), "jump_clusters": I.clusters(a.jumps),
         "jump_summary": I.summary(a.jumps), "path_stats": a.path_stats, "windows": a.windows,
-        "score_summary": score_summary(scores, bounded=a.bounded),
+        "score_summary": score_summary(scores),
     }
     if full:
         tables["paths"] = a.rows

@@ -7,34 +7,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidewatch.operators.layout import CHUNK_ROWS, index_series
 
 DAILY_COLS = ["f0", "f1", "f2", "f3"]
-SHORT_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def all_short(keys: DataFrame, limit: int = SHORT_ROWS) -> bool:
-    """Whether every series has at most ``limit`` rows; one count over the key columns.
-
-    Operators take the answer as ``bounded``: short series may be sorted, or have their
-    distinct values held, within a task.  Longer ones go through two-level plans.
-    """
-    longest = keys.groupBy(*keys.columns).count().agg(F.max("count")).first()[0]
-    return (longest or 0) <= limit
-
-
-def events_short(spark: SparkSession, sf_dir: str, key: str = "event_type") -> bool:
-    return all_short(table(spark, sf_dir, "events").select(key))
-
-
 def event_series(spark: SparkSession, sf_dir: str, key: str = "event_type", rows: int = CHUNK_ROWS) -> DataFrame:
     """``events`` as one series per ``key``, in time order; ``f0`` is the value."""
     raw = table(spark, sf_dir, "events").select(
         F.col(key).cast("string").alias("series_id"), "ts", "event_id", F.col("value").alias("f0")
     )
-    short = events_short(spark, sf_dir, key)
-    return index_series(raw, ["ts", "event_id"], rows=rows, short=short).drop("event_id")
+    return index_series(raw, ["ts", "event_id"], rows=rows).drop("event_id")
 
 
 def daily_series(spark: SparkSession, sf_dir: str, rows: int = CHUNK_ROWS) -> DataFrame:
@@ -58,12 +42,3 @@ def daily_series(spark: SparkSession, sf_dir: str, rows: int = CHUNK_ROWS) -> Da
         )
     )
     return index_series(raw, ["day"], rows=rows, short=True)
-
-
-def embedding_series(spark: SparkSession, sf_dir: str, rows: int = CHUNK_ROWS) -> DataFrame:
-    """``embeddings`` as one series in ``vec_id`` order; ``features`` is the vector."""
-    raw = table(spark, sf_dir, "embeddings").select(
-        F.lit("embeddings").alias("series_id"), "vec_id",
-        F.transform("embedding", lambda x: x.cast("double")).alias("features"), "label",
-    )
-    return index_series(raw, ["vec_id"], rows=rows, short=all_short(raw.select("series_id")))

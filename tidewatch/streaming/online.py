@@ -5,8 +5,10 @@ series is its last rows.  Each micro-batch is scored by the same column expressi
 batch, over those rows plus the newly complete ones, and is spread over chunks like a
 batch: a series that sends most of the data does not end up in one task.
 
-Rows wait until the event-time watermark has passed them and are then numbered in
-``(time, tie-break)`` order.  Rows that arrive behind the watermark go to a side table.
+Rows wait until their time is before the event-time watermark and are then numbered in
+``(time, tie-break)`` order.  Rows that arrive with a time before the watermark go to a side
+table; a row with exactly the watermark's time is still in time.  ``finish`` ends a stream:
+it scores the rows that still wait.
 State and results are written per epoch; a repeated epoch reads the state of the one
 before it and overwrites its own files, so results are written exactly once.
 """
@@ -14,13 +16,14 @@ before it and overwrites its own files, so results are written exactly once.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, fields as fields_of
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewatch.operators import causal as C, drift as J, regimes as H
 from tidewatch.operators.layout import CHUNK, CHUNK_ROWS, IDX, LEN, SERIES, attach, chunk_of, index_series
 from tidewatch.plans import tier0, tier2
+from tidewatch.session import stage
 
 Score = Callable[[DataFrame], DataFrame]
 
@@ -50,7 +53,7 @@ class OnlineJob:
             return spark.createDataFrame([], schema)
         return spark.read.parquet(self._path(kind, epoch - 1))
 
-    def process(self, batch: DataFrame, epoch: int) -> None:
+    def process(self, batch: DataFrame, epoch: int, final: bool = False) -> None:
         spark, time = batch.sparkSession, self.order[0]
         fields = [SERIES, *self.order, *self.cols]
         new = batch.select(*fields)
@@ -60,14 +63,14 @@ class OnlineJob:
         mark_kind = new.schema[time].dataType.simpleString()
         before = self._state(spark, "watermark", epoch, f"mark {mark_kind}").first()
         old = F.lit(before["mark"] if before else None).cast(mark_kind)
-        late = F.coalesce(F.col(time) <= old, F.lit(False))
+        late = F.coalesce(F.col(time) < old, F.lit(False))
         new.filter(late).write.mode("overwrite").parquet(self._path("late", epoch))
         newest = new.agg(F.max(F.col(time) - F.expr(self.delay)).cast(mark_kind).alias("m"))
         newest.select(F.greatest(F.col("m"), old).alias("mark")).write.mode("overwrite").parquet(self._path("watermark", epoch))
         row = spark.read.parquet(self._path("watermark", epoch)).first()
         mark = F.lit(row["mark"]).cast(mark_kind)
         held = waiting.unionByName(new.filter(~late))
-        ready = F.coalesce(F.col(time) <= mark, F.lit(False))
+        ready = F.lit(True) if final else F.coalesce(F.col(time) < mark, F.lit(False))
         held.filter(~ready).write.mode("overwrite").parquet(self._path("waiting", epoch))
 
         numbered = index_series(held.filter(ready), list(self.order), rows=self.chunk_rows)
@@ -91,6 +94,12 @@ class OnlineJob:
         writer = stream.writeStream.foreachBatch(self.process).option("checkpointLocation", f"{self.folder}/checkpoint")
         return writer.trigger(availableNow=True).start() if available_now else writer.trigger(**trigger).start()
 
+    def finish(self, spark: SparkSession) -> None:
+        """One more epoch without new rows, in which no row waits any longer."""
+        last = spark.read.parquet(f"{self.folder}/watermark").agg(F.max("epoch")).first()[0]
+        nothing = spark.read.parquet(self._path("waiting", last)).limit(0)
+        self.process(nothing, last + 1, final=True)
+
     def results(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.folder}/scores").drop("epoch")
 
@@ -98,6 +107,12 @@ class OnlineJob:
         return spark.read.parquet(f"{self.folder}/late").drop("epoch")
 
 
+def frozen(model):
+    """The model with its frames written as tables: a micro-batch reads these, never the rows they were fitted on."""
+    parts = {f.name: getattr(model, f.name) for f in fields_of(model)}
+    return type(model)(**{k: stage(v, f"model-{k}") if isinstance(v, DataFrame) else v for k, v in parts.items()})
+
+
 def _lengths(frame: DataFrame) -> DataFrame:
     return frame.groupBy(SERIES).agg(F.max(LEN).alias(LEN))
 
@@ -105,6 +120,7 @@ def _lengths(frame: DataFrame) -> DataFrame:
 def causal_score(model: tier0.CausalModel, cols: Sequence[str], cfg: tier0.CausalConfig) -> Score:
     """The causal tier with a frozen model; the usable scales are those of calibration."""
     cfg = tier0.CausalConfig(**{**cfg.__dict__, "freeze_scales": True})
+    model = frozen(model)
 
     def score(frame: DataFrame) -> DataFrame:
         lengths = _lengths(frame)
@@ -128,6 +144,7 @@ def causal_score(model: tier0.CausalModel, cols: Sequence[str], cfg: tier0.Causa
 
 def regime_score(model: tier2.RegimeModel, cols: Sequence[str], cfg: tier0.CausalConfig) -> Score:
     """The regime tier with a frozen mixture and thresholds."""
+    model = frozen(model)
 
     def score(frame: DataFrame) -> DataFrame:
         lengths = _lengths(frame)
