@@ -7,11 +7,12 @@ content hashes, so all tasks name equal runs and pairs alike without asking one
 sequences get equal symbols but near their ends.  How near is tracked: every symbol knows the stretch of
 words that decides it.
 
-* Each window of ``window`` words picks the smallest of the symbols decided within it, so equal windows
-  pick equal symbols; a window without one picks its own hash.  Picked symbols, about one in five, are
-  shuffled by name.
-* Only windows whose symbol is in two documents are looked at further: their 128-bit fingerprints meet,
-  and a window is removed if a smaller doc_id has it too.  This verifies whole windows.
+* Each stretch of half a window picks the smallest of the symbols decided within it, so equal stretches
+  pick equal symbols; a stretch without one picks its own hash.  Picks, one for ten words, are shuffled
+  by name.
+* Only windows whose first and last half both picked symbols of two documents are looked at further:
+  their 96-bit fingerprints meet, and a window is removed if a smaller doc_id has it too.  This verifies
+  whole windows.
 * Documents with equal word sequences are represented by the smallest before any of this.
 
 No all-pairs step exists: symbols and windows only meet in minima per key, with partial aggregation.
@@ -24,13 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidewatch.llm.words import Words, mix, slices
-from tidewatch.session import stage
+from tidewatch.session import stage, unstage
 
 WINDOW = 50
-ROUNDS = 4
+ROUNDS = 3
 MOST_WORDS = 16
 #: Ids up to this many are sent to all tasks instead of moving texts to them.
 BROADCAST_IDS = 1_000_000
@@ -94,8 +95,8 @@ def fingerprints(h: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.nda
     return out[0], out[1]
 
 
-def picks(words: Words, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, key, first, last): the symbol picked by the windows that start at words first .. last of the row."""
+def picks(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, first, last): the symbol picked by the stretches of ``window`` words that start at words first .. last of the row."""
     h, n, first = words.hashes(), words.counts(), words.first
     parse = Parse(words)
     # all windows, as numbers of their first words within the slice
@@ -158,6 +159,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     docs = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
+    half = max(1, window // 2)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,7 +168,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 w = Words(text.slice(lo, hi - lo))
                 n = w.counts()
                 f1, f2 = _sequence(w.hashes(), w.first)
-                r, key, a, b = picks(w, window)
+                r, key, a, b = picks(w, half)
                 bounds = np.searchsorted(r, np.arange(hi - lo + 1)).astype(np.int32)
                 made = pa.StructArray.from_arrays([pa.array(key.view(np.int64)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["key", "a", "b"])
                 yield pa.RecordBatch.from_arrays([
@@ -183,6 +185,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     shared = own.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("key")
     spans = own.join(shared, "key").groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     spans = stage(spans, "repeat_spans")
+    unstage(parsed)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,20 +198,29 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 flat, bounds = part.flatten(), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(part).to_numpy(zero_copy_only=False))])
                 a, b = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
                 row = np.repeat(np.arange(hi - lo), np.diff(bounds).astype(np.int64))
-                b = np.minimum(b, w.counts()[row] - window)  # a row of another text with this doc_id may be shorter
-                size = np.maximum(b - a + 1, 0)
-                at = np.repeat(a, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-                r = np.repeat(row, size)
+                n = w.counts()
+                b = np.minimum(b, n[row] - half)  # a row of another text with this doc_id may be shorter
+                # words at which a stretch with a shared pick starts
+                edge = np.zeros(len(h) + 1, np.int64)
+                some = b >= a
+                np.add.at(edge, (w.first[:-1][row] + a)[some], 1)
+                np.add.at(edge, (w.first[:-1][row] + b + 1)[some], -1)
+                begins = np.cumsum(edge)[: len(h)] > 0
+                r = w.rows()
+                at = np.arange(len(h)) - w.first[:-1][r]
+                both = begins & (at + window <= n[r])
+                both &= begins[np.minimum(np.arange(len(h)) + window - half, max(len(h) - 1, 0))]
+                r, at = r[both], at[both]
                 one, two = fingerprints(h, at + w.first[:-1][r], window)
                 place = at * 65536 + _tag(f1)[r].astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo).take(pa.array(r)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(place)],
+                    [batch.column(0).slice(lo, hi - lo).take(pa.array(r)), pa.array(one.view(np.int64)), pa.array((two >> _U(32)).astype(np.uint32).view(np.int32)), pa.array(place)],
                     ["doc_id", "w1", "w2", "place"])
 
     looked = docs.join(_few(spans.select("doc_id")), "doc_id", "left_semi").join(spans, "doc_id").select("doc_id", "text", "spans")
-    met = stage(looked.mapInArrow(second, f"doc_id {kind}, w1 bigint, w2 bigint, place bigint"), "repeat_windows")
-    least = met.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
-    gone = met.join(least, ["w1", "w2"]).filter("doc_id > least").groupBy("doc_id").agg(F.collect_set("place").alias("windows"))
+    met = looked.mapInArrow(second, f"doc_id {kind}, w1 bigint, w2 int, place bigint")
+    met = met.withColumn("least", F.min("doc_id").over(W.partitionBy("w1", "w2"))).filter("doc_id > least")
+    gone = met.groupBy("doc_id").agg(F.collect_list("place").alias("windows"))
     whole = copies.groupBy("doc_id").agg(F.collect_set("tag").alias("whole"))
     return gone.join(whole, "doc_id", "full")
 
