@@ -10,12 +10,13 @@ find every link with Jaccard >= percent / 100:
    parts also emit the parts of the full set, down to single-element and empty parts if it takes them.
 2. *A linear number of checks first.*  Each vertex is compared with the smaller one with which it is
    neighbour in most keys; verified links make a forest, whose roots are found by pointer doubling.
-3. *Signature trees for the rest.*  Only keys that still hold two or more components remain.  Their
-   members are split in bounded blocks; each pair of blocks builds trees whose nodes hold the OR and the
-   AND of token bitmaps and a range of sizes, and a dual traversal drops node pairs of one component and
-   those whose largest possible overlap is too small.  Surviving pairs are verified on the sets.
+3. *Signature trees for the rest.*  Components that share a key form clusters.  A cluster is split in
+   blocks of bounded size; each pair of blocks builds trees whose nodes hold the OR and the AND of token
+   bitmaps and a range of sizes, and a dual traversal drops node pairs of one component and those whose
+   largest possible overlap is too small.  Surviving pairs are verified on the sets, likely ones first,
+   until their components are joined, so a task returns at most one link per join.
 
-No step holds a whole group in one task or all pairs of a group; copies never meet one another.
+No step holds a whole group in one task or writes all pairs of a group; copies never meet one another.
 """
 
 from __future__ import annotations
@@ -28,14 +29,14 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidewatch.llm.common import id_hash
 from tidewatch.llm.words import Words, mix, slices
-from tidewatch.session import stage
+from tidewatch.session import stage, unstage
 
 SHINGLE_WORDS = 4
 PERCENT = 85
 #: Bounded sample for frequent shingles, how often they occur in it, and how many are kept.
 SAMPLE_ROWS, SAMPLE_TIMES, MOST_FREQUENT = 10_000, 8, 1 << 18
-#: Members of a block of one key.
-BLOCK = 2048
+#: Set elements of a block of one cluster.
+BLOCK_GRAMS = 1 << 20
 MAX_BITS = 1 << 15
 #: Ids up to this many are sent to all tasks instead of moving texts to them.
 BROADCAST_IDS = 1_000_000
@@ -93,10 +94,6 @@ class Bands:
         differ = 2 * most * (100 - self.percent) // (100 + self.percent)
         return differ + 2 + -(-differ * 15 // 100), differ
 
-    def bits(self, slot: int) -> int:
-        self.parts(slot)
-        return min(MAX_BITS, max(64, 1 << int(4 * self.lows[slot + 1]).bit_length()))
-
 
 def _sum_by_part(x: np.ndarray, parts: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Content hash and number of elements of each part."""
@@ -109,7 +106,7 @@ def _sum_by_part(x: np.ndarray, parts: int, seed: int) -> tuple[np.ndarray, np.n
 
 
 def keys_of(x: np.ndarray, rare: np.ndarray, bands: Bands) -> np.ndarray:
-    """Keys of a set of which ``rare`` marks the elements that are not frequent."""
+    """Keys of a set of which ``rare`` marks the elements that are not frequent; the last byte is the pair of bands."""
     out, band = [], bands.of(len(x))
     for slot in (band, band + 1):
         parts, differ = bands.parts(slot)
@@ -118,13 +115,14 @@ def keys_of(x: np.ndarray, rare: np.ndarray, bands: Bands) -> np.ndarray:
         base = _U(slot * 0xA24BAED4963EE407 % (1 << 64))
         number = np.arange(parts).astype(np.uint64) * _U(0x9FB21C651E98DF25)
         content, n = _sum_by_part(x[rare], parts, 2 * slot)
-        out.append(mix((content ^ base) + number)[n >= 2])
+        made = [mix((content ^ base) + number)[n >= 2]]
         if (n < 2).sum() >= parts - differ:
             content, n = _sum_by_part(x, parts, 2 * slot + 1)
             least = 2
             while least > 0 and (n < least).sum() >= parts - differ:
                 least -= 1
-            out.append(mix((content ^ base ^ _U(0x5851F42D4C957F2D)) + number)[n >= least])
+            made.append(mix((content ^ base ^ _U(0x5851F42D4C957F2D)) + number)[n >= least])
+        out += [k & ~_U(255) | _U(slot & 255) for k in made]
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -191,7 +189,7 @@ def vertices(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, k: int, percent: int) -> DataFrame:
-    """v, n, grams array<bigint>, low and high (bitmaps for the two band pairs of its size) of the documents in ``ids`` (v)."""
+    """v, n, band and grams array<bigint> of the documents in ``ids`` (v)."""
     ids = ids.select(F.col("v").alias("doc_id"))
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
@@ -202,20 +200,14 @@ def sets_of(docs: DataFrame, ids: DataFrame, k: int, percent: int) -> DataFrame:
             text = batch.column(1)
             for lo, hi in slices(text):
                 value, bounds = shingle_sets(text.slice(lo, hi - lo), k)
-                maps = [[], []]
-                for a, b in zip(bounds[:-1], bounds[1:]):
-                    band = bands.of(b - a) if b > a else 0
-                    for i in (0, 1):
-                        maps[i].append(bitmap(value[a:b], bands.bits(band + i)))
+                band = [bands.of(n) if n else 0 for n in np.diff(bounds).tolist()]
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(lo, hi - lo), pa.array(np.diff(bounds)),
+                    batch.column(0).slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.array(band, pa.int32()),
                     pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(value.view(np.int64))),
-                    pa.array(maps[0], pa.binary()), pa.array(maps[1], pa.binary()),
-                ], ["v", "n", "grams", "low", "high"])
+                ], ["v", "n", "band", "grams"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(
-        make, f"v {kind}, n bigint, grams array<bigint>, low binary, high binary")
+    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(make, f"v {kind}, n bigint, band int, grams array<bigint>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -230,10 +222,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 class SignatureTree:
-    """Binary tree over members sorted by size: nodes hold OR, AND, size range and their component if it is one."""
+    """Binary tree over members sorted by component and size: nodes hold OR, AND, size range and their component if it is one."""
 
     def __init__(self, sizes: np.ndarray, maps: np.ndarray, comps: np.ndarray):
-        self.order = np.lexsort((maps[:, 0] if maps.shape[1] else sizes, comps, sizes))
+        self.order = np.lexsort((sizes, comps))
         n = 1
         while n < len(sizes):
             n *= 2
@@ -333,33 +325,39 @@ def components_of(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCEN
     beside = W.partitionBy("key").orderBy("doc_id")
     met = emitted.withColumn("p", F.lag("doc_id").over(beside)).withColumn("q", F.lead("doc_id").over(beside))
     met = stage(met.filter("p IS NOT NULL OR q IS NOT NULL").select("key", "doc_id"), "jaccard_met")
+    unstage(made)
     own = named.filter("doc_id IS NOT NULL").select("doc_id", "v").distinct()
     beside = W.partitionBy("key").orderBy("v")
     shared = met.join(own, "doc_id").select("key", "v").distinct()
     shared = shared.withColumn("p", F.lag("v").over(beside)).withColumn("q", F.lead("v").over(beside))
     shared = stage(shared.filter("p IS NOT NULL OR q IS NOT NULL").select("key", "v", "p"), "jaccard_shared")
+    unstage(met)
     sets = stage(sets_of(docs, shared.select("v").distinct(), k, percent), "jaccard_sets")
     # a linear number of checks
     best = shared.filter("p IS NOT NULL").groupBy("v", "p").agg(F.count("*").alias("times"))
     best = best.groupBy("v").agg(F.max(F.struct("times", (-F.col("p")).alias("p"))).alias("m")).select(F.col("v").alias("a"), (-F.col("m.p")).alias("b"))
     first = verified(best, sets, percent).groupBy(F.col("a").alias("v")).agg(F.min("b").alias("up"))
     forest = stage(roots(first), "jaccard_roots")
-    # keys that hold more than one component
-    members = shared.join(forest, "v", "left").select("key", "v", F.coalesce("comp", "v").alias("comp"))
-    counts = members.groupBy("key", "comp").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("v")).alias("x"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("y"))
-    open_ = counts.groupBy("key").agg(
-        F.count("*").alias("comps"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("major"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")
-    ).filter("comps > 1")
-    # keys with equal members say the same; their sets are told apart by 128 bits and a count
-    open_ = open_.groupBy("n", "x", "y").agg(F.min(F.struct("key", F.col("major.comp").alias("comp"), F.col("major.n").alias("most"))).alias("o"))
-    open_ = stage(open_.select("o.key", F.col("o.comp").alias("major"), F.col("o.most").alias("n_major"), (F.col("n") - F.col("o.most")).alias("n_minor")), "jaccard_open")
-    second = verified(surviving(members, open_, sets, percent), sets, percent)
+    # components that share a key are compared, all in their cluster of such components
+    members = stage(shared.join(forest, "v", "left").select("key", "v", F.coalesce("comp", "v").alias("comp")), "jaccard_members")
+    open_ = members.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most")
+    beside = members.join(open_, "key").filter("comp <> least").select(F.col("comp").alias("a"), F.col("least").alias("b")).distinct()
+    clusters = components(beside).select(F.col("v").alias("comp"), F.col("comp").alias("cluster"))
+    clusters = clusters.unionByName(clusters.select(F.col("cluster").alias("comp"), "cluster").distinct())
+    inside = members.select("v", "comp").distinct().join(clusters, "comp").join(sets, "v")
+    inside = stage(inside, "jaccard_inside")
+    unstage(shared, members, sets)
+    second = stage(cross_links(inside, percent), "jaccard_links")
+    unstage(inside)
     linked = second.join(forest.select(F.col("v").alias("a"), F.col("comp").alias("ca")), "a", "left").join(
         forest.select(F.col("v").alias("b"), F.col("comp").alias("cb")), "b", "left"
     ).select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b")
     top = components(linked).select(F.col("v").alias("comp"), F.col("comp").alias("top"))
     out = named.join(forest, "v", "left").withColumn("comp", F.coalesce("comp", "v")).join(top, "comp", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("top", "comp").alias("component_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("top", "comp").alias("component_id"))
+    out = stage(out, "jaccard_components")
+    unstage(named, forest, second)
+    return out
 
 
 def representatives(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -383,47 +381,89 @@ def representatives(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     return once.unionByName(least.select("doc_id", "_row.*").select(*docs.columns))
 
 
-def surviving(members: DataFrame, open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that some key holds and the trees cannot rule out.
+def meetings(rows: DataFrame) -> DataFrame:
+    """Rows (cluster, v, n, band, ...) with the groups in which they meet: g (struct) and left (which side of it).
 
-    The largest component of a key is its major one.  Its members only meet the others, in blocks; the
-    others also meet one another, so copies of rows grow with the smaller side.
+    A cluster of up to ``BLOCK_GRAMS`` set elements is one group.  A larger one is cut by band and hash into
+    blocks of that size; blocks of one band and of neighbouring bands meet two at a time.
+    """
+    parts = rows.groupBy("cluster", "band").agg(F.sum("n").alias("grams"))
+    parts = parts.groupBy("cluster").agg(
+        F.sum("grams").alias("total"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("grams") / BLOCK_GRAMS).cast("int").alias("p")))).alias("p"))
+    at = rows.join(parts, "cluster")
+    own, nxt, prev = (F.element_at("p", F.col("band") + d) for d in (0, 1, -1))
+    at = at.withColumn("own", own).withColumn("i", F.pmod(F.xxhash64("v"), F.col("own")).cast("int")).withColumn("nxt", nxt).withColumn("prev", prev)
+    meet = lambda k, i, k2, j, left: F.struct(
+        k.alias("k"), i.alias("i"), k2.alias("k2"), j.alias("j"), left.alias("left"))
+    band, i, yes, no = F.col("band"), F.col("i"), F.lit(True), F.lit(False)
+    each = lambda n, f: F.when(n.isNull(), F.array()).otherwise(F.transform(F.sequence(F.lit(0), n - 1), f))
+    many = F.concat(
+        each(F.col("own"), lambda j: meet(band, F.least(i, j), band, F.greatest(i, j), i <= j)),
+        each(F.col("nxt"), lambda j: meet(band, i, band + 1, j, yes)),
+        each(F.col("prev"), lambda j: meet(band - 1, j, band, i, no)),
+    )
+    zero = F.lit(0)
+    one = F.array(meet(zero, zero, zero, zero, yes))
+    at = at.withColumn("m", F.explode(F.when(F.col("total") <= BLOCK_GRAMS, one).otherwise(many)))
+    return at.select("*", F.struct("cluster", "m.k", "m.i", "m.k2", "m.j").alias("g"), F.col("m.left").alias("left")).drop("p", "own", "nxt", "prev", "i", "m", "total")
+
+
+def group_links(group: list[dict], percent: int) -> list[tuple[int, int]]:
+    """Links that join the components of a group's members: one per join, verified on the sets.
+
+    Members that ``left`` marks meet the others, or one another if there are no others.
     """
-    rows = members.join(open_, "key").withColumn("major", F.col("comp") == F.col("major"))
-    p = F.ceil(F.col("n_minor") / BLOCK).cast("int")
-    q = F.ceil(F.col("n_major") / BLOCK).cast("int")
-    spot = F.pmod(F.xxhash64("v"), F.when(F.col("major"), q).otherwise(p)).cast("int")
-    rows = rows.withColumn("p", p).withColumn("q", q).withColumn("spot", spot)
-    # a meeting is (minor block, other block); other blocks from p on are major ones
-    as_minor = F.transform(F.sequence(F.lit(0), F.col("p") + F.col("q") - 1), lambda j: F.struct(F.least(j, F.col("spot")).alias("i"), F.greatest(j, F.col("spot")).alias("j")))
-    as_major = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda i: F.struct(i.alias("i"), (F.col("p") + F.col("spot")).alias("j")))
-    rows = rows.withColumn("meet", F.explode(F.when(F.col("major"), as_major).otherwise(as_minor)))
-    rows = rows.select("key", "meet.i", "meet.j", "v", "comp", F.when(F.col("major"), F.col("p") + F.col("spot")).otherwise(F.col("spot")).alias("own"))
-    rows = rows.join(sets.select("v", "n", "low", "high"), "v")
-    groups = rows.groupBy("key", "i", "j").agg(F.collect_list(F.struct("v", "comp", "own", "n", "low", "high")).alias("rows"))
-    kind = members.schema["v"].dataType.simpleString()
-
-    def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    grams = [np.asarray(r["grams"], np.int64).view(np.uint64) for r in group]
+    sizes = np.array([r["n"] for r in group])
+    bits = min(MAX_BITS, max(64, 1 << int(8 * sizes.max()).bit_length()))
+    maps = np.stack([np.frombuffer(bitmap(x, bits), np.uint64) for x in grams])
+    names: dict = {}
+    comps = np.array([names.setdefault(r["comp"], len(names)) for r in group])
+    mine = np.array([r["left"] for r in group])
+    left = np.flatnonzero(mine)
+    right = np.flatnonzero(~mine) if not mine.all() else left
+    if len(names) < 2 or not len(left) or not len(right):
+        return []
+    p = SignatureTree(sizes[left], maps[left], comps[left])
+    q = p if right is left else SignatureTree(sizes[right], maps[right], comps[right])
+    a, b, _ = tree_pairs(p, q, percent)
+    a, b = left[a], right[b]
+    # likely pairs first: the sooner components join, the fewer sets are compared
+    shared = np.concatenate([np.bitwise_count(maps[a[t: t + 4096]] & maps[b[t: t + 4096]]).sum(axis=1) for t in range(0, len(a), 4096)] or [np.zeros(0)])
+    up = list(range(len(names)))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    found = []
+    for t in np.argsort(-(shared / np.maximum(sizes[a], sizes[b])), kind="stable").tolist():
+        x, y = int(a[t]), int(b[t])
+        r, s = root(int(comps[x])), root(int(comps[y]))
+        if r == s:
+            continue
+        both = len(np.intersect1d(grams[x], grams[y], assume_unique=True))
+        if 100 * both >= percent * (len(grams[x]) + len(grams[y]) - both):
+            up[r] = s
+            found.append((x, y))
+    return found
+
+
+def cross_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components (comp) within each cluster of (cluster, v, comp, n, band, grams)."""
+    kind = rows.schema["v"].dataType.simpleString()
+    groups = meetings(rows).groupBy("g").agg(F.collect_list(F.struct("v", "comp", "n", "left", "grams")).alias("rows"))
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found_a, found_b = [], []
-            for i, group in zip(batch.column("i").to_pylist(), batch.column("rows").to_pylist()):
-                # of the two bitmaps of a member the one of the key's bands has the length that all share
-                lengths = set.intersection(*({len(r["low"]), len(r["high"])} for r in group))
-                width = max(lengths)
-                maps = np.stack([np.frombuffer(r["high"] if len(r["high"]) == width else r["low"], np.uint64) for r in group])
-                names = {c: t for t, c in enumerate(dict.fromkeys(r["comp"] for r in group))}
-                sizes, comps = np.array([r["n"] for r in group]), np.array([names[r["comp"]] for r in group])
-                mine = np.array([r["own"] == i for r in group])
-                left = np.flatnonzero(mine)
-                right = np.flatnonzero(~mine) if not mine.all() else left
-                if not len(left) or not len(right):
-                    continue
-                p = SignatureTree(sizes[left], maps[left], comps[left])
-                q = p if right is left else SignatureTree(sizes[right], maps[right], comps[right])
-                a, b, _ = tree_pairs(p, q, percent)
-                for x, y in zip(left[a].tolist(), right[b].tolist()):
-                    found_a.append(max(group[x]["v"], group[y]["v"]))
-                    found_b.append(min(group[x]["v"], group[y]["v"]))
-            yield pa.RecordBatch.from_arrays([pa.array(found_a, batch.column("rows").type.value_type.field("v").type), pa.array(found_b, batch.column("rows").type.value_type.field("v").type)], ["a", "b"])
-
-    return groups.select("i", "rows").mapInArrow(traverse, f"a {kind}, b {kind}").distinct()
+            column, out = batch.column("rows"), []
+            ids = column.type.value_type.field("v").type
+            for n in range(batch.num_rows):
+                group = [{"v": r["v"].as_py(), "comp": r["comp"].as_py(), "n": r["n"].as_py(), "left": r["left"].as_py(),
+                          "grams": r["grams"].values.to_numpy()} for r in column[n]]
+                out += [(group[x]["v"], group[y]["v"]) for x, y in group_links(group, percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], ids), pa.array([y for _, y in out], ids)], ["a", "b"])
+
+    return groups.select("rows").mapInArrow(link, f"a {kind}, b {kind}")
