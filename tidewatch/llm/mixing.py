@@ -106,7 +106,8 @@ def allocate(
     key = id_hash(F.col("doc_id"))
     rows = rows.withColumn("skey", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")))
     rows = rows.withColumn("key", key).withColumn("cell", F.substring(key, 1, 3))
-    rows = stage(rows, "mix_rows")
+    if not carry:  # else texts would be written once more; the sizes are counted again instead
+        rows = stage(rows, "mix_rows")
     cells = stage(rows.groupBy("skey", "source", "cell").agg(F.sum("size").alias("words")), "mix_cells")
     sources = cells.groupBy("skey", "source").agg(F.sum("words").alias("source_size"))
     sources = stage(fill_targets(sources, weights, share, most).withColumn("take", F.round("target").cast("long")), "mix_sources")
