@@ -32,7 +32,7 @@ ODD = re.compile(r"\s \s?| \s|^\s|\s$|<\||[^\x00-\u02ff\u2000-\u206f]")
 #: The vocabulary's split pattern, written so that it never backtracks.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 #: Rows of text that a task encodes together.
-ROWS = 1000
+ROWS = 250
 
 
 class Encoder:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, functions as F
 BLANKS = "\\x20\\x09-\\x0D"
 WORD = f"[^{BLANKS}]+"
 #: Bytes of text that a task holds in numpy at once; a longer text is held alone.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 _U = np.uint64
 
