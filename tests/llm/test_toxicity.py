@@ -61,3 +61,22 @@ def test_odd_rows(spark):
     assert by[900].evidence == [] and by[900].score == by[None].score
     assert {r.predicted for r in classify(docs, labels.limit(0)).collect()} == {0}
     assert classify(docs.limit(0), labels).count() == 0
+
+
+def test_neighbours_are_those_of_whole_texts(spark):
+    """No text here has a term that passes chi-squared, and a long text that shares one word is far from short ones."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{j}" for j in rng.integers(0, 60, rng.integers(5, 40)))) for i in range(120)] + [(500, "w1 " + " ".join(f"w{j}" for j in range(2, 60)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(80)], "doc_id long, label int")
+    got = {r.doc_id: r for r in classify(docs, labels).collect()}
+    terms = sorted({t for _, text in rows[:80] for t in text.split()})
+    counts = np.array([[text.split().count(t) for t in terms] for _, text in rows], float)
+    weight = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * (np.log((len(rows) + 1) / ((counts > 0).sum(axis=0) + 1)) + 1)
+    weight /= np.sqrt((weight**2).sum(axis=1, keepdims=True))
+    cos = weight @ weight[:80].T
+    for n, (i, _) in enumerate(rows):
+        near = sorted((-round(c, 12), j) for j, c in enumerate(cos[n]))[:3]
+        assert [e.doc_id for e in got[i].evidence] == [j for _, j in near]
+        assert np.allclose([e.cosine for e in got[i].evidence], [-c for c, _ in near])
+    assert len({r.score for r in got.values()}) > 60

@@ -1,12 +1,17 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine, with their votes as score and evidence.
 
-Terms are words without ASCII punctuation, A to Z folded.  The vector space has the terms that are more
-frequent in toxic examples (chi-squared above ``LEAST_CHI2``, at most ``TERMS`` of them); their document
-frequencies are counted over all documents.  Examples are at most about ``EXAMPLES`` labelled rows, drawn
-by a hash of their ids, so the index is bounded whatever the corpus: it is an inverted index whose
-postings lie in blocks of examples, with the largest weight of each term in each block.  A query adds
-these maxima into an upper bound per block and opens blocks in falling order until no bound beats its
-k-th cosine, so the neighbours are exact.
+Terms are words without ASCII punctuation, A to Z folded.  The vector space has all terms of the examples;
+their document frequencies are counted over all documents.  Examples are at most about ``EXAMPLES``
+labelled rows, drawn by a hash of their ids, so the index is bounded whatever the corpus.  The terms in
+most examples are a dense block, the others postings; sums of both in single precision leave a few
+candidates, whose cosines are computed again in double precision, so the neighbours are exact.
+
+A few words seldom turn the cosine of a long text, so a second vote is taken among the terms that are more
+frequent in toxic examples (chi-squared above ``LEAST_CHI2``, at most ``TERMS`` of them), in an inverted
+index whose postings lie in blocks of examples, with the largest weight of each term in each block.  A
+query adds these maxima into an upper bound per block and opens blocks in falling order until no bound
+beats its k-th cosine.  The score weighs both votes; weights come from the examples, each left out of its
+own votes.  The evidence is that of the whole texts.
 """
 
 from __future__ import annotations
@@ -26,6 +31,10 @@ TERMS = 1024
 LEAST_CHI2 = 20.0
 NEIGHBOURS = 15
 BLOCK = 256
+#: Terms in most examples that are compared as a dense block, and queries that are compared at once.
+DENSE, QUERIES = 256, 32
+#: More than the error of a cosine in single precision.
+SLACK = 1e-4
 
 
 def _distinct(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,8 +79,10 @@ def choose_terms(examples: DataFrame, terms: int = TERMS, least: float = LEAST_C
 
 def term_counts(docs: DataFrame, chosen: np.ndarray) -> DataFrame:
     """(doc_id, terms array<int>, counts array<int>) per row of (doc_id, text): the chosen terms that it has."""
+    sent = docs.sparkSession.sparkContext.broadcast(chosen)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen = sent.value
         for batch in batches:
             text = batch.column(1)
             for lo, hi in slices(text):
@@ -87,6 +98,100 @@ def term_counts(docs: DataFrame, chosen: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(look, f"doc_id {kind}, terms array<int>, counts array<int>")
 
 
+def all_terms(examples: DataFrame) -> np.ndarray:
+    """Hashes, sorted, of all terms of (text, ...)."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(0)
+            for lo, hi in slices(text):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_distinct(_words(text.slice(lo, hi - lo)))[1]))], ["term"])
+
+    found = examples.select("text").mapInArrow(distinct, "term long").distinct().toArrow()
+    return np.sort(found.column("term").to_numpy().astype(np.int64))
+
+
+def document_counts(rows: DataFrame, terms: int) -> np.ndarray:
+    """The rows of (terms array<int>) that have each term."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(terms, np.int64)
+        for batch in batches:
+            n += np.bincount(batch.column(0).flatten().to_numpy(), minlength=terms)
+        term = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(term.astype(np.int32)), pa.array(n[term])], ["term", "n"])
+
+    found = rows.select("terms").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(terms)
+    out[found.column("term").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+class TextIndex:
+    """Unit vectors of examples over all terms; ``search`` gives the exact nearest of many queries."""
+
+    def __init__(self, bounds: np.ndarray, terms: np.ndarray, weights: np.ndarray, size: int, dense: int = DENSE):
+        """The vector of example i has ``terms`` and ``weights`` from bounds[i] to bounds[i + 1]; ``size`` terms in all."""
+        self.n, self.dense = len(bounds) - 1, min(dense, size)
+        self.bounds, self.terms, self.weights = bounds, terms, weights
+        place = np.repeat(np.arange(self.n), np.diff(bounds))
+        top = np.argsort(-np.bincount(terms, minlength=size), kind="stable")[: self.dense]
+        self.slot = np.full(size, -1)
+        self.slot[top] = np.arange(len(top))
+        slot = self.slot[terms]
+        self.block = np.zeros((self.dense, -(-self.n // 64) * 64), np.float32)
+        self.block[slot[slot >= 0], place[slot >= 0]] = weights[slot >= 0]
+        rest = np.flatnonzero(slot < 0)
+        rest = rest[np.argsort(terms[rest], kind="stable")]
+        self.place, self.weight = place[rest], weights[rest]
+        self.values = np.zeros(size)
+        self.ends = np.searchsorted(terms[rest], np.arange(size + 1))
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Numbers and cosines of the k nearest of each query with a positive cosine, nearest first, ties to the smaller number."""
+        if not self.n:
+            return [(np.zeros(0, np.int64), np.zeros(0)) for _ in queries]
+        out = []
+        for at in range(0, len(queries), QUERIES):
+            some = queries[at: at + QUERIES]
+            often = np.zeros((len(some), self.dense), np.float32)
+            for j, (t, w) in enumerate(some):
+                slot = self.slot[t]
+                often[j, slot[slot >= 0]] = w[slot >= 0]
+            score = often @ self.block
+            for j, (t, w) in enumerate(some):
+                seldom = self.slot[t] < 0
+                lo, hi = self.ends[t[seldom]], self.ends[t[seldom] + 1]
+                cuts = [slice(a, b) for a, b in zip(lo.tolist(), hi.tolist()) if b > a]
+                if cuts:
+                    weight = np.repeat(w[seldom], hi - lo) * np.concatenate([self.weight[c] for c in cuts])
+                    score[j] += np.bincount(np.concatenate([self.place[c] for c in cuts]), weight, score.shape[1])
+                if skip is not None and skip[at + j] >= 0:
+                    score[j, skip[at + j]] = -1
+            # the k-th largest of the maxima of groups is no larger than the k-th largest cosine
+            best = score.reshape(len(some), -1, 64).max(axis=2)
+            least = np.partition(best, -k, axis=1)[:, -k] if best.shape[1] >= k else np.zeros(len(some))
+            for j, (t, w) in enumerate(some):
+                near = np.flatnonzero((score[j] >= least[j] - SLACK) & (score[j] > 0))
+                cos = self._cosines(t, w, near)
+                order = np.lexsort((near, -cos))[:k]
+                order = order[cos[order] > 0]
+                out.append((near[order], cos[order]))
+        return out
+
+    def _cosines(self, t: np.ndarray, w: np.ndarray, near: np.ndarray) -> np.ndarray:
+        if not len(near):
+            return np.zeros(0)
+        lo, hi = self.bounds[near], self.bounds[near + 1]
+        size = hi - lo
+        starts = np.cumsum(size) - size
+        at = np.repeat(lo - starts, size) + np.arange(int(size.sum()))
+        self.values[t] = w
+        cos = np.add.reduceat(self.values[self.terms[at]] * self.weights[at], starts)
+        self.values[t] = 0
+        return np.round(cos, 12)
+
+
 class BlockMaxIndex:
     """Unit vectors of examples as postings in blocks; ``search`` gives the exact nearest."""
 
@@ -135,91 +240,135 @@ class BlockMaxIndex:
 
 
 class Voter:
-    """Votes of the nearest examples, turned into probabilities on the examples themselves (each left out of its own vote).
+    """Votes of the nearest examples; ``left_out`` are those of the examples, each left out of its own vote.
 
     Examples with equal vectors are one neighbour that votes with its share of toxic labels.
     """
 
-    def __init__(self, examples: list[tuple[int, int, list[int], list[int]]], idf: np.ndarray, k: int = NEIGHBOURS):
-        self.idf, self.k = idf, k
+    def __init__(self, examples: list[tuple], idf: np.ndarray, whole: bool, k: int = NEIGHBOURS):
+        """``examples`` are (id, label, terms, counts) with arrays; ``whole`` takes the index for whole texts."""
+        self.idf, self.k, self.whole = idf, k, whole
         groups: dict[tuple, list] = {}
+        self.group = []
         for i, label, terms, counts in examples:
-            g = groups.setdefault((tuple(terms), tuple(counts)), [i, 0, 0])
-            g[1] += 1
-            g[2] += label
-        toxic, n = sum(g[2] for g in groups.values()), len(examples)
+            g = groups.setdefault((terms.tobytes(), counts.tobytes()), [len(groups), i, 0, 0, terms, counts])
+            g[2] += 1
+            g[3] += label
+            self.group.append(g[0])
+        toxic, n = sum(g[3] for g in groups.values()), len(examples)
         self.prior = (toxic + 0.5) / (n + 2)
-        # documents without any chosen term have no neighbours: the rate among such examples
-        _, blank_n, blank_toxic = groups.pop(((), ()), [None, 0, 0])
-        self.blank = (blank_toxic + 2 * self.prior) / (blank_n + 2)
-        self.ids = [g[0] for g in groups.values()]
-        self.count = np.array([g[1] for g in groups.values()], np.float64)
-        self.toxic = np.array([g[2] for g in groups.values()], np.float64)
-        vectors = [self.vector(t, c) for t, c in groups]
-        self.index = BlockMaxIndex(vectors, len(idf))
-        self.seen: dict[tuple, tuple[float, list]] = {}
-        self.curve = (0.0, 1.0)
-        if 0 < toxic < n:
-            votes, labels, weights = [self.blank, self.blank], [0, 1], [blank_n - blank_toxic, blank_toxic]
-            for i, v in enumerate(vectors):
-                for label, many in ((1, self.toxic[i]), (0, self.count[i] - self.toxic[i])):
-                    if many:
-                        votes.append(self.vote(v, own=i, label=label)[0])
-                        labels.append(label)
-                        weights.append(many)
-            votes = np.array(votes)
-            self.curve = _logistic(np.log(votes / (1 - votes)), np.array(labels), np.array(weights, np.float64))
-
-    def vector(self, terms: list[int], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.asarray(terms, np.int64)
-        w = (1 + np.log(np.asarray(counts, np.float64))) * self.idf[t] if len(t) else np.zeros(0)
+        # documents without any term of the space have no neighbours: the rate among such examples
+        blank = groups.get((b"", b""), [-1, None, 0, 0])
+        self.blank = (blank[3] + 2 * self.prior) / (blank[2] + 2)
+        kept = [g for g in groups.values() if len(g[4])]
+        number = {g[0]: j for j, g in enumerate(kept)}
+        self.group = [number.get(g, -1) for g in self.group]
+        self.ids = [g[1] for g in kept]
+        self.count = np.array([g[2] for g in kept], np.float64)
+        self.toxic = np.array([g[3] for g in kept], np.float64)
+        # what is sent to the tasks is small; each process makes the index from it once
+        self.bounds = np.concatenate([[0], np.cumsum([len(g[4]) for g in kept])]).astype(np.int64)
+        self.terms = np.concatenate([g[4] for g in kept] or [np.zeros(0)]).astype(np.int32)
+        counts = np.concatenate([g[5] for g in kept] or [np.zeros(0, np.int64)])
+        self.counts = counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+        self.made = None
+        self.seen: dict[tuple, float] = {}
+
+    @property
+    def index(self) -> TextIndex | BlockMaxIndex:
+        if self.made is None:
+            vectors = [self.example(i) for i in range(len(self.ids))]
+            if self.whole:
+                weights = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
+                self.made = TextIndex(self.bounds, self.terms, weights, len(self.idf))
+            else:
+                self.made = BlockMaxIndex(vectors, len(self.idf))
+        return self.made
+
+    def example(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        at = slice(self.bounds[i], self.bounds[i + 1])
+        return self.vector(self.terms[at].astype(np.int64), self.counts[at])
+
+    def vector(self, t: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(counts.astype(np.float64))) * self.idf[t] if len(t) else np.zeros(0)
         return t, w / np.sqrt((w * w).sum()) if len(t) else w
 
-    def vote(self, v: tuple[np.ndarray, np.ndarray], own: int = -1, label: int = 0) -> tuple[float, list]:
-        """The share of the neighbours' votes; ``own`` with ``label`` is an example that leaves its own vote out."""
-        alone = own >= 0 and self.count[own] == 1
-        near, cos = self.index.search(*v, self.k, own if alone else -1)
-        if not len(near):
-            return self.blank, []
-        share = self.toxic[near] / self.count[near]
-        if own >= 0 and not alone:
-            share = np.where(near == own, (self.toxic[own] - label) / (self.count[own] - 1), share)
+    def _vote(self, near: np.ndarray, cos: np.ndarray, share: np.ndarray) -> float:
         weight = cos**2
-        vote = (float(weight @ share) + 0.2 * self.prior) / (float(weight.sum()) + 0.2)
-        return vote, [(self.ids[i], float(c), float(y)) for i, c, y in zip(near[:3].tolist(), cos[:3].tolist(), share[:3].tolist())]
-
-    def score(self, terms: list[int], counts: list[int]) -> tuple[float, list]:
-        key = (*terms, -1, *counts)
+        return (float(weight @ share) + 0.2 * self.prior) / (float(weight.sum()) + 0.2) if len(near) else self.blank
+
+    def _search(self, vectors: list, skip: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+        if self.whole:
+            return self.index.search(vectors, self.k, skip)
+        return [self.index.search(*v, self.k, s) for v, s in zip(vectors, skip)]
+
+    def left_out(self, numbers: list[int]) -> list[tuple[float, float]]:
+        """The votes on these groups of equal examples for one with label 0 and for one with label 1 that is left out."""
+        out = []
+        found = self._search([self.example(i) for i in numbers], [i if self.count[i] == 1 else -1 for i in numbers])
+        for i, (near, cos) in zip(numbers, found):
+            share = self.toxic[near] / self.count[near]
+            rest = max(self.count[i] - 1, 1)
+            out.append(tuple(self._vote(near, cos, np.where(near == i, (self.toxic[i] - y) / rest, share)) for y in (0, 1)))
+        return out
+
+    def votes(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list]]:
+        """The vote on each (terms, counts), and its first three neighbours as (id, cosine, share of toxic labels)."""
+        out = []
+        for near, cos in self._search([self.vector(*r) for r in rows], [-1] * len(rows)):
+            share = self.toxic[near] / self.count[near]
+            out.append((self._vote(near, cos, share), [(self.ids[i], float(c), float(y)) for i, c, y in zip(near[:3].tolist(), cos[:3].tolist(), share[:3].tolist())]))
+        return out
+
+    def vote_again(self, terms: np.ndarray, counts: np.ndarray) -> float:
+        key = (terms.tobytes(), counts.tobytes())
         if key not in self.seen:
             if len(self.seen) >= 20_000:
                 self.seen.clear()
-            vote, evidence = self.vote(self.vector(terms, counts))
-            a, b = self.curve
-            self.seen[key] = 1 / (1 + float(np.exp(-(a + b * np.log(vote / (1 - vote)))))), evidence
+            self.seen[key] = self.votes([(terms, counts)])[0][0]
         return self.seen[key]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
-    """Intercept and slope by Newton's method to convergence, drawn towards (0, 1)."""
-    beta, start = np.array([0.0, 1.0]), np.array([0.0, 1.0])
-    design = np.stack([np.ones(len(x)), x], axis=1)
+def _logit(p: np.ndarray) -> np.ndarray:
+    return np.log(p / (1 - p))
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Intercept and slopes by Newton's method to convergence, drawn towards 0 and the mean of the columns."""
+    start = np.concatenate([[0.0], np.full(x.shape[1], 1 / x.shape[1])])
+    beta, design = start.copy(), np.concatenate([np.ones((len(x), 1)), x], axis=1)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        slope = design.T @ (weight * (y - p)) - ridge * (beta - start)
-        step = np.linalg.solve((design * (weight * p * (1 - p))[:, None]).T @ design + ridge * np.eye(2), slope)
+        slope = design.T @ (y - p) - ridge * (beta - start)
+        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + ridge * np.eye(len(beta)), slope)
         step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
         beta = beta + step
         if np.abs(step).max() < 1e-9:
             break
-    return float(beta[0]), float(max(beta[1], 1e-3))
+    beta[1:] = np.maximum(beta[1:], 1e-3)
+    return beta
+
+
+def _lists(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(terms, counts) of each row."""
+    terms, counts = batch.column("terms"), batch.column("counts")
+    at = terms.offsets.to_numpy().astype(np.int64)
+    t, c = terms.flatten().to_numpy().astype(np.int64), counts.flatten().to_numpy().astype(np.int64)
+    return [(t[a - at[0]: b - at[0]], c[a - at[0]: b - at[0]]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+
+
+def _part(lean: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    t = lean[terms]
+    return t[t >= 0], counts[t >= 0]
 
 
 def classify(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS, k: int = NEIGHBOURS) -> DataFrame:
     """(doc_id, score, predicted, evidence) for every row of (doc_id, text), from labels (doc_id, label 0 or 1).
 
-    Other and null labels are left out.  Evidence holds up to three neighbours with cosine and share of toxic labels.
-    Null and empty texts, and texts without a chosen term, get the rate of such examples.  Repeated rows
-    get equal scores; without labelled rows all scores are that of an even prior, below 1/2.
+    Other and null labels are left out.  Evidence holds up to three neighbours with the cosine of the whole
+    texts and share of toxic labels.  ``terms`` bounds the toxic terms of the second vote alone.
+    Null and empty texts, and texts without a term of any example, get the rate of such examples.  Repeated
+    rows get equal scores; without labelled rows all scores are that of an even prior, below 1/2.
     """
     labels = labels.filter("label IN (0, 1)").select("doc_id", F.col("label").cast("int").alias("label"))
     n = labels.count()
@@ -227,24 +376,57 @@ def classify(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms
     drawn = labels.filter(part < F.lit(min(1.0, examples / max(n, 1))))
     # about ``examples`` rows of an id and a label: bounded by the parameter
     sample = stage(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"), "toxic_examples")
+    vocabulary = all_terms(sample)
     chosen = choose_terms(sample, terms)
-    rows = stage(term_counts(docs, chosen), "toxic_terms")
+    rows = stage(term_counts(docs, vocabulary), "toxic_terms")
     total = rows.count()
-    df = np.zeros(len(chosen))
-    for r in rows.select(F.explode("terms").alias("term")).groupBy("term").count().collect():
-        df[r[0]] = r[1]
-    idf = np.log((total + 1) / (df + 1)) + 1
-    own = term_counts(sample, chosen).join(F.broadcast(drawn.distinct()), "doc_id")
-    model = [(r.doc_id, r.label, r.terms, r["counts"]) for r in own.orderBy("doc_id", "label", "terms", "counts").collect()]
-    made = docs.sparkSession.sparkContext.broadcast(Voter(model, idf, k))
+    idf = np.log((total + 1) / (document_counts(rows, len(vocabulary)) + 1)) + 1
+    at = np.searchsorted(vocabulary, chosen)
+    lean = np.full(len(vocabulary), -1)
+    lean[at] = np.arange(len(chosen))
+    own = term_counts(sample, vocabulary).join(F.broadcast(drawn.distinct()), "doc_id").toArrow()
+    model = [(i, y, *r) for b in own.to_batches() for i, y, r in zip(b.column("doc_id").to_pylist(), b.column("label").to_pylist(), _lists(b))]
+    model.sort(key=lambda m: (m[0], m[1], m[2].tobytes(), m[3].tobytes()))
+    del own
+    sc = docs.sparkSession.sparkContext
+    whole = Voter(model, idf, True, k)
+    part_ = Voter([(i, y, *_part(lean, t, c)) for i, y, t, c in model], idf[at], False, k)
+    made = sc.broadcast((whole, part_, lean))
+
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, part_, _ = made.value
+        for batch in batches:
+            voters, number = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for which, voter in ((0, whole), (1, part_)):
+                mine = number[voters == which]
+                out = np.array(voter.left_out(mine.tolist())).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), which)), pa.array(mine), pa.array(out[:, 0]), pa.array(out[:, 1])], ["voter", "number", "clean", "toxic"])
+
+    beta = np.array([0.0, 0.5, 0.5])
+    y = np.array([label for _, label, _, _ in model], np.float64)
+    if 0 < y.sum() < len(y):
+        spark = docs.sparkSession
+        each = [spark.range(len(v.ids)).select(F.lit(j).cast("long").alias("voter"), F.col("id").alias("number")) for j, v in enumerate((whole, part_))]
+        found = each[0].unionByName(each[1]).repartition(sc.defaultParallelism * 2).mapInArrow(left_out, "voter long, number long, clean double, toxic double").toArrow()
+        which, number = found.column("voter").to_numpy(), found.column("number").to_numpy()
+        x = []
+        for j, voter in enumerate((whole, part_)):
+            votes = np.full((len(voter.ids) + 1, 2), voter.blank)  # the last row is for examples without a term
+            votes[number[which == j], 0] = found.column("clean").to_numpy()[which == j]
+            votes[number[which == j], 1] = found.column("toxic").to_numpy()[which == j]
+            x.append(_logit(votes[np.array(voter.group), y.astype(np.int64)]))
+        beta = _logistic(np.stack(x, axis=1), y)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voter = made.value
+        whole, part_, lean = made.value
         for batch in batches:
-            out = [voter.score(t, c) for t, c in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist())]
+            lists = _lists(batch)
+            out = whole.votes(lists)
+            both = np.array([(v, part_.vote_again(*_part(lean, *r))) for (v, _), r in zip(out, lists)]).reshape(-1, 2)
+            score = 1 / (1 + np.exp(-(beta[0] + _logit(both) @ beta[1:])))
             evidence = [[{"doc_id": i, "cosine": c, "toxic": y} for i, c, y in e] for _, e in out]
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array([s for s, _ in out], pa.float64()), pa.array([int(s >= 0.5) for s, _ in out], pa.int32()),
+                batch.column("doc_id"), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32)),
                 pa.array(evidence, pa.list_(pa.struct([("doc_id", batch.column("doc_id").type), ("cosine", pa.float64()), ("toxic", pa.float64())]))),
             ], ["doc_id", "score", "predicted", "evidence"])
 
