@@ -92,6 +92,14 @@ def test_odd_rows(spark):
     assert components_of(df.limit(0)).count() == 0
 
 
+def test_null_id_before_its_equal(spark):
+    """A row without a doc_id comes first in the task of its equal set, which has a near-duplicate."""
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(None, text), (5, text), (6, text + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert [(r.doc_id, r.component_id) for r in components_of(df).orderBy("doc_id").collect()] == [(None, 5), (5, 5), (6, 5)]
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_blocking_loses_nothing(percent):
     rng = np.random.default_rng(percent)

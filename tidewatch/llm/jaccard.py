@@ -152,7 +152,10 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def vertices(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), f1, f2 (fingerprint of the set) and keys of each document; keys once per task for equal sets."""
+    """doc_id, n (set size), f1, f2 (fingerprint of the set) and keys of each document; keys once per task for equal sets.
+
+    A row without a doc_id names no vertex, so it has no keys and does not stand for its equal sets.
+    """
     frequent = frequent_shingles(docs, k)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,10 +170,11 @@ def vertices(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 two = np.concatenate([[_U(0)], np.cumsum(mix(value + _U(77)), dtype=np.uint64)])
                 f1, f2 = (t[bounds[1:]] - t[bounds[:-1]] for t in (one, two))
                 keys, ends = [], [0]
+                known = batch.column(0).slice(lo, hi - lo).is_valid().to_pylist()
                 for i in range(hi - lo):
                     a, b = bounds[i], bounds[i + 1]
                     name = (int(f1[i]), int(f2[i]))
-                    if b > a and name not in seen:
+                    if b > a and known[i] and name not in seen:
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(name)
