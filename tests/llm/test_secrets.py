@@ -123,3 +123,13 @@ def test_battery_against_plain_sums(spark):
         s = sum((c - m) ** 2 for c in x)
         p3 = 2.0 ** (1 - n) if s <= 0 else 2 * tail(abs(sum((a - m) * (b - m) for a, b in zip(x, x[1:])) / s + 1 / n) * n**0.5)
         assert p == pytest.approx(3 * min(p1, p2, p3), abs=1e-6)
+
+
+def test_planted_keys_of_one_case_and_base32(spark):
+    draw = random.Random(11)
+    alphabets = {"base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+    keys = ["".join(draw.choice(a) for _ in range(n)) for a, n in ((alphabets["base32"], 32), (alphabets["lower"], 48), (alphabets["upper"], 48)) for _ in range(6)]
+    words = WORDS + ["anordinarysentencewithoutanyblanksbetweenitswords", "THESEARETHEWORDSOFAVERYORDINARYHEADLINE", "donaudampfschifffahrtsgesellschaft", "2024-11-05-release-notes-for-the-website"]
+    rows = {r.text: [r.text[s[0]: s[2]] for s in r.spans if s[1] == 3] for r in scan(frame(spark, [f"see {k} end" for k in keys] + words), ["doc_id", "text"]).collect()}
+    assert [w for w in words if rows[w]] == []
+    assert sum(rows[f"see {k} end"] == [k] for k in keys) >= len(keys) - 1

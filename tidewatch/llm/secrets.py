@@ -9,15 +9,18 @@ Added spans come from runs of 20 or more letters, digits and ``+/_-``:
 * chi-squared uniformity over that alphabet, a runs test about its middle and the lag-one serial
   correlation each give a p-value for "drawn uniformly"; a run whose smallest p-value times three is
   below ``RANDOM_P`` is not random and leaves;
-* against "ordinary identifier" the number of changes between digits, lower and upper case is bounded:
-  if a change has a chance of at most ``CHANGE_P``, Chernoff's bound is a valid p-value, and it gets
-  stronger with length;
+* against "ordinary text" the run's likelihood under the inferred alphabet is compared with its largest
+  one as text: letters as frequent as in prose, digits and signs even, and changes between digits, lower
+  case, upper case and signs with a chance of at most ``CHANGE_P``.  A ratio of likelihoods is above 1/p
+  with a chance of at most p, so its inverse, times the number of alphabets, is a valid p-value; runs of
+  one case count by their letters alone;
 * Benjamini-Hochberg over all runs of the corpus, weighted by length (mean weight 1), holds the share
   of false discoveries at ``FDR``.  It needs one histogram of the weighted p-values, of fixed size.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -36,7 +39,9 @@ KINDS = ("assign", "access", "hex", "random")
 ALPHABETS = (
     ("hex", r"^[0-9a-f]+$", "0123456789abcdef"),
     ("hex_upper", r"^[0-9A-F]+$", "0123456789ABCDEF"),
+    ("upper", r"^[A-Z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("base32", r"^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    ("lower", r"^[a-z]+$", "abcdefghijklmnopqrstuvwxyz"),
     ("base36", r"^[a-z0-9]+$", "0123456789abcdefghijklmnopqrstuvwxyz"),
     ("base36_upper", r"^[A-Z0-9]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("base62", r"^[A-Za-z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
@@ -44,6 +49,10 @@ ALPHABETS = (
     ("base64", r"", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 )
 
+#: fixed values: letters of prose, A to Z in thousandths, roughly the mean of four languages
+LETTERS = (80, 15, 31, 43, 140, 14, 17, 37, 73, 4, 10, 46, 27, 77, 58, 23, 6, 67, 70, 75, 41, 12, 14, 4, 11, 5)
+SIGNS = "+/_-"
+
 CHANGE_P = 0.12
 RANDOM_P = 0.001
 FDR = 0.01
@@ -130,18 +139,36 @@ def battery(run: Column, alphabet: Column) -> Column:
     return bind(codes, tests)
 
 
+def text_decades(run: Column, k: Column) -> Column:
+    """Decades of the p-value for "ordinary text" of a run that may be drawn from ``k`` characters; 0 if text is likelier."""
+    body = F.rtrim(run, F.lit("="))
+    n = F.length(body).cast("double")
+    squeezed = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(body, "[0-9]+", "0"), "[a-z]+", "a"), "[A-Z]+", "A"), "[+/_-]+", "-")
+    changes = (F.length(squeezed) - 1).cast("double")
+    x = F.least(changes / (n - 1), F.lit(CHANGE_P))
+    log = lambda v: F.ln(F.greatest(v, F.lit(1e-12)))
+    costs = F.array(*[F.lit(-math.log(v / 1000)) for v in LETTERS], *[F.lit(math.log(10))] * 10, *[F.lit(math.log(len(SIGNS)))] * len(SIGNS))
+    place = F.lit("abcdefghijklmnopqrstuvwxyz0123456789" + SIGNS)
+    letters = bind(costs, lambda cost: F.aggregate(F.split(F.lower(body), ""), F.lit(0.0), lambda acc, c: acc + F.coalesce(F.get(cost, F.position(c, place) - 1), F.lit(0.0))))
+    nats = letters - changes * log(x) - (n - 1 - changes) * log(1 - x) - n * F.ln(k.cast("double")) - math.log(len(ALPHABETS))
+    return F.greatest(F.lit(0.0), nats / math.log(10))
+
+
 def _candidate(c: Column) -> Column:
     run, n = c["found"], F.length(c["found"]).cast("double")
-    squeezed = F.regexp_replace(F.regexp_replace(F.regexp_replace(run, "[0-9]+", "0"), "[a-z]+", "a"), "[A-Z]+", "A")
-    x = (F.length(squeezed) - 1) / (n - 1)
-    gain = x * F.ln(F.greatest(x, F.lit(1e-12)) / CHANGE_P) + (1 - x) * F.ln(F.greatest(1 - x, F.lit(1e-12)) / (1 - CHANGE_P))
-    decades = F.when(x <= CHANGE_P, F.lit(0.0)).otherwise((n - 1) * gain / 2.302585092994046)
     alphabet = F.lit(ALPHABETS[-1][2])
     for _, pattern, letters in reversed(ALPHABETS[:-1]):
         alphabet = F.when(run.rlike(pattern), F.lit(letters)).otherwise(alphabet)
-    random = F.when(decades < HOPELESS, F.lit(False)).otherwise(battery(run, alphabet) >= RANDOM_P)
     weight = F.least(n, F.lit(64.0)) / 32.0
-    return F.struct(c["start"].alias("start"), c["end"].alias("end"), F.when(random, decades).otherwise(0.0).alias("decades"), weight.alias("weight"))
+
+    def made(letters: Column) -> Column:
+        return bind(text_decades(run, F.length(letters)), lambda decades: F.struct(
+            c["start"].alias("start"), c["end"].alias("end"),
+            F.when(F.when(decades < HOPELESS, F.lit(False)).otherwise(battery(run, letters) >= RANDOM_P), decades).otherwise(0.0).alias("decades"),
+            weight.alias("weight"),
+        ))
+
+    return bind(alphabet, made)
 
 
 def bh_bin(counts: dict[int, int], total: int, fdr: float = FDR) -> int:
