@@ -177,3 +177,63 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewatch.llm.substrings import deduplicated
 
     return deduplicated(table(spark, sf_dir, "documents"), with_text=False)
+
+
+PHRASES_SQL = r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), p AS (
+  SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM t
+), c AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang
+), g AS (
+  SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k
+), f AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100
+), many AS (
+  SELECT lang, k, phrase, f, str_split(phrase, ' ') AS w FROM f WHERE k >= 2
+), cuts AS (
+  SELECT m.lang, m.phrase, m.f AS a, j, l.f AS l, r.f AS r, c.n, CAST((1000::HUGEINT * m.f * c.n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM many) m
+  JOIN f l ON l.lang = m.lang AND l.phrase = array_to_string(w[1:j], ' ')
+  JOIN f r ON r.lang = m.lang AND r.phrase = array_to_string(w[j + 1:], ' ')
+  JOIN c ON c.lang = m.lang
+), lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), spans AS (
+  SELECT lang, f, w, s, unnest(range(1, k - s + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS s FROM many WHERE k >= 3)
+), inside AS (
+  SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(f) AS longer FROM spans GROUP BY ALL
+), ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+  FROM lowest LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a
+)
+SELECT * FROM ranked WHERE rank <= 2000
+"""
+
+
+@query("op11_collocations", PHRASES_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+PAGES_SQL = r"""
+WITH a AS (
+  SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1), '</?(?:p|h1)>') AS b FROM pages
+), t AS (
+  SELECT page_id, url, array_to_string(list_filter(list_transform(b, lambda x:
+    trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+      x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text
+  FROM a
+)
+SELECT page_id, url, text, CAST(len(text) AS BIGINT) AS n_chars FROM t
+"""
+
+
+@query("op13_html_extraction", PAGES_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.llm.pages import extract
+
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
