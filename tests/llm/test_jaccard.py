@@ -69,7 +69,6 @@ def test_components(spark, monkeypatch, seed, k, percent):
 
 def test_small_blocks_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_GRAMS", 200)
-    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
     base = [f"b{i}" for i in range(60)]
     rng = random.Random(9)
     rows = []

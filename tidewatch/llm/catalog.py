@@ -237,3 +237,49 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewatch.llm.pages import extract
 
     return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+SPELLING_SQL = r"""
+WITH RECURSIVE tab AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 0, 1, 2, 3, 4, 5, 6, 7], lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i))
+), d AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), 'null') AS id,
+         unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents
+), r AS (
+  SELECT id, run, count(*) AS times FROM d GROUP BY ALL
+), b AS (
+  SELECT run, times, list_prepend(4294967295::BIGINT, flatten(list_transform(str_split(id || ':' || run, ''), lambda x:
+    CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [(192 | (unicode(x) >> 6))::BIGINT, (128 | (unicode(x) & 63))::BIGINT] END))) AS bytes FROM r
+), h AS (
+  SELECT run, times, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) AS h FROM b, tab
+), w AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % len(run) AS INT)) || substr(run, CAST(h % len(run) AS INT) + 2) ELSE run END AS word, sum(times) AS n
+  FROM h GROUP BY 1
+), v AS (
+  SELECT word, CAST(n AS BIGINT) AS n FROM w WHERE n >= 3 AND len(word) >= 5
+), x AS (
+  SELECT DISTINCT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM v)
+), p AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS m FROM x a JOIN x b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM x a JOIN v b ON a.cut = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM x a JOIN v b ON a.cut = b.word
+), f AS (
+  SELECT word, count(*) AS n_near, (list(near ORDER BY m DESC, near))[1] AS best, max(m) AS best_n FROM p GROUP BY word
+), g AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * v.n THEN best END AS form, CASE WHEN best_n >= 2 * v.n THEN best_n END AS form_n
+  FROM v LEFT JOIN f USING (word)
+), s AS (
+  SELECT word, word AS at FROM g UNION ALL SELECT s.word, g.form FROM s JOIN g ON g.word = s.at WHERE g.form IS NOT NULL
+)
+SELECT g.word, g.form, s.at AS root, g.n, CAST(g.n_near AS BIGINT) AS n_near, g.form_n
+FROM g JOIN s USING (word) JOIN g e ON e.word = s.at AND e.form IS NULL
+"""
+
+
+@query("op12_spelling_variants", SPELLING_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.llm.spelling import variants
+
+    return variants(table(spark, sf_dir, "documents"))

@@ -4,16 +4,20 @@ Texts are lower-cased (A-Z), cut at ``[.,;:!?\\n-\\r]`` into pieces and those at
 A phrase of 2 to 5 words lies within one piece; f is the number of its occurrences in a language, overlaps
 included, and n the number of all words of the language.
 
-1. *Mine.*  A task fills shards of up to ``SHARD_WORDS`` words.  A phrase that occurs ``least`` times in a
+1. *Mine.*  A task fills shards of about ``SHARD_WORDS`` words.  A phrase that occurs ``least`` times in a
    language of N words has in some shard with s of these words at least least * s / N occurrences, so every
-   shard gives its phrases at or above that support.  Nothing else is dropped, whatever the shards are.
-2. *Union.*  The mined phrases are marked in a bitmap of ``FILTER_BITS`` bits (its size does not grow).
+   shard gives all its phrases at or above that support, with what they have above the most that it may hide
+   (its support less one).
+2. *Union.*  The phrases that shards gave are joined.  What a phrase has above those amounts in the shards that gave
+   it, and those amounts of all shards, bound its count; if that is below ``least`` it is no candidate.  The
+   candidates are marked in a bitmap of ``FILTER_BITS`` bits (its size does not grow).
 3. *Count.*  Every occurrence of a marked phrase is counted: per shard, then by Spark.  A phrase that is marked
    by chance is counted exactly too and falls below ``least``, so the bitmap costs time and never results.
 
-Pairs are mined and counted first, then phrases of 3 to 5 words all of whose pairs are frequent; when shards
-become so many that a shard's support is one occurrence, pairs alone bear that.  Phrases are 64-bit hashes
-(with their language) until the frequent ones get their words back; scores and ranks are DataFrame steps.
+Words and pairs are mined and counted first, then phrases of 3 to 5 words all of whose pairs are frequent; when
+shards become so many that a support is one occurrence, words and pairs alone bear that, and the union is
+already exact.  Phrases are 64-bit hashes (with their language) until the frequent ones get their words back;
+scores and ranks are DataFrame steps.
 
 Edge cases: null text is empty and null lang is ``und``; a piece without words has no phrases; repeated rows
 count as often as they stand there; columns other than text and lang are ignored; empty tables give no rows.
@@ -34,8 +38,10 @@ from tidewatch.session import stage, unstage
 LEAST = 100
 MOST_WORDS = 5
 TOP = 2000
-#: Words that a task mines at once.
-SHARD_WORDS = 3_000_000
+#: Words that a task mines at once; it waits for half as many more, so that no small rest is a shard of its own.
+SHARD_WORDS = 2_500_000
+#: Words of a language for each part in which its mined phrases are joined.
+UNION_WORDS = 1 << 21
 #: Words of which a task gives back the phrases as text at once.
 TEXT_WORDS = 1_000_000
 FILTER_BITS = 1 << 27
@@ -70,38 +76,46 @@ class PieceWords(Words):
 
 
 class Shard:
-    """Words of some texts, in order: hash, piece and language of each; ``need``: support of each language."""
+    """Words of some texts, in order: hash, piece and language of each."""
 
-    def __init__(self, parts: list[tuple], languages: dict[str, tuple[int, int]], least: int):
+    def __init__(self, parts: list[tuple], languages: dict[str, tuple[int, int]]):
+        """``parts`` are (hashes, pieces, codes); ``languages`` have the code and the number of words of all texts."""
         self.word = np.concatenate([p[0] for p in parts])
         steps = np.cumsum([0] + [int(p[1][-1]) + 1 if len(p[1]) else 0 for p in parts])
         self.piece = np.concatenate([p[1] + np.int32(s) for p, s in zip(parts, steps)])
         self.lang = np.concatenate([p[2] for p in parts])
-        self.names = sorted(languages, key=lambda x: languages[x][0])
-        self.seed = np.array([xxhash.xxh64_intdigest(x) for x in self.names], np.uint64)
-        here = np.bincount(self.lang, minlength=len(self.names))
-        # counts are at least 1, so a support of 0 is one occurrence
-        self.need = np.array([-(-least * int(s) // max(languages[x][1], 1)) for s, x in zip(here, self.names)], np.int64)
-
-    def phrases(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Of each length: the key of the phrase at each word, and whether it lies within a piece."""
-        g, n = self.word, len(self.word)
-        for length in range(1, longest + 1):
-            if length > 1:
-                if n < length:
-                    return
-                g = mix(g[: n - length + 1] * _U(0x9E3779B97F4A7C15) + self.word[length - 1:] + _U(length))
-            last = n - length + 1
-            yield length, mix(g ^ self.seed[self.lang[:last]]), self.piece[:last] == self.piece[length - 1:]
-
-    def frequent(self, key: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys with the support of their language among the marked positions, and the positions that have one."""
-        at = np.flatnonzero(ok)
-        value, first, inverse, times = np.unique(key[at], return_index=True, return_inverse=True, return_counts=True)
-        enough = times >= self.need[self.lang[at[first]]]
-        out = np.zeros(len(ok), bool)
-        out[at[enough[inverse]]] = True
-        return value[enough], out
+        self.languages = languages
+
+    def by_language(self) -> Iterator[tuple[str, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Name, words of all texts, and places, hashes and pieces of the words here."""
+        order = np.argsort(self.lang, kind="stable")
+        ends = np.searchsorted(self.lang[order], np.arange(len(self.languages) + 1))
+        for name, (code, total) in self.languages.items():
+            at = order[ends[code]: ends[code + 1]]
+            if len(at):
+                yield name, total, at, self.word[at], self.piece[at]
+
+
+def phrases(lang: str, word: np.ndarray, piece: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each length: the key of the phrase at each word of a language, and whether it lies within a piece."""
+    g, n, seed = word, len(word), _U(xxhash.xxh64_intdigest(lang))
+    for length in range(1, min(longest, n) + 1):
+        if length > 1:
+            g = mix(g[: n - length + 1] * _U(0x9E3779B97F4A7C15) + word[length - 1:] + _U(length))
+        last = n - length + 1
+        yield length, mix(g ^ seed), piece[:last] == piece[length - 1:]
+
+
+def counts_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and how often each is there."""
+    key = np.sort(key)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.diff(np.append(first, len(key)))
+
+
+def support(least: int, here: int, total: int) -> int:
+    """Occurrences that a phrase with ``least`` in all texts has in some shard with its share of the words."""
+    return -(-least * here // total)
 
 
 def marked(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -109,7 +123,7 @@ def marked(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     return (bits[(at >> _U(6)).astype(np.int64)] >> (at & _U(63)) & _U(1)).astype(bool)
 
 
-def by_shard(least: int, size: int, work: Callable[[Shard], Iterator[pa.RecordBatch]]) -> Callable:
+def by_shard(size: int, work: Callable[[Shard], Iterator[pa.RecordBatch]]) -> Callable:
     """An Arrow map over (text, lang, n) that hands ``work`` shards of about ``size`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,86 +136,131 @@ def by_shard(least: int, size: int, work: Callable[[Shard], Iterator[pa.RecordBa
                 code = np.array([languages.setdefault(names[i], (len(languages), sizes[i]))[0] for i in range(lo, hi)], np.int32)
                 parts.append((w.hashes(), w.piece, np.repeat(code, w.counts())))
                 total += len(w)
-                if total >= size:
-                    yield from work(Shard(parts, languages, least))
-                    parts, languages, total = [], {}, 0
+                if 2 * total >= 3 * size:
+                    ready, left = [], total
+                    while left > size // 2:
+                        ready.append(parts.pop(0))
+                        left -= len(ready[-1][0])
+                    yield from work(Shard(ready, languages))
+                    total = left
         if total:
-            yield from work(Shard(parts, languages, least))
+            yield from work(Shard(parts, languages))
 
     return run
 
 
-def _bits_batch(keys: list[np.ndarray], size: int) -> pa.RecordBatch:
-    at = np.unique(np.concatenate(keys) & _U(size - 1)) if keys else np.zeros(0, np.uint64)
-    slot, first = np.unique(at >> _U(6), return_index=True)
-    bits = np.bitwise_or.reduceat(_U(1) << (at & _U(63)), first) if len(at) else at
-    return pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(bits.view(np.int64))], ["slot", "bits"])
+MINED = "lang string, block int, slack long, keys array<long>, excess array<int>"
+
+
+def _mined_batch(lang: str, total: int, need: int, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """A shard's phrases of a language, in parts by the first bits of their keys; part 0 tells what the shard may hide."""
+    bits = max(0, (-(-total // UNION_WORDS) - 1).bit_length())
+    key, times = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    order = np.argsort(key, kind="stable")
+    key, times = key[order], times[order]
+    block = (key >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
+    blocks = np.union1d(block, [0])
+    bounds = pa.array(np.append(np.searchsorted(block, blocks), len(key)).astype(np.int32))
+    return pa.RecordBatch.from_arrays([
+        pa.array([lang] * len(blocks), pa.string()), pa.array(blocks.astype(np.int32)), pa.array(np.where(blocks == 0, need - 1, 0)),
+        pa.ListArray.from_arrays(bounds, pa.array(key.view(np.int64))),
+        pa.ListArray.from_arrays(bounds, pa.array((times - (need - 1)).astype(np.int32))),
+    ], ["lang", "block", "slack", "keys", "excess"])
 
 
 def _counts_batch(length: int, keys: np.ndarray) -> pa.RecordBatch:
-    value, times = np.unique(keys, return_counts=True)
+    value, times = counts_of(keys)
     return pa.RecordBatch.from_arrays(
         [pa.array(value.view(np.int64)), pa.array(np.full(len(value), length, np.int8)), pa.array(times)], ["key", "words", "f"])
 
 
-def bitmap(found: DataFrame, size: int) -> np.ndarray:
-    """The marks (slot, bits) as one bitmap: at most size / 64 rows reach the driver."""
-    rows = found.groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(size // 64, np.uint64)
-    out[rows.column("slot").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
-    return out
+def candidates(mined: DataFrame, least: int) -> DataFrame:
+    """The keys whose count can reach ``least`` by what the shards gave and may hide."""
+    hidden = mined.groupBy("lang").agg(F.sum("slack").alias("hidden"))
+
+    def join(given: pa.Table) -> pa.Table:
+        key = np.concatenate([c.flatten().to_numpy() for c in given.column("keys").chunks] or [np.zeros(0, np.int64)])
+        more = np.concatenate([c.flatten().to_numpy() for c in given.column("excess").chunks] or [np.zeros(0, np.int32)])
+        order = np.argsort(key, kind="stable")
+        key, more = key[order], more[order].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        most = (np.add.reduceat(more, first) if len(first) else more) + given.column("hidden")[0].as_py()
+        return pa.table([pa.array(key[first][most >= least])], ["key"])
+
+    return mined.join(hidden, "lang").groupBy("lang", "block").applyInArrow(join, "key long")
 
 
 def marks_of(keys: DataFrame, size: int) -> np.ndarray:
-    at = F.col("key").bitwiseAND(F.lit(size - 1))
-    return bitmap(keys.select(F.shiftright(at, 6).cast("int").alias("slot"), F.expr(f"shiftleft(1L, CAST((key & {size - 1}L) & 63 AS INT))").alias("bits")), size)
+    """The keys as a bitmap: at most size / 64 rows reach the driver."""
+    slot = F.shiftright(F.col("key").bitwiseAND(F.lit(size - 1)), 6).cast("int").alias("slot")
+    rows = keys.select(slot, F.expr("shiftleft(1L, CAST(key & 63L AS INT))").alias("bits")).groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.uint64)
+    out[rows.column("slot").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out
 
 
 def counted(docs: DataFrame, least: int, size: int, filter_bits: int) -> DataFrame:
     """key, words (1 to 5), f of every phrase, and of every single word, with f >= least; docs has text, lang, n."""
-    out = "slot int, bits long"
 
     def mine_pairs(shard: Shard) -> Iterator[pa.RecordBatch]:
-        yield _bits_batch([shard.frequent(key, ok)[0] for length, key, ok in shard.phrases(2) if length == 2], filter_bits)
+        for lang, total, _, word, piece in shard.by_language():
+            need, found = support(least, len(word), total), []
+            for _, key, ok in phrases(lang, word, piece, 2):
+                value, times = counts_of(key[ok])
+                found.append((value[times >= need], times[times >= need]))
+            yield _mined_batch(lang, total, need, found)
 
-    pairs = bitmap(docs.mapInArrow(by_shard(least, size, mine_pairs), out), filter_bits)
+    def marks(task: Callable) -> np.ndarray:
+        mined = stage(docs.mapInArrow(by_shard(size, task), MINED), "collocations_mined")
+        made = marks_of(candidates(mined, least), filter_bits)
+        unstage(mined)
+        return made
 
-    def count_pairs(shard: Shard) -> Iterator[pa.RecordBatch]:
-        for length, key, ok in shard.phrases(2):
-            yield _counts_batch(length, key if length == 1 else key[ok & marked(pairs, key)])
+    def total_of(task: Callable, name: str) -> DataFrame:
+        counts = docs.mapInArrow(by_shard(size, task), "key long, words byte, f long")
+        return stage(counts.groupBy("key", "words").agg(F.sum("f").alias("f")).filter(F.col("f") >= least), name)
 
-    def total(task: Callable) -> DataFrame:
-        counts = docs.mapInArrow(by_shard(least, size, task), "key long, words byte, f long")
-        return counts.groupBy("key", "words").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+    first = marks(mine_pairs)
+
+    def count_pairs(shard: Shard) -> Iterator[pa.RecordBatch]:
+        for lang, _, _, word, piece in shard.by_language():
+            for length, key, ok in phrases(lang, word, piece, 2):
+                yield _counts_batch(length, key[ok & marked(first, key)])
 
-    short = stage(total(count_pairs), "collocations_pairs")
+    short = total_of(count_pairs, "collocations_pairs")
     common = marks_of(short.filter("words = 2"), filter_bits)
 
     def mine_long(shard: Shard) -> Iterator[pa.RecordBatch]:
-        keys, ok = [], np.zeros(0, bool)
-        for length, key, within in shard.phrases(MOST_WORDS):
-            if length == 2:
-                ok = within & marked(common, key)
-            elif length > 2:
-                ok = ok[:-1] & ok[1:]
-                value, ok = shard.frequent(key, ok)
-                keys.append(value)
-        yield _bits_batch(keys, filter_bits)
-
-    candidates = bitmap(docs.mapInArrow(by_shard(least, size, mine_long), out), filter_bits)
+        for lang, total, _, word, piece in shard.by_language():
+            need, found, ok = support(least, len(word), total), [], np.zeros(0, bool)
+            for length, key, within in phrases(lang, word, piece, MOST_WORDS):
+                if length == 2:
+                    ok = within & marked(common, key)
+                elif length > 2:
+                    at = np.flatnonzero(ok[:-1] & ok[1:])
+                    value, times = counts_of(key[at])
+                    value, times = value[times >= need], times[times >= need]
+                    found.append((value, times))
+                    ok = np.zeros(len(key), bool)
+                    if len(value):
+                        ok[at] = value[np.minimum(np.searchsorted(value, key[at]), len(value) - 1)] == key[at]
+            yield _mined_batch(lang, total, need, found)
+
+    second = marks(mine_long)
 
     def count_long(shard: Shard) -> Iterator[pa.RecordBatch]:
-        ok = np.zeros(0, bool)
-        for length, key, within in shard.phrases(MOST_WORDS):
-            if length == 2:
-                ok = within & marked(common, key)
-            elif length > 2:
-                # all parts of a candidate are candidates or frequent pairs
-                ok = ok[:-1] & ok[1:]
-                ok[ok] = marked(candidates, key[ok])
-                yield _counts_batch(length, key[ok])
-
-    long = stage(total(count_long), "collocations_long")
+        for lang, _, _, word, piece in shard.by_language():
+            ok = np.zeros(0, bool)
+            for length, key, within in phrases(lang, word, piece, MOST_WORDS):
+                if length == 2:
+                    ok = within & marked(common, key)
+                elif length > 2:
+                    # all parts of a candidate are candidates or frequent pairs
+                    ok = ok[:-1] & ok[1:]
+                    ok[ok] = marked(second, key[ok])
+                    yield _counts_batch(length, key[ok])
+
+    long = total_of(count_long, "collocations_long")
     out = short.unionByName(long)
     out.tables = (short, long)
     return out
@@ -219,16 +278,16 @@ def with_words(docs: DataFrame, found: DataFrame, filter_bits: int) -> DataFrame
             w = PieceWords(text)
             languages: dict = {}
             code = np.array([languages.setdefault(x, (len(languages), 1))[0] for x in names], np.int32)
-            shard = Shard([(w.hashes(), w.piece, np.repeat(code, w.counts()))], languages, 1)
+            shard = Shard([(w.hashes(), w.piece, np.repeat(code, w.counts()))], languages)
             data = w.data.tobytes()
-            for length, key, ok in shard.phrases(MOST_WORDS):
-                at = np.flatnonzero(ok & marked(bits, key))
-                value, first = np.unique(key[at], return_index=True)
-                at = at[first]
-                lo, hi = w.starts, w.ends
-                phrases = [b" ".join(data[lo[j]: hi[j]] for j in range(i, i + length)).decode("utf-8", "replace") for i in at.tolist()]
-                lang = pa.array([shard.names[c] for c in shard.lang[at].tolist()], pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), lang, pa.array(phrases, pa.string())], ["key", "lang", "phrase"])
+            for name, _, places, word, piece in shard.by_language():
+                lo, hi = w.starts[places], w.ends[places]
+                for length, key, ok in phrases(name, word, piece, MOST_WORDS):
+                    at = np.flatnonzero(ok & marked(bits, key))
+                    value, one = np.unique(key[at], return_index=True)
+                    spelt = [b" ".join(data[lo[j]: hi[j]] for j in range(i, i + length)).decode() for i in at[one].tolist()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(value.view(np.int64)), pa.array([name] * len(value), pa.string()), pa.array(spelt, pa.string())], ["key", "lang", "phrase"])
 
         for batch in batches:
             text, lang = batch.column("text"), batch.column("lang").to_pylist()

@@ -3,10 +3,12 @@
 A document is its set of hashed shingles; equal sets are one vertex, its smallest doc_id.  Three steps
 find every link with Jaccard >= percent / 100:
 
-1. *Blocking that loses nothing.*  Sizes fall in bands so that linked sets are in the same or the next
-   band.  For a pair of bands at most D elements differ, so of m > D hashed parts of the sets at least
-   m - D are equal.  Each document emits a key per part.  Shingles that are frequent in a bounded sample
-   are left out of the parts (they cannot add differences); documents that then have too few telling
+1. *Blocking that loses nothing.*  Linked sets share many of the first elements of both in one order of all
+   shingles (rare ones first), so every set emits that prefix, about a fifth of it, and one that shares too few
+   of its prefix with other sets is done.  The others fall in size bands so that linked sets are in the same or
+   the next band.  For a pair of bands at most D elements differ, so of m > D hashed parts of the sets at least
+   m - D are equal.  Each set emits a key per part.  Shingles that are frequent in a bounded sample
+   are left out of the parts (they cannot add differences); sets that then have too few telling
    parts also emit the parts of the full set, down to single-element and empty parts if it takes them.
 2. *A linear number of checks first.*  Each vertex is compared with the smaller one with which it is
    neighbour in most keys; verified links make a forest, whose roots are found by pointer doubling.
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidewatch.llm.common import id_hash
 from tidewatch.llm.words import Words, mix, slices
@@ -38,9 +40,9 @@ SAMPLE_ROWS, SAMPLE_TIMES, MOST_FREQUENT = 10_000, 8, 1 << 18
 #: Set elements of a block of one cluster.
 BLOCK_GRAMS = 1 << 20
 MAX_BITS = 1 << 15
-#: Ids up to this many are sent to all tasks instead of moving texts to them.
-BROADCAST_IDS = 1_000_000
-#: Texts of which a task remembers that it has emitted their keys.
+#: A prefix has room for one more common shingle per so many shingles of a set.
+PREFIX_PART = 20
+#: Texts of which a task remembers that it has emitted their prefix.
 SEEN = 200_000
 
 _U = np.uint64
@@ -151,52 +153,91 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
     return np.sort(np.array([r.h for r in found], np.int64).view(np.uint64))
 
 
-def vertices(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), f1, f2 (fingerprint of the set) and keys of each document; keys once per task for equal sets.
+def extra(n: Column) -> Column:
+    """Common shingles that a prefix has room for beyond the first."""
+    return F.floor(n / F.lit(PREFIX_PART))
 
-    A row without a doc_id names no vertex, so it has no keys and does not stand for its equal sets.
+
+def vertices(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
+    """doc_id, n (set size), f1, f2 (fingerprint of the set) and prefix of each document; a prefix once per task for equal sets.
+
+    Shingles have one order for all sets, the ``frequent`` ones last.  The prefix is the first
+    n - ceil(percent n / 100) + 1 + n // PREFIX_PART of a set.  A row without a doc_id names no vertex, so it
+    has no prefix and does not stand for its equal sets.
     """
-    frequent = frequent_shingles(docs, k)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, seen = Bands(percent), set()
+        seen: set = set()
         for batch in batches:
             text = batch.column(1)
             for lo, hi in slices(text):
                 value, bounds = shingle_sets(text.slice(lo, hi - lo), k)
-                near = np.searchsorted(frequent, value)
-                rare = frequent[np.minimum(near, len(frequent) - 1)] != value if len(frequent) else np.ones(len(value), bool)
+                n = np.diff(bounds)
                 one = np.concatenate([[_U(0)], np.cumsum(mix(value + _U(11)), dtype=np.uint64)])
                 two = np.concatenate([[_U(0)], np.cumsum(mix(value + _U(77)), dtype=np.uint64)])
                 f1, f2 = (t[bounds[1:]] - t[bounds[:-1]] for t in (one, two))
-                keys, ends = [], [0]
                 known = batch.column(0).slice(lo, hi - lo).is_valid().to_pylist()
-                for i in range(hi - lo):
-                    a, b = bounds[i], bounds[i + 1]
-                    name = (int(f1[i]), int(f2[i]))
-                    if b > a and known[i] and name not in seen:
+                first = np.zeros(hi - lo, bool)
+                for i, name in enumerate(zip(f1.tolist(), f2.tolist())):
+                    if n[i] and known[i] and name not in seen:
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(name)
-                        keys.append(keys_of(value[a:b], rare[a:b], bands))
-                        ends.append(ends[-1] + len(keys[-1]))
-                    else:
-                        ends.append(ends[-1])
-                flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+                        first[i] = True
+                length = np.where(first, n - -(-percent * n // 100) + 1 + n // PREFIX_PART, 0)
+                length = np.minimum(length, n)
+                if len(frequent) and len(value):
+                    late = frequent[np.minimum(np.searchsorted(frequent, value), len(frequent) - 1)] == value
+                    value = value[np.lexsort((value, late, np.repeat(np.arange(hi - lo), n)))]
+                place = np.arange(len(value)) - np.repeat(bounds[:-1], n)
+                kept = value[place < np.repeat(length, n)]
+                ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(flat.view(np.int64))),
-                ], ["doc_id", "n", "f1", "f2", "keys"])
+                    batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(kept.view(np.int64))),
+                ], ["doc_id", "n", "f1", "f2", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(make, f"doc_id {kind}, n bigint, f1 bigint, f2 bigint, keys array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(make, f"doc_id {kind}, n bigint, f1 bigint, f2 bigint, prefix array<bigint>")
+
+
+def open_sets(made: DataFrame, percent: int) -> DataFrame:
+    """f1 of the sets that may be linked to another.
+
+    Linked sets of a and b shingles share at least T = ceil(percent max(a, b) / 100), and the first j of these lie
+    in the first a - T + j and b - T + j.  So both prefixes hold the first ``extra`` + 1 of the smaller one, and a
+    set of n shingles that shares fewer than that of ceil(percent n / 100) with other sets has no link.
+    """
+    rows = made.filter(F.size("prefix") > 0).select("f1", "n", F.explode("prefix").alias("h"))
+    beside = W.partitionBy("h").orderBy("f1")
+    met = rows.withColumn("p", F.lag("f1").over(beside)).withColumn("q", F.lead("f1").over(beside))
+    met = met.filter("p <> f1 OR q <> f1").select("f1", "n", "h").distinct()
+    least = extra(F.ceil(F.col("n") * percent / 100)) + 1
+    return met.groupBy("f1", "n").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least).select("f1").distinct()
+
+
+def keys_in(sets: DataFrame, percent: int, frequent: np.ndarray) -> DataFrame:
+    """(key, v) of sets (v, n, grams); frequent shingles make no keys where others are enough."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(percent)
+        for batch in batches:
+            grams = batch.column(1)
+            for i in range(batch.num_rows):
+                x = grams[i].values.to_numpy().view(np.uint64)
+                rare = np.ones(len(x), bool)
+                if len(frequent):
+                    rare = frequent[np.minimum(np.searchsorted(frequent, x), len(frequent) - 1)] != x
+                keys = keys_of(x, rare, bands)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(0).take(pa.array(np.full(len(keys), i)))], ["key", "v"])
+
+    kind = sets.schema["v"].dataType.simpleString()
+    return sets.select("v", "grams").mapInArrow(make, f"key bigint, v {kind}")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, k: int, percent: int) -> DataFrame:
     """v, n, band and grams array<bigint> of the documents in ``ids`` (v)."""
     ids = ids.select(F.col("v").alias("doc_id"))
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
@@ -284,10 +325,12 @@ def roots(parents: DataFrame) -> DataFrame:
     step = stage(parents, "jaccard_forest")
     while True:
         above = step.select(F.col("v").alias("up"), F.col("up").alias("next"))
-        step = stage(step.join(above, "up", "left").select("v", F.coalesce("next", "up").alias("up"), F.col("next").isNotNull().alias("moved")), "jaccard_forest")
+        after = step.join(above, "up", "left").select("v", F.coalesce("next", "up").alias("up"), F.col("next").isNotNull().alias("moved"))
+        after = stage(after, "jaccard_forest")
+        unstage(step)
+        step = after
         if not step.filter("moved").limit(1).count():
             return step.select("v", F.col("up").alias("comp"))
-        step = step.select("v", "up")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -308,7 +351,9 @@ def components(links: DataFrame) -> DataFrame:
         small = joined.select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(least.select("x", F.col("m").alias("y")))
         after = stage(small.filter("x <> y").distinct(), "jaccard_edges")
         if not after.exceptAll(edges).limit(1).count() and not edges.exceptAll(after).limit(1).count():
+            unstage(edges)
             return after.select(F.col("x").alias("v"), F.col("y").alias("comp"))
+        unstage(edges)
         edges = after
 
 
@@ -320,23 +365,20 @@ def components_of(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCEN
     else has a null component.
     """
     docs = docs.select("doc_id", "text")
-    made = stage(vertices(docs, k, percent), "jaccard_vertices")
+    frequent = frequent_shingles(docs, k)
+    made = stage(vertices(docs, k, percent, frequent), "jaccard_vertices")
     classes = made.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("v"))
     named = stage(made.select("doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left").select(
         "doc_id", "n", F.when(F.col("n") > 0, F.col("v")).otherwise(F.col("doc_id")).alias("v")), "jaccard_named")
-    # keys with two documents or more, then with two vertices or more
-    emitted = made.filter(F.size("keys") > 0).select("doc_id", F.explode("keys").alias("key"))
-    beside = W.partitionBy("key").orderBy("doc_id")
-    met = emitted.withColumn("p", F.lag("doc_id").over(beside)).withColumn("q", F.lead("doc_id").over(beside))
-    met = stage(met.filter("p IS NOT NULL OR q IS NOT NULL").select("key", "doc_id"), "jaccard_met")
+    # the smallest document of each set that may have a link
+    able = stage(classes.filter("v IS NOT NULL").join(open_sets(made, percent), "f1", "left_semi").select("v"), "jaccard_open")
     unstage(made)
-    own = named.filter("doc_id IS NOT NULL").select("doc_id", "v").distinct()
+    sets = stage(sets_of(docs, able, k, percent), "jaccard_sets")
+    unstage(able)
     beside = W.partitionBy("key").orderBy("v")
-    shared = met.join(own, "doc_id").select("key", "v").distinct()
+    shared = keys_in(sets, percent, frequent).distinct()
     shared = shared.withColumn("p", F.lag("v").over(beside)).withColumn("q", F.lead("v").over(beside))
     shared = stage(shared.filter("p IS NOT NULL OR q IS NOT NULL").select("key", "v", "p"), "jaccard_shared")
-    unstage(met)
-    sets = stage(sets_of(docs, shared.select("v").distinct(), k, percent), "jaccard_sets")
     # a linear number of checks
     best = shared.filter("p IS NOT NULL").groupBy("v", "p").agg(F.count("*").alias("times"))
     best = best.groupBy("v").agg(F.max(F.struct("times", (-F.col("p")).alias("p"))).alias("m")).select(F.col("v").alias("a"), (-F.col("m.p")).alias("b"))
@@ -373,13 +415,10 @@ def representatives(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     found = components_of(docs, k, percent)
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
     gone = gone.join(found.filter("doc_id = component_id").select("doc_id"), "doc_id", "left_anti")
-    few = stage(gone, "jaccard_gone")
-    if few.count() <= BROADCAST_IDS:
-        few = F.broadcast(few)
-    kept = docs.join(few, "doc_id", "left_anti")
+    kept = docs.join(stage(gone, "jaccard_gone"), "doc_id", "left_anti")
     again = stage(found.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "jaccard_again")
-    twice = kept.join(F.broadcast(again) if again.count() <= BROADCAST_IDS else again, "doc_id", "left_semi")
-    once = kept.join(F.broadcast(again) if again.count() <= BROADCAST_IDS else again, "doc_id", "left_anti")
+    twice = kept.join(again, "doc_id", "left_semi")
+    once = kept.join(again, "doc_id", "left_anti")
     named = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
     least = twice.groupBy("doc_id").agg(F.min(F.struct("text", *named)).alias("_row"))
     return once.unionByName(least.select("doc_id", "_row.*").select(*docs.columns))
