@@ -1,19 +1,12 @@
-"""Exact percentiles that hold for groups of any size.
-
-Spark's ``percentile`` keeps every distinct value of a group in one task.  Here a
-mergeable sketch brackets each wanted rank first; one more pass counts the rows below
-the bracket and keeps only the few rows inside it, from which the exact order statistics
-are read.  The result equals linear interpolation between closest ranks.
-"""
+"""Exact percentiles that hold for groups of any size (see ``order``)."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-ACCURACY = 10000
-MARGIN = 4.0 / ACCURACY
+from tidewatch.functions.order import order_statistics
 
 
 def percentiles(
@@ -27,44 +20,10 @@ def percentiles(
 ) -> DataFrame:
     """One row per ``keys`` with the number of non-null values and one column per prob.
 
-    ``part`` is a column that spreads a key over tasks (the chunk the rows are already
-    partitioned by); None uses a hash salt.  ``carry`` is a column that is constant within
-    a series (its length) and is passed on.
+    ``part`` is a column that tells equal values of a key apart (the chunk the rows are in).  ``carry`` is a
+    column that is constant within a series (its length) and is passed on.
     """
-    keys = list(keys)
-    if carry:
-        out = percentiles(df, [*keys, carry], value, probs, part, count)
-        return out
-    df = df.filter(F.col(value).isNotNull())
-    if part is None:
-        part = "_salt"
-        df = df.withColumn(part, F.pmod(F.xxhash64(value), F.lit(64)).cast("long"))
-    names, ps = list(probs), list(probs.values())
-    edges = [max(0.0, p - MARGIN) for p in ps] + [min(1.0, p + MARGIN) for p in ps]
-    sketch = df.groupBy(*keys).agg(
-        F.count(value).alias(count),
-        F.min(part).alias("_p0"), F.max(part).alias("_p1"),
-        F.min(value).alias("_min"), F.max(value).alias("_max"),
-        F.percentile_approx(value, F.array(*[F.lit(e) for e in edges]), F.lit(ACCURACY)).alias("_e"),
-    )
-    k = len(ps)
-    # a small group is its own bracket: there a rank margin is less than one row
-    small = F.col(count) <= ACCURACY
-    lo = [F.col("_min") if edges[i] <= 0 else F.when(small, F.col("_min")).otherwise(F.col("_e")[i]) for i in range(k)]
-    hi = [
-        F.col("_max") if edges[k + i] >= 1 else F.when(small, F.col("_max")).otherwise(F.col("_e")[k + i])
-        for i in range(k)
-    ]
-    brackets = sketch.select(
-        *keys, count, "_p0", "_p1",
-        F.array(*[F.lit(p) for p in ps]).alias("_ps"),
-        F.array(*[l.cast("double") for l in lo]).alias("_lo"),
-        F.array(*[h.cast("double") for h in hi]).alias("_hi"),
-    )
-    return _read_ranks(df, keys, value, part, brackets, names, count)
-
-
-GRID = 1000
+    return order_statistics(df, [*keys, carry] if carry else keys, value, probs, part, count)
 
 
 def percentiles_by(
@@ -73,67 +32,10 @@ def percentiles_by(
 ) -> DataFrame:
     """As ``percentiles`` with probabilities that differ between groups.
 
-    ``wanted`` has the keys and one probability column per name.  The sketch gives a grid
-    of values, from which each group takes the cells around its own probabilities.
+    ``wanted`` has the keys and one probability column per name; it meets the rows on (keys, part), so a long
+    group is spread over its parts.
     """
-    keys = list(keys)
-    df = df.filter(F.col(value).isNotNull())
-    grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
-    sketch = df.groupBy(*keys).agg(
-        F.count(value).alias(count), F.min(part).alias("_p0"), F.max(part).alias("_p1"),
-        F.min(value).alias("_min"), F.max(value).alias("_max"),
-        F.percentile_approx(value, grid, F.lit(ACCURACY)).alias("_e"),
-    ).join(wanted.select(*keys, *names), keys)
-    small = F.col(count) <= ACCURACY
-
-    def edge(p, step, outer, fallback):
-        cell = (F.floor(F.col(p) * GRID) + step).cast("int")
-        beyond = (cell <= 0) if step < 0 else (cell >= GRID)
-        return F.when(small | beyond, F.col(fallback)).otherwise(F.get("_e", cell)).cast("double")
-
-    brackets = sketch.select(
-        *keys, count, "_p0", "_p1",
-        F.array(*[F.col(p).cast("double") for p in names]).alias("_ps"),
-        F.array(*[edge(p, -1, 0, "_min") for p in names]).alias("_lo"),
-        F.array(*[edge(p, 2, GRID, "_max") for p in names]).alias("_hi"),
-    )
-    return _read_ranks(df, keys, value, part, brackets, list(names), count)
-
-
-def _read_ranks(df, keys, value, part, brackets, names, count):
-    """Exact order statistics from rows inside the brackets and a count of those below."""
-    k = len(names)
-    spread = brackets.withColumn(part, F.explode(F.sequence("_p0", "_p1")))
-    tagged = df.select(*keys, part, F.col(value).cast("double").alias("_v")).join(
-        spread.select(*keys, part, "_lo", "_hi"), [*keys, part]
-    )
-    placed = F.array(*[
-        F.when(F.col("_v") <= F.col("_hi")[i], F.struct(
-            F.lit(i).alias("_i"),
-            F.when(F.col("_v") >= F.col("_lo")[i], F.col("_v")).alias("_c"),
-        )) for i in range(k)
-    ])
-    counted = (
-        tagged.select(*keys, F.explode(F.filter(placed, lambda s: s.isNotNull())).alias("_s"))
-        .select(*keys, "_s.*").groupBy(*keys, "_i", "_c").agg(F.count(F.lit(1)).alias("_n"))
-    )
-    w = Window.partitionBy(*keys, "_i").orderBy(F.col("_c").asc_nulls_first())
-    ranked = counted.withColumn("_to", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    p_of = F.element_at("_ps", F.col("_i") + 1)
-    picked = ranked.join(brackets.select(*keys, count, "_ps"), keys).withColumn(
-        "_r", p_of * (F.col(count) - 1)
-    )
-    below = F.col("_to") - F.col("_n")
-
-    def at(rank):
-        hit = (below <= rank) & (rank < F.col("_to"))
-        sure = F.when(F.col("_c").isNull(), F.raise_error(F.lit("percentile bracket missed a rank")).cast("double"))
-        return F.max(F.when(hit, F.coalesce(F.col("_c"), sure)))
-
-    stats = picked.groupBy(*keys, "_i", count).agg(
-        at(F.floor("_r")).alias("_a"), at(F.ceil("_r")).alias("_b"), F.first("_r").alias("_r")
-    )
-    exact = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_r") - F.floor("_r"))
-    return stats.groupBy(*keys, count).agg(
-        *[F.max(F.when(F.col("_i") == i, exact)).alias(name) for i, name in enumerate(names)]
-    )
+    spans = df.groupBy(*keys).agg(F.min(part).alias("_p0"), F.max(part).alias("_p1"))
+    asked = wanted.select(*keys, *[F.col(n).cast("double").alias(f"_w_{n}") for n in names])
+    spread = spans.join(asked, list(keys)).withColumn(part, F.explode(F.sequence("_p0", "_p1"))).drop("_p0", "_p1")
+    return order_statistics(df.join(spread, [*keys, part]), keys, value, {n: f"_w_{n}" for n in names}, part, count)

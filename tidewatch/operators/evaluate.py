@@ -8,11 +8,10 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions.numeric import num, total
+from tidewatch.functions.order import area, below
 from tidewatch.functions.quantile import percentiles
 from tidewatch.operators.layout import CHUNK, IDX, KEYS, LEN, SERIES, attach, long_form
 
-SPLITS = 200
-SALTS = 64
 # fixed values: cost profiles of the published benchmark (true positive, false positive, false negative)
 PROFILES = {
     "standard": (1.0, 0.11, 1.0),
@@ -26,41 +25,12 @@ CATEGORY_FILES = {
 }
 
 
-def below(df: DataFrame, keys: Sequence[str], value: str, measures: Mapping[str, Column]) -> DataFrame:
-    """Per distinct value of a key: each measure's sum there and ``<m>_below`` at lower values.
-
-    A long key is cut at approximate quantiles into ranges; sums of earlier ranges are
-    added to the running sum inside a range.  The cut points only set the split, so the
-    result is exact.
-    """
-    keys, names = list(keys), list(measures)
-    at = df.groupBy(*keys, value).agg(*[F.sum(c).alias(m) for m, c in measures.items()])
-
-    def run(parts):
-        w = Window.partitionBy(*parts).orderBy(value)
-        return [(F.sum(m).over(w) - F.col(m)).alias(f"{m}_below") for m in names]
-
-    probs = F.array(*[F.lit(i / SPLITS) for i in range(1, SPLITS)])
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, probs).alias("_cuts"))
-    salted = cuts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    ranged = at.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"]).withColumn(
-        "_range", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))).drop("_cuts", "_salt")
-    per_range = ranged.groupBy(*keys, "_range").agg(*[F.sum(m).alias(m) for m in names])
-    w = Window.partitionBy(*keys).orderBy("_range")
-    earlier = per_range.select(*keys, "_range", *[(F.sum(m).over(w) - F.col(m)).alias(f"_e_{m}") for m in names])
-    out = ranged.select("*", *run([*keys, "_range"])).join(earlier, [*keys, "_range"])
-    for m in names:
-        out = out.withColumn(f"{m}_below", F.col(f"{m}_below") + F.col(f"_e_{m}"))
-    return out.drop("_range", *[f"_e_{m}" for m in names])
-
-
 def auc(df: DataFrame, keys: Sequence[str], score: str, label: str, weight: str | None = None) -> DataFrame:
     """Exact ROC area per key; ties count half; null when only one class is present."""
     w = num(1) if weight is None else F.col(weight)
     hit = F.col(label) == 1
-    ranks = below(df, keys, score, {"_p": F.when(hit, w).otherwise(num(0)), "_q": F.when(hit, num(0)).otherwise(w)})
-    area = F.sum(F.col("_p") * (F.col("_q_below") + 0.5 * F.col("_q"))) / (F.sum("_p") * F.sum("_q"))
-    return ranks.groupBy(*keys).agg(F.when((F.sum("_p") > 0) & (F.sum("_q") > 0), area).alias("auc"))
+    parts = area(df, keys, score, F.when(hit, w).otherwise(num(0)), F.when(hit, num(0)).otherwise(w))
+    return parts.select(*keys, F.when((F.col("hits") > 0) & (F.col("misses") > 0), F.col("area") / (F.col("hits") * F.col("misses"))).alias("auc"))
 
 
 def top_rows(df: DataFrame, score: str, k: int = 10) -> DataFrame:

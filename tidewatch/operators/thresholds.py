@@ -47,7 +47,8 @@ def robust_threshold(
     def q(frame, probs):
         return percentiles(frame, keys, value, probs, carry=LEN)
 
-    first = q(df, {"_p": prob, "_q1": 0.25, "_q2": 0.5, "_q3": 0.75, "_cap": cap_prob, "_cut": 1 - trim})
+    asked = {"percentile": {}, "trimmed_percentile": {"_cut": 1 - trim}, "iqr": {"_q1": 0.25, "_q3": 0.75}, "mad": {"_q2": 0.5}, "capped": {"_cap": cap_prob}}
+    first = q(df, {"_p": prob, **asked[method]})
     out = F.col("_p")
     if method == "trimmed_percentile":
         kept = attach(df, first.select(*keys, LEN, "_cut"), on=extra).filter(F.col(value) <= F.col("_cut"))
