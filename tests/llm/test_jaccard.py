@@ -116,7 +116,14 @@ def test_blocking_loses_nothing(percent):
             assert len(np.intersect1d(keys_of(a, rare(a), bands), keys_of(b, rare(b), bands)))
 
 
-def test_trees_lose_nothing_and_prune():
+def whole(p, q, percent):
+    a, b, looked = zip(*tree_pairs(p, q, percent))
+    return np.concatenate(a), np.concatenate(b), sum(looked)
+
+
+@pytest.mark.parametrize("front", [1 << 22, 1])
+def test_trees_lose_nothing_and_prune(monkeypatch, front):
+    monkeypatch.setattr(jaccard, "FRONT_BYTES", front)
     rng = np.random.default_rng(4)
     families = [rng.integers(0, 1 << 60, 100).astype(np.uint64) for _ in range(20)]
     sets = []
@@ -127,11 +134,11 @@ def test_trees_lose_nothing_and_prune():
     maps = np.stack([np.frombuffer(bitmap(x, 512), np.uint64) for x in sets])
     sizes, comps = np.array([len(x) for x in sets]), rng.integers(0, 40, 300)
     tree = SignatureTree(sizes, maps, comps)
-    a, b, looked = tree_pairs(tree, tree, 85)
+    a, b, looked = whole(tree, tree, 85)
     found = {(min(p), max(p)) for p in zip(a.tolist(), b.tolist())}
     half = np.arange(300) < 150
     p, q = SignatureTree(sizes[half], maps[half], comps[half]), SignatureTree(sizes[~half], maps[~half], comps[~half])
-    a, b, _ = tree_pairs(p, q, 85)
+    a, b, _ = whole(p, q, 85)
     across = set(zip(a.tolist(), (b + 150).tolist()))
     for i in range(300):
         for j in range(i):

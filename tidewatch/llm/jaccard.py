@@ -40,6 +40,8 @@ SAMPLE_ROWS, SAMPLE_TIMES, MOST_FREQUENT = 10_000, 8, 1 << 18
 #: Set elements of a block of one cluster.
 BLOCK_GRAMS = 1 << 20
 MAX_BITS = 1 << 15
+#: Bytes of bitmaps that are compared at once.
+FRONT_BYTES = 1 << 22
 #: A prefix has room for one more common shingle per so many shingles of a set.
 PREFIX_PART = 20
 #: Texts of which a task remembers that it has emitted their prefix.
@@ -288,36 +290,36 @@ class SignatureTree:
             self.levels.insert(0, (o[::2] | o[1::2], a[::2] & a[1::2], np.minimum(lo[::2], lo[1::2]), np.maximum(hi[::2], hi[1::2]), one))
 
 
-def tree_pairs(p: SignatureTree, q: SignatureTree, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Members (of p, of q) that may be linked and are of different components, and the node pairs looked at."""
-    a = b = np.zeros(1, np.int64)
-    depth, looked = max(len(p.levels), len(q.levels)), 0
-    for level in range(depth):
+def tree_pairs(p: SignatureTree, q: SignatureTree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Members (of p, of q) that may be linked and are of different components, and the node pairs looked at, in bounded blocks."""
+    depth = max(len(p.levels), len(q.levels))
+    front = max(64, FRONT_BYTES // (8 * p.levels[0][0].shape[1]))
+    stack = [(0, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    while stack:
+        level, a, b = stack.pop()
         np_, nq = p.levels[min(level, len(p.levels) - 1)], q.levels[min(level, len(q.levels) - 1)]
-        if level:
-            if level < len(p.levels):
-                a, b = np.concatenate([2 * a, 2 * a + 1]), np.concatenate([b, b])
-            if level < len(q.levels):
-                a, b = np.concatenate([a, a]), np.concatenate([2 * b, 2 * b + 1])
+        lo_p, hi_p, lo_q, hi_q = np_[2][a], np_[3][a], nq[2][b], nq[3][b]
+        ok = (hi_p >= 0) & (hi_q >= 0) & (100 * hi_p >= percent * lo_q) & (100 * hi_q >= percent * lo_p)
+        ok &= (np_[4][a] != nq[4][b]) | (np_[4][a] == -1)
+        looked, i, j = len(a), a[ok], b[ok]
+        most = np.minimum(
+            np_[3][i] - np.bitwise_count(np_[1][i] & ~nq[0][j]).sum(axis=1).astype(np.int64),
+            nq[3][j] - np.bitwise_count(nq[1][j] & ~np_[0][i]).sum(axis=1).astype(np.int64))
+        keep = (100 + percent) * most >= percent * (np_[2][i] + nq[2][j])
+        a, b = i[keep], j[keep]
+        if level + 1 == depth:
+            if p is q:
+                a, b = a[a != b], b[a != b]
+            yield p.order[a], q.order[b], looked
+            continue
+        yield a[:0], b[:0], looked
+        if level + 1 < len(p.levels):
+            a, b = np.concatenate([2 * a, 2 * a + 1]), np.concatenate([b, b])
+        if level + 1 < len(q.levels):
+            a, b = np.concatenate([a, a]), np.concatenate([2 * b, 2 * b + 1])
         if p is q:
             a, b = a[a <= b], b[a <= b]
-        keep = []
-        for at in range(0, len(a), 1 << 15):  # bounded numpy temporaries
-            i, j = a[at: at + (1 << 15)], b[at: at + (1 << 15)]
-            looked += len(i)
-            lo_p, hi_p, lo_q, hi_q = np_[2][i], np_[3][i], nq[2][j], nq[3][j]
-            ok = (hi_p >= 0) & (hi_q >= 0) & (100 * hi_p >= percent * lo_q) & (100 * hi_q >= percent * lo_p)
-            ok &= (np_[4][i] != nq[4][j]) | (np_[4][i] == -1)
-            i, j, sel = i[ok], j[ok], np.flatnonzero(ok)
-            most = np.minimum(
-                np_[3][i] - np.bitwise_count(np_[1][i] & ~nq[0][j]).sum(axis=1).astype(np.int64),
-                nq[3][j] - np.bitwise_count(nq[1][j] & ~np_[0][i]).sum(axis=1).astype(np.int64))
-            keep.append(at + sel[(100 + percent) * most >= percent * (np_[2][i] + nq[2][j])])
-        keep = np.concatenate(keep) if keep else np.zeros(0, np.int64)
-        a, b = a[keep], b[keep]
-    if p is q:
-        a, b = a[a != b], b[a != b]
-    return p.order[a], q.order[b], looked
+        stack += [(level + 1, a[at: at + front], b[at: at + front]) for at in range(0, len(a), front)]
 
 
 def roots(parents: DataFrame) -> DataFrame:
@@ -469,28 +471,32 @@ def group_links(group: list[dict], percent: int) -> list[tuple[int, int]]:
         return []
     p = SignatureTree(sizes[left], maps[left], comps[left])
     q = p if right is left else SignatureTree(sizes[right], maps[right], comps[right])
-    a, b, _ = tree_pairs(p, q, percent)
-    a, b = left[a], right[b]
-    # likely pairs first: the sooner components join, the fewer sets are compared
-    shared = np.concatenate([np.bitwise_count(maps[a[t: t + 4096]] & maps[b[t: t + 4096]]).sum(axis=1) for t in range(0, len(a), 4096)] or [np.zeros(0)])
-    up = list(range(len(names)))
-
-    def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    found = []
-    for t in np.argsort(-(shared / np.maximum(sizes[a], sizes[b])), kind="stable").tolist():
-        x, y = int(a[t]), int(b[t])
-        r, s = root(int(comps[x])), root(int(comps[y]))
-        if r == s:
-            continue
-        both = len(np.intersect1d(grams[x], grams[y], assume_unique=True))
-        if 100 * both >= percent * (len(grams[x]) + len(grams[y]) - both):
-            up[r] = s
-            found.append((x, y))
+    up, found, step = np.arange(len(names)), [], max(64, FRONT_BYTES // (8 * maps.shape[1]))
+
+    def flat() -> None:
+        while (up[up] != up).any():
+            up[:] = up[up]
+
+    for a, b, _ in tree_pairs(p, q, percent):
+        a, b = left[a], right[b]
+        flat()
+        apart = up[comps[a]] != up[comps[b]]
+        a, b = a[apart], b[apart]
+        # likely pairs first: the sooner components join, the fewer sets are compared
+        shared = np.concatenate([np.bitwise_count(maps[a[t: t + step]] & maps[b[t: t + step]]).sum(axis=1) for t in range(0, len(a), step)] or [np.zeros(0)])
+        for t in np.argsort(-(shared / np.maximum(sizes[a], sizes[b])), kind="stable").tolist():
+            x, y = int(a[t]), int(b[t])
+            r, s = int(comps[x]), int(comps[y])
+            while up[r] != r:
+                r = int(up[r])
+            while up[s] != s:
+                s = int(up[s])
+            if r == s:
+                continue
+            both = len(np.intersect1d(grams[x], grams[y], assume_unique=True))
+            if 100 * both >= percent * (len(grams[x]) + len(grams[y]) - both):
+                up[r] = s
+                found.append((x, y))
     return found
 
 
