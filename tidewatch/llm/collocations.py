@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tidewatch.llm.words import Words, mix, raw, slices
+from tidewatch.llm.words import Words, raw, slices
 from tidewatch.session import stage, unstage
 
 LEAST = 100
@@ -45,6 +45,8 @@ UNION_WORDS = 1 << 21
 #: Words of which a task gives back the phrases as text at once.
 TEXT_WORDS = 1_000_000
 FILTER_BITS = 1 << 27
+#: Phrases of which a task remembers that it has given them back as text.
+TOLD = 1_000_000
 #: Parts in which the first ranks of a language are found before the last ranking.
 RANK_PARTS = 64
 
@@ -80,16 +82,20 @@ class Shard:
 
     def __init__(self, parts: list[tuple], languages: dict[str, tuple[int, int]]):
         """``parts`` are (hashes, pieces, codes); ``languages`` have the code and the number of words of all texts."""
-        self.word = np.concatenate([p[0] for p in parts])
-        steps = np.cumsum([0] + [int(p[1][-1]) + 1 if len(p[1]) else 0 for p in parts])
-        self.piece = np.concatenate([p[1] + np.int32(s) for p, s in zip(parts, steps)])
-        self.lang = np.concatenate([p[2] for p in parts])
+        n = sum(len(p[0]) for p in parts)
+        self.word, self.piece, self.lang = np.empty(n, np.uint64), np.empty(n, np.int32), np.empty(n, np.int32)
+        at = steps = 0
+        while parts:  # the parts are given up as they are taken over
+            word, piece, lang = parts.pop(0)
+            to = at + len(word)
+            self.word[at:to], self.piece[at:to], self.lang[at:to] = word, piece + np.int32(steps), lang
+            at, steps = to, steps + (int(piece[-1]) + 1 if len(piece) else 0)
         self.languages = languages
 
     def by_language(self) -> Iterator[tuple[str, int, np.ndarray, np.ndarray, np.ndarray]]:
         """Name, words of all texts, and places, hashes and pieces of the words here."""
-        order = np.argsort(self.lang, kind="stable")
-        ends = np.searchsorted(self.lang[order], np.arange(len(self.languages) + 1))
+        order = np.argsort(self.lang, kind="stable").astype(np.int32)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(self.lang, minlength=len(self.languages)))])
         for name, (code, total) in self.languages.items():
             at = order[ends[code]: ends[code + 1]]
             if len(at):
@@ -100,15 +106,26 @@ def phrases(lang: str, word: np.ndarray, piece: np.ndarray, longest: int) -> Ite
     """Of each length: the key of the phrase at each word of a language, and whether it lies within a piece."""
     g, n, seed = word, len(word), _U(xxhash.xxh64_intdigest(lang))
     for length in range(1, min(longest, n) + 1):
-        if length > 1:
-            g = mix(g[: n - length + 1] * _U(0x9E3779B97F4A7C15) + word[length - 1:] + _U(length))
         last = n - length + 1
-        yield length, mix(g ^ seed), piece[:last] == piece[length - 1:]
+        if length > 1:
+            g = g[:last] * _U(0x9E3779B97F4A7C15)
+            g += word[length - 1:]
+            g += _U(length)
+            scramble(g)
+        yield length, scramble(g ^ seed), piece[:last] == piece[length - 1:]
+
+
+def scramble(x: np.ndarray) -> np.ndarray:
+    """``mix`` in place."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        x ^= x >> _U(shift)
+        x *= _U(factor)
+    return x
 
 
 def counts_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, and how often each is there."""
-    key = np.sort(key)
+    key.sort()  # a copy of the caller's
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     return key[first], np.diff(np.append(first, len(key)))
 
@@ -168,10 +185,30 @@ def _mined_batch(lang: str, total: int, need: int, found: list[tuple[np.ndarray,
     ], ["lang", "block", "slack", "keys", "excess"])
 
 
-def _counts_batch(length: int, keys: np.ndarray) -> pa.RecordBatch:
+COUNTED = "block int, words byte, keys array<long>, counts array<int>"
+
+
+def _counts_batch(length: int, total: int, keys: np.ndarray) -> pa.RecordBatch:
+    """Counts of a shard, in parts by the first bits of the keys."""
     value, times = counts_of(keys)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(value.view(np.int64)), pa.array(np.full(len(value), length, np.int8)), pa.array(times)], ["key", "words", "f"])
+    bits = max(0, (-(-total // UNION_WORDS) - 1).bit_length())
+    block = (value >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(value), np.int64)
+    blocks, first = np.unique(block, return_index=True)
+    bounds = pa.array(np.append(first, len(value)).astype(np.int32))
+    return pa.RecordBatch.from_arrays([
+        pa.array(((bits << 24) + blocks).astype(np.int32)), pa.array(np.full(len(blocks), length, np.int8)),
+        pa.ListArray.from_arrays(bounds, pa.array(value.view(np.int64))), pa.ListArray.from_arrays(bounds, pa.array(times.astype(np.int32))),
+    ], ["block", "words", "keys", "counts"])
+
+
+def _joined(given: pa.Table, keys: str, amounts: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of packed rows and the sums of their amounts."""
+    key = np.concatenate([c.flatten().to_numpy() for c in given.column(keys).chunks] or [np.zeros(0, np.int64)])
+    n = np.concatenate([c.flatten().to_numpy() for c in given.column(amounts).chunks] or [np.zeros(0, np.int32)])
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order].astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(n, first) if len(first) else n
 
 
 def candidates(mined: DataFrame, least: int) -> DataFrame:
@@ -179,13 +216,8 @@ def candidates(mined: DataFrame, least: int) -> DataFrame:
     hidden = mined.groupBy("lang").agg(F.sum("slack").alias("hidden"))
 
     def join(given: pa.Table) -> pa.Table:
-        key = np.concatenate([c.flatten().to_numpy() for c in given.column("keys").chunks] or [np.zeros(0, np.int64)])
-        more = np.concatenate([c.flatten().to_numpy() for c in given.column("excess").chunks] or [np.zeros(0, np.int32)])
-        order = np.argsort(key, kind="stable")
-        key, more = key[order], more[order].astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        most = (np.add.reduceat(more, first) if len(first) else more) + given.column("hidden")[0].as_py()
-        return pa.table([pa.array(key[first][most >= least])], ["key"])
+        key, more = _joined(given, "keys", "excess")
+        return pa.table([pa.array(key[more + given.column("hidden")[0].as_py() >= least])], ["key"])
 
     return mined.join(hidden, "lang").groupBy("lang", "block").applyInArrow(join, "key long")
 
@@ -216,16 +248,21 @@ def counted(docs: DataFrame, least: int, size: int, filter_bits: int) -> DataFra
         unstage(mined)
         return made
 
+    def add(given: pa.Table) -> pa.Table:
+        key, n = _joined(given, "keys", "counts")
+        kept = n >= least
+        return pa.table([pa.array(key[kept]), pa.array(np.full(int(kept.sum()), given.column("words")[0].as_py(), np.int8)), pa.array(n[kept])], ["key", "words", "f"])
+
     def total_of(task: Callable, name: str) -> DataFrame:
-        counts = docs.mapInArrow(by_shard(size, task), "key long, words byte, f long")
-        return stage(counts.groupBy("key", "words").agg(F.sum("f").alias("f")).filter(F.col("f") >= least), name)
+        counts = docs.mapInArrow(by_shard(size, task), COUNTED)
+        return stage(counts.groupBy("block", "words").applyInArrow(add, "key long, words byte, f long"), name)
 
     first = marks(mine_pairs)
 
     def count_pairs(shard: Shard) -> Iterator[pa.RecordBatch]:
-        for lang, _, _, word, piece in shard.by_language():
+        for lang, total, _, word, piece in shard.by_language():
             for length, key, ok in phrases(lang, word, piece, 2):
-                yield _counts_batch(length, key[ok & marked(first, key)])
+                yield _counts_batch(length, total, key[ok & marked(first, key)])
 
     short = total_of(count_pairs, "collocations_pairs")
     common = marks_of(short.filter("words = 2"), filter_bits)
@@ -249,7 +286,7 @@ def counted(docs: DataFrame, least: int, size: int, filter_bits: int) -> DataFra
     second = marks(mine_long)
 
     def count_long(shard: Shard) -> Iterator[pa.RecordBatch]:
-        for lang, _, _, word, piece in shard.by_language():
+        for lang, total, _, word, piece in shard.by_language():
             ok = np.zeros(0, bool)
             for length, key, within in phrases(lang, word, piece, MOST_WORDS):
                 if length == 2:
@@ -258,7 +295,7 @@ def counted(docs: DataFrame, least: int, size: int, filter_bits: int) -> DataFra
                     # all parts of a candidate are candidates or frequent pairs
                     ok = ok[:-1] & ok[1:]
                     ok[ok] = marked(second, key[ok])
-                    yield _counts_batch(length, key[ok])
+                    yield _counts_batch(length, total, key[ok])
 
     long = total_of(count_long, "collocations_long")
     out = short.unionByName(long)
@@ -272,8 +309,10 @@ def with_words(docs: DataFrame, found: DataFrame, filter_bits: int) -> DataFrame
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, names, waiting = [], [], 0
+        told = np.zeros(0, np.uint64)
 
         def give() -> Iterator[pa.RecordBatch]:
+            nonlocal told
             text = pa.concat_arrays(texts)
             w = PieceWords(text)
             languages: dict = {}
@@ -285,6 +324,9 @@ def with_words(docs: DataFrame, found: DataFrame, filter_bits: int) -> DataFrame
                 for length, key, ok in phrases(name, word, piece, MOST_WORDS):
                     at = np.flatnonzero(ok & marked(bits, key))
                     value, one = np.unique(key[at], return_index=True)
+                    new = ~np.isin(value, told, assume_unique=True)
+                    value, one = value[new], one[new]
+                    told = np.concatenate([told if len(told) < TOLD else told[:0], value])
                     spelt = [b" ".join(data[lo[j]: hi[j]] for j in range(i, i + length)).decode() for i in at[one].tolist()]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(value.view(np.int64)), pa.array([name] * len(value), pa.string()), pa.array(spelt, pa.string())], ["key", "lang", "phrase"])
