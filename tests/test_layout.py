@@ -109,3 +109,18 @@ def test_distributed_spectrum(spark):
         for g in (got, near):
             mine = g[g["series_id"] == s].sort_values("k")
             np.testing.assert_allclose(mine["amp"], want, atol=1e-8)
+
+
+def test_cusum_states_across_chunks(indexed, wave):
+    """Against one loop over each series, for decays that forget at once or hardly at all, and a state that goes on."""
+    for decay, rows in ((0.5, 37), (0.95, 64), (0.99999, 16), (1e-3, 8192)):
+        got = local(J.rolling_cusum(indexed(rows), COLS, 10, 0.2, decay, rows=rows))
+        for name, part in wave.groupby("series_id"):
+            x = part.sort_values("t")[COLS].to_numpy()
+            state, want = np.zeros(3), []
+            for i in range(len(x)):
+                w = x[max(0, i - 10): i]
+                if i >= 10:
+                    state = np.maximum(0, decay * state + np.abs(x[i] - w.mean(axis=0)) / (w.std(axis=0) + 1e-8) - 0.2)
+                want.append(state.mean())
+            np.testing.assert_allclose(got[got["series_id"] == name]["drift"], want, rtol=1e-9, atol=1e-9)

@@ -187,7 +187,7 @@ def test_stream_of_late_unordered_batches_equals_batch(spark, wave):
     table = spark.createDataFrame(rows)
     batch, model = tier0.fit_predict(index_series(table, ["ts", "t"], rows=128), COLS, cfg)
     folder = f"{shared_dir(spark)}/stream-test-{np.random.default_rng().integers(1 << 40)}"
-    job = R.OnlineJob(folder, COLS, ["ts", "t"], R.causal_score(model, COLS, cfg), R.CAUSAL_LOOKBACK, "INTERVAL 10 MINUTES", 128)
+    job = R.OnlineJob(folder, COLS, ["ts", "t"], R.causal_score(model, COLS, cfg), R.CAUSAL_LOOKBACK, (), "INTERVAL 10 MINUTES", 128)
     rng = np.random.default_rng(9)
     arrival = rows.assign(at=rows["t"] + rng.integers(0, 9, len(rows))).sort_values("at")
     pieces = [arrival[arrival["at"] < 120], arrival[(arrival["at"] >= 120) & (arrival["at"] < 260)], arrival[arrival["at"] >= 260]]
@@ -205,8 +205,8 @@ def test_stream_of_late_unordered_batches_equals_batch(spark, wave):
 
 def test_stream_ties_at_the_watermark(spark):
     start = pd.Timestamp("2024-01-01")
-    score, lookback = R.cusum_score(["f0"])
-    job = R.OnlineJob(f"{shared_dir(spark)}/stream-ties-{np.random.default_rng().integers(1 << 40)}", ["f0"], ["ts", "t"], score, lookback)
+    score, lookback, carry = R.cusum_score(["f0"])
+    job = R.OnlineJob(f"{shared_dir(spark)}/stream-ties-{np.random.default_rng().integers(1 << 40)}", ["f0"], ["ts", "t"], score, lookback, carry)
     row = lambda t, minute: {"series_id": "a", "ts": start + pd.Timedelta(minutes=minute), "t": t, "f0": float(t)}
     job.process(spark.createDataFrame(pd.DataFrame([row(0, 0), row(1, 5)])), 0)
     job.process(spark.createDataFrame(pd.DataFrame([row(2, 5), row(3, 4)])), 1)  # a tie in time, and a late row

@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import ceil, log
+from math import log
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.numeric import num, total
 from tidewatch.functions.quantile import percentiles
 from tidewatch.operators.layout import (
-    CHUNK_ROWS, IDX, KEYS, LEN, SERIES, attach, frame, home, long_form, running, with_halo,
+    CHUNK, CHUNK_ROWS, IDX, KEYS, LEN, SERIES, attach, chunk_of, frame, home, long_form, running, with_halo,
 )
 from tidewatch.session import stage
 
@@ -24,44 +24,67 @@ MODES = ("rolling", "static")
 TREND_WINDOWS = (500, 1000, 2000)
 REFERENCE_ROWS = 1000
 SMOOTH_SIGMA = 100.0
-FORGOTTEN = 1e-18
+#: Largest logarithm of decay^-m within a chunk.
+LARGEST_SCALE = 300.0
 
 
 def rolling_cusum(
     df: DataFrame, cols: Sequence[str], ref_window: int = REF_WINDOW, k: float = SLACK,
-    decay: float = DECAY, rows: int = CHUNK_ROWS,
+    decay: float = DECAY, rows: int = CHUNK_ROWS, carried: Sequence[str] = (),
 ) -> DataFrame:
     """Add ``drift``: mean over features of the decayed CUSUM of rolling |z|.
 
-    What the CUSUM remembers shrinks by ``decay`` per row and the cut at 0 cannot enlarge
-    a difference, so after enough rows the earlier state is below rounding.  Each chunk
-    therefore starts from 0 that many rows before its first own row.
+    The first ``m`` steps of a chunk turn a state s into max(a, decay^m s + c), where a is the CUSUM that starts
+    from 0 and c the decayed sum; both are running sums and minima of values scaled by decay^-m.  The last such
+    pair of each chunk is its summary; composed along the series, they give the state at the start of every
+    chunk.  A halo of ``ref_window`` rows is all that a chunk sees of the one before, whatever the decay.
+    Chunks are cut short enough for decay^-m to stay far from overflow.
+
+    ``carried`` names a column per feature that holds the state after rows that are already done: the state
+    goes on from the last of these, and the columns are filled for all rows.
     """
     if not 0 < decay < 1:
         raise ValueError("decay must lie strictly between 0 and 1")
-    memory = ceil(log(FORGOTTEN) / log(decay))
-    wide = with_halo(df, back=ref_window + memory, rows=rows)
-    w = frame(-ref_window, -1)
-    for c in cols:
-        z = F.abs(F.col(c) - F.avg(c).over(w)) / (F.stddev_pop(c).over(w) + num(1e-8))
-        wide = wide.withColumn(f"_z_{c}", F.when(F.count(c).over(w) >= ref_window, z))
-    zs = [f"_z_{c}" for c in cols]
-    kept = [f for f in wide.schema.fields if f.name not in ("home", *zs)]
-    schema = T.StructType(kept + [T.StructField("drift", T.DoubleType())])
-
-    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(IDX)
-        z = pdf[zs].to_numpy(dtype=float)
-        known = ~np.isnan(z[:, 0])
-        state = np.zeros(len(zs))
-        out = np.zeros(len(z))
-        for i in np.flatnonzero(known):
-            state = np.maximum(0.0, decay * state + z[i] - k)
-            out[i] = state.mean()
-        pdf["drift"] = out
-        return pdf[pdf["home"]].drop(columns=["home", *zs])
-
-    return wide.groupBy(*KEYS).applyInPandas(fold, schema)
+    span = min(rows, max(1, int(LARGEST_SCALE / -log(decay))))
+    w, so_far = frame(-ref_window, -1), frame(Window.unboundedPreceding, 0)
+    wide = with_halo(df, back=ref_window, rows=span)
+    z = {c: F.when(F.count(c).over(w) >= ref_window, F.abs(F.col(c) - F.avg(c).over(w)) / (F.stddev_pop(c).over(w) + num(1e-8))) for c in cols}
+    own = home(wide.select("*", *[v.alias(f"_z_{c}") for c, v in z.items()]))
+    fresh = F.col(carried[0]).isNull() if carried else F.lit(True)
+    own = own.withColumn("_known", F.col(f"_z_{cols[0]}").isNotNull() & fresh)
+    own = own.withColumn("_m", F.sum(F.col("_known").cast("int")).over(so_far))
+    scaled = {c: F.when(F.col("_known"), (F.col(f"_z_{c}") - num(k)) * F.pow(num(decay), -F.col("_m"))) for c in cols}
+    own = own.select("*", *[F.coalesce(F.sum(v).over(so_far), num(0)).alias(f"_p_{c}") for c, v in scaled.items()])
+    lows = {c: F.coalesce(F.min(F.when(F.col("_known"), F.col(f"_p_{c}"))).over(so_far), F.col(f"_p_{c}")) for c in cols}
+    own = own.withColumn("_b", F.pow(num(decay), F.col("_m")))
+    own = own.select("*", *[x for c in cols for x in (
+        ((F.col(f"_p_{c}") - lows[c]) * F.col("_b")).alias(f"_a_{c}"), (F.col(f"_p_{c}") * F.col("_b")).alias(f"_c_{c}"))])
+    steps = ["_b", *[f"_{x}_{c}" for c in cols for x in "ac"]]
+    ends = own.groupBy(*KEYS).agg(F.max_by(F.struct(*steps), IDX).alias("_e")).select(*KEYS, "_e.*")
+    states = [f"_s_{c}" for c in cols]
+    if carried:
+        last = df.filter(~fresh).groupBy(SERIES).agg(F.max_by(F.struct(*[F.col(x).alias(f"_0_{c}") for x, c in zip(carried, cols)]), IDX).alias("_l"))
+        ends = ends.join(last.select(SERIES, "_l.*"), SERIES, "left").fillna(0.0, [f"_0_{c}" for c in cols])
+    else:
+        ends = ends.select("*", *[num(0).alias(f"_0_{c}") for c in cols])
+    start = T.StructType([df.schema[SERIES], T.StructField(CHUNK, T.LongType())] + [T.StructField(s, T.DoubleType()) for s in states])
+
+    def compose(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(CHUNK)
+        b, a, c = pdf["_b"].to_numpy(), pdf[[f"_a_{x}" for x in cols]].to_numpy(), pdf[[f"_c_{x}" for x in cols]].to_numpy()
+        at = np.tile(pdf[[f"_0_{x}" for x in cols]].to_numpy()[:1], (len(a), 1))
+        for i in range(1, len(at)):  # one step per chunk
+            at[i] = np.maximum(a[i - 1], b[i - 1] * at[i - 1] + c[i - 1])
+        out = pdf[[SERIES, CHUNK]].copy()
+        out[states] = at
+        return out
+
+    starts = ends.groupBy(SERIES).applyInPandas(compose, start)
+    now = [F.greatest(F.col(f"_a_{c}"), F.col("_b") * F.col(f"_s_{c}") + F.col(f"_c_{c}")) for c in cols]
+    drift = F.when(F.col("_known"), total(now) / num(len(cols))).otherwise(num(0))
+    after = {x: F.when(fresh, v).otherwise(F.col(x)).alias(x) for x, v in zip(carried, now)}
+    kept = [chunk_of(rows=rows).alias(CHUNK) if x == CHUNK else after.get(x, F.col(x)) for x in df.columns]
+    return own.join(starts, KEYS).select(*kept, drift.alias("drift"))
 
 
 def static_cusum(

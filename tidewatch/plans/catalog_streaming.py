@@ -21,8 +21,8 @@ def event_stream(spark, sf):
     return raw.select(F.col("event_type").alias(SERIES), "ts", "event_id", F.col("value").alias("f0"))
 
 
-def run(spark, sf, score, lookback):
-    job = R.OnlineJob(f"{shared_dir(spark)}/tidewatch/stream-{uuid.uuid4().hex}", ["f0"], ["ts", "event_id"], score, lookback)
+def run(spark, sf, score, lookback, carry=()):
+    job = R.OnlineJob(f"{shared_dir(spark)}/tidewatch/stream-{uuid.uuid4().hex}", ["f0"], ["ts", "event_id"], score, lookback, carry)
     q = job.start(event_stream(spark, sf), available_now=True)
     q.awaitTermination()
     job.finish(spark)
@@ -44,9 +44,9 @@ WHERE event_id % 2 = 1 AND ts < (SELECT max(ts) - INTERVAL 2 DAY FROM events WHE
 @query("stream_late_rows", LATE_SQL)
 def stream_late_rows(spark, sf):
     """All events in two batches, even ids first; odd ones from before the watermark then come too late."""
-    score, lookback = R.cusum_score(["f0"])
+    score, lookback, carry = R.cusum_score(["f0"])
     folder = f"{shared_dir(spark)}/tidewatch/stream-{uuid.uuid4().hex}"
-    job = R.OnlineJob(folder, ["f0"], ["ts", "event_id"], score, lookback, delay="INTERVAL 2 DAYS")
+    job = R.OnlineJob(folder, ["f0"], ["ts", "event_id"], score, lookback, carry, delay="INTERVAL 2 DAYS")
     rows = table(spark, sf, "events").select(F.col("event_type").alias(SERIES), "ts", "event_id", F.col("value").alias("f0"))
     for epoch in (0, 1):
         job.process(rows.filter(F.col("event_id") % 2 == epoch), epoch)
@@ -56,8 +56,7 @@ def stream_late_rows(spark, sf):
 
 @query("stream_cusum", ORACLES["drift_rolling_cusum"])
 def stream_cusum(spark, sf):
-    score, lookback = R.cusum_score(["f0"])
-    return out(run(spark, sf, score, lookback), "drift")
+    return out(run(spark, sf, *R.cusum_score(["f0"])), "drift")
 
 
 @query("stream_causal_tier")

@@ -41,6 +41,7 @@ class OnlineJob:
     order: Sequence[str]
     score: Score
     lookback: int
+    carry: Sequence[str] = ()
     delay: str = "INTERVAL 0 SECONDS"
     chunk_rows: int = CHUNK_ROWS
 
@@ -59,7 +60,7 @@ class OnlineJob:
         new = batch.select(*fields)
         kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in new.schema.fields)
         waiting = self._state(spark, "waiting", epoch, kinds)
-        tail = self._state(spark, "tail", epoch, f"{kinds}, {IDX} long, {LEN} long")
+        tail = self._state(spark, "tail", epoch, f"{kinds}, {IDX} long, {LEN} long" + "".join(f", {c} double" for c in self.carry))
         mark_kind = new.schema[time].dataType.simpleString()
         before = self._state(spark, "watermark", epoch, f"mark {mark_kind}").first()
         old = F.lit(before["mark"] if before else None).cast(mark_kind)
@@ -77,18 +78,22 @@ class OnlineJob:
         seen = tail.groupBy(SERIES).agg(F.max(LEN).alias("_seen"))
         fresh = numbered.join(seen, SERIES, "left").select(
             *fields, (F.col(IDX) + F.coalesce("_seen", F.lit(0))).alias(IDX), (F.col(LEN) + F.coalesce("_seen", F.lit(0))).alias(LEN),
-            F.lit(True).alias("_fresh"))
+            *[F.lit(None).cast("double").alias(c) for c in self.carry], F.lit(True).alias("_fresh"))
         grown = fresh.groupBy(SERIES).agg(F.max(LEN).alias("_n"))
         old_rows = tail.join(grown, SERIES, "left").select(
-            *fields, IDX, F.coalesce("_n", LEN).alias(LEN), F.lit(False).alias("_fresh"))
+            *fields, IDX, F.coalesce("_n", LEN).alias(LEN), *self.carry, F.lit(False).alias("_fresh"))
         frame = fresh.unionByName(old_rows).withColumn(CHUNK, chunk_of(rows=self.chunk_rows))
         frame.write.mode("overwrite").parquet(self._path("frame", epoch))
         frame = spark.read.parquet(self._path("frame", epoch)).drop("epoch")
-        frame.filter(F.col(IDX) >= F.col(LEN) - self.lookback).select(*fields, IDX, LEN).write.mode("overwrite").parquet(self._path("tail", epoch))
         touched = frame.join(frame.filter("_fresh").select(SERIES).distinct(), SERIES, "left_semi")
         scored = self.score(touched.drop("_fresh"))
         own = frame.filter("_fresh").select(SERIES, IDX, *self.order)
         scored.join(own, [SERIES, IDX]).write.mode("overwrite").parquet(self._path("scores", epoch))
+        last = frame.filter(F.col(IDX) >= F.col(LEN) - self.lookback)
+        if self.carry:
+            now = spark.read.parquet(self._path("scores", epoch)).select(SERIES, IDX, *[F.col(c).alias(f"_{c}") for c in self.carry])
+            last = last.join(now, [SERIES, IDX], "left").withColumns({c: F.coalesce(F.col(c), F.col(f"_{c}")) for c in self.carry})
+        last.select(*fields, IDX, LEN, *self.carry).write.mode("overwrite").parquet(self._path("tail", epoch))
 
     def start(self, stream: DataFrame, available_now: bool = False, **trigger):
         writer = stream.writeStream.foreachBatch(self.process).option("checkpointLocation", f"{self.folder}/checkpoint")
@@ -167,11 +172,11 @@ def regime_score(model: tier2.RegimeModel, cols: Sequence[str], cfg: tier0.Causa
 CAUSAL_LOOKBACK = C.LOOKBACK
 
 
-def cusum_score(cols: Sequence[str], ref_window: int = J.REF_WINDOW, k: float = J.SLACK, decay: float = J.DECAY) -> tuple[Score, int]:
-    """Decayed CUSUM and the rows it needs to remember."""
-    from math import ceil, log
+def cusum_score(cols: Sequence[str], ref_window: int = J.REF_WINDOW, k: float = J.SLACK, decay: float = J.DECAY) -> tuple[Score, int, list[str]]:
+    """Decayed CUSUM, the rows it needs to remember and the states that it carries on."""
+    carry = [f"state_{c}" for c in cols]
 
     def score(frame: DataFrame) -> DataFrame:
-        return J.rolling_cusum(frame, cols, ref_window, k, decay).select(SERIES, IDX, "drift")
+        return J.rolling_cusum(frame, cols, ref_window, k, decay, carried=carry).select(SERIES, IDX, "drift", *carry)
 
-    return score, ref_window + ceil(log(J.FORGOTTEN) / log(decay))
+    return score, ref_window, carry
