@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.llm.catalog import QUERIES
-from tidewatch.llm.neighbours import Block, chi2_below, nearest
+from tidewatch.llm import neighbours
+from tidewatch.llm.neighbours import Block, Cells, chi2_below, nearest
 
 SF = "/root/testdata/sf0.1"
 
@@ -24,7 +25,7 @@ def test_block_stops_early_and_finds():
     v = centres[rng.integers(40, size=6000)] + rng.normal(size=(6000, 32)) * 0.3
     block = Block(v, float(np.sqrt((v * v).sum(axis=1)).max()), leaf=64)
     hit = 0
-    found, _ = block.search(v[:100], 20)
+    found = block.search(v[:100], 20)
     for q, rows in zip(v, found):
         hit += len(set(rows.tolist()) & set(np.argsort(-(v @ q))[:20].tolist()))
     assert hit / 2000 > 0.9 and block.verified < 100 * 6000 * 0.8
@@ -63,3 +64,50 @@ def test_ties_and_odd_vectors(spark):
     few = nearest(df.filter("vec_id >= 100"), F.col("vec_id") == 220).collect()
     assert [r.vec_id for r in sorted(few, key=lambda r: r["rank"])] == list(range(100, 110))
     assert nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def plain(rows, k):
+    """All inner products in double precision, ties to the smaller id."""
+    out = set()
+    for q, x in rows:
+        if q % 20 == 0:
+            best = sorted((-(np.array(v) * np.array(x)).sum(), i) for i, v in rows if i != q and len(v) == len(x))[:k]
+            out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+    return out
+
+
+@pytest.mark.parametrize("block_rows", [100, 16384])
+def test_ties_among_different_vectors(spark, monkeypatch, block_rows):
+    """Small integers tie everywhere; every list is that of brute force, over one block or many, and for each length."""
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", block_rows)
+    rng = np.random.default_rng(6)
+    v = rng.integers(-1, 2, (1200, 16)).astype(float)
+    rows = [(i, x.tolist()) for i, x in enumerate(v) if x.any()] + [(5000 + i, rng.integers(-1, 2, 3).astype(float).tolist()) for i in range(100)]
+    rows = [(i, x) for i, x in rows if any(x)]
+    df = spark.createDataFrame([(*r, "x", 0) for r in rows], "vec_id long, embedding array<float>, block string, dim int").repartition(3)
+    got = {tuple(r) for r in nearest(df, F.col("vec_id") % 20 == 0, sure=2.0).collect()}
+    assert got == plain(rows, 20)
+
+
+def test_clusters_are_searched_in_part(spark, monkeypatch):
+    """On clustered vectors the stop test keeps most blocks shut, and nearly all neighbours are found."""
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 250)
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(30, 24)) * 4
+    v = (centres[rng.integers(30, size=6000)] + rng.normal(size=(6000, 24)) * 0.3).round(3)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id) for r in nearest(df, F.col("vec_id") % 20 == 0).collect()}
+    want = set()
+    for q in range(0, 6000, 20):
+        s = v @ v[q]
+        s[q] = -np.inf
+        want |= {(q, int(i)) for i in np.argsort(-s, kind="stable")[:20]}
+    assert len(got & want) >= 0.95 * len(want)
+
+
+def test_cells_are_even():
+    p = np.random.default_rng(0).normal(size=(4000, 8))
+    cells = Cells(p, 8)
+    n = np.bincount(cells.of(p), minlength=8)
+    assert len(n) == 8 and n.min() > 400 and (Cells(p, 1).of(p) == 0).all()
