@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from conftest import local
 from tidewatch.functions.quantile import percentiles, percentiles_by
 from tidewatch.functions.spectrum import _short, spectrum_long
-from tidewatch.operators import drift as J, jumps as I, paths as K
+from tidewatch.operators import drift as J, jumps as I, masks as G, paths as K
 from tidewatch.operators.evaluate import auc, below
 from tidewatch.operators.layout import index_series, running, runs
 from tidewatch.plans import tier0
@@ -124,3 +124,78 @@ def test_cusum_states_across_chunks(indexed, wave):
                     state = np.maximum(0, decay * state + np.abs(x[i] - w.mean(axis=0)) / (w.std(axis=0) + 1e-8) - 0.2)
                 want.append(state.mean())
             np.testing.assert_allclose(got[got["series_id"] == name]["drift"], want, rtol=1e-9, atol=1e-9)
+
+
+@pytest.mark.parametrize("rows", [1, 37, 8192])
+def test_windows_and_margins_whatever_the_chunks(spark, wave, rows):
+    """Many overlapping windows, empty ones and ones beyond both ends; alternating masks."""
+    rng = np.random.default_rng(5)
+    start = pd.Timestamp("2024-01-01")
+    part = wave[wave["series_id"] == "a"].assign(ts=lambda f: start + pd.to_timedelta(f["t"] // 2 * 2, unit="min"))
+    df = index_series(spark.createDataFrame(part.sample(frac=1.0, random_state=2)), ["ts", "t"], rows=rows)
+    at = rng.integers(-20, 430, 300)
+    windows = pd.DataFrame({"series_id": "a", "window_id": np.arange(300), "start_ts": start + pd.to_timedelta(at, unit="min")})
+    windows["end_ts"] = windows["start_ts"] + pd.to_timedelta(rng.integers(0, 30, 300), unit="min")
+    got = G.window_positions(df, spark.createDataFrame(windows)).toPandas().set_index("window_id")
+    ts = part.sort_values("t")["ts"].to_numpy()
+    for w in windows.itertuples():
+        s = min(np.searchsorted(ts, np.datetime64(w.start_ts), "left"), 399)
+        e = max(min(np.searchsorted(ts, np.datetime64(w.end_ts), "right") - 1, 399), s)
+        assert (got.loc[w.window_id, "start"], got.loc[w.window_id, "end"]) == (s, e)
+    few = windows.head(12)
+    mask = np.zeros(400, bool)
+    for w in got.loc[few["window_id"]].itertuples():
+        mask[w.start: w.end + 1] = True
+    marked = G.anomaly_mask(df, spark.createDataFrame(few), rows=rows)
+    assert (local(marked)["is_anomaly"] == mask).all()
+    striped = df.withColumn("sig", F.col("f0")).withColumn("flag", F.col("idx").isin(3, 50, 57, 210, 399) | ((F.col("idx") > 300) & (F.col("idx") % 9 == 0)))
+    out, info = G.adaptive_mask(striped, "flag", base_margin=5, max_margin=40, recovery=6, ratio=1.0, rows=rows)
+    x, masked, flags = part.sort_values("t")["f0"].to_numpy(), local(out)["masked"].to_numpy(), local(striped)["flag"].to_numpy()
+    grown = np.flatnonzero(masked)
+    assert masked[flags].all() and len(grown) < 400
+    # calm as defined: the deviation of seven rows, at most that of the rows far from any flag
+    spread = [x[max(0, i - 3): i + 4].std() if min(i + 4, 400) - max(0, i - 3) >= 5 else np.inf for i in range(400)]
+    far = np.array([not flags[max(0, i - 40): i + 41].any() for i in range(400)])
+    if far.sum() >= 100:
+        calm = np.array(spread) <= x[far].std(ddof=0)
+        want = np.zeros(400, bool)
+        for i in np.flatnonzero(flags):
+            want[max(0, i - 5): i + 6] = True
+            for step in (1, -1):
+                for off in range(1, 41):
+                    j = i + step * off
+                    if not 0 <= j < 400 or (off >= 5 and calm[j]):
+                        break
+                    want[j] = True
+        if want.mean() <= 0.4:
+            assert (masked == want).all()
+
+
+def test_sweep_with_overlapping_windows(spark):
+    from tidewatch.operators.evaluate import PROFILES, sweep
+
+    rng = np.random.default_rng(3)
+    score = np.round(rng.random(300), 2)
+    spans = [(60, 80), (70, 75), (78, 100), (150, 150), (200, 260), (200, 230)]
+    frame = pd.DataFrame({"series_id": "a", "idx": np.arange(300), "n": 300, "chunk": 0, "s": score})
+    df = spark.createDataFrame(frame)
+    positions = spark.createDataFrame(pd.DataFrame(spans, columns=["start", "end"]).assign(series_id="a"))
+    got = sweep(df, positions, "s").toPandas().set_index("profile")
+    sig = lambda x: -1.0 if x > 3 else 2 / (1 + np.exp(5 * x)) - 1
+    for name, (tp, fp, fn) in PROFILES.items():
+        best = -len(spans) * fn
+        for cut in np.unique(score):
+            total, hit = 0.0, {}
+            for i in range(45, 300):
+                if score[i] < cut:
+                    continue
+                inside = sorted(w for w in spans if w[0] <= i <= w[1])
+                past = sorted(w for w in spans if w[1] < i)
+                if inside:
+                    w = inside[0]
+                    value = sig(-(w[1] - i + 1) / (w[1] - w[0] + 1)) * tp / sig(-1.0)
+                    hit[w[0]] = max(hit.get(w[0], -fn), value)
+                else:
+                    total += fp * (sig((i - past[-1][1]) / max(past[-1][1] - past[-1][0], 1)) if past else -1.0)
+            best = max(best, total + sum(v + fn for v in hit.values()) - len(spans) * fn)
+        assert got.loc[name, "best_raw"] == pytest.approx(best, abs=1e-9)

@@ -167,3 +167,46 @@ def order_statistics(
     out = placed.groupBy(*held, count).agg(*sides)
     exact = [F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (r - F.floor(r)) for i, r in enumerate(rank)]
     return out.select(*keys, count, *[e.alias(name) for e, name in zip(exact, probs)])
+
+
+def positions(rows: DataFrame, keys: Sequence[str], value: str, tie: str, edges: DataFrame, count: str) -> DataFrame:
+    """``edges`` with ``count``: rows of their key with a smaller value, or no larger where ``inclusive`` is true.
+
+    Edges and rows are merged in one order, so the work is linear in both, however many edges a key has.  The
+    other columns of ``edges`` are kept.
+    """
+    keys = list(keys)
+    kept = [c for c in edges.columns if c not in (*keys, value, "inclusive")]
+    kind = F.when(F.col("inclusive"), F.lit(2)).otherwise(F.lit(0))
+    asked = edges.select(*keys, F.col(value).alias("_v"), kind.alias("_kind"), F.lit(0).cast("long").alias(TIE), *kept)
+    own = rows.select(*keys, F.col(value).alias("_v"), F.lit(1).alias("_kind"), F.col(tie).cast("long").alias(TIE)).filter("_v IS NOT NULL")
+    ranges = sorted_ranges(own.unionByName(asked, allowMissingColumns=True), keys, ["_v", "_kind", TIE])
+    place = T.StructType([ranges.schema["_v"], ranges.schema["_kind"], ranges.schema[TIE]])
+    schema = T.StructType([*ranges.schema.fields, T.StructField("_at", T.LongType()), T.StructField("_size", T.LongType()), T.StructField(FIRST, place)])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _whole(batches)
+        if table is None:
+            return
+        at = _segments(table, keys)
+        is_row = table.column("_kind").to_numpy() == 1
+        before = np.cumsum(is_row) - is_row
+        before -= np.repeat(before[at[:-1]], np.diff(at))
+        size = np.repeat(np.add.reduceat(is_row.astype(np.int64), at[:-1]), np.diff(at))
+        # the edges, and the first row of every segment for its size
+        out = ~is_row
+        out[at[:-1]] = True
+        out = np.flatnonzero(out)
+        head = table.select(["_v", "_kind", TIE]).take(pa.array(np.repeat(at[:-1], np.diff(at))[out]))
+        first = pa.StructArray.from_arrays([c.combine_chunks() for c in head.columns], ["_v", "_kind", TIE])
+        got = table.take(pa.array(out))
+        for name, column in (("_at", pa.array(before[out])), ("_size", pa.array(size[out])), (FIRST, first)):
+            got = got.append_column(name, column)
+        yield from got.to_batches()
+
+    found = stage(ranges.mapInArrow(number, schema), "order_positions")
+    segments = found.groupBy(*keys, FIRST).agg(F.first("_size").alias("_size"))
+    earlier = Window.partitionBy(*keys).orderBy(FIRST).rowsBetween(Window.unboundedPreceding, -1)
+    carried = segments.select(*keys, FIRST, F.sum("_size").over(earlier).alias("_before")).filter("_before > 0")  # at most one row per range
+    placed = _with_carried(found.filter("_kind <> 1"), carried, [*keys, FIRST])
+    return placed.select(*keys, F.col("_v").alias(value), (F.col("_kind") == 2).alias("inclusive"), *kept, (F.col("_at") + F.coalesce("_before", F.lit(0))).alias(count))

@@ -32,7 +32,9 @@ LEAST_CHI2 = 20.0
 NEIGHBOURS = 15
 BLOCK = 256
 #: Terms in most examples that are compared as a dense block, and queries that are compared at once.
-DENSE, QUERIES = 256, 32
+DENSE, QUERIES = 256, 128
+#: Examples of which one maximum is taken.
+GROUP = 64
 #: More than the error of a cosine in single precision.
 SLACK = 1e-4
 
@@ -128,24 +130,48 @@ def document_counts(rows: DataFrame, terms: int) -> np.ndarray:
 
 
 class TextIndex:
-    """Unit vectors of examples over all terms; ``search`` gives the exact nearest of many queries."""
+    """TF-IDF vectors of examples over all terms; ``search`` gives the exact nearest of many queries.
 
-    def __init__(self, bounds: np.ndarray, terms: np.ndarray, weights: np.ndarray, size: int, dense: int = DENSE):
-        """The vector of example i has ``terms`` and ``weights`` from bounds[i] to bounds[i + 1]; ``size`` terms in all."""
-        self.n, self.dense = len(bounds) - 1, min(dense, size)
-        self.bounds, self.terms, self.weights = bounds, terms, weights
+    An example's weight of a term is (1 + log count) idf / norm, so postings need no weights: a sum takes the query's
+    weight times idf for each, again with log count for the few postings with a count above 1, and divides by norms.
+    The terms in most examples are a dense block instead.
+    """
+
+    def __init__(self, bounds: np.ndarray, terms: np.ndarray, counts: np.ndarray, idf: np.ndarray, dense: int = DENSE):
+        """Example i has ``terms`` with ``counts`` from bounds[i] to bounds[i + 1]."""
+        size = len(idf)
+        self.n, self.dense, self.idf = len(bounds) - 1, min(dense, size), idf
         place = np.repeat(np.arange(self.n), np.diff(bounds))
+        logs = np.log(counts.astype(np.float64))
+        weight = (1 + logs) * idf[terms]
+        self.norm = np.sqrt(np.bincount(place, weight * weight, self.n))
         top = np.argsort(-np.bincount(terms, minlength=size), kind="stable")[: self.dense]
         self.slot = np.full(size, -1)
         self.slot[top] = np.arange(len(top))
         slot = self.slot[terms]
-        self.block = np.zeros((self.dense, -(-self.n // 64) * 64), np.float32)
-        self.block[slot[slot >= 0], place[slot >= 0]] = weights[slot >= 0]
+        often = np.flatnonzero(slot >= 0)
+        self.width = -(-self.n // GROUP) * GROUP
+        self.block = np.zeros((self.dense, self.width), np.float32)
+        self.block[slot[often], place[often]] = (weight / self.norm[place])[often]
+        # counts of the dense terms, for their part of a cosine in double precision
+        self.often = np.zeros((self.n, self.dense), counts.dtype)
+        self.often[place[often], slot[often]] = counts[often]
+        self.often_idf = idf[top]
+        self.scale = np.zeros(self.width)
+        self.scale[: self.n] = 1 / self.norm
+        narrow = np.min_scalar_type(max(self.n, 1))
         rest = np.flatnonzero(slot < 0)
         rest = rest[np.argsort(terms[rest], kind="stable")]
-        self.place, self.weight = place[rest], weights[rest]
-        self.values = np.zeros(size)
+        self.place = place[rest].astype(narrow)
         self.ends = np.searchsorted(terms[rest], np.arange(size + 1))
+        more = rest[counts[rest] > 1]
+        self.more_place, self.more_log = place[more].astype(narrow), logs[more]
+        self.more_ends = np.searchsorted(terms[more], np.arange(size + 1))
+
+    @staticmethod
+    def _postings(ends: np.ndarray, t: np.ndarray) -> tuple[list[slice], np.ndarray]:
+        lo, hi = ends[t], ends[t + 1]
+        return [slice(a, b) for a, b in zip(lo.tolist(), hi.tolist()) if b > a], hi - lo
 
     def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """Numbers and cosines of the k nearest of each query with a positive cosine, nearest first, ties to the smaller number."""
@@ -154,43 +180,39 @@ class TextIndex:
         out = []
         for at in range(0, len(queries), QUERIES):
             some = queries[at: at + QUERIES]
-            often = np.zeros((len(some), self.dense), np.float32)
+            often = np.zeros((len(some), self.dense))
             for j, (t, w) in enumerate(some):
                 slot = self.slot[t]
                 often[j, slot[slot >= 0]] = w[slot >= 0]
-            score = often @ self.block
+            score = often.astype(np.float32) @ self.block
             for j, (t, w) in enumerate(some):
-                seldom = self.slot[t] < 0
-                lo, hi = self.ends[t[seldom]], self.ends[t[seldom] + 1]
-                cuts = [slice(a, b) for a, b in zip(lo.tolist(), hi.tolist()) if b > a]
+                seldom = np.flatnonzero(self.slot[t] < 0)
+                t, w = t[seldom], w[seldom] * self.idf[t[seldom]]
+                cuts, sizes = self._postings(self.ends, t)
+                sums = np.zeros(self.width)
+                if cuts:
+                    sums = np.bincount(np.concatenate([self.place[c] for c in cuts]), np.repeat(w, sizes), self.width)
+                cuts, sizes = self._postings(self.more_ends, t)
                 if cuts:
-                    weight = np.repeat(w[seldom], hi - lo) * np.concatenate([self.weight[c] for c in cuts])
-                    score[j] += np.bincount(np.concatenate([self.place[c] for c in cuts]), weight, score.shape[1])
+                    sums += np.bincount(np.concatenate([self.more_place[c] for c in cuts]), np.repeat(w, sizes) * np.concatenate([self.more_log[c] for c in cuts]), self.width)
+                sums *= self.scale
+                row = score[j]
+                row += sums
                 if skip is not None and skip[at + j] >= 0:
-                    score[j, skip[at + j]] = -1
-            # the k-th largest of the maxima of groups is no larger than the k-th largest cosine
-            best = score.reshape(len(some), -1, 64).max(axis=2)
-            least = np.partition(best, -k, axis=1)[:, -k] if best.shape[1] >= k else np.zeros(len(some))
-            for j, (t, w) in enumerate(some):
-                near = np.flatnonzero((score[j] >= least[j] - SLACK) & (score[j] > 0))
-                cos = self._cosines(t, w, near)
+                    row[skip[at + j]] = -1
+                # the k-th largest of the maxima of groups is no larger than the k-th largest cosine
+                best = row.reshape(-1, GROUP).max(axis=1)
+                least = np.partition(best, -k)[-k] if len(best) >= k else 0.0
+                near = np.flatnonzero(row >= max(least - SLACK, 0.0))
+                near = near[(near < self.n) & (row[near] > 0)]
+                c = self.often[near]
+                weight = np.where(c > 0, 1 + np.log(np.maximum(c, 1), dtype=np.float64), 0.0)
+                cos = np.round(sums[near] + weight @ (often[j] * self.often_idf) * self.scale[near], 12)
                 order = np.lexsort((near, -cos))[:k]
                 order = order[cos[order] > 0]
                 out.append((near[order], cos[order]))
         return out
 
-    def _cosines(self, t: np.ndarray, w: np.ndarray, near: np.ndarray) -> np.ndarray:
-        if not len(near):
-            return np.zeros(0)
-        lo, hi = self.bounds[near], self.bounds[near + 1]
-        size = hi - lo
-        starts = np.cumsum(size) - size
-        at = np.repeat(lo - starts, size) + np.arange(int(size.sum()))
-        self.values[t] = w
-        cos = np.add.reduceat(self.values[self.terms[at]] * self.weights[at], starts)
-        self.values[t] = 0
-        return np.round(cos, 12)
-
 
 class BlockMaxIndex:
     """Unit vectors of examples as postings in blocks; ``search`` gives the exact nearest."""
@@ -277,12 +299,10 @@ class Voter:
     @property
     def index(self) -> TextIndex | BlockMaxIndex:
         if self.made is None:
-            vectors = [self.example(i) for i in range(len(self.ids))]
             if self.whole:
-                weights = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
-                self.made = TextIndex(self.bounds, self.terms, weights, len(self.idf))
+                self.made = TextIndex(self.bounds, self.terms, self.counts, self.idf)
             else:
-                self.made = BlockMaxIndex(vectors, len(self.idf))
+                self.made = BlockMaxIndex([self.example(i) for i in range(len(self.ids))], len(self.idf))
         return self.made
 
     def example(self, i: int) -> tuple[np.ndarray, np.ndarray]:
@@ -313,12 +333,15 @@ class Voter:
         return out
 
     def votes(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list]]:
-        """The vote on each (terms, counts), and its first three neighbours as (id, cosine, share of toxic labels)."""
+        """The vote on each (terms, counts), and its first three neighbours as (id, cosine, share of toxic labels); equal rows are searched once."""
+        number: dict[tuple, int] = {}
+        which = [number.setdefault((t.tobytes(), c.tobytes()), len(number)) for t, c in rows]
+        first = np.unique(which, return_index=True)[1].tolist() if rows else []
         out = []
-        for near, cos in self._search([self.vector(*r) for r in rows], [-1] * len(rows)):
+        for near, cos in self._search([self.vector(*rows[i]) for i in first], [-1] * len(first)):
             share = self.toxic[near] / self.count[near]
             out.append((self._vote(near, cos, share), [(self.ids[i], float(c), float(y)) for i, c, y in zip(near[:3].tolist(), cos[:3].tolist(), share[:3].tolist())]))
-        return out
+        return [out[i] for i in which]
 
     def vote_again(self, terms: np.ndarray, counts: np.ndarray) -> float:
         key = (terms.tobytes(), counts.tobytes())

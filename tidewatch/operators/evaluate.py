@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidewatch.functions.numeric import num, total
 from tidewatch.functions.order import area, below
 from tidewatch.functions.quantile import percentiles
-from tidewatch.operators.layout import CHUNK, IDX, KEYS, LEN, SERIES, attach, long_form
+from tidewatch.operators.layout import CHUNK, CHUNK_ROWS, IDX, KEYS, LEN, SERIES, attach, chunk_of, frame, long_form, running
 
 # fixed values: cost profiles of the published benchmark (true positive, false positive, false negative)
 PROFILES = {
@@ -115,18 +115,26 @@ def sweep(df: DataFrame, positions: DataFrame, score: str, profiles: Mapping[str
     """
     lengths = df.groupBy(SERIES).agg(F.max(LEN).alias(LEN), F.max(CHUNK).alias("_last"))
     windows = positions.select(SERIES, "start", "end")
-    listed = windows.groupBy(SERIES).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_w"))
-    rows = attach(df, listed.join(lengths, SERIES).drop("_last")).filter(F.col("_w").isNotNull())
-    at = F.col(IDX)
-    inside = F.filter("_w", lambda w: (w["start"] <= at) & (w["end"] >= at))
-    past = F.filter("_w", lambda w: w["end"] < at)
-    current, previous = F.get(inside, F.lit(0)), F.get(past, F.size(past) - 1)
+    rows = attach(df, windows.groupBy(SERIES).agg(F.count(F.lit(1)).alias("_n")).join(lengths, SERIES).drop("_last")).filter(F.col("_n").isNotNull())
+    at, whole = F.col(IDX), F.struct("start", "end")
+    # the window that a row lies in: the first of several; what is new in each window is carried on from its first row
+    cut = windows.withColumn("_w", whole).withColumn(CHUNK, F.explode(F.sequence(chunk_of("start"), chunk_of("end"))))
+    cut = cut.withColumn("start", F.greatest("start", F.col(CHUNK) * CHUNK_ROWS)).withColumn("end", F.least("end", (F.col(CHUNK) + 1) * CHUNK_ROWS - 1))
+    before = Window.partitionBy(*KEYS).orderBy("_w").rowsBetween(Window.unboundedPreceding, -1)
+    cut = cut.withColumn("start", F.greatest("start", F.coalesce(F.max("end").over(before), F.lit(-1)) + 1)).filter("start <= end")
+    news = cut.groupBy(*KEYS, F.col("start").alias(IDX)).agg(F.max(F.struct("end", "_w")).alias("_in"))
+    # the last window that ended before a row
+    over = windows.groupBy(SERIES, (F.col("end") + 1).alias(IDX)).agg(F.max(whole).alias("_past")).withColumn(CHUNK, chunk_of())
+    marked = rows.join(news, [*KEYS, IDX], "left").join(over, [*KEYS, IDX], "left")
+    marked = marked.withColumn("_in", F.last("_in", ignorenulls=True).over(frame(Window.unboundedPreceding, 0)))
+    marked = running(marked, {"_previous": F.col("_past")}, F.max)
+    current, previous = F.when(F.col("_in.end") >= at, F.col("_in._w")), F.col("_previous")
     width = current["end"] - current["start"] + 1
     probation = F.least(F.floor(F.col(LEN) * 0.15), F.lit(750))
-    placed = rows.filter(at >= probation).select(
-        SERIES, CHUNK, IDX, LEN, F.col(score).alias("_s"), F.size("_w").alias("_n"), current["start"].alias("_win"),
+    placed = marked.filter(at >= probation).select(
+        SERIES, CHUNK, IDX, LEN, F.col(score).alias("_s"), "_n", current["start"].alias("_win"),
         _sigmoid(-(current["end"] - at + 1) / width).alias("_tp"),
-        F.when(F.size(past) == 0, num(-1)).otherwise(_sigmoid(
+        F.when(previous.isNull(), num(-1)).otherwise(_sigmoid(
             (at - previous["end"]) / F.greatest(previous["end"] - previous["start"], F.lit(1)))).alias("_fp"),
     )
     best_possible = _sigmoid(num(-1))

@@ -134,8 +134,8 @@ def attach(df: DataFrame, stats: DataFrame, rows: int = CHUNK_ROWS, on: Sequence
     return df.join(over_chunks(stats, rows).drop(LEN), [*KEYS, *on], "left")
 
 
-def running(df: DataFrame, values: dict[str, Column], how=F.sum) -> DataFrame:
-    """Inclusive running sums (or minima, maxima) along each series.
+def running(df: DataFrame, values: dict[str, Column], how=F.sum, back: bool = False) -> DataFrame:
+    """Inclusive running sums (or minima, maxima) along each series; ``back`` runs from its end.
 
     Inside the chunk by a frame, and from earlier chunks by one value per chunk, so no
     task walks a whole series.  All columns share one sort and one small join.
@@ -143,9 +143,9 @@ def running(df: DataFrame, values: dict[str, Column], how=F.sum) -> DataFrame:
     tmp = {name: f"_in_{name}" for name in values}
     df = df.select("*", *[v.alias(tmp[k]) for k, v in values.items()])
     per_chunk = df.groupBy(*KEYS).agg(*[how(t).alias(t) for t in tmp.values()])
-    past = Window.partitionBy(SERIES).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    past = Window.partitionBy(SERIES).orderBy(F.desc(CHUNK) if back else CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     before = per_chunk.select(*KEYS, *[how(t).over(past).alias(f"_before_{k}") for k, t in tmp.items()])
-    inside = frame(Window.unboundedPreceding, 0)
+    inside = frame(0, Window.unboundedFollowing) if back else frame(Window.unboundedPreceding, 0)
     out = df.select("*", *[how(t).over(inside).alias(k) for k, t in tmp.items()]).drop(*tmp.values())
     out = out.join(before, KEYS, "left")
     for k in values:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions.numeric import num
+from tidewatch.functions.order import positions
 from tidewatch.operators.layout import (
-    CHUNK, CHUNK_ROWS, IDX, KEYS, LEN, SERIES, chunk_of, frame, home, runs, with_halo,
+    CHUNK, CHUNK_ROWS, IDX, KEYS, LEN, SERIES, chunk_of, frame, home, running, runs, with_halo,
 )
 from tidewatch.session import stage
 
@@ -23,44 +24,18 @@ def window_positions(series: DataFrame, windows: DataFrame) -> DataFrame:
     """Time windows to position ranges ``start, end`` (inclusive).
 
     Both window ends are inclusive.  A window without rows marks the first row after its
-    start, or the last row of the series.  Each chunk is reduced to its time span and
-    windows meet chunks, not rows; only chunks that hold a window edge are read again.
+    start, or the last row of the series.  Window edges and rows are merged in one order.
     """
-    spans = series.groupBy(*KEYS).agg(
-        F.min("ts").alias("_t0"), F.max("ts").alias("_t1"), F.max(LEN).alias(LEN),
-        F.min(IDX).alias("_i0"), F.max(IDX).alias("_i1"),
-    )
-    bounds = windows.select(
+    edges = windows.select(
         SERIES, "window_id", F.inline(F.array(
-            F.struct(F.lit("s").alias("_side"), F.col("start_ts").alias("_t")),
-            F.struct(F.lit("e").alias("_side"), F.col("end_ts").alias("_t")),
+            F.struct(F.lit(False).alias("inclusive"), F.col("start_ts").alias("ts")),
+            F.struct(F.lit(True).alias("inclusive"), F.col("end_ts").alias("ts")),
         ))
     )
-    # rows before the start, and rows up to the end, both counted per chunk
-    touched = bounds.join(spans, SERIES)
-    whole = F.when(F.col("_side") == "s", F.col("_t1") < F.col("_t")).otherwise(F.col("_t1") <= F.col("_t"))
-    none = F.when(F.col("_side") == "s", F.col("_t0") >= F.col("_t")).otherwise(F.col("_t0") > F.col("_t"))
-    split = touched.withColumn("_whole", whole).withColumn("_none", none)
-    keys = [SERIES, "window_id", "_side"]
-    full = split.filter("_whole").groupBy(*keys).agg(F.max(F.col("_i1") + 1).alias("_c"))
-    partial = split.filter(~F.col("_whole") & ~F.col("_none")).select(*keys, CHUNK, "_t")
-    before = F.when(F.col("_side") == "s", F.col("ts") < F.col("_t")).otherwise(F.col("ts") <= F.col("_t"))
-    inside = (
-        series.select(*KEYS, IDX, "ts").join(partial, KEYS).filter(before)
-        .groupBy(*keys).agg(F.max(F.col(IDX) + 1).alias("_c"))
-    )
-    zero = bounds.join(spans.select(SERIES, LEN).groupBy(SERIES).agg(F.max(LEN).alias(LEN)), SERIES).select(
-        *keys, LEN, F.lit(0).cast("long").alias("_c")
-    )
-    counts = (
-        zero.unionByName(full, allowMissingColumns=True).unionByName(inside, allowMissingColumns=True)
-        .groupBy(*keys).agg(F.max("_c").alias("_c"), F.max(LEN).alias(LEN))
-        .groupBy(SERIES, "window_id").agg(
-            F.max(LEN).alias(LEN),
-            F.max(F.when(F.col("_side") == "s", F.col("_c"))).alias("_s"),
-            F.max(F.when(F.col("_side") == "e", F.col("_c"))).alias("_e"),
-        )
-    )
+    at = positions(series, [SERIES], "ts", CHUNK, edges, "_c")
+    counts = at.groupBy(SERIES, "window_id").agg(
+        F.max(F.when(~F.col("inclusive"), F.col("_c"))).alias("_s"), F.max(F.when(F.col("inclusive"), F.col("_c"))).alias("_e"),
+    ).join(series.groupBy(SERIES).agg(F.max(LEN).alias(LEN)), SERIES)
     start = F.least(F.col("_s"), F.col(LEN) - 1)
     end = F.greatest(F.least(F.col("_e") - 1, F.col(LEN) - 1), start)
     return counts.select(SERIES, "window_id", LEN, start.alias("start"), end.alias("end"))
@@ -85,11 +60,13 @@ def fresh_rows(ranges: DataFrame, keys: list[str], rows: int = CHUNK_ROWS) -> Da
 
 
 def mark_ranges(df: DataFrame, ranges: DataFrame, name: str, rows: int = CHUNK_ROWS) -> DataFrame:
-    """Add boolean ``name``: the row lies in at least one of the ranges."""
-    hits = fresh_rows(ranges.select(SERIES, "start", "end"), [SERIES], rows).select(
-        *KEYS, F.explode(F.sequence("start", "end")).alias(IDX), F.lit(True).alias("_hit")
-    )
-    return df.join(hits, [*KEYS, IDX], "left").withColumn(name, F.coalesce("_hit", F.lit(False))).drop("_hit")
+    """Add boolean ``name``: the row lies in at least one of the ranges.
+
+    What is new in each range meets its first row, and the end is carried on within the chunk.
+    """
+    pieces = fresh_rows(ranges.select(SERIES, "start", "end"), [SERIES], rows).select(*KEYS, F.col("start").alias(IDX), F.col("end").alias("_to"))
+    last = F.last("_to", ignorenulls=True).over(frame(Window.unboundedPreceding, 0))
+    return df.join(pieces, [*KEYS, IDX], "left").withColumn(name, F.coalesce(last >= F.col(IDX), F.lit(False))).drop("_to")
 
 
 def anomaly_mask(series: DataFrame, windows: DataFrame, name: str = "is_anomaly", rows: int = CHUNK_ROWS) -> DataFrame:
@@ -152,26 +129,22 @@ def adaptive_mask(
         with_halo(df.select(*KEYS, IDX, LEN, sig), back=half, ahead=half, rows=rows)
         .withColumn("_local", local_std(sig, half))
     )
+    # the nearest calm row before and after each row, carried over chunks
+    quiet = noise.join(stats.select(SERIES, "baseline_std"), SERIES)
+    calm_at = F.when(F.col("_local") <= ratio * F.col("baseline_std"), F.col(IDX))
+    nearest = running(running(quiet, {"_calm_before": calm_at}, F.max), {"_calm_after": calm_at}, F.min, back=True)
     sides = islands.select(SERIES, LEN, F.inline(F.array(
-        F.struct(F.lit("post").alias("side"), F.col("end").alias("edge"),
-                 (F.col("end") + 1).alias("start"), F.least(F.col("end") + max_margin, F.col(LEN) - 1).alias("stop")),
-        F.struct(F.lit("pre").alias("side"), F.col("start").alias("edge"),
-                 F.greatest(F.col("start") - max_margin, F.lit(0)).alias("start"), (F.col("start") - 1).alias("stop")),
+        F.struct(F.lit("post").alias("side"), F.col("end").alias("edge"), F.least(F.lit(max_margin), F.col(LEN) - 1 - F.col("end")).alias("_room")),
+        F.struct(F.lit("pre").alias("side"), F.col("start").alias("edge"), F.least(F.lit(max_margin), F.col("start")).alias("_room")),
     )))
-    near = (
-        sides.filter(F.col("start") <= F.col("stop"))
-        .withColumn(CHUNK, F.explode(F.sequence(chunk_of("start", rows), chunk_of("stop", rows))))
-        .withColumn(IDX, F.explode(F.sequence(
-            F.greatest("start", F.col(CHUNK) * rows), F.least("stop", (F.col(CHUNK) + 1) * rows - 1)
-        )))
-        .join(noise.select(*KEYS, IDX, "_local"), [*KEYS, IDX])
-        .join(stats.select(SERIES, "baseline_std"), SERIES)
-        .withColumn("_off", F.abs(F.col(IDX) - F.col("edge")))
-    )
-    calmed = (F.col("_local") <= ratio * F.col("baseline_std")) & (F.col("_off") >= base_margin)
-    reach = near.groupBy(SERIES, "side", "edge").agg(
-        F.min(F.when(calmed, F.col("_off"))).alias("_stop"), F.max("_off").alias("_last")
-    )
+    # a margin ends at the first calm row from base_margin on, looked up at that row
+    ahead = F.when(F.col("side") == "post", F.lit(1)).otherwise(F.lit(-1))
+    first = F.greatest(F.lit(base_margin), F.lit(1))
+    looked = sides.filter(F.col("_room") >= first).withColumn(IDX, F.col("edge") + ahead * first).withColumn(CHUNK, chunk_of(rows=rows))
+    looked = looked.join(nearest.select(*KEYS, IDX, "_calm_before", "_calm_after"), [*KEYS, IDX])
+    off = F.when(F.col("side") == "post", F.col("_calm_after") - F.col("edge")).otherwise(F.col("edge") - F.col("_calm_before"))
+    stops = looked.select(SERIES, "side", "edge", F.when(off <= F.col("_room"), off).alias("_stop"))
+    reach = sides.filter("_room > 0").join(stops, [SERIES, "side", "edge"], "left").select(SERIES, "side", "edge", "_stop", F.col("_room").alias("_last"))
     margins = stage(sides.select(SERIES, LEN, "side", "edge").join(reach, [SERIES, "side", "edge"], "left").select(
         SERIES, LEN, "side", "edge",
         F.coalesce("_stop", "_last", F.lit(0)).alias("margin"),
