@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidewatch.llm.common import id_hash
-from tidewatch.llm.words import Words, mix, slices
+from tidewatch.llm.words import Words, give_back, mix, slices
 from tidewatch.session import stage, unstage
 
 SHINGLE_WORDS = 4
@@ -40,6 +40,8 @@ SAMPLE_ROWS, SAMPLE_TIMES, MOST_FREQUENT = 10_000, 8, 1 << 18
 #: Set elements of a block of one cluster.
 BLOCK_GRAMS = 1 << 20
 MAX_BITS = 1 << 15
+#: Bytes of the bitmaps of one group; more members have shorter ones, which prune less but lose nothing.
+MAP_BYTES = 1 << 23
 #: Bytes of bitmaps that are compared at once.
 FRONT_BYTES = 1 << 22
 #: A prefix has room for one more common shingle per so many shingles of a set.
@@ -198,6 +200,7 @@ def vertices(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> Dat
                     batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(kept.view(np.int64))),
                 ], ["doc_id", "n", "f1", "f2", "prefix"])
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(make, f"doc_id {kind}, n bigint, f1 bigint, f2 bigint, prefix array<bigint>")
@@ -232,6 +235,7 @@ def keys_in(sets: DataFrame, percent: int, frequent: np.ndarray) -> DataFrame:
                     rare = frequent[np.minimum(np.searchsorted(frequent, x), len(frequent) - 1)] != x
                 keys = keys_of(x, rare, bands)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(0).take(pa.array(np.full(len(keys), i)))], ["key", "v"])
+        give_back()
 
     kind = sets.schema["v"].dataType.simpleString()
     return sets.select("v", "grams").mapInArrow(make, f"key bigint, v {kind}")
@@ -460,7 +464,8 @@ def group_links(group: list[dict], percent: int) -> list[tuple[int, int]]:
     """
     grams = [np.asarray(r["grams"], np.int64).view(np.uint64) for r in group]
     sizes = np.array([r["n"] for r in group])
-    bits = min(MAX_BITS, max(64, 1 << int(8 * sizes.max()).bit_length()))
+    room = 8 * MAP_BYTES // len(group)
+    bits = max(64, min(MAX_BITS, 1 << int(8 * sizes.max()).bit_length(), 1 << max(room, 1).bit_length() - 1))
     maps = np.stack([np.frombuffer(bitmap(x, bits), np.uint64) for x in grams])
     names: dict = {}
     comps = np.array([names.setdefault(r["comp"], len(names)) for r in group])
@@ -514,5 +519,6 @@ def cross_links(rows: DataFrame, percent: int) -> DataFrame:
                           "grams": r["grams"].values.to_numpy()} for r in column[n]]
                 out += [(group[x]["v"], group[y]["v"]) for x, y in group_links(group, percent)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], ids), pa.array([y for _, y in out], ids)], ["a", "b"])
+        give_back()
 
     return groups.select("rows").mapInArrow(link, f"a {kind}, b {kind}")
