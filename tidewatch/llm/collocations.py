@@ -30,6 +30,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidewatch.llm.words import Words, raw, slices
@@ -45,6 +46,8 @@ UNION_WORDS = 1 << 21
 #: Words of which a task gives back the phrases as text at once.
 TEXT_WORDS = 1_000_000
 FILTER_BITS = 1 << 27
+#: One task in so many tells the words of a phrase.
+TURNS = 8
 #: Phrases of which a task remembers that it has given them back as text.
 TOLD = 1_000_000
 #: Parts in which the first ranks of a language are found before the last ranking.
@@ -303,13 +306,12 @@ def counted(docs: DataFrame, least: int, size: int, filter_bits: int) -> DataFra
     return out
 
 
-def with_words(docs: DataFrame, found: DataFrame, filter_bits: int) -> DataFrame:
-    """``found`` (key, words, f) with lang and phrase."""
-    bits = marks_of(found, filter_bits)
+def spelt(docs: DataFrame, bits: np.ndarray, turns: int) -> DataFrame:
+    """key, lang, phrase of marked phrases, from the tasks whose turn it is: one in ``turns`` for each phrase."""
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, names, waiting = [], [], 0
-        told = np.zeros(0, np.uint64)
+        told, turn = np.zeros(0, np.uint64), _U(TaskContext.get().partitionId() % turns)
 
         def give() -> Iterator[pa.RecordBatch]:
             nonlocal told
@@ -323,13 +325,14 @@ def with_words(docs: DataFrame, found: DataFrame, filter_bits: int) -> DataFrame
                 lo, hi = w.starts[places], w.ends[places]
                 for length, key, ok in phrases(name, word, piece, MOST_WORDS):
                     at = np.flatnonzero(ok & marked(bits, key))
+                    at = at[(key[at] >> _U(40)) % _U(turns) == turn]
                     value, one = np.unique(key[at], return_index=True)
                     new = ~np.isin(value, told, assume_unique=True)
                     value, one = value[new], one[new]
                     told = np.concatenate([told if len(told) < TOLD else told[:0], value])
-                    spelt = [b" ".join(data[lo[j]: hi[j]] for j in range(i, i + length)).decode() for i in at[one].tolist()]
+                    words = [b" ".join(data[lo[j]: hi[j]] for j in range(i, i + length)).decode() for i in at[one].tolist()]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(value.view(np.int64)), pa.array([name] * len(value), pa.string()), pa.array(spelt, pa.string())], ["key", "lang", "phrase"])
+                        [pa.array(value.view(np.int64)), pa.array([name] * len(value), pa.string()), pa.array(words, pa.string())], ["key", "lang", "phrase"])
 
         for batch in batches:
             text, lang = batch.column("text"), batch.column("lang").to_pylist()
@@ -343,9 +346,19 @@ def with_words(docs: DataFrame, found: DataFrame, filter_bits: int) -> DataFrame
         if texts:
             yield from give()
 
-    spelt = docs.mapInArrow(spell, "key long, lang string, phrase string")
-    spelt = spelt.groupBy("key").agg(F.first("lang").alias("lang"), F.min("phrase").alias("phrase"))
-    return found.join(spelt, "key").select("lang", "phrase", F.col("words").cast("int").alias("words"), "f")
+    rows = docs.mapInArrow(spell, "key long, lang string, phrase string")
+    return rows.groupBy("key").agg(F.first("lang").alias("lang"), F.min("phrase").alias("phrase"))
+
+
+def with_words(docs: DataFrame, found: DataFrame, filter_bits: int) -> DataFrame:
+    """``found`` (key, words, f) with lang and phrase: most are told by one task in TURNS, the rest by every task that has them."""
+    columns = ["lang", "phrase", F.col("words").cast("int").alias("words"), "f", "key"]
+    first = stage(found.join(spelt(docs, marks_of(found, filter_bits), TURNS), "key").select(*columns), "collocations_spelt")
+    left = found.join(first.select("key"), "key", "left_anti")
+    rest = left.join(spelt(docs, marks_of(left, filter_bits), 1), "key").select(*columns)
+    known = stage(first.unionByName(rest).drop("key"), "collocations_known")
+    unstage(first)
+    return known
 
 
 def part(words: str, first, length) -> F.Column:
@@ -359,7 +372,7 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, size: int
     totals = stage(texts.groupBy("lang").agg(F.sum(F.regexp_count("text", F.lit(WORD))).cast("long").alias("n")), "collocations_totals")
     sized = texts.join(totals, "lang").select("text", "lang", "n")
     found = counted(sized, least, size, filter_bits)
-    known = stage(with_words(sized, found, filter_bits), "collocations_known")
+    known = with_words(sized, found, filter_bits)
     unstage(*found.tables)
     many = known.filter("words >= 2").withColumn("w", F.split("phrase", " "))
     # the lowest-scoring cut
