@@ -203,6 +203,42 @@ def test_stream_of_late_unordered_batches_equals_batch(spark, wave):
     assert job.late(spark).count() == 1
 
 
+def test_regime_stream_equals_one_frame(spark, wave):
+    """Series that come and go: the newest state of each is read, also after states were written together."""
+    from tidewatch.plans import tier2
+
+    cfg = tier2.RegimeConfig(causal=tier0.CausalConfig(scorers=("jump", "drift", "kernel"), chunk_rows=128), margin=2, min_frames=10)
+    start = pd.Timestamp("2024-01-01")
+    rows = wave[wave["series_id"] == "a"].assign(ts=start + pd.to_timedelta(wave["t"], unit="min"))[["series_id", "ts", "t", *COLS]]
+    table = index_series(spark.createDataFrame(rows), ["ts", "t"], rows=128)
+    _, model = tier2.fit_predict(table.withColumn("bad", F.lit(False)), COLS, "bad", cfg)
+    score = R.regime_score(model, COLS, cfg.causal)
+    want = local(score(table.select("series_id", "chunk", "idx", "n", *COLS)))
+    job = R.OnlineJob(f"{shared_dir(spark)}/stream-regime-{np.random.default_rng().integers(1 << 40)}", COLS, ["ts", "t"], score, R.CAUSAL_LOOKBACK, chunk_rows=128, compact=3)
+    other = lambda t: rows.iloc[[t]].assign(series_id="other")
+    pieces = [rows.head(100), other(100), rows.iloc[100:250], other(249), other(250), rows.iloc[250:]]
+    for epoch, piece in enumerate(pieces):
+        job.process(spark.createDataFrame(piece.sample(frac=1.0, random_state=epoch)), epoch)
+    job.finish(spark)
+    got = local(job.results(spark).filter("series_id = 'a'"))
+    assert len(got) == len(want) and (got["regime"] == want["regime"]).all()
+    np.testing.assert_allclose(got["score"], want["score"], rtol=1e-7, atol=1e-9)
+    written = {e: {r[0] for r in spark.read.parquet(f"{job.folder}/tail/epoch={e}").select("series_id").distinct().collect()} for e in range(len(pieces) + 1)}
+    assert written[1] == {"a"} and written[5] <= {"a", "other"} and written[3] == {"a", "other"}
+
+
+def test_states_expire(spark):
+    start = pd.Timestamp("2024-01-01")
+    score, lookback, carry = R.cusum_score(["f0"])
+    job = R.OnlineJob(f"{shared_dir(spark)}/stream-expire-{np.random.default_rng().integers(1 << 40)}", ["f0"], ["ts", "t"], score, lookback, carry, compact=2, expire="INTERVAL 1 HOUR")
+    row = lambda name, minute: pd.DataFrame([{"series_id": name, "ts": start + pd.Timedelta(minutes=minute), "t": minute, "f0": 1.0}])
+    for epoch, piece in enumerate([row("old", 0), row("a", 1), row("a", 200), row("a", 201), row("old", 202), row("a", 203)]):
+        job.process(spark.createDataFrame(piece), epoch)
+    job.finish(spark)
+    got = [(r.series_id, r.t, r.idx) for r in job.results(spark).orderBy("ts").collect()]
+    assert got == [("old", 0, 0), ("a", 1, 0), ("a", 200, 1), ("a", 201, 2), ("old", 202, 0), ("a", 203, 3)]
+
+
 def test_stream_ties_at_the_watermark(spark):
     start = pd.Timestamp("2024-01-01")
     score, lookback, carry = R.cusum_score(["f0"])

@@ -6,9 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tidewatch.operators import features as B, masks as G
 from tidewatch.operators.layout import IDX, SERIES
-from tidewatch.plans import tier0
+from tidewatch.plans import tier0, tier2
 from tidewatch.plans.catalog_basic import out
+from tidewatch.plans.catalog_masks import label_windows
 from tidewatch.plans.registry import ORACLES, query
 from tidewatch.session import shared_dir
 from tidewatch.sources.tables import event_series, table
@@ -59,8 +61,26 @@ def stream_cusum(spark, sf):
     return out(run(spark, sf, *R.cusum_score(["f0"])), "drift")
 
 
+FIVE = [f"f{i}" for i in range(5)]
+
+
+def with_five(score):
+    """The score over the five features of f0; the first rows of a frame only serve as their look-back."""
+    return lambda frame: score(B.expand_5(frame))
+
+
 @query("stream_causal_tier")
 def stream_causal_tier(spark, sf):
     cfg = tier0.CausalConfig()
-    _, model = tier0.fit_predict(event_series(spark, sf), ["f0"], cfg)
-    return out(run(spark, sf, R.causal_score(model, ["f0"], cfg), R.CAUSAL_LOOKBACK), "score", keys=(SERIES, IDX, "flag"))
+    _, model = tier0.fit_predict(B.expand_5(event_series(spark, sf)), FIVE, cfg)
+    score = with_five(R.causal_score(model, FIVE, cfg))
+    return out(run(spark, sf, score, R.CAUSAL_LOOKBACK + B.WINDOW), "score", keys=(SERIES, IDX, "flag"))
+
+
+@query("stream_regime_tier")
+def stream_regime_tier(spark, sf):
+    cfg = tier2.RegimeConfig(causal=tier0.CausalConfig(), margin=5)
+    rows = G.anomaly_mask(B.expand_5(event_series(spark, sf)), label_windows(spark, sf))
+    _, model = tier2.fit_predict(rows, FIVE, "is_anomaly", cfg)
+    score = with_five(R.regime_score(model, FIVE, cfg.causal))
+    return out(run(spark, sf, score, R.CAUSAL_LOOKBACK + B.WINDOW), "score", keys=(SERIES, IDX, "regime", "flag"))

@@ -9,8 +9,12 @@ Rows wait until their time is before the event-time watermark and are then numbe
 ``(time, tie-break)`` order.  Rows that arrive with a time before the watermark go to a side
 table; a row with exactly the watermark's time is still in time.  ``finish`` ends a stream:
 it scores the rows that still wait.
-State and results are written per epoch; a repeated epoch reads the state of the one
-before it and overwrites its own files, so results are written exactly once.
+State is kept per series: an epoch writes the last rows of the series that it touched and reads those of
+the series that it needs, the newest of each; a series without new rows costs nothing.  Every
+``compact`` epochs the newest states are written together, without series whose last row is older than
+``expire`` before the watermark: such a series starts anew if it comes back.  State and results belong to
+their epoch; a repeated epoch reads what was there before it and overwrites its own files, so results are
+written exactly once.
 """
 
 from __future__ import annotations
@@ -44,6 +48,8 @@ class OnlineJob:
     carry: Sequence[str] = ()
     delay: str = "INTERVAL 0 SECONDS"
     chunk_rows: int = CHUNK_ROWS
+    compact: int = 32
+    expire: str | None = None
 
     def _path(self, kind: str, epoch: int) -> str:
         return f"{self.folder}/{kind}/epoch={epoch}"
@@ -54,13 +60,22 @@ class OnlineJob:
             return spark.createDataFrame([], schema)
         return spark.read.parquet(self._path(kind, epoch - 1))
 
+    def _tails(self, spark: SparkSession, epoch: int, schema: str) -> DataFrame:
+        """The last rows of every series before an epoch: those of its newest epoch since all were written together."""
+        if epoch == 0:
+            return spark.createDataFrame([], schema).withColumn("epoch", F.lit(0))
+        since = max(0, (epoch - 1) // self.compact * self.compact)
+        rows = spark.read.schema(schema + ", epoch int").parquet(f"{self.folder}/tail").filter(F.col("epoch").between(since, epoch - 1))
+        newest = rows.groupBy(SERIES).agg(F.max("epoch").alias("epoch"))
+        return rows.join(newest, [SERIES, "epoch"])
+
     def process(self, batch: DataFrame, epoch: int, final: bool = False) -> None:
         spark, time = batch.sparkSession, self.order[0]
         fields = [SERIES, *self.order, *self.cols]
         new = batch.select(*fields)
         kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in new.schema.fields)
         waiting = self._state(spark, "waiting", epoch, kinds)
-        tail = self._state(spark, "tail", epoch, f"{kinds}, {IDX} long, {LEN} long" + "".join(f", {c} double" for c in self.carry))
+        tails = self._tails(spark, epoch, f"{kinds}, {IDX} long, {LEN} long" + "".join(f", {c} double" for c in self.carry)).drop("epoch")
         mark_kind = new.schema[time].dataType.simpleString()
         before = self._state(spark, "watermark", epoch, f"mark {mark_kind}").first()
         old = F.lit(before["mark"] if before else None).cast(mark_kind)
@@ -75,6 +90,7 @@ class OnlineJob:
         held.filter(~ready).write.mode("overwrite").parquet(self._path("waiting", epoch))
 
         numbered = index_series(held.filter(ready), list(self.order), rows=self.chunk_rows)
+        tail = tails.join(numbered.select(SERIES).distinct(), SERIES, "left_semi")
         seen = tail.groupBy(SERIES).agg(F.max(LEN).alias("_seen"))
         fresh = numbered.join(seen, SERIES, "left").select(
             *fields, (F.col(IDX) + F.coalesce("_seen", F.lit(0))).alias(IDX), (F.col(LEN) + F.coalesce("_seen", F.lit(0))).alias(LEN),
@@ -85,15 +101,21 @@ class OnlineJob:
         frame = fresh.unionByName(old_rows).withColumn(CHUNK, chunk_of(rows=self.chunk_rows))
         frame.write.mode("overwrite").parquet(self._path("frame", epoch))
         frame = spark.read.parquet(self._path("frame", epoch)).drop("epoch")
-        touched = frame.join(frame.filter("_fresh").select(SERIES).distinct(), SERIES, "left_semi")
-        scored = self.score(touched.drop("_fresh"))
+        scored = self.score(frame.drop("_fresh"))
         own = frame.filter("_fresh").select(SERIES, IDX, *self.order)
         scored.join(own, [SERIES, IDX]).write.mode("overwrite").parquet(self._path("scores", epoch))
         last = frame.filter(F.col(IDX) >= F.col(LEN) - self.lookback)
         if self.carry:
             now = spark.read.parquet(self._path("scores", epoch)).select(SERIES, IDX, *[F.col(c).alias(f"_{c}") for c in self.carry])
             last = last.join(now, [SERIES, IDX], "left").withColumns({c: F.coalesce(F.col(c), F.col(f"_{c}")) for c in self.carry})
-        last.select(*fields, IDX, LEN, *self.carry).write.mode("overwrite").parquet(self._path("tail", epoch))
+        last = last.select(*fields, IDX, LEN, *self.carry)
+        if epoch and epoch % self.compact == 0:
+            others = tails.join(frame.select(SERIES).distinct(), SERIES, "left_anti")
+            if self.expire:
+                alive = others.groupBy(SERIES).agg(F.max(time).alias("_t")).filter(F.col("_t") >= mark - F.expr(self.expire))
+                others = others.join(alive.select(SERIES), SERIES, "left_semi")
+            last = last.unionByName(others)
+        last.write.mode("overwrite").parquet(self._path("tail", epoch))
 
     def start(self, stream: DataFrame, available_now: bool = False, **trigger):
         writer = stream.writeStream.foreachBatch(self.process).option("checkpointLocation", f"{self.folder}/checkpoint")
