@@ -106,13 +106,13 @@ def summary_of_scores(spark, sf):
 
 @query("batch_analysis")
 def batch_analysis(spark, sf):
-    a = batch.analyse(given(spark, sf), XS, n_steps=2)
+    a = batch.analyse(given(spark, sf), XS)
     return a.path_stats.select(SERIES, "path", "charge", "stability", "energy", "shannon", "class")
 
 
 @query("batch_score")
 def batch_score(spark, sf):
-    a = batch.analyse(given(spark, sf), XS, n_steps=1)
+    a = batch.analyse(given(spark, sf), XS)
     return batch.fuse(a)
 
 

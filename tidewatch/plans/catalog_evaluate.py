@@ -79,19 +79,21 @@ def fuse_clear_rows(spark, sf):
     return FU.clear_rows(components(spark, sf), "jump").select(SERIES, IDX, "label")
 
 
-@query("fuse_search_weights", with_(*C, CLEAR, "cx AS (SELECT series_id, idx, label, hybrid, kernel, structural FROM cl)", zs(["hybrid", "kernel", "structural"], "cx"),
-       "lat AS (SELECT 0.05 + 0.17 * a AS w1, 0.05 + 0.17 * b AS w2, 0.05 + 0.17 * (5 - a - b) AS w3 FROM range(6) t(a), range(6) u(b) WHERE a + b <= 5)",
+FOUR = ["jump", "hybrid", "kernel", "structural"]
+
+
+@query("fuse_search_weights", with_(*C, CLEAR, f"cx AS (SELECT series_id, idx, label, {', '.join(FOUR)} FROM cl)", zs(FOUR, "cx"),
+       "lat AS (SELECT 0.05 + 0.1 * a AS w1, 0.05 + 0.1 * b AS w2, 0.05 + 0.1 * c AS w3, 0.05 + 0.1 * (8 - a - b - c) AS w4 FROM range(9) t(a), range(9) u(b), range(9) v(c) WHERE a + b + c <= 8)",
        "cnt AS (SELECT series_id, count(*) AS c, sum(label) AS p FROM cx GROUP BY 1)",
-       "sc AS (SELECT zz.series_id, label, greatest(0.1, least(10, pow(c / (2 * CASE WHEN label = 1 THEN p ELSE c - p END), 1.5))) AS w, w1, w2, w3, round(w1 * hybrid + w2 * kernel + w3 * structural, 9) AS s FROM zz JOIN cnt USING (series_id), lat)",
-       "ag AS (SELECT series_id, w1, w2, w3, s, sum(CASE WHEN label = 1 THEN w ELSE 0 END) AS p, sum(CASE WHEN label = 0 THEN w ELSE 0 END) AS q FROM sc GROUP BY 1, 2, 3, 4, 5)",
-       "rk AS (SELECT *, sum(q) OVER (PARTITION BY series_id, w1, w2, w3 ORDER BY s) - q AS below FROM ag)",
-       "au AS (SELECT series_id, w1, w2, w3, round(sum(p * (below + 0.5 * q)) / (sum(p) * sum(q)), 9) AS auc, round(-(w1 * w1 + w2 * w2 + w3 * w3), 9) AS even FROM rk GROUP BY 1, 2, 3, 4)",
-       "pick AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY auc DESC, even DESC, w1 DESC, w2 DESC, w3 DESC) AS rn FROM au)")
-       + f"SELECT series_id, {r('w1', 'w_hybrid')}, {r('w2', 'w_kernel')}, {r('w3', 'w_structural')}, {r('auc', 'auc')} FROM pick WHERE rn = 1")
+       "sc AS (SELECT zz.series_id, label, greatest(0.1, least(10, pow(c / (2 * CASE WHEN label = 1 THEN p ELSE c - p END), 1.5))) AS w, w1, w2, w3, w4, round(w1 * jump + w2 * hybrid + w3 * kernel + w4 * structural, 9) AS s FROM zz JOIN cnt USING (series_id), lat)",
+       "ag AS (SELECT series_id, w1, w2, w3, w4, s, sum(CASE WHEN label = 1 THEN w ELSE 0 END) AS p, sum(CASE WHEN label = 0 THEN w ELSE 0 END) AS q FROM sc GROUP BY ALL)",
+       "rk AS (SELECT *, sum(q) OVER (PARTITION BY series_id, w1, w2, w3, w4 ORDER BY s) - q AS below FROM ag)",
+       "au AS (SELECT series_id, w1, w2, w3, w4, round(sum(p * (below + 0.5 * q)) / (sum(p) * sum(q)), 9) AS auc, round(-(w1 * w1 + w2 * w2 + w3 * w3 + w4 * w4), 9) AS even FROM rk GROUP BY ALL)",
+       "pick AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY auc DESC, even DESC, w1 DESC, w2 DESC, w3 DESC, w4 DESC) AS rn FROM au)")
+       + f"SELECT series_id, {r('w1', 'w_jump')}, {r('w2', 'w_hybrid')}, {r('w3', 'w_kernel')}, {r('w4', 'w_structural')}, {r('auc', 'auc')} FROM pick WHERE rn = 1")
 def fuse_search_weights(spark, sf):
     clear = FU.clear_rows(components(spark, sf).drop("label"), "jump")
-    s = FU.search_weights(clear, ["hybrid", "kernel", "structural"], step=0.17)
-    return out(s, "w_hybrid", "w_kernel", "w_structural", "auc", keys=(SERIES,))
+    return out(FU.search_weights(clear, FOUR), *[f"w_{n}" for n in FOUR], "auc", keys=(SERIES,))
 
 
 @query("fuse_weak_anomalies")

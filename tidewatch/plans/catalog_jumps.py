@@ -113,10 +113,11 @@ def jump_batch_score(spark, sf):
     return I.batch_score(detected(spark, sf)).select(SERIES, IDX, rounded(F.col("jump_score"), 4).alias("jump_score"))
 
 
-@query("jump_consistency", with_(*BASE, INTEG, "st AS (SELECT series_id, idx, sum(abs(d)) AS s FROM jd WHERE feature IN ('f2', 'f3') GROUP BY 1, 2)")
-       + f"SELECT series_id, {r('sum(CASE WHEN unified THEN -importance * s ELSE 0.1 * s END)', 'consistency')} FROM ji JOIN st USING (series_id, idx) GROUP BY 1")
+@query("jump_consistency", with_(*BASE, INTEG, "st AS (SELECT series_id, idx, sum(abs(d)) AS s FROM jd GROUP BY 1, 2)")
+       + f"SELECT series_id, {r('sum(CASE WHEN unified THEN -importance * s ELSE 0.1 * s END)', 'consistency', 3)} FROM ji JOIN st USING (series_id, idx) GROUP BY 1")
 def jump_consistency(spark, sf):
-    return out(I.consistency(detected(spark, sf).rows, ["f2", "f3"]), "consistency", keys=(SERIES,))
+    j = detected(spark, sf)
+    return I.consistency(j.rows, j.cols).select(SERIES, rounded(F.col("consistency"), 3).alias("consistency"))
 
 
 @query("jump_rescore", with_(*BASE, INTEG, CLUST) + "SELECT ji.series_id, ji.idx, " + r("""CASE WHEN unified THEN f2 * (1 + importance) * (CASE WHEN importance > 0.8 THEN sqrt(importance) ELSE importance * importance END)
@@ -202,10 +203,12 @@ def trend_sql(w):
     ])
 
 
-@query("trend_gradual", with_(EV, trend_sql(200), trend_sql(500)) + "SELECT series_id, idx, " + r(
-    "(coalesce(z200.z, 0) + coalesce(z500.z, 0)) / ((z200.z IS NOT NULL)::INT + (z500.z IS NOT NULL)::INT)", "gradual") + " FROM z200 JOIN z500 USING (series_id, idx)")
+@query("trend_gradual", with_(EV, *[trend_sql(w) for w in J.TREND_WINDOWS]) + "SELECT series_id, idx, " + r(
+    "CASE WHEN {n} > 0 THEN ({s}) / {n} ELSE 0 END".format(
+        s=" + ".join(f"coalesce(z{w}.z, 0)" for w in J.TREND_WINDOWS), n="(" + " + ".join(f"(z{w}.z IS NOT NULL)::INT" for w in J.TREND_WINDOWS) + ")"), "gradual")
+    + " FROM z500 JOIN z1000 USING (series_id, idx) JOIN z2000 USING (series_id, idx)")
 def trend_gradual(spark, sf):
-    return out(J.gradual_transition(event_series(spark, sf), "f0", windows=(200, 500)), "gradual")
+    return out(J.gradual_transition(event_series(spark, sf), "f0"), "gradual")
 
 
 @query("trend_state_drift", with_(EV, """rf AS (SELECT series_id, any_value(n) AS n, greatest(10, least(1000, greatest(10, n // 4))) AS wr FROM ev GROUP BY series_id, n),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.numeric import rounded
 from tidewatch.operators import jumps as I, paths as K
-from tidewatch.operators.layout import IDX, LEN, SERIES, attach, home, with_halo
+from tidewatch.operators.layout import IDX, LEN, SERIES, attach, home, long_form, with_halo
 from tidewatch.operators.scale import series_stats
 from tidewatch.plans.catalog_basic import out
 from tidewatch.plans.catalog_jumps import BASE, INTEG, detected
@@ -83,13 +83,13 @@ def path_jump_start(spark, sf):
 @query("path_refine")
 def path_refine(spark, sf):
     df, names = K.spectral_paths(given(spark, sf, jumps=True), XS, unit=False)
-    return out(K.refine_paths(df, XS, names, jumps=True, n_steps=3), *names)
+    return out(K.refine_paths(df, XS, names, jumps=True), *names)
 
 
 @query("path_refine_sparse")
 def path_refine_sparse(spark, sf):
     df, names = K.spectral_paths(given(spark, sf, jumps=True), XS, unit=False)
-    return out(K.refine_paths(K.key_rows(df), XS, names, sparse=True, n_steps=2), *names)
+    return out(K.refine_paths(K.key_rows(df), XS, names, sparse=True), *names)
 
 
 GRAM = ", ".join([f"pow(sum(x{i} * x{j}), 2) AS a{i}{j}, pow(sum(x{i} * p{j}), 2) AS b{i}{j}, pow(sum(p{i} * p{j}), 2) AS c{i}{j}" for i in range(4) for j in range(4)])
@@ -150,12 +150,11 @@ def path_pulsation(spark, sf):
     return out(e, "intensity", "asymmetry", "power", "energy", keys=(SERIES, "path", "n_jumps"))
 
 
-@query("path_energy_jumps", with_(*BASE, GIVEN, "e AS (SELECT series_id, path, sum(x * x) AS ss FROM pl GROUP BY 1, 2)", "fp AS (SELECT series_id, avg(ln(1 + power)) AS w FROM jstat GROUP BY 1)")
-       + f"SELECT series_id, path, {r('ss + 0.3 * w', 'energy')} FROM e JOIN fp USING (series_id)")
+@query("path_energy_jumps", with_(*BASE, GIVEN, "e AS (SELECT series_id, path, sum(x * x) AS ss FROM pl GROUP BY 1, 2)", "fp AS (SELECT series_id, avg(power) AS w FROM jstat GROUP BY 1)")
+       + f"SELECT series_id, path, {r('ss + 0.3 * w', 'energy', -3)} FROM e JOIN fp USING (series_id)")
 def path_energy_jumps(spark, sf):
-    """The features' power is put on a log scale, as cents make it very large."""
-    j = detected(spark, sf)
-    return out(K.energy(K.pulsation(given(spark, sf), PATHS), j.features.withColumn("power", F.log1p("power"))), "energy", keys=(SERIES, "path"))
+    e = K.energy(K.pulsation(given(spark, sf), PATHS), detected(spark, sf).features)
+    return e.select(SERIES, "path", rounded(F.col("energy"), -3).alias("energy"))
 
 
 @query("path_jump_positions", with_(DAILY, GIVEN, STEP) + "SELECT series_id, path, idx - 1 AS idx FROM pj WHERE abs(dx) > dm + 1.2 * ds")
@@ -168,12 +167,13 @@ def path_entropies(spark, sf):
     return eout(K.entropies(given(spark, sf), PATHS), SERIES, "path")
 
 
-@query("path_entropy_orders", with_(DAILY, GIVEN, "a AS (SELECT series_id, abs(p0) + 1e-10 AS a FROM given)", "b AS (SELECT series_id, a / sum(a) OVER (PARTITION BY series_id) AS q FROM a)")
-       + f"SELECT series_id, {r('-sum(q * ln(q))', 'renyi_1')}, {r('ln(sum(pow(q, 3))) / -2', 'renyi_3')}, {r('-sum(q * ln(q))', 'tsallis_1')}, {r('(1 - sum(q * q)) / 1', 'tsallis_2')} FROM b GROUP BY 1")
+@query("path_entropy_orders", with_(DAILY, GIVEN, "a AS (SELECT series_id, path, abs(x) + 1e-10 AS a FROM pl)", "b AS (SELECT series_id, path, a / sum(a) OVER (PARTITION BY series_id, path) AS q FROM a)")
+       + f"SELECT series_id, path, {r('-sum(q * ln(q))', 'renyi_1')}, {r('ln(sum(pow(q, 3))) / -2', 'renyi_3')}, {r('-sum(q * ln(q))', 'tsallis_1')}, {r('(1 - sum(q * q)) / 1', 'tsallis_2')} FROM b GROUP BY 1, 2")
 def path_entropy_orders(spark, sf):
-    agg = given(spark, sf).groupBy(SERIES).agg(
-        K.renyi("p0", 1.0).alias("renyi_1"), K.renyi("p0", 3.0).alias("renyi_3"), K.tsallis("p0", 1.0).alias("tsallis_1"), K.tsallis("p0", 2.0).alias("tsallis_2"))
-    return out(agg, "renyi_1", "renyi_3", "tsallis_1", "tsallis_2", keys=(SERIES,))
+    long = long_form(given(spark, sf), PATHS, "path", "x", [SERIES])
+    agg = long.groupBy(SERIES, "path").agg(
+        K.renyi("x", 1.0).alias("renyi_1"), K.renyi("x", 3.0).alias("renyi_3"), K.tsallis("x", 1.0).alias("tsallis_1"), K.tsallis("x", 2.0).alias("tsallis_2"))
+    return out(agg, "renyi_1", "renyi_3", "tsallis_1", "tsallis_2", keys=(SERIES, "path"))
 
 
 COND = """cw AS (SELECT pl.series_id, path, idx, abs(x) + 1e-10 AS a, unified,

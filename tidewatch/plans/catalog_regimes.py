@@ -65,6 +65,6 @@ def regime_tier(spark, sf):
 
 @query("regime_tier_adaptive")
 def regime_tier_adaptive(spark, sf):
-    cfg = tier2.RegimeConfig(causal=tier0.CausalConfig(scorers=("jump", "kernel")), margin=10, adaptive_margin=True, regimes=2)
+    cfg = tier2.RegimeConfig(causal=tier0.CausalConfig(), adaptive_margin=True)
     scores, _ = tier2.fit_predict(regime_events(spark, sf), [f"f{i}" for i in range(5)], "is_anomaly", cfg)
     return out(scores, "score", keys=(SERIES, IDX, "regime", "flag"))
