@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -17,3 +19,11 @@ def fold(doc_id: Column, folds: int) -> Column:
 def id_hash(doc_id: Column, salt: str = "") -> Column:
     """32 hex digits that depend on the id alone; SQL engines share this function."""
     return F.md5(F.concat(F.lit(salt), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+
+
+def unused(columns: Iterable[str], name: str) -> str:
+    """``name`` with as many underscores in front as it takes to be no column (names differ in case only are equal)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

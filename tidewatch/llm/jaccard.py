@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tidewatch.llm.common import id_hash
+from tidewatch.llm.common import id_hash, unused
 from tidewatch.llm.words import Words, give_back, mix, slices
 from tidewatch.session import stage, unstage
 
@@ -415,7 +415,7 @@ def components_of(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCEN
 def representatives(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each component does: the one with the smallest doc_id.
 
-    Of rows with that one doc_id one stays (the smallest text).  Documents without words and rows that
+    Of rows with that one doc_id and one text one stays.  Documents without words and rows that
     only have a null doc_id are never linked to another and all stay.
     """
     found = components_of(docs, k, percent)
@@ -425,9 +425,11 @@ def representatives(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     again = stage(found.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "jaccard_again")
     twice = kept.join(again, "doc_id", "left_semi")
     once = kept.join(again, "doc_id", "left_anti")
-    named = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
-    least = twice.groupBy("doc_id").agg(F.min(F.struct("text", *named)).alias("_row"))
-    return once.unionByName(least.select("doc_id", "_row.*").select(*docs.columns))
+    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    row = unused(docs.columns, "_row")
+    # to_json also orders what has no order of its own, such as maps
+    least = twice.groupBy("doc_id", "text").agg(F.min_by(F.struct(F.lit(0).alias("a"), *others), F.to_json(F.struct(F.lit(0).alias("a"), *others))).alias(row))
+    return once.unionByName(least.select("doc_id", "text", *[F.col(row)[c].alias(c) for c in docs.columns if c not in ("doc_id", "text")]))
 
 
 def meetings(rows: DataFrame) -> DataFrame:

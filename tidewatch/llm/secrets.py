@@ -25,6 +25,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidewatch.llm.common import unused
 from tidewatch.llm.rules import bind
 from tidewatch.session import stage
 
@@ -224,20 +225,21 @@ def digest(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, marker: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret replaced by ``marker`` (overlapping spans by one); n_chars, if there, follows."""
-    found = scan(docs, docs.columns, "_spans")
-    ends = running(F.transform("_spans", lambda s: s["end"]), F.greatest, F.lit(0))
+    spans, clean = unused(docs.columns, "_spans"), unused(docs.columns, "_clean")
+    found = scan(docs, docs.columns, spans)
+    ends = running(F.transform(spans, lambda s: s["end"]), F.greatest, F.lit(0))
 
     def cut(at: Column) -> Column:
         before = lambda i: F.coalesce(F.get(at, i - 1), F.lit(0))
         return F.concat(
-            F.array_join(F.transform("_spans", lambda s, i: F.when(
+            F.array_join(F.transform(spans, lambda s, i: F.when(
                 (i > 0) & (s["start"] < before(i)), F.lit("")
             ).otherwise(F.concat(F.substring("text", before(i) + 1, s["start"] - before(i)), F.lit(marker)))), ""),
             F.substring("text", F.element_at(at, -1) + 1, F.length("text")),
         )
 
-    out = found.withColumn("_clean", F.when(F.size("_spans") > 0, bind(ends, cut)).otherwise(F.col("text")))
+    out = found.withColumn(clean, F.when(F.size(spans) > 0, bind(ends, cut)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        length = F.length("_clean").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, length).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.col("_clean")).select(*docs.columns)
+        length = F.length(clean).cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, length).otherwise(F.col("n_chars")))
+    return out.withColumn("text", F.col(clean)).select(*docs.columns)
