@@ -199,3 +199,37 @@ def test_sweep_with_overlapping_windows(spark):
                     total += fp * (sig((i - past[-1][1]) / max(past[-1][1] - past[-1][0], 1)) if past else -1.0)
             best = max(best, total + sum(v + fn for v in hit.values()) - len(spans) * fn)
         assert got.loc[name, "best_raw"] == pytest.approx(best, abs=1e-9)
+
+
+@pytest.mark.parametrize("rows, consistency, sparse", [(16, False, False), (37, True, False), (8192, False, True)])
+def test_path_slopes_are_derivatives(spark, rows, consistency, sparse):
+    """Against differences of the objective written out over the full matrix, the limits held fixed."""
+    rng = np.random.default_rng(12)
+    n, names = 60, ["p0", "p1", "p2"]
+    x, lam = rng.normal(size=(n, 3)), rng.normal(size=(n, 3))
+    jump, weight = rng.random(n) < 0.3, rng.random(n)
+    frame = pd.DataFrame(np.hstack([x, lam]), columns=COLS + names).assign(
+        series_id="a", idx=np.arange(n), n=n, chunk=np.arange(n) // rows, unified=jump, importance=weight, role=np.where(rng.random(n) < 0.5, "jump", "diagonal"))
+    weights = (0.05, 0.005, 0.5, 0.1)
+    got = local(K.path_slopes(spark.createDataFrame(frame), COLS, names, weights, consistency, sparse, rows))
+    inside = (frame["role"] != "diagonal").to_numpy()
+    pairs = np.outer(inside, inside) | np.eye(n, dtype=bool) if sparse else np.ones((n, n), bool)
+    d0 = np.abs(np.diff(lam, axis=0))
+    limit = d0.mean(axis=0) + 2.5 * d0.std(axis=0)
+
+    def objective(v):
+        d = np.abs(np.diff(v, axis=0))
+        turn = np.diff(np.arctan2(v[1:], v[:-1]), axis=0)
+        turn = (turn + np.pi) % (2 * np.pi) - np.pi
+        out = ((x @ x.T - v @ v.T)[pairs] ** 2).sum() + 0.05 * (d.sum() + np.abs(np.diff(v, axis=1)).sum()) + 0.005 * np.abs(v).sum()
+        out += 0.5 * d[d0 > limit].sum() + 0.1 * (turn**2).sum()
+        if consistency:
+            out += (np.where(jump[1:], -weight[1:], 0.1)[:, None] * d).sum()
+        return out
+
+    for i in rng.choice(n, 12, replace=False):
+        for j, name in enumerate(names):
+            up, down = lam.copy(), lam.copy()
+            up[i, j] += 1e-6
+            down[i, j] -= 1e-6
+            assert got[f"slope_{name}"][i] == pytest.approx((objective(up) - objective(down)) / 2e-6, rel=1e-4, abs=1e-3)

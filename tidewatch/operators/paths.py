@@ -16,7 +16,7 @@ from tidewatch.functions.numeric import num, total, wrap_angle
 from tidewatch.operators.layout import (
     CHUNK, CHUNK_ROWS, IDX, KEYS, LEN, SERIES, attach, by_chunk, frame, home, with_halo,
 )
-from tidewatch.session import stage
+from tidewatch.session import stage, unstage
 
 TWO_PI = 2 * np.pi
 SEGMENTS = 10
@@ -229,66 +229,58 @@ def sparse_fit(keyed: DataFrame, cols: Sequence[str], paths: Sequence[str]) -> D
     return m.join(rest, SERIES).select(SERIES, LEN, (fit + F.col("_rest")).alias("sparse_fit"))
 
 
-def _gradient_step(
+def path_slopes(
     df: DataFrame, cols: Sequence[str], paths: Sequence[str], weights: tuple[float, float, float, float],
-    step: float, consistency: bool, sparse: bool, rows: int,
+    consistency: bool, sparse: bool, rows: int,
 ) -> DataFrame:
-    """One descent step; the data-fit part needs only the d x p and p x p sums.
+    """``df`` with ``slope_<p>``, the derivative of the path objective by each value of a path, and ``size``.
 
-    Sums are plain aggregates.  The update of a row needs its neighbours within three
-    rows, so it is a map over single chunks with that halo.
+    ``weights`` are those of steps and levels, of magnitudes, of large steps and of turns.  The data fit needs the
+    d x p and p x p sums of a series; everything else hangs on the rows next to one, so it is made of leads
+    and lags.  ``size`` is the sum of squares of the series' features.  A limit on large steps counts as fixed.
     """
-    alpha, beta, jump, topo = weights
+    level, magnitude, large, turns = weights
     inside = (F.col("role") != "diagonal") if sparse else None
-    aggs = [
+    stepped = steps(df, paths, rows)
+    sums = stepped.groupBy(SERIES).agg(
         F.max(LEN).alias(LEN), _products(cols, paths, inside).alias("xl"), _products(paths, paths, inside).alias("ll"),
         F.sum(total([F.col(c) * F.col(c) for c in cols])).alias("size"),
-    ]
-    dx = [F.coalesce(F.col(p) - F.lag(p).over(by_chunk()), F.lit(None)).alias(f"dx_{p}") for p in paths]
-    moved = home(with_halo(df, back=1, rows=rows).select("*", *dx))
-    for name, how in (("dm", F.avg), ("ds", F.stddev_pop)):
-        aggs.append(F.array(*[how(F.abs(f"dx_{p}")) for p in paths]).alias(name))
-    sums = moved.groupBy(SERIES).agg(*aggs)
+        *[(F.avg(F.abs(f"dx_{p}")) + 2.5 * F.stddev_pop(F.abs(f"dx_{p}"))).alias(f"limit_{p}") for p in paths])
+    w = by_chunk()
     wide = with_halo(attach(df, sums, rows), back=3, ahead=3, rows=rows)
-    d, k, names, kept = len(cols), len(paths), list(paths), list(df.columns)
-
-    def update(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(IDX)
-        one = pdf.iloc[0]
-        x, lam = pdf[list(cols)].to_numpy(dtype=float), pdf[names].to_numpy(dtype=float)
-        xl, ll = np.reshape(one["xl"], (d, k)), np.reshape(one["ll"], (k, k))
-        grad = -4.0 * (x @ xl - lam @ ll)
-        if sparse:
-            own = (x * x).sum(1) - (lam * lam).sum(1)
-            far = (pdf["role"] == "diagonal").to_numpy()
-            grad[far] = -4.0 * own[far, None] * lam[far]
-        grad += beta * np.sign(lam)
-        across = alpha * np.sign(np.diff(lam, axis=1))
-        grad[:, 1:] += across
-        grad[:, :-1] -= across
-        diff = np.diff(lam, axis=0)
-        limit = np.asarray(one["dm"], dtype=float) + 2.5 * np.asarray(one["ds"], dtype=float)
-        pull = alpha + jump * (np.abs(diff) > limit)
-        if consistency:
-            at_jump = pdf["unified"].to_numpy(dtype=bool)[1:, None]
-            pull = pull + np.where(at_jump, -pdf["importance"].to_numpy(dtype=float)[1:, None], 0.1)
-        pull = pull * np.sign(diff)
-        grad[1:] += pull
-        grad[:-1] -= pull
-        if topo and len(lam) > 2:
-            here, there = lam[:-1], lam[1:]
-            turn = np.diff(np.arctan2(there, here), axis=0)
-            turn -= 2 * np.pi * np.sign(turn) * (np.abs(turn) > np.pi)
-            by_phase = np.zeros_like(here)
-            by_phase[1:] += 2 * topo * turn
-            by_phase[:-1] -= 2 * topo * turn
-            r2 = here * here + there * there + 1e-12
-            grad[:-1] -= by_phase * there / r2
-            grad[1:] += by_phase * here / r2
-        pdf[names] = lam - step / max(float(one["size"]), 1e-12) * grad
-        return pdf.loc[pdf["home"], kept]
-
-    return wide.groupBy(*KEYS).applyInPandas(update, df.schema)
+    wide = wide.select("*", *[(F.col(p) - F.lag(p).over(w)).alias(f"dx_{p}") for p in paths], *[F.lead(p).over(w).alias(f"nx_{p}") for p in paths])
+    # the phase of a row and the next, its turn, and what a change of the phase does to the squared turns
+    wide = wide.select("*", *[F.atan2(f"nx_{p}", p).alias(f"th_{p}") for p in paths])
+    wide = wide.select("*", *[wrap_angle(F.col(f"th_{p}") - F.lag(f"th_{p}").over(w)).alias(f"turn_{p}") for p in paths])
+    by_phase = {p: 2 * turns * (F.coalesce(f"turn_{p}", num(0)) - F.coalesce(F.lead(f"turn_{p}").over(w), num(0))) for p in paths}
+    wide = wide.select("*", *[(v / (F.col(p) * F.col(p) + F.col(f"nx_{p}") * F.col(f"nx_{p}") + 1e-12)).alias(f"q_{p}") for p, v in by_phase.items()])
+    moved = F.when(F.col("unified"), -F.col("importance")).otherwise(num(0.1)) if consistency else num(0)
+    cost = {p: num(level) + F.when(F.abs(f"dx_{p}") > F.col(f"limit_{p}"), num(large)).otherwise(num(0)) + moved for p in paths}
+    wide = wide.select("*", *[F.coalesce(c * F.signum(f"dx_{p}"), num(0)).alias(f"pull_{p}") for p, c in cost.items()])
+    k, slopes = len(paths), []
+    own = total([F.col(c) * F.col(c) for c in cols]) - total([F.col(p) * F.col(p) for p in paths])
+    for j, p in enumerate(paths):
+        fit = total([F.col(c) * F.col("xl")[i * k + j] for i, c in enumerate(cols)]) - total([F.col(x) * F.col("ll")[i * k + j] for i, x in enumerate(paths)])
+        slope = -4 * (F.when(F.col("role") == "diagonal", own * F.col(p)).otherwise(fit) if sparse else fit)
+        slope += magnitude * F.signum(p)
+        if j:
+            slope += level * F.signum(F.col(p) - F.col(paths[j - 1]))
+        if j + 1 < k:
+            slope -= level * F.signum(F.col(paths[j + 1]) - F.col(p))
+        slope += F.col(f"pull_{p}") - F.coalesce(F.lead(f"pull_{p}").over(w), num(0))
+        slope += F.coalesce(F.lag(F.col(f"q_{p}") * F.col(p)).over(w), num(0)) - F.coalesce(F.col(f"q_{p}") * F.col(f"nx_{p}"), num(0))
+        slopes.append(slope.alias(f"slope_{p}"))
+    return home(wide.select(*df.columns, "home", "size", *slopes))
+
+
+def _gradient_step(
+    df: DataFrame, cols: Sequence[str], paths: Sequence[str], weights: tuple[float, float, float, float],
+    step: float, consistency: bool, sparse: bool, rows: int,
+) -> DataFrame:
+    """One descent step, in units of the series' size."""
+    sloped = path_slopes(df, cols, paths, weights, consistency, sparse, rows)
+    moved = {p: F.col(p) - step / F.greatest("size", num(1e-12)) * F.col(f"slope_{p}") for p in paths}
+    return sloped.select(*[moved[c].alias(c) if c in moved else F.col(c) for c in df.columns])
 
 
 def refine_paths(
@@ -308,7 +300,10 @@ def refine_paths(
     for weight in (0.0, topo):
         now = df
         for _ in range(n_steps):
-            now = stage(_gradient_step(now, cols, paths, (alpha, beta, 0.5, weight), step, jumps, sparse, rows), "paths")
+            after = stage(_gradient_step(now, cols, paths, (alpha, beta, 0.5, weight), step, jumps, sparse, rows), "paths")
+            if now is not df:
+                unstage(now)
+            now = after
         solved.append(now)
     other = solved[1].select(*ids, *[F.col(p).alias(f"_o_{p}") for p in paths])
     both = solved[0].join(other, ids)
