@@ -233,3 +233,35 @@ def test_path_slopes_are_derivatives(spark, rows, consistency, sparse):
             up[i, j] += 1e-6
             down[i, j] -= 1e-6
             assert got[f"slope_{name}"][i] == pytest.approx((objective(up) - objective(down)) / 2e-6, rel=1e-4, abs=1e-3)
+
+
+@pytest.mark.parametrize("rows", [37, 8192])
+def test_lasso_meets_its_optimality_conditions(spark, rows):
+    """Per series: noise, a clear signal, one class only, a constant feature; slopes recomputed in numpy."""
+    from tidewatch.operators.path_features import fit_lasso, select_by_lasso, violation
+
+    rng = np.random.default_rng(4)
+    frames = []
+    for name, n in (("noise", 200), ("signal", 300), ("one", 60), ("apart", 120)):
+        x = rng.normal(size=(n, 3)) * [1, 5, 0.1] + 2
+        x[:, 2] = 7 if name == "signal" else x[:, 2]
+        y = {"noise": rng.random(n) < 0.5, "signal": x[:, 0] + rng.normal(size=n) > 2, "one": np.zeros(n, bool), "apart": x[:, 1] > 2}[name]
+        frames.append(pd.DataFrame(x, columns=COLS).assign(series_id=name, idx=np.arange(n), n=n, chunk=np.arange(n) // rows, label=y.astype(int)))
+    frame = pd.concat(frames)
+    df = spark.createDataFrame(frame)
+    model, _ = fit_lasso(df, COLS, "label", c=10.0, chunk_rows=rows)
+    for r in model.collect():
+        part = frame[frame["series_id"] == r.series_id]
+        x, y = part[COLS].to_numpy(), part["label"].to_numpy()
+        sd = x.std(axis=0)
+        z = np.hstack([np.where(sd > 1e-12, (x - x.mean(axis=0)) / np.where(sd > 1e-12, sd, 1), 0), np.ones((len(x), 1))])
+        b = np.array(r.b)
+        g = z.T @ (y - 1 / (1 + np.exp(-z @ b)))
+        assert r.done and violation(b, g, 10.0) <= 1e-3, (r.series_id, b)
+    chosen, areas = select_by_lasso(df, COLS, "label", chunk_rows=rows)
+    shares = chosen.groupBy("series_id").agg(F.sum("weight").alias("w"), F.count("*").alias("n")).toPandas().set_index("series_id")
+    np.testing.assert_allclose(shares["w"], 1.0)
+    top = chosen.toPandas().sort_values("weight").groupby("series_id").last()["feature"]
+    assert top["signal"] == "f0" and top["apart"] == "f1" and shares.loc["one", "n"] == 1
+    areas = areas.toPandas().set_index("series_id")["auc"]
+    assert areas["apart"] == 1.0 and areas["signal"] > 0.8 and np.isnan(areas["one"])

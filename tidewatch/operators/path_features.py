@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions.numeric import finite, num, total
 from tidewatch.functions.spectrum import shape, spectrum
 from tidewatch.operators.evaluate import auc
-from tidewatch.operators.layout import IDX, KEYS, LEN, SERIES, attach, by_chunk, home, long_form, with_halo
-from tidewatch.session import stage
+from tidewatch.operators.layout import CHUNK_ROWS, IDX, KEYS, LEN, SERIES, attach, by_chunk, home, long_form, with_halo
+from tidewatch.session import stage, unstage
 from tidewatch.operators.paths import energy, entropies, per_path, pulsation, topology
 
 TOP_FEATURES = 20
@@ -152,28 +152,108 @@ def select_by_correlation(df: DataFrame, features: Sequence[str], label: str, to
     return chosen, auc(summed, [SERIES], "_sum", label)
 
 
-def select_by_lasso(df: DataFrame, features: Sequence[str], label: str, c: float = 10.0, top: int = TOP_FEATURES) -> tuple[DataFrame, DataFrame]:
-    """Features with non-zero weight in an L1 logistic model over all rows, and its AUC.
+LASSO = "struct<b: array<double>, target: array<double>, trial: array<double>, t: double, best: double, violation: double, done: boolean>"
 
-    Falls back to the single best correlated feature when every weight is zero.  The rows
-    are staged, since the solver passes over them many times.
+
+def _shrunk_step(b: np.ndarray, g: np.ndarray, h: np.ndarray, c: float) -> np.ndarray:
+    """The b + delta that minimises |b + delta| - c g delta + c delta h delta / 2, by coordinates."""
+    new, curve = b.copy(), c * np.diag(h) + 1e-12
+    pull = -c * g
+    for _ in range(10_000):
+        most = 0.0
+        for j in range(len(b)):
+            u = new[j] - pull[j] / curve[j]
+            u = np.sign(u) * max(abs(u) - 1 / curve[j], 0.0)
+            if u != new[j]:
+                pull += c * h[:, j] * (u - new[j])
+                most = max(most, abs(u - new[j]))
+                new[j] = u
+        if most < 1e-12 * max(1.0, np.abs(new).max()):
+            break
+    return new
+
+
+def violation(b: np.ndarray, g: np.ndarray, c: float) -> float:
+    """How far b is from the optimality conditions, g the slope of the log-likelihood."""
+    return float(np.where(b != 0, np.abs(c * g - np.sign(b)), np.maximum(np.abs(c * g) - 1, 0.0)).max())
+
+
+def _advance(c: float, tol: float):
+    """A Newton step per series: accept the trial and aim anew, or halve the step."""
+
+    def one(b, target, trial, t, best, loss, g, h):
+        b, target, trial, g = (np.asarray(x, dtype=float) for x in (b, target, trial, g))
+        value = np.abs(trial).sum() + c * loss
+        if not np.isnan(best) and value > best + 1e-10 * abs(best):
+            t /= 2
+            return b, target, b + t * (target - b), t, best, np.inf, t < 1e-12
+        off = violation(trial, g, c)
+        aim = _shrunk_step(trial, g, np.asarray(h, dtype=float).reshape(len(b), len(b)), c)
+        return trial, aim, aim, 1.0, value, off, off <= tol
+
+    def many(b: pd.Series, target: pd.Series, trial: pd.Series, t: pd.Series, best: pd.Series, loss: pd.Series, g: pd.Series, h: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(*r) for r in zip(b, target, trial, t, best, loss, g, h)], columns=["b", "target", "trial", "t", "best", "violation", "done"])
+
+    return F.pandas_udf(many, LASSO)
+
+
+def fit_lasso(df: DataFrame, features: Sequence[str], label: str, c: float = 10.0, tol: float = 1e-4, most: int = 500, chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Per series the L1 logistic model of (standardised features, 1), and the rows with them as ``x`` and ``y``.
+
+    Columns of the model: b (slopes, then the intercept, which is shrunk too), violation of the optimality
+    conditions, done.  All series take their Newton steps together: a pass sums the reweighted products of each
+    series, coordinates are descended on those d x d sums, and series that have converged leave.
+    """
+    given = df.filter(F.col(label).isin(0, 1)).select(*KEYS, IDX, F.col(label).cast("double").alias("y"), *features)
+    stats = given.groupBy(SERIES).agg(*[f(c_).alias(f"{n}_{c_}") for c_ in features for f, n in ((F.avg, "m"), (F.stddev_pop, "s"))])
+    lengths = df.groupBy(SERIES).agg(F.max(LEN).alias(LEN))
+    z = [F.when(F.col(f"s_{f}") > 0, (F.col(f) - F.col(f"m_{f}")) / F.col(f"s_{f}")).otherwise(num(0)) for f in features]
+    rows = stage(attach(given, stats.join(lengths, SERIES), chunk_rows).select(*KEYS, IDX, "y", F.array(*z, num(1)).alias("x")), "lasso-rows")
+    d = len(features) + 1
+    zero = F.array(*[num(0)] * d)
+    start = rows.select(SERIES).distinct().join(lengths, SERIES)
+    state = stage(start.select(SERIES, LEN, F.struct(
+        zero.alias("b"), zero.alias("target"), zero.alias("trial"), num(1).alias("t"), F.lit(float("nan")).alias("best"), F.lit(float("inf")).alias("violation"), F.lit(False).alias("done")).alias("m")), "lasso")
+    advance = _advance(c, tol)
+    for _ in range(most):
+        open_ = state.filter("NOT m.done")
+        if not open_.limit(1).count():
+            break
+        now = attach(rows, open_.select(SERIES, LEN, F.col("m.trial").alias("_b")), chunk_rows).filter("_b IS NOT NULL")
+        score = total([F.col("x")[j] * F.col("_b")[j] for j in range(d)])
+        now = now.withColumn("_f", score).withColumn("_p", 1 / (1 + F.exp(-F.col("_f"))))
+        wrong = (1 - 2 * F.col("y")) * F.col("_f")
+        x = [F.col("x")[j] for j in range(d)]
+        weight = F.greatest(F.col("_p") * (1 - F.col("_p")), num(1e-12))
+        products = {(i, j): F.sum(weight * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(d) for j in range(i, d)}
+        sums = now.groupBy(SERIES).agg(
+            F.sum(F.greatest(wrong, num(0)) + F.log1p(F.exp(-F.abs(wrong)))).alias("loss"),
+            F.array(*[F.sum((F.col("y") - F.col("_p")) * v) for v in x]).alias("g"), *products.values())
+        h = F.array(*[F.col(f"h{min(i, j)}_{max(i, j)}") for i in range(d) for j in range(d)])
+        moved = open_.join(sums, SERIES).select(
+            SERIES, LEN, advance("m.b", "m.target", "m.trial", "m.t", "m.best", "loss", "g", h).alias("m"))
+        after = stage(state.filter("m.done").unionByName(moved), "lasso")
+        unstage(state)
+        state = after
+    return state.select(SERIES, LEN, "m.b", "m.violation", "m.done"), rows
+
+
+def select_by_lasso(df: DataFrame, features: Sequence[str], label: str, c: float = 10.0, top: int = TOP_FEATURES, chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Per series the features with non-zero weight in its L1 logistic model, and the AUC of the model.
+
+    Falls back to the best correlated feature when every slope is zero.  Weights are shares of the magnitudes of
+    the chosen slopes; ``corr`` is the feature's absolute correlation with the label.
     """
-    spark = df.sparkSession
-    rows = stage(df.select(*features, F.col(label).cast("double").alias("_label")), "lasso")
-    n = rows.count()
-    stats = rows.agg(*[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features],
-                     *[F.corr(f, "_label").alias(f"c_{f}") for f in features]).first().asDict()
-    z = [((F.col(f) - num(stats[f"m_{f}"])) / num(stats[f"s_{f}"] or 1.0)).alias(f) for f in features]
-    data = VectorAssembler(inputCols=list(features), outputCol="x").transform(rows.select(*z, "_label"))
-    model = LogisticRegression(featuresCol="x", labelCol="_label", elasticNetParam=1.0, regParam=1.0 / (c * max(n, 1)), maxIter=60, tol=1e-5,
-                               standardization=False).fit(data)
-    raw = {f: float(v) for f, v in zip(features, model.coefficients)}
-    kept = [f for f in features if abs(raw[f]) > 1e-5][:top]
-    if not kept:
-        kept = [max(features, key=lambda f: abs(stats[f"c_{f}"] or 0.0))]
-        raw[kept[0]] = 1.0
-    scale = sum(abs(raw[f]) for f in kept)
-    chosen = spark.createDataFrame([(f, abs(raw[f]) / scale, float(stats[f"c_{f}"] or 0.0)) for f in kept], "feature string, weight double, corr double")
-    fitted = rows.select(*z, "_label").select(
-        F.lit("all").alias("_k"), "_label", total([num(raw[f]) * F.col(f) for f in kept]).alias("_s"))
-    return chosen, auc(fitted, ["_k"], "_s", "_label").select("auc")
+    model, rows = fit_lasso(df, features, label, c, chunk_rows=chunk_rows)
+    # of standardised features, so a constant one has 0
+    shared = [F.abs(F.avg(F.col("x")[j] * F.col("y")) - F.avg(F.col("x")[j]) * F.avg("y")) for j in range(len(features))]
+    corrs = rows.groupBy(SERIES).agg(F.array(*[F.when(F.stddev_pop("y") > 0, v / F.stddev_pop("y")).otherwise(num(0)) for v in shared]).alias("_c"))
+    each = model.join(corrs, SERIES).select(SERIES, F.posexplode(F.arrays_zip(F.slice("b", 1, len(features)).alias("b"), F.col("_c").alias("c"))).alias("_i", "_v"))
+    each = each.select(SERIES, "_i", F.element_at(F.array(*[F.lit(f) for f in features]), F.col("_i") + 1).alias("feature"), F.abs("_v.b").alias("_w"), F.col("_v.c").alias("corr"))
+    of = Window.partitionBy(SERIES)
+    each = each.withColumn("_best", F.row_number().over(of.orderBy(F.desc("corr"), "_i"))).withColumn("_none", F.max("_w").over(of) <= 1e-5)
+    kept = each.filter((F.col("_w") > 1e-5) | (F.col("_none") & (F.col("_best") == 1))).withColumn("_w", F.when(F.col("_none"), num(1)).otherwise(F.col("_w")))
+    kept = kept.withColumn("_r", F.row_number().over(of.orderBy("_i"))).filter(F.col("_r") <= top)
+    chosen = kept.select(SERIES, "feature", (F.col("_w") / F.sum("_w").over(of)).alias("weight"), "corr")
+    scored = attach(rows, model.select(SERIES, LEN, "b"), chunk_rows).withColumn("_s", total([F.col("x")[j] * F.col("b")[j] for j in range(len(features) + 1)]))
+    return chosen, auc(scored, [SERIES], "_s", "y")

@@ -168,7 +168,7 @@ def feature_select_fast_auc(spark, sf):
 
 @query("feature_select_robust")
 def feature_select_robust(spark, sf):
-    return M.select_by_lasso(labelled(spark, sf), XS, "label")[0]
+    return out(M.select_by_lasso(labelled(spark, sf), XS, "label")[0], "weight", "corr", keys=(SERIES, "feature"))
 
 
 @query("feature_score", with_(DAILY, GIVEN, STEP, PHASE, "pr AS (SELECT series_id, idx, sum(abs(x) * charge) AS a, sum(abs(x) * stability) AS b FROM pl JOIN ch USING (series_id, path) JOIN tp USING (series_id, path) GROUP BY 1, 2)",
