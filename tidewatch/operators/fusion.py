@@ -120,6 +120,22 @@ def search_weights(df: DataFrame, names: Sequence[str], label: str = "label", le
     return best.select(SERIES, *[F.col(f"_b.{w}").alias(w) for w in ws], F.col("_b.auc").alias("auc"))
 
 
+def adaptive(df: DataFrame, weights: Mapping[str, float] | None = None, least: float = 0.05, step: float = 0.1) -> DataFrame:
+    """Add ``score`` with weights that each series learns from its own clear rows, and those weights ``w_<name>``.
+
+    Clear rows are the ends of the score under the given weights, which also stay where there are too few of them.
+    """
+    weights = dict(weights or DEFAULT_WEIGHTS)
+    names = list(weights)
+    start = F.round(total([num(w) * F.col(n) for n, w in weights.items()]), 9)
+    clear = stage(clear_rows(df.withColumn("_start", start), "_start").drop("_start"), "clear-rows")
+    found = search_weights(clear, names, least=least, step=step).drop("auc")
+    lengths = df.groupBy(SERIES).agg(F.max(LEN).alias(LEN))
+    learned = lengths.join(found, SERIES, "left").select(SERIES, LEN, *[F.coalesce(f"w_{n}", num(weights[n])).alias(f"w_{n}") for n in names])
+    out = attach(df, learned)
+    return out.withColumn("score", total([F.col(f"w_{n}") * F.col(n) for n in names]))
+
+
 def weak_anomalies(
     df: DataFrame, cols: Sequence[str], score: str, low: float = 0.1, high: float = 0.9,
 ) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.functions.kernels import ENSEMBLE
 from tidewatch.functions.numeric import num
-from tidewatch.operators import batch_scores as L, jumps as I, paths as K, profile as N, scale as S
+from tidewatch.operators import batch_scores as L, fusion as FU, jumps as I, paths as K, profile as N, scale as S
 from tidewatch.operators.fusion import DEFAULT_WEIGHTS
 from tidewatch.operators.layout import CHUNK_ROWS, IDX, KEYS, LEN, SERIES, attach
 from tidewatch.session import stage
@@ -55,9 +55,11 @@ def analyse(
     return Analysis(refined, jumps, tuple(names), path_stats, windows, tuple(cols))
 
 
-def fuse(a: Analysis, rows: int = CHUNK_ROWS) -> DataFrame:
+def fuse(a: Analysis, rows: int = CHUNK_ROWS, adaptive: bool = False) -> DataFrame:
     """Final batch score per row, with its four components.
 
+    ``adaptive`` lets every series learn its weights from its clear rows.
+
     Jump scales and kernels enter by their maximum; the weighted sum is not standardised
     first.  It is then compressed, strengthened or damped on jumps, and standardised.
     """
@@ -74,7 +76,10 @@ def fuse(a: Analysis, rows: int = CHUNK_ROWS) -> DataFrame:
     kernel = L.kernel_errors(stage(structural, "hybrid"), a.cols, a.paths, ENSEMBLE, rows=rows)
     kernel = kernel.withColumn("kernel", F.greatest(*[f"kernel_{i}" for i in range(len(ENSEMBLE))]))
     parts = kernel.join(jump, ids)
-    weighted = sum((num(w) * F.col(c) for c, w in DEFAULT_WEIGHTS.items()), num(0))
-    scored = stage(parts.withColumn("score", S.power(weighted)), "fused")
+    if adaptive:
+        parts = FU.adaptive(stage(parts, "components"), DEFAULT_WEIGHTS)
+    else:
+        parts = parts.withColumn("score", sum((num(w) * F.col(c) for c, w in DEFAULT_WEIGHTS.items()), num(0)))
+    scored = stage(parts.withColumn("score", S.power(F.col("score"))), "fused")
     rescored = I.rescore(scored, I.clusters(a.jumps, rows=rows), rows=rows)
     return S.adaptive(rescored, "score").select(*ids, LEN, *DEFAULT_WEIGHTS, "score")

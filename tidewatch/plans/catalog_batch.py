@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidewatch.functions.kernels import Kernel
 from tidewatch.functions import spectrum as SP
 from tidewatch.functions.numeric import rounded
-from tidewatch.operators import batch_scores as L, paths as K
+from tidewatch.operators import batch_scores as L, paths as K, profile as N
 from tidewatch.operators.layout import IDX, LEN, SERIES, by_chunk, home, long_form, with_halo
 from tidewatch.plans import batch
 from tidewatch.plans.catalog_basic import out
+from tidewatch.plans.catalog_jumps import BASE, INTEG, detected
 from tidewatch.plans.catalog_paths import GIVEN, PATHS, PHASE, PULSE, STEP, XS, given
 from tidewatch.plans.registry import query
 from tidewatch.plans.sql import DAILY, EV, r, with_
-from tidewatch.sources.sinks import score_summary
+from tidewatch.session import shared_dir
+from tidewatch.sources.sinks import save_analysis, score_summary
 from tidewatch.sources.tables import event_series
 
 XDOT = " + ".join(f"a.x{i} * b.x{i}" for i in range(4))
@@ -124,3 +128,15 @@ def explain_flagged(spark, sf):
         K.entropies(df, PATHS).select(SERIES, "path", "shannon"), [SERIES, "path"])
     e = L.explain_rows(df, PATHS, stats, flagged=F.col("score") > 2)
     return e.select(SERIES, IDX, rounded(F.col("score")).alias("score"), F.to_json("explanation").alias("explanation"))
+
+
+@query("result_tables", with_(*BASE, INTEG) + f"SELECT 'jump_rows' AS kind, series_id, idx, {r('importance', 'value')} FROM ji WHERE unified UNION ALL SELECT 'scores', series_id, idx, {r('f2', 'value')} FROM daily")
+def result_tables(spark, sf):
+    """Tables of an analysis written to a folder and read back."""
+    jumps, df = detected(spark, sf), given(spark, sf)
+    stats = K.entropies(df, PATHS)
+    a = batch.Analysis(df, jumps, tuple(PATHS), stats, N.window_sizes(N.volatility(df, XS)), jumps.cols)
+    path = f"{shared_dir(spark)}/tidewatch/results-{uuid.uuid4().hex}"
+    save_analysis(a, jumps.rows.select(SERIES, "chunk", IDX, LEN, F.col("f2").alias("score")), path)
+    back = lambda name, value: spark.read.parquet(f"{path}/{name}").select(F.lit(name).alias("kind"), SERIES, IDX, rounded(F.col(value)).alias("value"))
+    return back("jump_rows", "importance").unionByName(back("scores", "score"))

@@ -177,6 +177,16 @@ def jump_vote(spark, sf):
     return out(scores, "score", keys=(SERIES, IDX, "flag"))
 
 
+@query("vote_user_scorer", with_(EV, BASE_EV, JUMP_SQL, JUMP_THR, JUMP_SCORE, "lv AS (SELECT series_id, idx, cal_end, abs(sig) AS level FROM base)", thr("tl", "level", "1e-12", "lv"),
+       "v AS (SELECT js.series_id, js.idx, js.cal_end, level, greatest(jump / (1 + 1e-12), coalesce(CASE WHEN tl.thr > 0 THEN level / (tl.thr + 1e-12) END, 0)) AS s FROM js JOIN lv USING (series_id, idx) LEFT JOIN tl USING (series_id))")
+       + f"SELECT series_id, idx, {r('CASE WHEN idx >= cal_end THEN s ELSE 0 END', 'score')}, {r('CASE WHEN idx >= cal_end THEN level ELSE 0 END', 'level')}, CAST(idx >= cal_end AND s >= 1 AS INTEGER) AS flag FROM v")
+def vote_user_scorer(spark, sf):
+    """A scorer of the user's own, a function from frame to frame, votes beside a built-in one."""
+    cfg = tier0.CausalConfig(scorers=("jump", "level"), extra={"level": lambda df: df.withColumn("level", F.abs("sig"))})
+    scores, _ = tier0.fit_predict(event_series(spark, sf), ["f0"], cfg)
+    return out(scores, "score", "level", keys=(SERIES, IDX, "flag"))
+
+
 FIVE_Z = ["z0", "z1", "z2", "z3"]
 VOTE5 = [DAILY, BASE_DAILY, JUMP_SQL, JUMP_THR, JUMP_SCORE, GRAD_SQL, DRIFT_SQL, step_sql(FIVE_Z), kernel_sql(FIVE_Z),
          thr("tg", "gradual_cal", "0", "gg"), thr("td", "drift", "1e-12", "dr"), thr("tk", "kernel", "1e-12", "kr"),

@@ -82,20 +82,37 @@ def fuse_clear_rows(spark, sf):
 FOUR = ["jump", "hybrid", "kernel", "structural"]
 
 
-@query("fuse_search_weights", with_(*C, CLEAR, f"cx AS (SELECT series_id, idx, label, {', '.join(FOUR)} FROM cl)", zs(FOUR, "cx"),
+def search_sql(src):
+    """Best weights ``pick`` of each series over the rows ``src`` with labels."""
+    return [f"cx AS (SELECT series_id, idx, label, {', '.join(FOUR)} FROM {src})", zs(FOUR, "cx"),
        "lat AS (SELECT 0.05 + 0.1 * a AS w1, 0.05 + 0.1 * b AS w2, 0.05 + 0.1 * c AS w3, 0.05 + 0.1 * (8 - a - b - c) AS w4 FROM range(9) t(a), range(9) u(b), range(9) v(c) WHERE a + b + c <= 8)",
        "cnt AS (SELECT series_id, count(*) AS c, sum(label) AS p FROM cx GROUP BY 1)",
        "sc AS (SELECT zz.series_id, label, greatest(0.1, least(10, pow(c / (2 * CASE WHEN label = 1 THEN p ELSE c - p END), 1.5))) AS w, w1, w2, w3, w4, round(w1 * jump + w2 * hybrid + w3 * kernel + w4 * structural, 9) AS s FROM zz JOIN cnt USING (series_id), lat)",
        "ag AS (SELECT series_id, w1, w2, w3, w4, s, sum(CASE WHEN label = 1 THEN w ELSE 0 END) AS p, sum(CASE WHEN label = 0 THEN w ELSE 0 END) AS q FROM sc GROUP BY ALL)",
        "rk AS (SELECT *, sum(q) OVER (PARTITION BY series_id, w1, w2, w3, w4 ORDER BY s) - q AS below FROM ag)",
        "au AS (SELECT series_id, w1, w2, w3, w4, round(sum(p * (below + 0.5 * q)) / (sum(p) * sum(q)), 9) AS auc, round(-(w1 * w1 + w2 * w2 + w3 * w3 + w4 * w4), 9) AS even FROM rk GROUP BY ALL)",
-       "pick AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY auc DESC, even DESC, w1 DESC, w2 DESC, w3 DESC, w4 DESC) AS rn FROM au)")
-       + f"SELECT series_id, {r('w1', 'w_jump')}, {r('w2', 'w_hybrid')}, {r('w3', 'w_kernel')}, {r('w4', 'w_structural')}, {r('auc', 'auc')} FROM pick WHERE rn = 1")
+       "pick AS (SELECT * FROM au QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY auc DESC, even DESC, w1 DESC, w2 DESC, w3 DESC, w4 DESC) = 1)"]
+
+
+@query("fuse_search_weights", with_(*C, CLEAR, *search_sql("cl"))
+       + f"SELECT series_id, {r('w1', 'w_jump')}, {r('w2', 'w_hybrid')}, {r('w3', 'w_kernel')}, {r('w4', 'w_structural')}, {r('auc', 'auc')} FROM pick")
 def fuse_search_weights(spark, sf):
     clear = FU.clear_rows(components(spark, sf).drop("label"), "jump")
     return out(FU.search_weights(clear, FOUR), *[f"w_{n}" for n in FOUR], "auc", keys=(SERIES,))
 
 
+ENDS = f"""bs AS (SELECT * EXCLUDE (label), round({WSUM}, 9) AS base FROM comp), bq AS (SELECT series_id, quantile_cont(base, 0.1) AS lo, quantile_cont(base, 0.9) AS hi FROM bs GROUP BY 1),
+be AS (SELECT bs.*, CASE WHEN base > hi THEN 1 ELSE 0 END AS label FROM bs JOIN bq USING (series_id) WHERE base > hi OR base < lo
+  QUALIFY sum(label) OVER (PARTITION BY series_id) > 5 AND sum(1 - label) OVER (PARTITION BY series_id) > 5)"""
+
+
+@query("fuse_adaptive", with_(*C, ENDS, *search_sql("be")) + "SELECT series_id, idx, " + r(
+    " + ".join(f"coalesce(w{i + 1}, {W[n]}) * {n}" for i, n in enumerate(FOUR)), "score", 9) + " FROM comp LEFT JOIN pick USING (series_id)")
+def fuse_adaptive(spark, sf):
+    scored = FU.adaptive(components(spark, sf).drop("label"), {n: W[n] for n in FOUR})
+    return scored.select(SERIES, IDX, rounded(F.col("score"), 9).alias("score"))
+
+
 @query("fuse_weak_anomalies")
 def fuse_weak_anomalies(spark, sf):
     df = given(spark, sf, jumps=True).withColumn("score", F.abs("x0"))
