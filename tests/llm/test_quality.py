@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from tidewatch.llm.catalog import QUERIES
-from tidewatch.llm.quality import FEATURES, classify, fit, moments, text_statistics, train, with_statistics
+from tidewatch.llm.quality import FAR, FEATURES, TO_IDENTITY, TO_POOLED, classify, fit, moments, text_statistics, train, with_statistics
 
 SF = "/root/testdata/sf0.01"
 
@@ -68,3 +68,24 @@ def test_odd_rows(spark):
     assert {r.score for r in classify(docs, labels.limit(0)).collect()} == {0.5}
     assert classify(docs.limit(0), labels).count() == 0
     assert train(with_statistics(docs), labels).means.shape == (2, len(FEATURES))
+
+
+def test_query_equals_a_plain_version(spark):
+    """Every score of the query from numpy alone: shrunk covariances inverted, densities written out."""
+    small = "/root/testdata/sf0.001"
+    got = QUERIES["op7_quality_classifier"](spark, small).toPandas().set_index("doc_id")
+    docs = spark.read.parquet(f"{small}/documents.parquet").toPandas()
+    x = dict(zip(docs.doc_id, text_statistics(pa.array(docs.text, pa.string()))))
+    known = [(i, q) for i, q in spark.read.parquet(f"{small}/labels.parquet").select("doc_id", "quality").toPandas().itertuples(index=False)
+             if i in x and zlib.crc32(str(i).encode()) % 3 != 1]
+    d, total = len(FEATURES), len(known)
+    parts = [np.array([x[i] for i, q in known if q == label]) for label in (0, 1)]
+    pooled = sum(len(p) * np.cov(p.T, bias=True) for p in parts) / total
+    odds = np.zeros(len(docs))
+    for sign, p in zip((-1, 1), parts):
+        c = (1 - TO_POOLED) * np.cov(p.T, bias=True) + TO_POOLED * pooled
+        c = (1 - TO_IDENTITY) * c + TO_IDENTITY * max(np.trace(c) / d, 1e-6) * np.eye(d)
+        e = np.array([x[i] for i in docs.doc_id]) - p.mean(axis=0)
+        odds += sign * (np.log((len(p) + 1) / (total + 2)) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * np.einsum("ij,jk,ik->i", e, np.linalg.inv(c), e))
+    want = 1 / (1 + np.exp(-np.clip(odds, -FAR, FAR)))
+    assert np.allclose(got.loc[docs.doc_id, "score"], want, atol=1e-6)

@@ -3,8 +3,8 @@
 Terms are words without ASCII punctuation, A to Z folded.  The vector space has all terms of the examples;
 their document frequencies are counted over all documents.  Examples are at most about ``EXAMPLES``
 labelled rows, drawn by a hash of their ids, so the index is bounded whatever the corpus.  The terms in
-most examples are a dense block, the others postings; sums of both in single precision leave a few
-candidates, whose cosines are computed again in double precision, so the neighbours are exact.
+most examples are a dense block, the others postings; the dense part in single precision and the postings leave a few
+candidates, whose cosines are put together again in double precision, so the neighbours are exact.
 
 A few words seldom turn the cosine of a long text, so a second vote is taken among the terms that are more
 frequent in toxic examples (chi-squared above ``LEAST_CHI2``, at most ``TERMS`` of them), in an inverted
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.llm.common import id_hash
-from tidewatch.llm.words import Words, slices
+from tidewatch.llm.words import Words, give_back, slices
 from tidewatch.session import stage
 
 EXAMPLES = 20_000
@@ -141,32 +141,40 @@ class TextIndex:
         """Example i has ``terms`` with ``counts`` from bounds[i] to bounds[i + 1]."""
         size = len(idf)
         self.n, self.dense, self.idf = len(bounds) - 1, min(dense, size), idf
-        place = np.repeat(np.arange(self.n), np.diff(bounds))
-        logs = np.log(counts.astype(np.float64))
-        weight = (1 + logs) * idf[terms]
-        self.norm = np.sqrt(np.bincount(place, weight * weight, self.n))
+        # all arrays over postings are narrow and none is made twice: every Python worker makes this index
+        place = np.repeat(np.arange(self.n, dtype=np.min_scalar_type(max(self.n, 1))), np.diff(bounds))
+        logs = np.log(np.maximum(np.arange(int(counts.max(initial=1)) + 1), 1))
+        norm2 = np.zeros(self.n)
+        for at in range(0, len(terms), 1 << 18):
+            part = slice(at, at + (1 << 18))
+            weight = (1 + logs[counts[part]]) * idf[terms[part]]
+            norm2 += np.bincount(place[part], weight * weight, self.n)
+        self.norm = np.sqrt(norm2)
         top = np.argsort(-np.bincount(terms, minlength=size), kind="stable")[: self.dense]
-        self.slot = np.full(size, -1)
+        self.slot = np.full(size, -1, np.int32)
         self.slot[top] = np.arange(len(top))
-        slot = self.slot[terms]
-        often = np.flatnonzero(slot >= 0)
+        often = np.flatnonzero(self.slot[terms] >= 0).astype(np.int32)
+        slot, column = self.slot[terms[often]], place[often]
         self.width = -(-self.n // GROUP) * GROUP
         self.block = np.zeros((self.dense, self.width), np.float32)
-        self.block[slot[often], place[often]] = (weight / self.norm[place])[often]
+        self.block[slot, column] = (1 + logs[counts[often]]) * idf[terms[often]] / self.norm[column]
         # counts of the dense terms, for their part of a cosine in double precision
         self.often = np.zeros((self.n, self.dense), counts.dtype)
-        self.often[place[often], slot[often]] = counts[often]
+        self.often[column, slot] = counts[often]
         self.often_idf = idf[top]
         self.scale = np.zeros(self.width)
         self.scale[: self.n] = 1 / self.norm
-        narrow = np.min_scalar_type(max(self.n, 1))
-        rest = np.flatnonzero(slot < 0)
+        del often, slot, column
+        rest = np.flatnonzero(self.slot[terms] < 0).astype(np.int32)
         rest = rest[np.argsort(terms[rest], kind="stable")]
-        self.place = place[rest].astype(narrow)
-        self.ends = np.searchsorted(terms[rest], np.arange(size + 1))
-        more = rest[counts[rest] > 1]
-        self.more_place, self.more_log = place[more].astype(narrow), logs[more]
-        self.more_ends = np.searchsorted(terms[more], np.arange(size + 1))
+        of = terms[rest]
+        self.place = place[rest]
+        self.ends = np.searchsorted(of, np.arange(size + 1)).astype(np.int32)
+        more = counts[rest] > 1
+        self.more_place, self.more_log = self.place[more], logs[counts[rest[more]]].astype(np.float64)
+        self.more_ends = np.searchsorted(of[more], np.arange(size + 1)).astype(np.int32)
+        del rest, of, more
+        give_back()
 
     @staticmethod
     def _postings(ends: np.ndarray, t: np.ndarray) -> tuple[list[slice], np.ndarray]:
@@ -388,12 +396,12 @@ def _part(lean: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> tuple[np.n
 def classify(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS, k: int = NEIGHBOURS) -> DataFrame:
     """(doc_id, score, predicted, evidence) for every row of (doc_id, text), from labels (doc_id, label 0 or 1).
 
-    Other and null labels are left out.  Evidence holds up to three neighbours with the cosine of the whole
+    Other and null labels are left out, repeated ones count once, other columns are ignored.  Evidence holds up to three neighbours with the cosine of the whole
     texts and share of toxic labels.  ``terms`` bounds the toxic terms of the second vote alone.
     Null and empty texts, and texts without a term of any example, get the rate of such examples.  Repeated
     rows get equal scores; without labelled rows all scores are that of an even prior, below 1/2.
     """
-    labels = labels.filter("label IN (0, 1)").select("doc_id", F.col("label").cast("int").alias("label"))
+    labels = labels.filter("label IN (0, 1)").select("doc_id", F.col("label").cast("int").alias("label")).distinct()
     n = labels.count()
     part = F.conv(F.substring(id_hash(F.col("doc_id"), "examples"), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     drawn = labels.filter(part < F.lit(min(1.0, examples / max(n, 1))))
@@ -407,7 +415,7 @@ def classify(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms
     at = np.searchsorted(vocabulary, chosen)
     lean = np.full(len(vocabulary), -1)
     lean[at] = np.arange(len(chosen))
-    own = term_counts(sample, vocabulary).join(F.broadcast(drawn.distinct()), "doc_id").toArrow()
+    own = term_counts(sample, vocabulary).join(F.broadcast(drawn), "doc_id").toArrow()
     model = [(i, y, *r) for b in own.to_batches() for i, y, r in zip(b.column("doc_id").to_pylist(), b.column("label").to_pylist(), _lists(b))]
     model.sort(key=lambda m: (m[0], m[1], m[2].tobytes(), m[3].tobytes()))
     del own
