@@ -60,11 +60,13 @@ def volatility(df: DataFrame, cols: Sequence[str], base: int = BASE) -> DataFram
 def window_sizes(v: DataFrame, base: int = BASE, least: int = LEAST) -> DataFrame:
     """Scale factor and windows for each purpose."""
     n = F.col(LEN)
+    # fixed values: bounds of the windows and the base window by length
     top = F.greatest(F.lit(100), F.least(F.floor(n / 10), F.lit(2000)))
     sized = F.when(n > 300, F.lit(base)).when(n > 100, F.lit(int(base * 0.8))).otherwise(F.lit(int(base * 0.6)))
     sized = F.greatest(sized, F.floor(n / 20))
     gv, tv, gs = F.col("global_volatility"), F.col("temporal_volatility"), F.col("global_std")
     cc, lv, lf = F.col("correlation_complexity"), F.col("local_variation"), F.col("low_freq_ratio")
+    # fixed values: cut-offs of each measure and the factors of the scale
     scale = _chain(num(1), [
         [(gv > 2.0, 0.8), (gv < 0.3, 1.5)], [(tv > gs * 2.0, 0.9), (tv < gs * 0.3, 1.4)],
         [(cc > 0.7, 1.2), (cc < 0.3, 0.9)], [(lv > 1.0, 0.85)], [(lf > 0.8, 1.4), (lf < 0.3, 0.8)],
@@ -103,6 +105,7 @@ def refine(sizes: DataFrame, result: DataFrame) -> DataFrame:
     def shrink(col, factor):
         return F.floor(F.col(col) * factor).cast("int")
 
+    # fixed values: factors, percentiles and regularisers of the refinement
     df = df.withColumn("w_local", F.when(unstable, shrink("w_local", 0.8)).otherwise(F.col("w_local")))
     df = df.withColumn("w_jump", F.when(unstable, shrink("w_jump", 0.7)).otherwise(F.col("w_jump")))
     df = df.withColumn("w_jump", F.when(dense, F.greatest(F.lit(5), shrink("w_jump", 0.6))).otherwise(F.col("w_jump")))

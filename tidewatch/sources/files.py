@@ -26,10 +26,11 @@ def csv_series(spark: SparkSession, root: str, rows: int = CHUNK_ROWS) -> DataFr
         .select(
             F.element_at(F.split(path, F.concat(F.lit(r"\Q"), F.lit(base), F.lit(r"\E"))), -1).alias(SERIES),
             F.col("timestamp").alias("ts"), F.col("value").alias("f0"),
-            F.monotonically_increasing_id().alias("_line"),
+            F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"),
         )
     )
-    return index_series(raw, ["ts", "_line"], rows=rows).drop("_line")
+    # a split file is read in blocks; lines ascend within one
+    return index_series(raw, ["ts", "_block", "_line"], rows=rows).drop("_block", "_line")
 
 
 def parse_windows(texts: DataFrame, column: str = "value") -> DataFrame:
