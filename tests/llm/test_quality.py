@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from tidewatch.llm.catalog import QUERIES
-from tidewatch.llm.quality import FAR, FEATURES, TO_IDENTITY, TO_POOLED, classify, fit, moments, text_statistics, train, with_statistics
+from tidewatch.llm.quality import FAR, FEATURES, TO_IDENTITY, TO_POOLED, classify, fit, moments, text_statistics, train, train_on_texts, with_score, with_statistics, with_text_score
 
 SF = "/root/testdata/sf0.01"
 
@@ -89,3 +89,14 @@ def test_query_equals_a_plain_version(spark):
         odds += sign * (np.log((len(p) + 1) / (total + 2)) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * np.einsum("ij,jk,ik->i", e, np.linalg.inv(c), e))
     want = 1 / (1 + np.exp(-np.clip(odds, -FAR, FAR)))
     assert np.allclose(got.loc[docs.doc_id, "score"], want, atol=1e-6)
+
+
+def test_texts_give_the_model_and_scores_of_their_statistics(spark):
+    rows = [(i, f"{'w ' * (i % 7)} text {i} # {'A' * (i % 3)}", i % 2) for i in range(60)] + [(60, None, 1), (61, "", 0)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows[::2]] + [(3, None), (5, 7)], "doc_id long, label int")
+    one, two = train(with_statistics(docs), labels), train_on_texts(docs, labels)
+    assert np.allclose(one.means, two.means) and np.allclose(one.factors, two.factors) and np.allclose(one.offsets, two.offsets)
+    a = {r.doc_id: r.score for r in with_score(with_statistics(docs), one).collect()}
+    b = {r.doc_id: r.score for r in with_text_score(docs, one).collect()}
+    assert a == pytest.approx(b)

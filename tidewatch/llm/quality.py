@@ -9,14 +9,14 @@ the two log densities (Mahalanobis distances by triangular solves against the fa
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidewatch.llm.words import Words, slices
+from tidewatch.llm.words import Words, give_back, slices
 from tidewatch.session import stage
 
 FEATURES = (
@@ -139,14 +139,18 @@ class Discriminant:
         return 1.0 / (1.0 + np.exp(-np.clip(self.log_odds(x), -FAR, FAR)))
 
 
-def moments(rows: DataFrame, stats: str = "stats") -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(label, count, sums, sums of products) per class, added up by Spark from one partial row per task."""
+def moments(rows: DataFrame, stats: str = "stats", of: Callable[[pa.Array], np.ndarray] | None = None) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(label, count, sums, sums of products) per class, added up by Spark from one partial row per task.
+
+    ``of`` makes the statistics from the column ``stats`` if it does not hold them, in the same Python process.
+    """
     d = len(FEATURES)
+    of = of or (lambda x: x.flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {0: np.zeros(1 + d + d * d), 1: np.zeros(1 + d + d * d)}
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            x = of(batch.column(1))
             y = batch.column(0).to_numpy(zero_copy_only=False)
             for label, s in sums.items():
                 part = x[y == label]
@@ -156,6 +160,7 @@ def moments(rows: DataFrame, stats: str = "stats") -> list[tuple[int, int, np.nd
                 n = len(s)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, label)), pa.array(np.arange(n)), pa.array(s)], ["label", "at", "value"])
+        give_back()
 
     parts = rows.select(F.col("label").cast("int").alias("label"), stats).mapInArrow(partial, "label long, at long, value double")
     found = parts.groupBy("label", "at").agg(F.sum("value").alias("value")).collect()
@@ -218,3 +223,22 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = stage(with_statistics(docs.select("doc_id", "text")).select("doc_id", "stats"), "quality_stats")
     out = with_score(rows, train(rows, labels)).select("doc_id", "score")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def train_on_texts(docs: DataFrame, labels: DataFrame) -> Discriminant:
+    """As ``train`` from (doc_id, text): one Python process a task makes statistics and sums."""
+    known = docs.select("doc_id", "text").join(labels.filter("label IN (0, 1)"), "doc_id").select("label", "text")
+    return fit(moments(known, "text", text_statistics))
+
+
+def with_text_score(docs: DataFrame, model: Discriminant, into: str = "score") -> DataFrame:
+    """``docs`` with the score of their texts: one Python process a task makes statistics and scores."""
+    from pyspark.sql.functions import arrow_udf
+
+    @arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        made = pa.array(model.score(text_statistics(text)))
+        give_back()
+        return made
+
+    return docs.withColumn(into, score("text"))
