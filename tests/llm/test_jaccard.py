@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidewatch.llm import jaccard
+from tidewatch.llm import common, jaccard
 from tidewatch.llm.jaccard import Bands, SignatureTree, bitmap, components_of, keys_of, shingle_sets, tree_pairs
 
 
@@ -69,6 +69,7 @@ def test_components(spark, monkeypatch, seed, k, percent):
 
 def test_small_blocks_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_GRAMS", 200)
+    monkeypatch.setattr(common, "BROADCAST_IDS", 0)
     base = [f"b{i}" for i in range(60)]
     rng = random.Random(9)
     rows = []

@@ -19,6 +19,15 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_KEY, BATCH)
 
 
+#: Ids up to this many (tens of megabytes) are sent to all tasks instead of moving texts to them.
+BROADCAST_IDS = 1_000_000
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """Rows of an id and little else: to be broadcast if they have been counted to be few, else joined by a shuffle."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

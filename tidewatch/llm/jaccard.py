@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tidewatch.llm.common import id_hash, unused
+from tidewatch.llm.common import few, id_hash, unused
 from tidewatch.llm.words import Words, give_back, mix, slices
 from tidewatch.session import stage, unstage
 
@@ -243,7 +243,7 @@ def keys_in(sets: DataFrame, percent: int, frequent: np.ndarray) -> DataFrame:
 
 def sets_of(docs: DataFrame, ids: DataFrame, k: int, percent: int) -> DataFrame:
     """v, n, band and grams array<bigint> of the documents in ``ids`` (v)."""
-    ids = ids.select(F.col("v").alias("doc_id"))
+    ids = few(ids.select(F.col("v").alias("doc_id")))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
@@ -421,8 +421,9 @@ def representatives(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     found = components_of(docs, k, percent)
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
     gone = gone.join(found.filter("doc_id = component_id").select("doc_id"), "doc_id", "left_anti")
-    kept = docs.join(stage(gone, "jaccard_gone"), "doc_id", "left_anti")
+    kept = docs.join(few(stage(gone, "jaccard_gone")), "doc_id", "left_anti")
     again = stage(found.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "jaccard_again")
+    again = few(again)
     twice = kept.join(again, "doc_id", "left_semi")
     once = kept.join(again, "doc_id", "left_anti")
     others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]

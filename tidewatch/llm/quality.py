@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tidewatch.llm.common import few
 from tidewatch.llm.words import Words, give_back, slices
 from tidewatch.session import stage
 
@@ -227,7 +228,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def train_on_texts(docs: DataFrame, labels: DataFrame) -> Discriminant:
     """As ``train`` from (doc_id, text): one Python process a task makes statistics and sums."""
-    known = docs.select("doc_id", "text").join(labels.filter("label IN (0, 1)"), "doc_id").select("label", "text")
+    known = docs.select("doc_id", "text").join(few(labels.filter("label IN (0, 1)")), "doc_id").select("label", "text")
     return fit(moments(known, "text", text_statistics))
 
 
