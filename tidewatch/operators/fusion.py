@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidewatch.functions.grouped import matrix, per_group
 from tidewatch.functions.numeric import num, total
 from tidewatch.functions.quantile import percentiles
 from tidewatch.operators.evaluate import auc
@@ -13,6 +16,8 @@ from tidewatch.operators.layout import CHUNK, IDX, KEYS, LEN, SERIES, attach
 from tidewatch.operators.scale import calibration_score_z, safe_z, series_stats, symmetric, zscore_safe
 from tidewatch.session import stage
 
+#: Labelled rows of a series that one task ranks; longer series are ranked by one sort for all.
+IN_TASK = 1 << 16
 # fixed values: default weights of the batch components
 DEFAULT_WEIGHTS = {"jump": 0.20, "hybrid": 0.35, "kernel": 0.30, "structural": 0.15}
 
@@ -101,18 +106,29 @@ def search_weights(df: DataFrame, names: Sequence[str], label: str = "label", le
     """Best weights per series on labelled rows by class-balanced AUC over a weight lattice.
 
     Rows of the rarer class weigh more (power 1.5 of the class ratio, within [0.1, 10]).
-    All lattice points are ranked in one job; ties go to the most even weights.
+    A series of up to ``IN_TASK`` labelled rows tries all lattice points within a task, so no row is copied; the
+    rows of longer ones are ranked in one job for all points.  Both ways are always planned and give the same
+    weights; ties go to the most even ones.
     """
     counts = df.groupBy(SERIES).agg(
         F.max(LEN).alias(LEN), F.count(F.lit(1)).alias("_n"), F.sum(F.col(label).cast("long")).alias("_p"))
-    z = attach(attach(df, counts), series_stats(df, names))
+    z = attach(df, counts.join(series_stats(df, names).drop(LEN), SERIES))
     own = F.when(F.col(label) == 1, F.col("_p")).otherwise(F.col("_n") - F.col("_p"))
     z = z.withColumn("_w", F.greatest(num(0.1), F.least(num(10), F.pow(F.col("_n") / (2 * own), num(1.5)))))
+    parts = {n: F.when(F.col(f"{n}_sd") > 1e-10, (F.col(n) - F.col(f"{n}_mu")) / F.col(f"{n}_sd")).otherwise(F.col(n)) for n in names}
+    z = z.select(SERIES, "_n", label, "_w", *[v.alias(n) for n, v in parts.items()])
     lattice = weight_lattice(names, least, step)
-    points = F.array(*[
-        F.struct(*[num(w[n]).alias(f"w_{n}") for n in names], num(-sum(v * v for v in w.values())).alias("_even")) for w in lattice
-    ])
-    score = total([F.col(f"w_{n}") * F.when(F.col(f"{n}_sd") > 1e-10, (F.col(n) - F.col(f"{n}_mu")) / F.col(f"{n}_sd")).otherwise(F.col(n)) for n in names])
+    return _search_in_task(z.filter(F.col("_n") <= IN_TASK), names, label, lattice).unionByName(
+        _search_in_one_sort(z.filter(F.col("_n") > IN_TASK), names, label, lattice))
+
+
+def _evenness(w: Mapping[str, float]) -> float:
+    return -sum(v * v for v in w.values())
+
+
+def _search_in_one_sort(z: DataFrame, names: Sequence[str], label: str, lattice: Sequence[Mapping[str, float]]) -> DataFrame:
+    points = F.array(*[F.struct(*[num(w[n]).alias(f"w_{n}") for n in names], num(_evenness(w)).alias("_even")) for w in lattice])
+    score = total([F.col(f"w_{n}") * F.col(n) for n in names])
     ws = [f"w_{n}" for n in names]
     long = z.select("*", F.inline(points)).select(SERIES, label, "_w", "_even", *ws, F.round(score, 9).alias("_score"))
     ranked = auc(long, [SERIES, "_even", *ws], "_score", label, weight="_w")
@@ -120,6 +136,46 @@ def search_weights(df: DataFrame, names: Sequence[str], label: str = "label", le
     return best.select(SERIES, *[F.col(f"_b.{w}").alias(w) for w in ws], F.col("_b.auc").alias("auc"))
 
 
+def areas(scores: np.ndarray, hit: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weighted ROC area of every column of ``scores``; ties count half, NaN if a class is missing."""
+    order = np.argsort(scores, axis=0, kind="stable")
+    ranked = np.take_along_axis(scores, order, 0)
+    p, q = (np.where(side, weight, 0.0)[order] for side in (hit, ~hit))
+    upto = np.cumsum(q, axis=0)
+    new = np.ones(ranked.shape, bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    last = np.roll(new, -1, axis=0)
+    last[-1] = True
+    below = np.maximum.accumulate(np.where(new, upto - q, 0.0), axis=0)
+    to = np.minimum.accumulate(np.where(last, upto, np.inf)[::-1], axis=0)[::-1]
+    hits, misses = p.sum(0), q.sum(0)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where((hits > 0) & (misses > 0), (p * 0.5 * (below + to)).sum(0) / (hits * misses), np.nan)
+
+
+def _search_in_task(z: DataFrame, names: Sequence[str], label: str, lattice: Sequence[Mapping[str, float]]) -> DataFrame:
+    names, ws = list(names), [f"w_{n}" for n in names]
+    weights = np.array([[w[n] for n in names] for w in lattice])
+    even = np.round([_evenness(w) for w in lattice], 9)
+
+    def solve(group: pa.Table) -> pa.Table:
+        x = matrix(group, names)
+        hit, weight = matrix(group, [label])[:, 0] == 1, matrix(group, ["_w"])[:, 0]
+        found = []
+        block = max(1, (1 << 19) // len(x))
+        for lo in range(0, len(weights), block):
+            score = sum(x[:, j, None] * weights[None, lo: lo + block, j] for j in range(len(names)))
+            found.append(areas(np.where(np.isnan(score), -np.inf, np.rint(score * 1e9)), hit, weight))  # null is first
+        area = np.round(np.concatenate(found), 9)
+        # the largest (area, evenness, weights); a missing area comes last
+        best = np.lexsort([*weights.T[::-1], even, np.where(np.isnan(area), -1.0, area)])[-1]
+        return pa.table({SERIES: group.column(SERIES).slice(0, 1), **{w: [float(v)] for w, v in zip(ws, weights[best])},
+                         "auc": pa.array([area[best]], pa.float64(), from_pandas=True)})
+
+    kind = z.schema[SERIES].dataType.simpleString()
+    return per_group(z, [SERIES], [], solve, f"{SERIES} {kind}, " + ", ".join(f"{w} double" for w in ws) + ", auc double")
+
+
 def adaptive(df: DataFrame, weights: Mapping[str, float] | None = None, least: float = 0.05, step: float = 0.1) -> DataFrame:
     """Add ``score`` with weights that each series learns from its own clear rows, and those weights ``w_<name>``.
 
