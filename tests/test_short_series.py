@@ -3,11 +3,13 @@
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions.grouped import groups_of, per_group
-from tidewatch.operators import fusion as FU
-from tidewatch.operators.layout import SERIES
+from conftest import local
+from tidewatch.operators import fusion as FU, paths as K
+from tidewatch.operators.layout import IDX, SERIES
 
 
 def test_groups_over_batches():
@@ -48,3 +50,26 @@ def test_rows_are_not_copied_for_the_lattice(spark):
     z = df.select(SERIES, "label", F.lit(1.0).alias("_w"), *"pqrs")
     found = FU._search_in_task(z, list("pqrs"), "label", FU.weight_lattice(list("pqrs")))
     assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("kind", ["plain", "jumps", "sparse"])
+def test_paths_are_refined_the_same_by_both_ways(indexed, kind, monkeypatch):
+    cols = ["f0", "f1", "f2"]
+    rows = indexed(64).withColumn("unified", F.col(IDX) % 37 == 5).withColumn("importance", F.col(IDX) % 3 * 0.4)
+    df, names = K.spectral_paths(rows, cols, unit=False, rows=64)
+    if kind == "sparse":
+        df = K.key_rows(df, rows=64)
+    options = {"jumps": kind == "jumps", "sparse": kind == "sparse", "n_steps": 2, "rows": 64}
+    steps = []
+    real = K._gradient_step
+    monkeypatch.setattr(K, "_gradient_step", lambda *a: steps.append(1) or real(*a))
+    got = local(K.refine_paths(df, cols, names, **options))
+    assert not steps  # no job per step
+    monkeypatch.setattr(K, "IN_TASK", 100)  # one series each way
+    want = local(K.refine_paths(df, cols, names, **options))
+    assert len(steps) == 4 and list(got.columns) == list(want.columns) and len(got) == len(want) == 490
+    for c in got.columns:
+        if c in names:
+            np.testing.assert_allclose(got[c], want[c], rtol=1e-9, atol=1e-12)
+        else:
+            assert (got[c] == want[c]).all()
