@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.grouped import groups_of, per_group
 from conftest import local
-from tidewatch.operators import fusion as FU, paths as K
+from tidewatch.operators import fusion as FU, jumps as I, paths as K
 from tidewatch.operators.layout import IDX, SERIES
 
 
@@ -73,3 +73,22 @@ def test_paths_are_refined_the_same_by_both_ways(indexed, kind, monkeypatch):
             np.testing.assert_allclose(got[c], want[c], rtol=1e-9, atol=1e-12)
         else:
             assert (got[c] == want[c]).all()
+
+
+@pytest.mark.parametrize("tuned", [False, True])
+def test_jumps_are_the_same_by_both_ways(indexed, tuned, monkeypatch):
+    cols = ["f0", "f1", "f2"]
+
+    def found():
+        jumps = I.detect_tuned(indexed(64), cols, 10, 0.85, rows=64) if tuned else I.detect(indexed(64), cols, rows=64)
+        return local(jumps.rows), local(jumps.features, SERIES, "feature")
+
+    ordered = []
+    real = I.percentiles_by if tuned else I.percentiles
+    monkeypatch.setattr(I, "percentiles_by" if tuned else "percentiles", lambda *a, **k: ordered.append(1) or real(*a, **k))
+    short = found()
+    assert not ordered  # no row per feature was sorted
+    monkeypatch.setattr(I, "IN_TASK", 100)  # one series each way
+    for a, b in zip(short, found()):
+        pd.testing.assert_frame_equal(a, b, rtol=1e-12)
+    assert len(ordered) == 2
