@@ -92,6 +92,20 @@ def test_documents(spark):
     assert taken(docs.limit(0)).count() == 0 and mixed_documents(docs.limit(0)).count() == 0
 
 
+def test_documents_come_in_the_order_of_the_schedule(spark):
+    _, docs = docs_of(spark)
+    rows = [(r.doc_id, r.source, len(r.text.split())) for r in mixed_documents(docs.filter("doc_id <> 1003"), block=16).collect()]
+    first = {}
+    for p in mix(docs.filter("doc_id <> 1003"), block=16).filter("slot IS NOT NULL").collect():
+        at = (p.doc_id, p.nth, p.skey, p.cell, p.read)
+        first[at] = min(first.get(at, (p.slot, p.place)), (p.slot, p.place))
+    assert [i for i, _, _ in rows] == [at[0] for at in sorted(first, key=first.get)]
+    # so half of the rows have every source in nearly its share
+    share = lambda part: {s: sum(n for _, x, n in part if x == s) / sum(n for _, _, n in part) for s in {x for _, x, _ in rows}}
+    half, whole = share(rows[: len(rows) // 2]), share(rows)
+    assert all(abs(half[s] - whole[s]) < 0.05 for s in whole)
+
+
 def test_points(spark):
     k = [0, 1, 2, 10**6, 10**9 + 7, 2**39]
     got = [r.u for r in spark.createDataFrame([(x,) for x in k], "k long").select(point(F.col("k")).alias("u")).collect()]

@@ -7,7 +7,8 @@ read again from its start when the target is larger than the source; it is cut i
 equal words as the source has slots, and the slots of the source, ranked, take these blocks in turn.
 
 All positions are counted in two levels, (source, hash cell) and row, so a hot source is spread over
-4,096 cells and its slots over chunks.  Texts do not move: rows of ids and sizes do.
+4,096 cells and its slots over chunks.  Rows of ids and sizes move, not texts; only ``mixed_documents`` moves those,
+to their cell and to their place in the mixture.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.window import WindowSpec
 
 from tidewatch.llm.common import id_hash
 from tidewatch.llm.words import n_words
@@ -93,21 +95,29 @@ def slots(sources: DataFrame, total: int, block: int = BLOCK_WORDS) -> DataFrame
     )
 
 
+def _rows_of(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """A row per document with its size, source key, hash and cell, and ``carry`` with an underscore before the names."""
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *[F.col(c).alias(f"_{c}") for c in carry])
+    key = id_hash(F.col("doc_id"))
+    rows = rows.withColumn("skey", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")))
+    return rows.withColumn("key", key).withColumn("cell", F.substring(key, 1, 3))
+
+
+def _stream() -> WindowSpec:
+    """The order of the rows of a source within a cell; rows that are equal here are of one id and size."""
+    return W.partitionBy("skey", "cell").orderBy("key", "size")
+
+
 def allocate(
-    docs: DataFrame, carry: Sequence[str] = (), weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST
+    docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST
 ) -> tuple[DataFrame, DataFrame]:
     """Place every document in its source's stream, and the sources with their targets.
 
     First result, a row per document: doc_id, source, size, skey, cell, nth (these three name the row),
-    start (words of its source before it), source_size, target, take (the target in whole words), and
-    ``carry``.  Null text has size 0; null sources are a source; repeated rows are rows of their own.
+    start (words of its source before it), source_size, target and take (the target in whole words).
+    Null text has size 0; null sources are a source; repeated rows are rows of their own.
     """
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *[F.col(c).alias(f"_{c}") for c in carry])
-    key = id_hash(F.col("doc_id"))
-    rows = rows.withColumn("skey", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")))
-    rows = rows.withColumn("key", key).withColumn("cell", F.substring(key, 1, 3))
-    if not carry:  # else texts would be written once more; the sizes are counted again instead
-        rows = stage(rows, "mix_rows")
+    rows = stage(_rows_of(docs), "mix_rows")
     cells = stage(rows.groupBy("skey", "source", "cell").agg(F.sum("size").alias("words")), "mix_cells")
     sources = cells.groupBy("skey", "source").agg(F.sum("words").alias("source_size"))
     sources = stage(fill_targets(sources, weights, share, most).withColumn("take", F.round("target").cast("long")), "mix_sources")
@@ -115,7 +125,7 @@ def allocate(
     cells = cells.select("skey", "cell", start0.alias("start0")).join(
         sources.select("skey", "source_size", "target", "take"), "skey"
     )
-    inside = W.partitionBy("skey", "cell").orderBy("key", "size")
+    inside = _stream()
     upto = F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0))
     placed = rows.withColumn("nth", F.row_number().over(inside)).withColumn("before", upto - F.col("size"))
     placed = placed.join(cells, ["skey", "cell"]).withColumn("start", F.col("start0") + F.col("before"))
@@ -167,20 +177,22 @@ def taken(docs: DataFrame, block: int = BLOCK_WORDS, **options) -> DataFrame:
     ).drop(*row)
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mixture as documents: a row per document and reading, with the columns of ``docs``.
+def mixed_documents(docs: DataFrame, block: int = BLOCK_WORDS, **options) -> DataFrame:
+    """The mixture as documents: a row per document and reading, with the columns of ``docs``, in the order of the schedule.
 
-    The streams are read up to their targets, so at most one document of each source and reading is
-    cut; it keeps its first words, joined by one space.  n_chars, if there, follows the text.
+    A reading stands where its first part does, by slot and place, and has the words of its parts.  The streams
+    are read up to their targets, so at most one document of each source and reading is cut; it keeps its
+    first words, joined by one space.  n_chars, if there, follows the text.  Texts meet the schedule by the place of
+    their row in the stream.
     """
-    placed, _ = allocate(docs, carry=docs.columns, **options)
-    most = int(-(-options.get("most", MOST) // 1))
-    lo = F.col("start") + F.col("read") * F.col("source_size")
-    reads = placed.withColumn("read", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
-    reads = reads.withColumn("left", F.least(F.col("size"), F.col("take") - lo)).filter("left > 0")
+    row = ["skey", "cell", "nth"]
+    parts = mix(docs, block, **options).filter("slot IS NOT NULL")
+    reads = parts.groupBy(*row, "read").agg(F.min(F.struct("slot", "place")).alias("at"), F.sum("part_words").alias("left"))
+    texts = _rows_of(docs, docs.columns).withColumn("nth", F.row_number().over(_stream())).drop("key")
+    reads = texts.join(reads, row)
     words = F.array_join(F.slice(F.regexp_extract_all("_text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col("left").cast("int")), " ")
     reads = reads.withColumn("_text", F.when(F.col("left") < F.col("size"), words).otherwise(F.col("_text")))
     if "n_chars" in docs.columns:
         length = F.length("_text").cast(docs.schema["n_chars"].dataType)
         reads = reads.withColumn("_n_chars", F.when(F.col("left") < F.col("size"), length).otherwise(F.col("_n_chars")))
-    return reads.select(*[F.col(f"_{c}").alias(c) for c in docs.columns])
+    return reads.orderBy("at").select(*[F.col(f"_{c}").alias(c) for c in docs.columns])
