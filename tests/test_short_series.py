@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions.grouped import groups_of, per_group
+from tidewatch.functions.kernels import best_kernel, candidates, path_error, triangles
 from conftest import local
 from tidewatch.operators import fusion as FU, jumps as I, path_features as M, paths as K
 from tidewatch.operators.layout import IDX, SERIES
@@ -105,3 +106,16 @@ def test_models_are_the_same_by_both_ways(indexed, monkeypatch):
     monkeypatch.setattr(M, "IN_TASK", 100)  # one series each way
     pd.testing.assert_frame_equal(got, local(M.select_by_lasso(df, cols, "label", chunk_rows=64)[0], SERIES, "feature"), rtol=1e-7)
     assert steps and got[SERIES].nunique() == 2
+
+
+def test_kernel_choice_is_that_of_full_matrices():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 7, 90):
+        x, p = rng.normal(size=(n, 3)).round(2), rng.normal(size=(n, 2))
+        tried = candidates([7.3, 20.0])
+        upper = np.triu_indices(n)
+        for kernel, half in zip(tried, triangles(x, tried)):
+            np.testing.assert_allclose(half, kernel.matrix(x, x)[upper], rtol=1e-7, atol=1e-12)
+        errors = [path_error(k.matrix(x, x), p @ p.T)[0] for k in tried]
+        found = best_kernel(x, p @ p.T, tried)
+        assert found[1] == tried[int(np.argmin(errors))] and found[0] == min(errors)
