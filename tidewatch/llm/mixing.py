@@ -188,8 +188,13 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK_WORDS, **options) -> Dat
     row = ["skey", "cell", "nth"]
     parts = mix(docs, block, **options).filter("slot IS NOT NULL")
     reads = parts.groupBy(*row, "read").agg(F.min(F.struct("slot", "place")).alias("at"), F.sum("part_words").alias("left"))
+    reads = reads.groupBy(*row).agg(F.collect_list(F.struct("read", "at", "left")).alias("reads"))
     texts = _rows_of(docs, docs.columns).withColumn("nth", F.row_number().over(_stream())).drop("key")
-    reads = texts.join(reads, row)
+    # one partition holds a cell's texts and its readings, so a window gives them to each other without another shuffle
+    both = texts.withColumn("has_text", F.lit(True)).unionByName(reads, allowMissingColumns=True)
+    own = W.partitionBy(*row)
+    both = both.withColumn("reads", F.first("reads", ignorenulls=True).over(own.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    reads = both.filter("has_text").select("*", F.inline("reads")).drop("reads")
     words = F.array_join(F.slice(F.regexp_extract_all("_text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col("left").cast("int")), " ")
     reads = reads.withColumn("_text", F.when(F.col("left") < F.col("size"), words).otherwise(F.col("_text")))
     if "n_chars" in docs.columns:
