@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions.grouped import groups_of, per_group
-from tidewatch.functions.kernels import best_kernel, candidates, path_error, triangles
+from tidewatch.functions.kernels import Kernel, best_kernel, candidates, path_error, triangles, weighted_sums
 from conftest import local
-from tidewatch.operators import fusion as FU, jumps as I, path_features as M, paths as K
+from tidewatch.operators import batch_scores as L, fusion as FU, jumps as I, path_features as M, paths as K
 from tidewatch.operators.layout import IDX, SERIES
 
 
@@ -119,3 +119,28 @@ def test_kernel_choice_is_that_of_full_matrices():
         errors = [path_error(k.matrix(x, x), p @ p.T)[0] for k in tried]
         found = best_kernel(x, p @ p.T, tried)
         assert found[1] == tried[int(np.argmin(errors))] and found[0] == min(errors)
+
+
+def test_kernel_errors_are_the_same_by_both_ways(indexed, monkeypatch):
+    cols = ["f0", "f1", "f2"]
+    df = indexed(64).withColumns({f"p{i}": F.col(c) / (7 + F.col(IDX) % 3) for i, c in enumerate(cols)})
+    kernels = [Kernel("rbf", gamma=0.5), Kernel("polynomial"), Kernel("laplacian", gamma=0.5), Kernel("periodic", period=7.0)]
+    blocks = []
+    real = L._kernel_errors_by_blocks
+    monkeypatch.setattr(L, "_kernel_errors_by_blocks", lambda *a: blocks.append(1) or real(*a))
+    got = local(L.kernel_errors(df, cols, ["p0", "p1"], kernels, block=50, rows=64))
+    assert not blocks  # no row was collected into a block
+    monkeypatch.setattr(L, "IN_TASK", 100)  # one series each way
+    want = local(L.kernel_errors(df, cols, ["p0", "p1"], kernels, block=50, rows=64))
+    assert blocks and len(got) == 490
+    pd.testing.assert_frame_equal(got, want[got.columns], rtol=1e-9)
+
+
+@pytest.mark.parametrize("n", [1, 2, 9, 40])
+def test_weighted_sums_are_those_of_full_matrices(n):
+    rng = np.random.default_rng(n)
+    x, p = rng.normal(size=(n, 3)), rng.normal(size=(n, 2))
+    for kernel in (Kernel("polynomial"), Kernel("rbf", gamma=0.3), Kernel("sigmoid", alpha=0.2)):
+        sq, weight = kernel.matrix(x, x) ** 2, p @ p.T
+        for cells in (1, 60, 1 << 16):
+            np.testing.assert_allclose(weighted_sums(kernel, x, p, cells), [(sq * weight**i).sum(1) for i in range(3)], rtol=1e-10, atol=1e-12)

@@ -73,7 +73,7 @@ def fuse(a: Analysis, rows: int = CHUNK_ROWS, adaptive: bool = False) -> DataFra
     jump = scales.select(*ids, F.greatest(*[f"_j{i}" for i in range(len(JUMP_SCALES))]).alias("jump"))
     hybrid = L.hybrid_score(a.rows, a.cols, a.paths, a.path_stats, rows=rows)
     structural = L.structural_score(hybrid, a.paths, a.path_stats, rows)
-    kernel = L.kernel_errors(stage(structural, "hybrid"), a.cols, a.paths, ENSEMBLE, rows=rows)
+    kernel = L.kernel_errors(structural, a.cols, a.paths, ENSEMBLE, rows=rows)
     kernel = kernel.withColumn("kernel", F.greatest(*[f"kernel_{i}" for i in range(len(ENSEMBLE))]))
     parts = kernel.join(jump, ids)
     if adaptive:
