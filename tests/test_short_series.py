@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.grouped import groups_of, per_group
 from tidewatch.functions.kernels import Kernel, best_kernel, candidates, path_error, triangles, weighted_sums
 from conftest import local
-from tidewatch.operators import batch_scores as L, fusion as FU, jumps as I, path_features as M, paths as K
+from tidewatch.operators import batch_scores as L, evaluate as Q, fusion as FU, jumps as I, path_features as M, paths as K
 from tidewatch.operators.layout import IDX, SERIES
 
 
@@ -144,3 +144,17 @@ def test_weighted_sums_are_those_of_full_matrices(n):
         sq, weight = kernel.matrix(x, x) ** 2, p @ p.T
         for cells in (1, 60, 1 << 16):
             np.testing.assert_allclose(weighted_sums(kernel, x, p, cells), [(sq * weight**i).sum(1) for i in range(3)], rtol=1e-10, atol=1e-12)
+
+
+def test_ablation_is_the_same_by_both_ways(spark, monkeypatch):
+    df = labelled_parts(spark).withColumn("q", F.when(F.col("idx") % 9 != 2, F.col("q")))  # some are null
+    configs = {**Q.subsets(list("pqr")), **Q.sweep_weight({"p": 0.4, "q": 0.6}, "s", [0.0, 0.2])}
+    sorts = []
+    real = Q._ablation_in_one_sort
+    monkeypatch.setattr(Q, "_ablation_in_one_sort", lambda *a: sorts.append(1) or real(*a))
+    got = local(Q.ablation(df, configs, "label"), SERIES, "config")
+    assert not sorts  # no row was copied for every weighting
+    monkeypatch.setattr(Q, "IN_TASK", 10)
+    want = local(Q.ablation(df, configs, "label"), SERIES, "config")
+    assert sorts and len(got) == 4 * len(configs) and got["auc"].isna().any()
+    pd.testing.assert_frame_equal(got, want, rtol=1e-12)

@@ -5,12 +5,19 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidewatch.functions.grouped import matrix, per_group
 from tidewatch.functions.numeric import num, total
-from tidewatch.functions.order import area, below
+from tidewatch.functions.order import area, areas, below
 from tidewatch.functions.quantile import percentiles
 from tidewatch.operators.layout import CHUNK, CHUNK_ROWS, IDX, KEYS, LEN, SERIES, attach, chunk_of, frame, long_form, running
+from tidewatch.session import stage
+
+#: Rows of a series that one task ranks by all weightings; longer ones are ranked in one job.
+IN_TASK = 1 << 16
 
 # fixed values: cost profiles of the published benchmark (true positive, false positive, false negative)
 PROFILES = {
@@ -218,8 +225,35 @@ def sweep_weight(base: Mapping[str, float], extra: str, shares: Sequence[float])
 def ablation(z: DataFrame, weights: Mapping[str, Mapping[str, float]], label: str) -> DataFrame:
     """AUC per series and weighting; ``z`` holds standardised component scores.
 
-    All weightings are scored in one pass and ranked in one job.
+    A series of up to ``IN_TASK`` rows is scored by all weightings within a task, so no row is copied; the rows of
+    longer ones are ranked in one job for all weightings.
     """
+    names = list(dict.fromkeys(c for w in weights.values() for c in w))
+    z = stage(z.select(SERIES, LEN, label, *names), "ablation")
+    short = _ablation_in_task(z.filter(F.col(LEN) <= IN_TASK), names, weights, label)
+    long = z.filter(F.col(LEN) > IN_TASK)
+    return short if long.isEmpty() else short.unionByName(_ablation_in_one_sort(long, weights, label))
+
+
+def _ablation_in_task(z: DataFrame, names: Sequence[str], weights: Mapping[str, Mapping[str, float]], label: str) -> DataFrame:
+    def solve(group: pa.Table) -> pa.Table:
+        x, hit = matrix(group, names), matrix(group, [label])[:, 0] == 1
+        absent = np.column_stack([group.column(c).is_null().to_numpy() for c in names])
+        scores = np.empty((len(x), len(weights)))
+        for i, w in enumerate(weights.values()):
+            at = [names.index(c) for c in w]
+            score = sum(v * x[:, j] for v, j in zip(w.values(), at))
+            # a null is the lowest score, a NaN the highest
+            scores[:, i] = np.where(absent[:, at].any(1), -np.inf, np.where(np.isnan(score), np.inf, score))
+        area = areas(scores, hit, np.ones(len(x)))
+        key = group.column(SERIES).combine_chunks()
+        return pa.table({SERIES: pa.concat_arrays([key.slice(0, 1)] * len(weights)), "config": list(weights), "auc": pa.array(area, pa.float64(), from_pandas=True)})
+
+    kind = z.schema[SERIES].dataType.simpleString()
+    return per_group(z, [SERIES], [], solve, f"{SERIES} {kind}, config string, auc double")
+
+
+def _ablation_in_one_sort(z: DataFrame, weights: Mapping[str, Mapping[str, float]], label: str) -> DataFrame:
     combos = {
         name: total([num(v) * F.col(c) for c, v in w.items()]) for name, w in weights.items()
     }

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.functions.grouped import matrix, per_group
 from tidewatch.functions.numeric import num, total
+from tidewatch.functions.order import areas
 from tidewatch.functions.quantile import percentiles
 from tidewatch.operators.evaluate import auc
 from tidewatch.operators.layout import CHUNK, IDX, KEYS, LEN, SERIES, attach
@@ -136,23 +137,6 @@ def _search_in_one_sort(z: DataFrame, names: Sequence[str], label: str, lattice:
     return best.select(SERIES, *[F.col(f"_b.{w}").alias(w) for w in ws], F.col("_b.auc").alias("auc"))
 
 
-def areas(scores: np.ndarray, hit: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Weighted ROC area of every column of ``scores``; ties count half, NaN if a class is missing."""
-    order = np.argsort(scores, axis=0, kind="stable")
-    ranked = np.take_along_axis(scores, order, 0)
-    p, q = (np.where(side, weight, 0.0)[order] for side in (hit, ~hit))
-    upto = np.cumsum(q, axis=0)
-    new = np.ones(ranked.shape, bool)
-    new[1:] = ranked[1:] != ranked[:-1]
-    last = np.roll(new, -1, axis=0)
-    last[-1] = True
-    below = np.maximum.accumulate(np.where(new, upto - q, 0.0), axis=0)
-    to = np.minimum.accumulate(np.where(last, upto, np.inf)[::-1], axis=0)[::-1]
-    hits, misses = p.sum(0), q.sum(0)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return np.where((hits > 0) & (misses > 0), (p * 0.5 * (below + to)).sum(0) / (hits * misses), np.nan)
-
-
 def _search_in_task(z: DataFrame, names: Sequence[str], label: str, lattice: Sequence[Mapping[str, float]]) -> DataFrame:
     names, ws = list(names), [f"w_{n}" for n in names]
     weights = np.array([[w[n] for n in names] for w in lattice])
