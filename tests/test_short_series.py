@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.grouped import groups_of, per_group
 from tidewatch.functions.kernels import Kernel, best_kernel, candidates, path_error, triangles, weighted_sums
 from conftest import local
-from tidewatch.operators import batch_scores as L, evaluate as Q, fusion as FU, jumps as I, path_features as M, paths as K
+from tidewatch.operators import batch_scores as L, causal as C, evaluate as Q, fusion as FU, jumps as I, path_features as M, paths as K
 from tidewatch.operators.layout import IDX, SERIES
 
 
@@ -158,3 +158,21 @@ def test_ablation_is_the_same_by_both_ways(spark, monkeypatch):
     want = local(Q.ablation(df, configs, "label"), SERIES, "config")
     assert sorts and len(got) == 4 * len(configs) and got["auc"].isna().any()
     pd.testing.assert_frame_equal(got, want, rtol=1e-12)
+
+
+def test_subspaces_are_the_same_by_both_ways(indexed, monkeypatch):
+    cols = ["f0", "f1", "f2"]
+    df = indexed(64)
+    chunked = []
+    real = C._recon_fit_by_chunks
+    monkeypatch.setattr(C, "_recon_fit_by_chunks", lambda *a: chunked.append(1) or real(*a))
+
+    def distances():
+        fit = C.recon_fit(df, cols, F.col(IDX) < 60, rows=64)
+        return local(C.recon_score(df, fit, cols, rows=64).select(SERIES, IDX, "recon"))
+
+    got = distances()
+    assert not chunked  # no second moments were sent
+    monkeypatch.setattr(C, "IN_TASK", 100)  # one series each way
+    pd.testing.assert_frame_equal(got, distances(), rtol=1e-7, atol=1e-9)
+    assert chunked and len(got) == 490

@@ -12,7 +12,7 @@ from tidewatch.plans import tier0, tier2
 from tidewatch.plans.catalog_basic import out
 from tidewatch.plans.catalog_masks import label_windows
 from tidewatch.plans.registry import ORACLES, query
-from tidewatch.session import shared_dir
+from tidewatch.session import shared_dir, stage
 from tidewatch.sources.tables import event_series, table
 from tidewatch.streaming import online as R
 
@@ -72,7 +72,7 @@ def with_five(score):
 @query("stream_causal_tier")
 def stream_causal_tier(spark, sf):
     cfg = tier0.CausalConfig()
-    _, model = tier0.fit_predict(B.expand_5(event_series(spark, sf)), FIVE, cfg)
+    _, model = tier0.fit_predict(B.expand_5(event_series(spark, sf)), FIVE, cfg, between=stage)
     score = with_five(R.causal_score(model, FIVE, cfg))
     return out(run(spark, sf, score, R.CAUSAL_LOOKBACK + B.WINDOW), "score", keys=(SERIES, IDX, "flag"))
 
