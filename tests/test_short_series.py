@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.grouped import groups_of, per_group
 from tidewatch.functions.kernels import Kernel, best_kernel, candidates, path_error, triangles, weighted_sums
 from conftest import local
-from tidewatch.operators import batch_scores as L, causal as C, evaluate as Q, fusion as FU, jumps as I, path_features as M, paths as K
+from tidewatch.operators import batch_scores as L, causal as C, evaluate as Q, fusion as FU, jumps as I, path_features as M, paths as K, regimes as H
 from tidewatch.operators.layout import IDX, SERIES
 
 
@@ -190,3 +190,15 @@ def test_rbf_distance_is_that_of_all_pairs(indexed, wave, cols):
         x, cal = part[cols].to_numpy(), int(part["cal_end"].iloc[0])
         k = np.exp(-0.7 * ((x[:, None] - x[None, :cal]) ** 2).sum(2))
         np.testing.assert_allclose(part["kernel"], np.sqrt(np.maximum(1 - 2 * k.mean(1) + k[:cal].mean(), 0)), rtol=1e-11)
+
+
+@pytest.mark.parametrize("k", [1, 3, 5])
+def test_mixture_sums_are_those_of_densities(k):
+    rng = np.random.default_rng(k)
+    x = rng.normal(size=(300, 4)) * [1, 3, 0.2, 2] + (np.arange(300) % 3)[:, None]
+    x -= x.mean(0)
+    params = H.start(len(x), x.sum(0), x.T @ x, k, 4)
+    for _ in range(6):
+        sums = H.expected_sums(x, *params)
+        np.testing.assert_allclose(H.short_sums(H.features(x), 4, *params), sums, rtol=1e-9, atol=1e-9)
+        params = H.updated(sums, k, 4)

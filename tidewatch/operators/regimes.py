@@ -12,9 +12,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
+from tidewatch.functions.grouped import matrix, per_group
 from tidewatch.operators.layout import CHUNK, CHUNK_ROWS, IDX, KEYS, LEN, SERIES, attach, chunk_of, over_chunks, running
 from tidewatch.session import stage
 
@@ -60,6 +62,32 @@ def updated(sums, k, d):
     return soft / soft.sum(), means, covs
 
 
+def features(x):
+    """Per row 1, its values, and the products of every pair of them: a log density is linear in these."""
+    n, d = x.shape
+    i, j = np.triu_indices(d)
+    return np.ascontiguousarray(np.hstack([np.ones((n, 1)), x, x[:, i] * x[:, j]]))
+
+
+def short_sums(phi, d, weights, means, covs):
+    """As ``expected_sums``, from the ``features`` of centred rows by two products of matrices."""
+    i, j = np.triu_indices(d)
+    inverse = np.linalg.inv(covs)
+    pull = np.einsum("kij,kj->ki", inverse, means)
+    fixed = np.log(weights) - 0.5 * ((pull * means).sum(1) + np.linalg.slogdet(covs)[1] + d * np.log(2 * np.pi))
+    square = np.where(i == j, -0.5, -1.0) * inverse[:, i, j]
+    parts = phi @ np.hstack([fixed[:, None], pull, square]).T
+    hard = np.bincount(parts.argmax(1), minlength=len(weights))
+    top = parts.max(1)
+    r = np.exp(parts - top[:, None])
+    norm = r.sum(1)
+    r /= norm[:, None]
+    sums = r.T @ phi
+    whole = np.empty((len(weights), d, d))
+    whole[:, i, j] = whole[:, j, i] = sums[:, 1 + d:]
+    return np.concatenate([[(top + np.log(norm)).sum()], hard, sums[:, 0], sums[:, 1:1 + d].ravel(), whole.ravel()])
+
+
 def start(count, total, square, k, d):
     """Equal weights, the common covariance, and means spread along its main axis."""
     mean = total / count
@@ -105,24 +133,28 @@ def fit_short(df: DataFrame, cols: Sequence[str], fixed: int | None = None, most
     d, names = len(cols), list(cols)
     schema = f"{SERIES} string, {LEN} long, {MODEL}, bic double, smallest long"
 
-    def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(IDX)[names].to_numpy(dtype=float)
-        out = []
+    def solve(group: pa.Table) -> pa.Table:
+        x = matrix(group, names)
+        centre = x.mean(0)
+        x = x - centre  # so that products of values lose no digits
+        phi, out = features(x), []
         for k in candidate_sizes(len(x), fixed, most, min_rows):
             params = start(len(x), x.sum(0), x.T @ x, k, d)
             before = None
             for _ in range(MAX_STEPS):
-                sums = expected_sums(x, *params)
+                sums = short_sums(phi, d, *params)
                 if before is not None and abs(sums[0] - before) / len(x) < TOLERANCE:
                     break
                 before = sums[0]
                 params = updated(sums, k, d)
-            final = expected_sums(x, *params)
+            final = short_sums(phi, d, *params)
             w, m, c = ordered(*params)
-            out.append((key[0], len(x), k, w, m.ravel(), c.ravel(), bic(final[0], len(x), k, d), int(final[1:1 + k].min())))
-        return pd.DataFrame(out, columns=[SERIES, LEN, "k", "weights", "means", "covs", "bic", "smallest"])
+            out.append((len(x), k, w, (m + centre).ravel(), c.ravel(), bic(final[0], len(x), k, d), int(final[1:1 + k].min())))
+        key = pa.concat_arrays([group.column(SERIES).combine_chunks().slice(0, 1)] * len(out))
+        kinds = [pa.int64(), pa.int32(), *[pa.list_(pa.float64())] * 3, pa.float64(), pa.int64()]
+        return pa.table([key, *[pa.array(list(v), t) for v, t in zip(zip(*out), kinds)]], names=[SERIES, LEN, "k", "weights", "means", "covs", "bic", "smallest"])
 
-    return df.select(SERIES, IDX, *names).groupBy(SERIES).applyInPandas(solve, schema)
+    return per_group(df.select(SERIES, IDX, *names), [SERIES], [IDX], solve, schema)
 
 
 def fit_long(
@@ -205,8 +237,11 @@ def fit(df: DataFrame, cols: Sequence[str], fixed: int | None = None, most: int
     Series of up to ``IN_TASK`` rows are solved many to a task, longer ones by one job per step; the
     steps are the same, so the split does not show in the result.
     """
-    short = fit_short(df.filter(F.col(LEN) <= IN_TASK), cols, fixed, most, min_rows)
-    fits = short.unionByName(fit_long(df.filter(F.col(LEN) > IN_TASK), cols, fixed, most, min_rows, rows))
+    df = stage(df.select(*KEYS, IDX, LEN, *cols), "regime-rows")
+    fits = fit_short(df.filter(F.col(LEN) <= IN_TASK), cols, fixed, most, min_rows)
+    long = df.filter(F.col(LEN) > IN_TASK)
+    if not long.isEmpty():
+        fits = fits.unionByName(fit_long(long, cols, fixed, most, min_rows, rows))
     if fixed is not None:
         fits = fits.withColumn("_most", F.least(F.lit(fixed), F.greatest(F.lit(1), F.floor(F.col(LEN) / min_rows))).cast("int"))
         wanted = (F.col("k") == F.col("_most")) | (F.col("k") == 1)
