@@ -11,6 +11,7 @@ from tidewatch.functions.kernels import Kernel, best_kernel, candidates, path_er
 from conftest import local
 from tidewatch.operators import batch_scores as L, causal as C, evaluate as Q, fusion as FU, jumps as I, path_features as M, paths as K, regimes as H
 from tidewatch.operators.layout import IDX, SERIES
+from tidewatch.plans import batch
 
 
 def test_groups_over_batches():
@@ -202,3 +203,33 @@ def test_mixture_sums_are_those_of_densities(k):
         sums = H.expected_sums(x, *params)
         np.testing.assert_allclose(H.short_sums(H.features(x), 4, *params), sums, rtol=1e-9, atol=1e-9)
         params = H.updated(sums, k, 4)
+
+
+def _close(got, want, keys):
+    got, want = (f.toPandas().sort_values(keys).reset_index(drop=True) for f in (got, want))
+    pd.testing.assert_frame_equal(got, want[got.columns], rtol=1e-6, atol=1e-8, check_dtype=False)
+
+
+@pytest.mark.parametrize("sparse", [True, False])
+def test_batch_analysis_is_the_same_by_both_ways(indexed, sparse, monkeypatch):
+    df, cols = indexed(64), ["f0", "f1", "f2"]
+    a = batch.analyse(df, cols, sparse=sparse, rows=64)
+    scores = batch.fuse(a, rows=64)
+    monkeypatch.setattr(batch, "IN_TASK", 0)
+    monkeypatch.setattr(L, "IN_TASK", 0)
+    b = batch.analyse(df, cols, sparse=sparse, rows=64)
+    _close(a.path_stats, b.path_stats, [SERIES, "path"])
+    _close(a.jumps.features, b.jumps.features, [SERIES, "feature"])
+    assert set(a.jumps.rows.columns) == set(b.jumps.rows.columns)
+    _close(a.rows, b.rows, [SERIES, IDX])
+    _close(scores, batch.fuse(b, rows=64), [SERIES, IDX])
+
+
+def test_batch_of_short_series_plans_no_jobs_of_long_ones(indexed, monkeypatch):
+    def planned(*args, **kwargs):
+        raise AssertionError("short series are analysed within tasks")
+
+    for module, name in ((I, "detect"), (I, "detect_tuned"), (K, "topology"), (K, "pulsation"), (L, "hybrid_score"), (L, "kernel_errors")):
+        monkeypatch.setattr(module, name, planned)
+    df = indexed()
+    assert batch.fuse(batch.analyse(df, ["f0", "f1", "f2"])).count() == df.count()
