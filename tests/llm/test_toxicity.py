@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 
 from tidewatch.llm.catalog import QUERIES
-from tidewatch.llm.toxicity import BlockMaxIndex, choose_terms, classify, term_counts
+from tidewatch.llm.toxicity import BlockMaxIndex, TextIndex, choose_terms, classify, term_counts
 
 SF = "/root/testdata/sf0.01"
 
@@ -32,6 +32,30 @@ def test_index_is_exact_and_prunes():
     assert index.opened < len(queries) * index.blocks * 0.7
 
 
+def test_whole_texts_are_searched_exactly():
+    rng = np.random.default_rng(3)
+    counts = rng.poisson(0.15, (700, 300)) * rng.integers(1, 4, (700, 300))
+    counts[:, :20] += rng.poisson(1.0, (700, 20))
+    counts[5] = 0
+    counts[5, 299] = 2
+    idf = rng.uniform(1, 5, 300)
+    weight = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * idf
+    weight /= np.sqrt((weight**2).sum(axis=1, keepdims=True))
+    row, term = np.nonzero(counts)
+    bounds = np.searchsorted(row, np.arange(701))
+    index = TextIndex(bounds, term.astype(np.int32), counts[row, term].astype(np.uint8), idf, dense=20)
+    # one array holds the example and its weight for every posting outside the dense block
+    assert len(index.postings) == len(term) - (index.slot[term] >= 0).sum() and index.postings.imag.min() > 0
+    queries = [(np.flatnonzero(w), w[w > 0]) for w in weight[:150]] + [(np.zeros(0, np.int64), np.zeros(0))]
+    skip = [i if i % 2 else -1 for i in range(150)] + [-1]
+    for i, (near, cos) in enumerate(index.search(queries, 15, skip)):
+        all_ = np.round(weight @ weight[i], 12) if i < 150 else np.zeros(700)
+        if skip[i] >= 0:
+            all_[skip[i]] = -1
+        want = sorted((-c, j) for j, c in enumerate(all_) if c > 0)[:15]
+        assert [j for _, j in want] == near.tolist() and np.allclose([-c for c, _ in want], cos, atol=1e-11)
+
+
 def test_held_out_accuracy(spark):
     got = QUERIES["op3_toxicity"](spark, SF).toPandas()
     labels = spark.read.parquet(f"{SF}/labels.parquet").toPandas().set_index("doc_id").toxic

@@ -132,24 +132,24 @@ def document_counts(rows: DataFrame, terms: int) -> np.ndarray:
 class TextIndex:
     """TF-IDF vectors of examples over all terms; ``search`` gives the exact nearest of many queries.
 
-    An example's weight of a term is (1 + log count) idf / norm, so postings need no weights: a sum takes the query's
-    weight times idf for each, again with log count for the few postings with a count above 1, and divides by norms.
-    The terms in most examples are a dense block instead.
+    The terms in most examples are a dense block, the others postings.  A posting is a complex number, its example and
+    the example's weight (1 + log count) idf / norm, so that both come from memory together.
     """
 
     def __init__(self, bounds: np.ndarray, terms: np.ndarray, counts: np.ndarray, idf: np.ndarray, dense: int = DENSE):
         """Example i has ``terms`` with ``counts`` from bounds[i] to bounds[i + 1]."""
         size = len(idf)
-        self.n, self.dense, self.idf = len(bounds) - 1, min(dense, size), idf
+        self.n, self.dense = len(bounds) - 1, min(dense, size)
         # all arrays over postings are narrow and none is made twice: every Python worker makes this index
         place = np.repeat(np.arange(self.n, dtype=np.min_scalar_type(max(self.n, 1))), np.diff(bounds))
-        logs = np.log(np.maximum(np.arange(int(counts.max(initial=1)) + 1), 1))
+        self.gain = 1 + np.log(np.maximum(np.arange(int(counts.max(initial=1)) + 1), 1))
+        self.gain[0] = 0.0
         norm2 = np.zeros(self.n)
         for at in range(0, len(terms), 1 << 18):
             part = slice(at, at + (1 << 18))
-            weight = (1 + logs[counts[part]]) * idf[terms[part]]
+            weight = self.gain[counts[part]] * idf[terms[part]]
             norm2 += np.bincount(place[part], weight * weight, self.n)
-        self.norm = np.sqrt(norm2)
+        self.scale = 1 / np.sqrt(norm2)
         top = np.argsort(-np.bincount(terms, minlength=size), kind="stable")[: self.dense]
         self.slot = np.full(size, -1, np.int32)
         self.slot[top] = np.arange(len(top))
@@ -157,65 +157,59 @@ class TextIndex:
         slot, column = self.slot[terms[often]], place[often]
         self.width = -(-self.n // GROUP) * GROUP
         self.block = np.zeros((self.dense, self.width), np.float32)
-        self.block[slot, column] = (1 + logs[counts[often]]) * idf[terms[often]] / self.norm[column]
+        self.block[slot, column] = self.gain[counts[often]] * idf[terms[often]] * self.scale[column]
         # counts of the dense terms, for their part of a cosine in double precision
         self.often = np.zeros((self.n, self.dense), counts.dtype)
         self.often[column, slot] = counts[often]
         self.often_idf = idf[top]
-        self.scale = np.zeros(self.width)
-        self.scale[: self.n] = 1 / self.norm
         del often, slot, column
         rest = np.flatnonzero(self.slot[terms] < 0).astype(np.int32)
         rest = rest[np.argsort(terms[rest], kind="stable")]
         of = terms[rest]
-        self.place = place[rest]
         self.ends = np.searchsorted(of, np.arange(size + 1)).astype(np.int32)
-        more = counts[rest] > 1
-        self.more_place, self.more_log = self.place[more], logs[counts[rest[more]]].astype(np.float64)
-        self.more_ends = np.searchsorted(of[more], np.arange(size + 1)).astype(np.int32)
-        del rest, of, more
+        self.postings = np.empty(len(rest), np.complex128)
+        self.postings.real = place[rest]
+        self.postings.imag = self.gain[counts[rest]]
+        self.postings.imag *= idf[of]
+        self.postings.imag *= self.scale[place[rest]]
+        del rest, of
         give_back()
 
-    @staticmethod
-    def _postings(ends: np.ndarray, t: np.ndarray) -> tuple[list[slice], np.ndarray]:
-        lo, hi = ends[t], ends[t + 1]
-        return [slice(a, b) for a, b in zip(lo.tolist(), hi.tolist()) if b > a], hi - lo
-
     def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """Numbers and cosines of the k nearest of each query with a positive cosine, nearest first, ties to the smaller number."""
         if not self.n:
             return [(np.zeros(0, np.int64), np.zeros(0)) for _ in queries]
-        out = []
+        out, postings = [], self.postings
         for at in range(0, len(queries), QUERIES):
             some = queries[at: at + QUERIES]
             often = np.zeros((len(some), self.dense))
+            seldom = []
             for j, (t, w) in enumerate(some):
                 slot = self.slot[t]
-                often[j, slot[slot >= 0]] = w[slot >= 0]
+                dense = slot >= 0
+                often[j, slot[dense]] = w[dense]
+                lo, hi = self.ends[t], self.ends[t + 1]
+                found = np.flatnonzero(~dense & (hi > lo))
+                seldom.append((w[found], lo[found], hi[found]))
             score = often.astype(np.float32) @ self.block
-            for j, (t, w) in enumerate(some):
-                seldom = np.flatnonzero(self.slot[t] < 0)
-                t, w = t[seldom], w[seldom] * self.idf[t[seldom]]
-                cuts, sizes = self._postings(self.ends, t)
-                sums = np.zeros(self.width)
-                if cuts:
-                    sums = np.bincount(np.concatenate([self.place[c] for c in cuts]), np.repeat(w, sizes), self.width)
-                cuts, sizes = self._postings(self.more_ends, t)
-                if cuts:
-                    sums += np.bincount(np.concatenate([self.more_place[c] for c in cuts]), np.repeat(w, sizes) * np.concatenate([self.more_log[c] for c in cuts]), self.width)
-                sums *= self.scale
+            for j, (w, lo, hi) in enumerate(seldom):
                 row = score[j]
-                row += sums
+                sums = None
+                if len(w):
+                    met = np.concatenate([postings[a:b] for a, b in zip(lo.tolist(), hi.tolist())])
+                    sums = np.bincount(met.real.astype(np.int64), np.repeat(w, hi - lo) * met.imag, self.width)
+                    row += sums
                 if skip is not None and skip[at + j] >= 0:
                     row[skip[at + j]] = -1
                 # the k-th largest of the maxima of groups is no larger than the k-th largest cosine
-                best = row.reshape(-1, GROUP).max(axis=1)
-                least = np.partition(best, -k)[-k] if len(best) >= k else 0.0
-                near = np.flatnonzero(row >= max(least - SLACK, 0.0))
-                near = near[(near < self.n) & (row[near] > 0)]
-                c = self.often[near]
-                weight = np.where(c > 0, 1 + np.log(np.maximum(c, 1), dtype=np.float64), 0.0)
-                cos = np.round(sums[near] + weight @ (often[j] * self.often_idf) * self.scale[near], 12)
+                groups = row.reshape(-1, GROUP)
+                best = groups.max(axis=1)
+                least = max(np.partition(best, -k)[-k] - SLACK if len(best) >= k else 0.0, 0.0)
+                group = np.flatnonzero(best >= least)
+                of, inside = np.nonzero((groups[group] >= least) & (groups[group] > 0))
+                near = group[of] * GROUP + inside
+                cos = self.gain[self.often[near]] @ (often[j] * self.often_idf) * self.scale[near]
+                cos = np.round(cos if sums is None else sums[near] + cos, 12)
                 order = np.lexsort((near, -cos))[:k]
                 order = order[cos[order] > 0]
                 out.append((near[order], cos[order]))
