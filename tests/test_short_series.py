@@ -11,7 +11,7 @@ from tidewatch.functions.kernels import Kernel, best_kernel, candidates, path_er
 from conftest import local
 from tidewatch.operators import batch_scores as L, causal as C, evaluate as Q, fusion as FU, jumps as I, path_features as M, paths as K, regimes as H
 from tidewatch.operators.layout import IDX, SERIES
-from tidewatch.plans import batch
+from tidewatch.plans import batch, tier0
 
 
 def test_groups_over_batches():
@@ -233,3 +233,55 @@ def test_batch_of_short_series_plans_no_jobs_of_long_ones(indexed, monkeypatch):
         monkeypatch.setattr(module, name, planned)
     df = indexed()
     assert batch.fuse(batch.analyse(df, ["f0", "f1", "f2"])).count() == df.count()
+
+
+@pytest.mark.parametrize("options", [{}, {"scorers": ("jump", "gradual", "drift", "kernel", "struct"), "normalize": False}, {"scorers": ("jump",), "freeze_scales": True}])
+def test_the_causal_tier_is_the_same_by_both_ways(indexed, options, monkeypatch):
+    cols, cfg, jobs = ["f0", "f1", "f2"], tier0.CausalConfig(chunk_rows=64, **options), []
+    real = tier0.window_features
+    monkeypatch.setattr(tier0, "window_features", lambda *a: jobs.append(1) or real(*a))
+
+    def found():
+        scores, model = tier0.fit_predict(indexed(64), cols, cfg)
+        return [local(scores), *[local(getattr(model, p), SERIES) for p in tier0.MODEL_PARTS if getattr(model, p) is not None]]
+
+    got = found()
+    assert not jobs  # no row was joined with a model
+    monkeypatch.setattr(tier0, "IN_TASK", 100)  # one series each way
+    for a, b in zip(got, found(), strict=True):
+        assert set(a.columns) == set(b.columns) and len(a) == len(b)
+        if "basis" in a:  # directions are found up to their sign
+            a, b = (x.assign(basis=x["basis"].map(lambda v: np.abs(v).tolist())) for x in (a, b))
+        for c in a.columns:
+            x, y = ([v for v in f[c]] for f in (a, b))
+            if c == SERIES:
+                assert x == y
+            else:
+                np.testing.assert_allclose(np.array(x, dtype=float), np.array(y, dtype=float), rtol=1e-6, atol=1e-8, err_msg=c)
+    assert len(jobs) == 1
+
+
+def test_the_causal_tier_takes_one_shuffle(spark, indexed):
+    scores = tier0.fit_predict(indexed(64), ["f0", "f1", "f2"])[0]
+    assert scores._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_missing_values_are_scored_by_jobs(spark, indexed, monkeypatch):
+    cols = ["f0", "f1", "f2"]
+    df = indexed(64).withColumn("f1", F.when((F.col(SERIES) == "a") & (F.col(IDX) == 7), None).otherwise(F.col("f1"))).localCheckpoint()
+    cfg = tier0.CausalConfig(scorers=("jump", "drift", "kernel", "struct"), chunk_rows=64)
+    got = local(tier0.fit_predict(df, cols, cfg)[0])
+    monkeypatch.setattr(tier0, "IN_TASK", 0)
+    pd.testing.assert_frame_equal(got, local(tier0.fit_predict(df, cols, cfg)[0]), rtol=1e-6, atol=1e-8)
+
+
+@pytest.mark.parametrize("n", [1, 3, 30, 5000])
+def test_trailing_windows(n):
+    x = np.random.default_rng(n).normal(size=n).round(1)
+    for w in (5, 200):
+        want = [0.0 if t < 2 else abs(x[t] - x[max(0, t - w):t].mean()) / (x[max(0, t - w):t].std() + 1e-12) for t in range(n)]
+        got = C.series_jump(x, w)
+        far = np.array([t < 2 or x[max(0, t - w):t].std() > 1e-9 for t in range(n)])
+        np.testing.assert_allclose(got[far], np.array(want)[far], rtol=1e-9, atol=1e-12)
+    want = [0.0 if t < 19 else abs(x[max(0, t - 199):t + 1].mean() - 0.25) for t in range(n)]
+    np.testing.assert_allclose(C.series_drift(x, 0.25), want, rtol=1e-9, atol=1e-12)

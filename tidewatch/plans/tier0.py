@@ -5,14 +5,26 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from tidewatch.functions.grouped import matrix, per_group
 from tidewatch.functions.numeric import mean_of, num
 from tidewatch.functions.quantile import percentiles
 from tidewatch.operators import causal as C
+from tidewatch.operators.jumps import percentile
 from tidewatch.operators.layout import CHUNK_ROWS, IDX, KEYS, LEN, SERIES, attach, frame, home, long_form, with_halo
 from tidewatch.operators.scale import CAL_RATIO, MIN_CAL, calibration_end, series_stats
 from tidewatch.operators.vote import or_vote
+from tidewatch.session import stage
+
+#: Rows of a series that one task scores; longer ones are scored by chunks.
+IN_TASK = 1 << 16
+#: Values from here on could overflow in the cubes of the kernel.
+LARGEST = 1e25
 
 
 @dataclass(frozen=True)
@@ -43,6 +55,9 @@ class CausalModel:
     thresholds: DataFrame
 
 
+MODEL_PARTS = ("stats", "fits", "subspace", "thresholds")
+
+
 def normal_columns(cols: Sequence[str], normalize: bool) -> list[Column]:
     """``z_j`` (normalised features), ``k_j`` (normalised again for the kernel), ``sig``."""
     out = []
@@ -159,13 +174,133 @@ def vote(scored: DataFrame, thresholds: DataFrame, active: Column | None, cfg: C
     return or_vote(out, {x: f"thr_{x}" for x in names}, active)
 
 
+def _score_in_task(df: DataFrame, cols: Sequence[str], cfg: CausalConfig) -> DataFrame:
+    """Scores of whole series after one shuffle, with the model of a series at its first row."""
+    names, scales = cfg.names(), list(threshold_inputs(cfg.names(), F.col("cal_end")))
+    fitted = {"stats": [f"{c}_{s}" for c in cols for s in ("mu", "sd")], "fits": ["base"], "subspace": [], "thresholds": [f"thr_{s}" for s in scales]}
+    lists = {"fits": [], "subspace": []}
+    if "kernel" in names:
+        lists["fits"].append("centroid")
+    if "struct" in names:
+        fitted["fits"] += ["struct_mu", "struct_sd"]
+    if "recon" in names:
+        lists["subspace"] += ["mean", "basis"]
+    kind = ",".join(f"{part}:struct<n:bigint,{','.join([f'{c}:double' for c in own] + [f'{c}:array<double>' for c in lists.get(part, [])])}>"
+                    for part, own in fitted.items() if own or lists.get(part))
+    schema = T.StructType(df.drop(*cols).schema.fields + T.StructType.fromDDL(
+        f"score double, flag int, {''.join(f'{x} double, ' for x in names)}model struct<{kind}>").fields)
+    model_type = to_arrow_type(schema["model"].dataType)
+
+    def solve(group: pa.Table) -> pa.Table:
+        cal = group.column("cal_end")[0].as_py()
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            raw, score, found = series_scores(matrix(group, cols), cal, cols, cfg)
+        active = np.arange(group.num_rows) >= cal
+        score = np.where(active, score, 0.0)
+        out = group.drop_columns(list(cols)).append_column("score", pa.array(score)).append_column("flag", pa.array((score >= 1).astype(np.int32)))
+        for x in names:
+            out = out.append_column(x, pa.array(np.where(active, raw[x], 0.0)))
+        found = {k: None if v is None or np.ndim(v) == 0 and v != v else np.asarray(v).tolist() for k, v in found.items()}
+        model = {part: {LEN: group.num_rows, **{c: found.get(c) for c in [*own, *lists.get(part, [])]}} for part, own in fitted.items()}
+        return out.append_column("model", pa.array([model] + [None] * (group.num_rows - 1), model_type))
+
+    return per_group(df, [SERIES], [IDX], solve, schema)
+
+
+def series_scores(x: np.ndarray, cal: int, cols: Sequence[str], cfg: CausalConfig) -> tuple[dict, np.ndarray, dict]:
+    """Raw scores of one whole series, the vote on every row, and the model; ``cal`` rows calibrate.
+
+    A model entry that a series is too short for is left out, None or NaN.
+    """
+    names, n = cfg.names(), len(x)
+    if not cal:  # a single row
+        return {s: np.zeros(n) for s in names}, np.zeros(n), {}
+    mu, sd = x[:cal].mean(0), x[:cal].std(0)
+    found = {f"{c}_{s}": v[j] for s, v in (("mu", mu), ("sd", sd)) for j, c in enumerate(cols)}
+    unit = (x - mu) / (sd + 1e-10)
+    z, k = (unit, unit / (sd / (sd + 1e-10) + 1e-10)) if cfg.normalize else (x, unit)
+    sig = sum(z.T[1:], z[:, 0]) / len(cols)
+    found["base"] = sig[:cal].mean()
+    raw, values, ratios = {}, {}, []
+    if "jump" in names:
+        jumps = {w: C.series_jump(sig, w) for w in C.JUMP_WINDOWS}
+        values |= {f"jump_{w}": v[:cal][v[:cal] > 0] if cal > w else v[:0] for w, v in jumps.items()}
+    if "gradual" in names:
+        trends = C.series_gradual(sig, np.arange(n), C.GRADUAL_WINDOWS, cfg.orientation)
+
+        def slope(length: int) -> np.ndarray:
+            return np.maximum.reduce([np.zeros(n), *[np.nan_to_num(v, posinf=np.inf) for w, v in trends.items() if length > w]])
+
+        raw["gradual"], ahead = slope(cal if cfg.freeze_scales else n), slope(cal)[:cal]
+        values["gradual"] = ahead[ahead > 0]
+    if "drift" in names:
+        raw["drift"] = C.series_drift(sig, found["base"])
+    if "recon" in names:
+        found["mean"], found["basis"] = C.series_subspace(z[:cal])
+        raw["recon"] = C.series_residual(z, found["mean"], found["basis"])
+    if "kernel" in names:
+        raw["kernel"] = np.zeros(n)
+        if cal >= 5:
+            raw["kernel"], found["centroid"] = C.series_kernel(k, cal)
+    if "struct" in names:
+        step = C.series_step(z)
+        used = step[C.DELAY:cal][step[C.DELAY:cal] > 1e-12]
+        enough = len(used) >= 5 and cal >= C.DELAY + 2
+        if enough:
+            found["struct_mu"], found["struct_sd"] = used.mean(), used.std() + 1e-10
+        raw["struct"] = np.abs(step - found.get("struct_mu", 0.0)) / found.get("struct_sd", 1.0)
+        values["struct"] = raw["struct"][C.DELAY:cal] if enough else step[:0]
+    values |= {s: v[:cal][v[:cal] > 1e-12] for s, v in raw.items() if s not in values}
+    for s, v in values.items():
+        found[f"thr_{s}"] = percentile(v, cfg.prob) if len(v) > 5 or s == "struct" else np.nan
+    if "jump" in names:
+        found_scales = [(v, found[f"thr_jump_{w}"]) for w, v in jumps.items()]
+        raw["jump"] = np.maximum.reduce([np.zeros(n), *[v / (t + 1e-12) for v, t in found_scales if t > 0]])
+    for s, v in raw.items():
+        t = 1.0 if s == "jump" else found[f"thr_{s}"]
+        if t > 0:
+            ratios.append(v / (t + 1e-12))
+    return raw, np.maximum.reduce([np.zeros(n), *ratios]), found
+
+
+def _aside(df: DataFrame, cols: Sequence[str]) -> Column:
+    """Rows of series that are not scored within a task: long ones, and those with values that are missing or beyond all bounds."""
+    odd = F.col(SERIES).isNull() | (F.col(LEN) > IN_TASK) | ((F.col("cal_end") < 1) & (F.col(LEN) > 1))
+    for c in cols:
+        odd |= ~F.coalesce(F.abs(F.col(c)) < LARGEST, F.lit(False))
+    return odd
+
+
 def fit_predict(df: DataFrame, cols: Sequence[str], cfg: CausalConfig = CausalConfig(), between=lambda f, name: f):
     """Scores and the frozen model for every series of an indexed frame.
 
-    ``between`` is applied to the two frames that several later steps read; pass
-    ``session.stage`` to write them once instead of computing them again.
+    ``between`` is applied to the frames that several later steps read; pass
+    ``session.stage`` to write them once instead of computing them again.  Series of up to ``IN_TASK`` rows take all
+    steps within a task, after one shuffle; longer ones, and all if there are scorers of the user's own, take the jobs of
+    each step.  Both ways take the same steps.
     """
-    df = df.withColumn("cal_end", calibration_end(cfg.ratio, cfg.min_cal))
+    df = df.withColumn("cal_end", calibration_end(cfg.ratio, cfg.min_cal)).select(*KEYS, IDX, LEN, "cal_end", *cols)
+    if any(x in cfg.names() for x in cfg.extra):
+        return _fit_predict_by_jobs(df, cols, cfg, between)
+    df = stage(df, "tier-input")
+    aside = df.filter(_aside(df, cols)).groupBy(SERIES).agg(F.max(LEN).alias(LEN))
+    if aside.isEmpty():
+        return _fit_predict_in_task(df, cols, cfg, between)
+    marked = stage(attach(df, aside.withColumn("_aside", F.lit(True)), cfg.chunk_rows), "tier-marked")
+    far = F.col(SERIES).isNull() | F.col("_aside").isNotNull()
+    a, b = (way(marked.filter(rows).drop("_aside"), cols, cfg, between) for way, rows in ((_fit_predict_in_task, ~far), (_fit_predict_by_jobs, far)))
+    parts = [x if x is None else x.unionByName(y) for x, y in ((getattr(a[1], p), getattr(b[1], p)) for p in MODEL_PARTS)]
+    return a[0].unionByName(b[0]), CausalModel(*parts)
+
+
+def _fit_predict_in_task(df: DataFrame, cols: Sequence[str], cfg: CausalConfig, between) -> tuple[DataFrame, CausalModel]:
+    found = between(_score_in_task(df, cols, cfg), "scored")
+    held = found.filter("model IS NOT NULL").select(SERIES, "model")
+    parts = [held.select(SERIES, f"model.{p}.*") if p != "subspace" or "recon" in cfg.names() else None for p in MODEL_PARTS]
+    return found.drop("model"), CausalModel(*parts)
+
+
+def _fit_predict_by_jobs(df: DataFrame, cols: Sequence[str], cfg: CausalConfig, between) -> tuple[DataFrame, CausalModel]:
     rows, cal_rows = F.col(IDX) < F.col("cal_end"), F.col("cal_end")
     stats = series_stats(df, cols, rows)
     z = normalise(df.select(*KEYS, IDX, LEN, "cal_end", *cols), stats, cols, cfg)
