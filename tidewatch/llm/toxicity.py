@@ -32,7 +32,7 @@ LEAST_CHI2 = 20.0
 NEIGHBOURS = 15
 BLOCK = 256
 #: Terms in most examples that are compared as a dense block, and queries that are compared at once.
-DENSE, QUERIES = 256, 128
+DENSE, QUERIES = 512, 128
 #: Examples of which one maximum is taken.
 GROUP = 64
 #: More than the error of a cosine in single precision.
@@ -44,7 +44,9 @@ def _distinct(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     row, h = w.rows(), w.hashes()
     if not len(h):
         return row, h.view(np.int64), row
-    order = np.lexsort((h, row))
+    order = np.argsort(h)
+    # a stable sort of short numbers counts them, which is faster than comparing pairs
+    order = order[np.argsort(row[order].astype(np.min_scalar_type(int(row[-1]))), kind="stable")]
     r, k = row[order], h[order]
     at = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (k[1:] != k[:-1])]))
     return r[at], k[at].view(np.int64), np.diff(np.append(at, len(k)))
