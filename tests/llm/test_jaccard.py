@@ -156,3 +156,11 @@ def test_sets_by_hand():
     parts = [frozenset(value[a:b].tolist()) for a, b in zip(bounds, bounds[1:])]
     assert [len(p) for p in parts] == [len(plain_set(t, 4)) for t in texts]
     assert parts[0] == parts[1] and not parts[2] & parts[6]
+
+
+def test_keys_are_shuffled_once(spark):
+    rows = [(k, v) for k in range(40) for v in range(k % 4)] * 2
+    got = jaccard.shared_keys(spark.createDataFrame(rows, "key long, v long"))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(
+        [(k, v, v - 1 if v else None) for k in range(40) for v in range(k % 4) if k % 4 > 1], key=str)

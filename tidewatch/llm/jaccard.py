@@ -241,6 +241,16 @@ def keys_in(sets: DataFrame, percent: int, frequent: np.ndarray) -> DataFrame:
     return sets.select("v", "grams").mapInArrow(make, f"key bigint, v {kind}")
 
 
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """(key, v, p) of the keys (key, v) of more than one v; p is the next smaller v, null for the smallest.
+
+    Rows are dealt by key alone, so repeated rows and neighbours are found after one shuffle.
+    """
+    beside = W.partitionBy("key").orderBy("v")
+    rows = keys.repartition("key").distinct().withColumn("p", F.lag("v").over(beside)).withColumn("q", F.lead("v").over(beside))
+    return rows.filter("p IS NOT NULL OR q IS NOT NULL").select("key", "v", "p")
+
+
 def sets_of(docs: DataFrame, ids: DataFrame, k: int, percent: int) -> DataFrame:
     """v, n, band and grams array<bigint> of the documents in ``ids`` (v)."""
     ids = few(ids.select(F.col("v").alias("doc_id")))
@@ -381,10 +391,7 @@ def components_of(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCEN
     unstage(made)
     sets = stage(sets_of(docs, able, k, percent), "jaccard_sets")
     unstage(able)
-    beside = W.partitionBy("key").orderBy("v")
-    shared = keys_in(sets, percent, frequent).distinct()
-    shared = shared.withColumn("p", F.lag("v").over(beside)).withColumn("q", F.lead("v").over(beside))
-    shared = stage(shared.filter("p IS NOT NULL OR q IS NOT NULL").select("key", "v", "p"), "jaccard_shared")
+    shared = stage(shared_keys(keys_in(sets, percent, frequent)), "jaccard_shared")
     # a linear number of checks
     best = shared.filter("p IS NOT NULL").groupBy("v", "p").agg(F.count("*").alias("times"))
     best = best.groupBy("v").agg(F.max(F.struct("times", (-F.col("p")).alias("p"))).alias("m")).select(F.col("v").alias("a"), (-F.col("m.p")).alias("b"))
