@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import local
-from tidewatch.operators import causal as C, paths as K, regimes as H
+from tidewatch.operators import causal as C, evaluate as Q, features as B, paths as K, regimes as H
 from tidewatch.operators.layout import IDX, LEN, SERIES, index_series
 from tidewatch.plans import tier0, tier2
 from tidewatch.session import shared_dir, stage
@@ -258,3 +258,22 @@ def test_position_hash_at_large_positions(spark):
     at = [0, 7, 3_470_000_000, 1 << 40]
     got = [r.h for r in spark.createDataFrame([(i,) for i in at], "idx long").select(position_hash().alias("h")).collect()]
     assert got == [(i % (1 << 31)) * 2654435761 % (1 << 32) for i in at]
+
+
+def test_flat_windows_do_not_correlate(spark):
+    """A window in which a value does not change has no correlation, and is no error."""
+    x = np.r_[np.full(70, 3.0), np.random.default_rng(2).normal(size=50), np.full(40, -1.0)]
+    raw = spark.createDataFrame(pd.DataFrame({SERIES: "a", "t": np.arange(len(x)), "f0": x}))
+    got = local(B.expand_5(index_series(raw, ["t"])))["f4"].to_numpy()
+    want = np.zeros(len(x))
+    for t in range(2, len(x)):
+        a, b = x[max(1, t - 29):t + 1], x[max(1, t - 29) - 1:t]
+        if np.ptp(a) and np.ptp(b):
+            want[t] = np.corrcoef(a, b)[0, 1]
+    assert np.allclose(got, want, atol=1e-9) and (got[2:70] == 0).all()
+
+
+def test_flat_columns_do_not_correlate(spark):
+    rows = spark.createDataFrame(pd.DataFrame({SERIES: "a", "p": [1.0, 2, 4, 3], "q": 5.0, "r": [2.0, 4, 8, 6]}))
+    got = {(r.a, r.b): r["corr"] for r in Q.correlations(rows, ["p", "q", "r"]).collect()}
+    assert got[("p", "q")] is None and got[("q", "r")] is None and np.isclose(got[("p", "r")], 1)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions.grouped import matrix, per_group
-from tidewatch.functions.numeric import num, total
+from tidewatch.functions.numeric import correlation, num, total
 from tidewatch.functions.order import area, areas, below
 from tidewatch.functions.quantile import percentiles
 from tidewatch.operators.layout import CHUNK, CHUNK_ROWS, IDX, KEYS, LEN, SERIES, attach, chunk_of, frame, long_form, running
@@ -186,7 +186,7 @@ def weighted_mean(results: DataFrame, value: str, weight: str) -> DataFrame:
 def correlations(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (SERIES,)) -> DataFrame:
     """Pearson correlation of every pair of columns, in one aggregate."""
     pairs = list(combinations(cols, 2))
-    return df.groupBy(*keys).agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs]).select(
+    return df.groupBy(*keys).agg(*[correlation(a, b).alias(f"{a}|{b}") for a, b in pairs]).select(
         *keys, F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("corr")) for a, b in pairs])))
 
 
@@ -264,7 +264,7 @@ def _ablation_in_one_sort(z: DataFrame, weights: Mapping[str, Mapping[str, float
 
 def path_agreement(df: DataFrame, a: Sequence[str], b: Sequence[str]) -> DataFrame:
     """Mean and lowest correlation of the magnitudes of two sets of paths."""
-    agg = df.groupBy(SERIES).agg(*[F.corr(F.abs(x), F.abs(y)).alias(f"c{i}") for i, (x, y) in enumerate(zip(a, b))])
+    agg = df.groupBy(SERIES).agg(*[correlation(F.abs(x), F.abs(y)).alias(f"c{i}") for i, (x, y) in enumerate(zip(a, b))])
     cs = [F.col(f"c{i}") for i in range(len(a))]
     low = F.least(*cs) if len(cs) > 1 else cs[0]
     return agg.select(SERIES, (total(cs) / num(len(cs))).alias("mean_corr"), low.alias("min_corr"))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewatch.functions.numeric import clip, finite, mean_of, num, total
+from tidewatch.functions.numeric import clip, correlation, finite, mean_of, num, total
 from tidewatch.functions.quantile import percentiles
 from tidewatch.operators.layout import IDX, LEN, SERIES, attach, by_chunk, frame, home, with_halo
 
@@ -30,12 +30,11 @@ def second_difference(col: str = "f0") -> Column:
 
 
 def rolling_autocorr(col: str = "f0", lagged: str = "_lag", window: int = WINDOW) -> Column:
-    """Pearson correlation with the previous row over the window, clipped to [-1, 1].
+    """Pearson correlation with the previous row over the window, clipped to [-1, 1]; 0 where one of them is flat.
 
     ``lagged`` must already hold the previous value, null on the first row.
     """
-    pair = F.when(F.col(lagged).isNotNull(), F.col(col))
-    return clip(finite(F.corr(pair, lagged).over(frame(-(window - 1), 0))), -1.0, 1.0)
+    return clip(finite(correlation(col, lagged, frame(-(window - 1), 0))), -1.0, 1.0)
 
 
 def expand_5(df: DataFrame, col: str = "f0", window: int = WINDOW) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewatch.functions.numeric import clip, num, total
+from tidewatch.functions.numeric import clip, correlation, num, total
 from tidewatch.functions.spectrum import spectrum
 from tidewatch.operators.layout import IDX, LEN, SERIES, by_chunk, frame, home, long_form, with_halo
 
@@ -44,7 +44,7 @@ def volatility(df: DataFrame, cols: Sequence[str], base: int = BASE) -> DataFram
     global_std = F.sqrt(F.greatest(F.sum("_q") / count - (whole / count) * (whole / count), num(0)))
     mean_abs = F.sum(total([F.abs(c) for c in cols])) / count
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    complexity = num(1) - total([F.abs(F.corr(a, b)) for a, b in pairs]) / num(len(pairs)) if pairs else num(0)
+    complexity = num(1) - total([F.abs(correlation(a, b)) for a, b in pairs]) / num(len(pairs)) if pairs else num(0)
     agg = rows.groupBy(SERIES).agg(
         F.max(LEN).alias(LEN), global_std.alias("global_std"), (global_std / (mean_abs + num(1e-10))).alias("global_volatility"),
         (total([F.stddev_pop(f"_d_{c}") for c in cols]) / num(d)).alias("temporal_volatility"),
