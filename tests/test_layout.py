@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from conftest import local
 from tidewatch.functions.quantile import percentiles, percentiles_by
 from tidewatch.functions.spectrum import _short, spectrum_long
-from tidewatch.operators import drift as J, jumps as I, masks as G, paths as K
+from tidewatch.operators import causal as C, drift as J, features as B, jumps as I, masks as G, paths as K
 from tidewatch.operators.evaluate import auc, below
-from tidewatch.operators.layout import index_series, running, runs
+from tidewatch.operators.layout import IDX, SERIES, by_chunk, frame, home, index_series, running, runs, with_halo
 from tidewatch.plans import tier0
+from tidewatch.session import stage
 
 COLS = ["f0", "f1", "f2"]
 
@@ -265,3 +266,26 @@ def test_lasso_meets_its_optimality_conditions(spark, rows):
     assert top["signal"] == "f0" and top["apart"] == "f1" and shares.loc["one", "n"] == 1
     areas = areas.toPandas().set_index("series_id")["auc"]
     assert areas["apart"] == 1.0 and areas["signal"] > 0.8 and np.isnan(areas["one"])
+
+
+def test_windows_within_tasks_are_those_of_frames(spark):
+    """Trailing figures of a chunk's rows at once, missing values and flat stretches included, in chunks of any size."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=900)
+    x[300:380] = 2.5
+    f = pd.DataFrame({SERIES: "a", "t": np.arange(900), "f0": x, "sig": x, "z_a": x, "z_b": np.roll(x, 3)})
+    raw = spark.createDataFrame(f).withColumn("f0", F.when(F.col("t") % 97 != 13, F.col("f0"))).withColumn("sig", F.when(F.col("t") % 89 != 7, F.col("sig"))).withColumn(
+        "z_b", F.when(F.col("t") % 150 != 1, F.col("z_b"))).withColumn("z_b", F.when((F.col("t") < 600) | (F.col("t") > 640), F.col("z_b")))
+    df = stage(index_series(raw, ["t"], rows=128), "rows")
+    wide = with_halo(df, back=C.LOOKBACK, rows=128).withColumn("_lag", F.lag("f0").over(by_chunk())).withColumn("_step", C.step_sq(["z_a", "z_b"]))
+    want = local(home(wide.select(
+        SERIES, IDX, "home", B.rolling_mean().alias("f1"), B.rolling_std().alias("f2"), B.second_difference().alias("f3"), B.rolling_autocorr().alias("f4"),
+        *[c.alias(k) for k, c in C.jump_columns().items()], C.step_distance().alias("step"),
+        F.when(F.col(IDX) + 1 >= C.DRIFT_MIN, F.avg("sig").over(frame(-(C.DRIFT_WINDOW - 1), 0))).alias("local"))))
+    cfg = tier0.CausalConfig(scorers=("jump", "drift", "struct"), chunk_rows=128)
+    got = tier0.window_features(df, ["a", "b"], cfg)
+    assert not any("Window [" in t._jdf.queryExecution().optimizedPlan().toString() for t in (got, B.expand_5(df)))
+    five, got = local(B.expand_5(df)), local(got)
+    for name, table in [*[(c, five) for c in ("f1", "f2", "f3", "f4")], *[(c, got) for c in (*C.jump_columns(), "step", "local")]]:
+        np.testing.assert_allclose(table[name], want[name], rtol=1e-9, atol=1e-9, err_msg=name)
+    assert want["step"].isna().any()

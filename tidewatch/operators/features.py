@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
+from tidewatch.functions import trailing
+from tidewatch.functions.grouped import matrix, per_group
 from tidewatch.functions.numeric import clip, correlation, finite, mean_of, num, total
 from tidewatch.functions.quantile import percentiles
-from tidewatch.operators.layout import IDX, LEN, SERIES, attach, by_chunk, frame, home, with_halo
+from tidewatch.operators.layout import IDX, KEYS, LEN, SERIES, attach, by_chunk, frame, home, with_halo
 
 WINDOW = 30
 MIN_ROWS = 2
@@ -40,21 +45,40 @@ def rolling_autocorr(col: str = "f0", lagged: str = "_lag", window: int = WINDOW
 def expand_5(df: DataFrame, col: str = "f0", window: int = WINDOW) -> DataFrame:
     """``f0..f4``: value, rolling mean, rolling std, second difference, autocorrelation.
 
-    Series shorter than two rows are left out, as they have no such features.
+    Series shorter than two rows are left out, as they have no such features.  The windows of a chunk are taken at once
+    within its task, value by value as by ``rolling_mean`` and its like.
     """
     wide = with_halo(df.filter(F.col(LEN) >= MIN_ROWS), back=window + 1)
-    wide = wide.withColumn("_lag", F.lag(col).over(by_chunk()))
-    wide = wide.select(
-        "*",
-        rolling_mean(col, window).alias("f1"),
-        rolling_std(col, window).alias("f2"),
-        second_difference(col).alias("f3"),
-        rolling_autocorr(col, "_lag", window).alias("f4"),
-    )
-    out = home(wide).drop("_lag")
+    names = ["f1", "f2", "f3", "f4"]
+    schema = T.StructType([f for f in wide.schema.fields if f.name != "home"] + [T.StructField(c, T.DoubleType()) for c in names])
+
+    def features(group: pa.Table) -> pa.Table:
+        own, column = group.column("home"), group.column(col)
+        group = group.drop_columns("home")
+        for name, (value, null) in zip(names, series_features(matrix(group, [col])[:, 0], column.is_valid().to_numpy(), window)):
+            group = group.append_column(name, pa.array(value, mask=null))
+        return group.filter(own)
+
+    out = per_group(wide, KEYS, [IDX], features, schema)
     return out if col == "f0" else out.withColumn("f0", F.col(col))
 
 
+def series_features(x: np.ndarray, known: np.ndarray, window: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``rolling_mean``, ``rolling_std``, ``second_difference`` and ``rolling_autocorr`` of consecutive rows, and which are null."""
+    with np.errstate(all="ignore"):
+        count, total_, square = trailing.moments(x, known, window)
+        deviation = np.where(count > 1, np.sqrt(square / (count - 1)), 0.0)
+        before = np.append(np.nan, x[:-1])[: len(x)]
+        there = known & np.append(False, known[:-1])[: len(x)]
+        follows = trailing.correlation(x, before, there, window)
+        bend = np.zeros(len(x))
+        bend[2:] = x[2:] - 2 * x[1:-1] + x[:-2]
+        bend[2:][~(known[2:] & known[1:-1] & known[:-2])] = 0.0
+        none = np.zeros(len(x), bool)
+        return [(total_ / count, count == 0), (np.where(np.isfinite(deviation), deviation, 0.0), none), (bend, none),
+                (np.clip(np.where(np.isfinite(follows), follows, 0.0), -1.0, 1.0), none)]
+
+
 def expand_6(df: DataFrame, col: str = "f0", window: int = WINDOW) -> DataFrame:
     """``expand_5`` plus ``f5``: capped distance of the rolling std from its median, in MADs."""
     five = expand_5(df, col, window)

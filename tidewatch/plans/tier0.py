@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tidewatch.functions import trailing
 from tidewatch.functions.grouped import matrix, per_group
 from tidewatch.functions.numeric import mean_of, num
 from tidewatch.functions.quantile import percentiles
 from tidewatch.operators import causal as C
 from tidewatch.operators.jumps import percentile
-from tidewatch.operators.layout import CHUNK_ROWS, IDX, KEYS, LEN, SERIES, attach, frame, home, long_form, with_halo
+from tidewatch.operators.layout import CHUNK_ROWS, IDX, KEYS, LEN, SERIES, attach, home, long_form, with_halo
 from tidewatch.operators.scale import CAL_RATIO, MIN_CAL, calibration_end, series_stats
 from tidewatch.operators.vote import or_vote
 from tidewatch.session import stage
@@ -77,21 +78,44 @@ def normalise(df: DataFrame, stats: DataFrame, cols: Sequence[str], cfg: CausalC
 
 
 def window_features(df: DataFrame, cols: Sequence[str], cfg: CausalConfig) -> DataFrame:
-    """All look-back columns that need no fitted model, in one pass over the chunks."""
+    """All look-back columns that need no fitted model, in one pass over the chunks.
+
+    A chunk's windows are taken at once within its task, value by value as by the columns of each scorer; nulls are left out.
+    """
     names = cfg.names()
     zs = [f"z_{c}" for c in cols]
     wide = with_halo(df, back=C.LOOKBACK, rows=cfg.chunk_rows)
-    first = wide.select("*", *([C.step_sq(zs).alias("_step")] if "struct" in names else []))
-    more: list[Column] = []
-    if "jump" in names:
-        more += [c.alias(k) for k, c in C.jump_columns().items()]
-    if "struct" in names:
-        more.append(C.step_distance().alias("step"))
-    if "drift" in names:
-        w = frame(-(C.DRIFT_WINDOW - 1), 0)
-        more.append(F.when(F.col(IDX) + 1 >= C.DRIFT_MIN, F.avg("sig").over(w)).alias("local"))
-    second = first.select("*", *more).drop("_step")
-    return C.gradual_columns(second, orientation=cfg.orientation) if "gradual" in names else home(second)
+    added = [f"jump_{w}" for w in C.JUMP_WINDOWS] if "jump" in names else []
+    added += [new for scorer, new in (("struct", "step"), ("drift", "local")) if scorer in names]
+    added += [f"grad_{w}" for w in C.GRADUAL_WINDOWS] if "gradual" in names else []
+    if not added:
+        return home(wide)
+    schema = T.StructType([f for f in wide.schema.fields if f.name != "home"] + [T.StructField(c, T.DoubleType()) for c in added])
+
+    def features(group: pa.Table) -> pa.Table:
+        own, idx, sig = group.column("home"), group.column(IDX).to_numpy(), matrix(group, ["sig"])[:, 0]
+        known = group.column("sig").is_valid().to_numpy()
+        group = group.drop_columns("home")
+        with np.errstate(all="ignore"):
+            found = {}
+            if "jump" in names:
+                for w in C.JUMP_WINDOWS:
+                    value, null = C.jump_of_rows(sig, known, w)
+                    found[f"jump_{w}"] = np.where(idx >= 2, value, 0.0), null & (idx >= 2)
+            if "struct" in names:
+                there = np.logical_and.reduce([group.column(c).is_valid().to_numpy() for c in zs])
+                found["step"] = C.step_of_rows(matrix(group, zs), there, idx)
+            if "drift" in names:
+                count, total = trailing.sums(sig, known, C.DRIFT_WINDOW)
+                found["local"] = total / count, (count == 0) | (idx + 1 < C.DRIFT_MIN)
+            if "gradual" in names:
+                found |= {f"grad_{w}": (v, np.isnan(v)) for w, v in C.series_gradual(sig, idx, C.GRADUAL_WINDOWS, cfg.orientation).items()}
+        for c in added:
+            value, null = found[c]
+            group = group.append_column(c, pa.array(value, mask=null))
+        return group.filter(own)
+
+    return per_group(wide, KEYS, [IDX], features, schema)
 
 
 def fit_rows(df: DataFrame, cols: Sequence[str], rows: Column, cfg: CausalConfig) -> DataFrame:
