@@ -285,3 +285,21 @@ def test_trailing_windows(n):
         np.testing.assert_allclose(got[far], np.array(want)[far], rtol=1e-9, atol=1e-12)
     want = [0.0 if t < 19 else abs(x[max(0, t - 199):t + 1].mean() - 0.25) for t in range(n)]
     np.testing.assert_allclose(C.series_drift(x, 0.25), want, rtol=1e-9, atol=1e-12)
+
+
+def test_steps_of_long_mixtures_shuffle_no_rows(spark, monkeypatch):
+    """Every iteration reads packed chunks; the models of several chunks are those fitted within a task."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(50, 1, (300, 2)), rng.normal(56, 0.5, (260, 2))])
+    f = pd.DataFrame(x, columns=["f0", "f1"]).assign(series_id="a", chunk=np.arange(560) // 64, idx=range(560), n=560)
+    df = spark.createDataFrame(f)
+    plans, staged = [], H.stage
+    monkeypatch.setattr(H, "stage", lambda t, name: (plans.append((name, t._jdf.queryExecution().optimizedPlan().toString())), staged(t, name))[1])
+    long = {r.k: r for r in H.fit_long(df, ["f0", "f1"], rows=64).collect()}
+    short = {r.k: r for r in H.fit_short(df, ["f0", "f1"]).collect()}
+    steps = [p for name, p in plans if name == "regimes"][1:]
+    assert len(steps) > 1 and not any("CoGroup" in p or "Repartition" in p for p in steps)
+    assert long.keys() == short.keys()
+    for k in long:
+        for c in ("weights", "means", "covs", "bic", "smallest"):
+            np.testing.assert_allclose(long[k][c], short[k][c], rtol=1e-7, atol=1e-9)

@@ -161,12 +161,26 @@ def fit_long(
     df: DataFrame, cols: Sequence[str], fixed: int | None = None, most: int = MAX_REGIMES, min_rows: int = MIN_ROWS,
     rows: int = CHUNK_ROWS, max_steps: int = MAX_STEPS,
 ) -> DataFrame:
-    """As ``fit_short`` with one job per iteration; converged candidates drop out."""
+    """As ``fit_short`` with one job per iteration; converged candidates drop out.
+
+    Rows are centred and packed once, a row per chunk, and meet the small table of open models in every iteration, so no
+    iteration shuffles or sorts rows; what leaves a chunk is one array of sums per model.
+    """
     d, names = len(cols), list(cols)
     df = stage(df.select(*KEYS, IDX, LEN, *names), "regime-rows")
-    base = df.groupBy(SERIES).agg(
-        F.count(F.lit(1)).alias(LEN), F.array(*[F.sum(c) for c in names]).alias("_t"),
-        F.array(*[F.sum(F.col(a) * F.col(b)) for a in names for b in names]).alias("_q"))
+    centres = df.groupBy(SERIES).agg(F.max(LEN).alias(LEN), F.array(*[F.avg(c) for c in names]).alias("centre"))
+    centred = attach(df, centres, rows).select(*KEYS, IDX, "centre", *[(F.col(c) - F.col("centre")[i]).alias(c) for i, c in enumerate(names)])
+
+    def pack(group: pa.Table) -> pa.Table:
+        x = matrix(group, names)
+        first = group.select([SERIES, CHUNK, "centre"]).slice(0, 1)
+        packed = [pa.array([v], kind) for v, kind in ((len(x), pa.int64()), (x.sum(0), pa.list_(pa.float64())), ((x.T @ x).ravel(), pa.list_(pa.float64())), (x.tobytes(), pa.binary()))]
+        return pa.table([*first.columns, *packed], names=[SERIES, CHUNK, "centre", "c", "t", "q", "x"])
+
+    kind = df.schema[SERIES].dataType.simpleString()
+    packed = stage(per_group(centred, KEYS, [IDX], pack, f"{SERIES} {kind}, {CHUNK} long, centre array<double>, c long, t array<double>, q array<double>, x binary"), "regime-chunks")
+    base = packed.groupBy(SERIES).agg(
+        F.sum("c").alias(LEN), F.array(*[F.sum(F.col("t")[i]) for i in range(d)]).alias("_t"), F.array(*[F.sum(F.col("q")[i]) for i in range(d * d)]).alias("_q"))
 
     def begin(batches):
         for pdf in batches:
@@ -177,17 +191,20 @@ def fit_long(
                     out.append((series, int(count), k, w, m.ravel(), c.ravel()))
             yield pd.DataFrame(out, columns=[SERIES, LEN, "k", "weights", "means", "covs"])
 
-    model_schema = f"{SERIES} string, {LEN} long, {MODEL}"
+    model_schema = f"{SERIES} {kind}, {LEN} long, {MODEL}"
     active = stage(base.mapInPandas(begin, model_schema).withColumn("loglik", F.lit(None).cast("double")), "regimes")
     finished = active.select("*", F.lit(None).cast("long").alias("smallest")).limit(0)
 
-    def accumulate(key, pdf: pd.DataFrame, fits: pd.DataFrame) -> pd.DataFrame:
-        x, out = pdf[names].to_numpy(dtype=float), []
-        for f in fits.itertuples(index=False) if len(x) else ():
-            k = int(f.k)
-            sums = expected_sums(x, np.asarray(f.weights), np.reshape(f.means, (k, d)), np.reshape(f.covs, (k, d, d)))
-            out.append((key[0], k, sums))
-        return pd.DataFrame(out, columns=[SERIES, "k", "s"])
+    def accumulate(batches):
+        for batch in batches:
+            out = []
+            for series, x, models in zip(*[batch.column(c) for c in (SERIES, "x", "models")]):
+                phi = features(np.frombuffer(x.as_buffer()).reshape(-1, d))
+                for f in models.as_py():
+                    k = f["k"]
+                    sums = short_sums(phi, d, np.asarray(f["weights"]), np.reshape(f["means"], (k, d)), np.reshape(f["covs"], (k, d, d)))
+                    out.append((series.as_py(), k, sums))
+            yield pa.RecordBatch.from_arrays([pa.array([v[i] for v in out], t) for i, t in enumerate((batch.schema.field(SERIES).type, pa.int32(), pa.list_(pa.float64())))], [SERIES, "k", "s"])
 
     def advance(k: pd.Series, s: pd.Series) -> pd.DataFrame:
         out = []
@@ -199,8 +216,8 @@ def fit_long(
     move = F.pandas_udf(advance, "struct<weights: array<double>, means: array<double>, covs: array<double>, loglik: double, smallest: long>")
     # as many updates as within a task, and one more pass for the likelihood of the last
     for i in range(0 if active.isEmpty() else max_steps + 1):
-        spread = over_chunks(active, rows).select(F.col(SERIES).alias("_ks"), F.col(CHUNK).alias("_kc"), "k", "weights", "means", "covs")
-        part = df.groupBy(*KEYS).cogroup(spread.groupBy("_ks", "_kc")).applyInPandas(accumulate, f"{SERIES} string, k int, s array<double>")
+        models = active.groupBy(SERIES).agg(F.collect_list(F.struct("k", "weights", "means", "covs")).alias("models"))
+        part = packed.select(SERIES, "x").join(F.broadcast(models), SERIES).mapInArrow(accumulate, f"{SERIES} {kind}, k int, s array<double>")
         sums = (
             part.select(SERIES, "k", F.posexplode("s").alias("_p", "_x")).groupBy(SERIES, "k", "_p").agg(F.sum("_x").alias("_x"))
             .groupBy(SERIES, "k").agg(F.array_sort(F.collect_list(F.struct("_p", "_x"))).alias("_l"))
@@ -219,15 +236,16 @@ def fit_long(
     k = F.col("k")
     free = k * d + k * d * (d + 1) / 2 + k - 1
 
-    def arrange(k: pd.Series, w: pd.Series, m: pd.Series, c: pd.Series) -> pd.DataFrame:
+    def arrange(k: pd.Series, w: pd.Series, m: pd.Series, c: pd.Series, centre: pd.Series) -> pd.DataFrame:
         out = []
-        for kk, a, b, e in zip(k, w, m, c):
-            a, b, e = ordered(np.asarray(a), np.reshape(b, (kk, d)), np.reshape(e, (kk, d, d)))
+        for kk, a, b, e, o in zip(k, w, m, c, centre):
+            a, b, e = ordered(np.asarray(a), np.reshape(b, (kk, d)) + o, np.reshape(e, (kk, d, d)))
             out.append((a, b.ravel(), e.ravel()))
         return pd.DataFrame(out, columns=["weights", "means", "covs"])
 
     sort = F.pandas_udf(arrange, "struct<weights: array<double>, means: array<double>, covs: array<double>>")
-    return finished.withColumn("_o", sort("k", "weights", "means", "covs")).select(
+    finished = finished.join(packed.groupBy(SERIES).agg(F.first("centre").alias("centre")), SERIES)
+    return finished.withColumn("_o", sort("k", "weights", "means", "covs", "centre")).select(
         SERIES, LEN, "k", "_o.*", (-2 * F.col("loglik") + free * F.log(LEN)).alias("bic"), "smallest")
 
 
@@ -253,18 +271,19 @@ def predict(df: DataFrame, model: DataFrame, cols: Sequence[str], rows: int = CH
     """Add ``regime``: the most likely component of every row.  ``model.n`` must be the length of the series in ``df``."""
     d, names = len(cols), list(cols)
     schema = T.StructType(df.schema.fields + [T.StructField("regime", T.IntegerType())])
-    spread = over_chunks(model, rows).select(F.col(SERIES).alias("_ks"), F.col(CHUNK).alias("_kc"), "k", "weights", "means", "covs")
-
-    def label(key, pdf: pd.DataFrame, fits: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf) or not len(fits):
-            return pd.DataFrame(columns=[f.name for f in schema.fields])
-        f = fits.iloc[0]
-        k = int(f["k"])
-        parts = log_parts(pdf[names].to_numpy(dtype=float), np.asarray(f["weights"]), np.reshape(f["means"], (k, d)), np.reshape(f["covs"], (k, d, d)))
-        pdf["regime"] = parts.argmax(1).astype(np.int32)
-        return pdf
-
-    return df.groupBy(*KEYS).cogroup(spread.groupBy("_ks", "_kc")).applyInPandas(label, schema)
+    fitted = over_chunks(model, rows).select(*KEYS, F.struct("k", "weights", "means", "covs").alias("_fit"))
+
+    def label(group: pa.Table) -> pa.Table:
+        ahead = group.column(IDX).null_count  # the model, if there is one
+        fit_ = group.column("_fit")[0].as_py() if ahead else None
+        group = group.drop_columns("_fit").slice(ahead)
+        if fit_ is None or not group.num_rows:
+            return group.slice(0, 0).append_column("regime", pa.array([], pa.int32()))
+        k = fit_["k"]
+        parts = log_parts(matrix(group, names), np.asarray(fit_["weights"]), np.reshape(fit_["means"], (k, d)), np.reshape(fit_["covs"], (k, d, d)))
+        return group.append_column("regime", pa.array(parts.argmax(1).astype(np.int32)))
+
+    return per_group(df.unionByName(fitted, allowMissingColumns=True), KEYS, [IDX], label, schema)
 
 
 def renumber(df: DataFrame, keep, rows: int = CHUNK_ROWS) -> DataFrame:
