@@ -303,3 +303,29 @@ def test_steps_of_long_mixtures_shuffle_no_rows(spark, monkeypatch):
     for k in long:
         for c in ("weights", "means", "covs", "bic", "smallest"):
             np.testing.assert_allclose(long[k][c], short[k][c], rtol=1e-7, atol=1e-9)
+
+
+@pytest.mark.parametrize("union", [True, False])
+def test_hybrid_is_the_same_by_both_ways(indexed, union, monkeypatch):
+    cols = ["f0", "f1", "f2"]
+    paths = [f"p{i}" for i in range(3)]
+    df = indexed(64).withColumns({p: F.round(F.col(c) / (i + 2), 6) for i, (p, c) in enumerate(zip(paths, cols))})
+    df = df.withColumn("p1", F.when(F.col(IDX) % 41 != 9, F.col("p1")))
+    calls = []
+    by_jobs = L._hybrid_by_jobs
+    monkeypatch.setattr(L, "_hybrid_by_jobs", lambda *a, **b: (calls.append(1), by_jobs(*a, **b))[1])
+
+    def run():
+        figures = K.figures(df, paths, rows=64)
+        return local(figures, SERIES, "path"), local(L.hybrid_score(df, cols, paths, figures, use_union=union, rows=64))
+
+    got = run()
+    assert not calls
+    monkeypatch.setattr(K, "IN_TASK", 0)
+    monkeypatch.setattr(L, "ROWS_IN_TASK", 0)
+    want = run()
+    assert calls
+    for a, b in zip(got, want):
+        assert sorted(a.columns) == sorted(b.columns) and (a[SERIES] == b[SERIES]).all() and len(a)
+        for c in a.select_dtypes("number"):
+            np.testing.assert_allclose(a[c], b[c], rtol=1e-8, atol=1e-10, err_msg=c)
