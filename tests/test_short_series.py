@@ -329,3 +329,19 @@ def test_hybrid_is_the_same_by_both_ways(indexed, union, monkeypatch):
         assert sorted(a.columns) == sorted(b.columns) and (a[SERIES] == b[SERIES]).all() and len(a)
         for c in a.select_dtypes("number"):
             np.testing.assert_allclose(a[c], b[c], rtol=1e-8, atol=1e-10, err_msg=c)
+
+
+def test_weak_anomalies_are_the_same_by_both_ways(indexed, monkeypatch):
+    """Also of rows that are flat across features, which have no correlation with their neighbours."""
+    cols = ["f0", "f1", "f2"]
+    df = indexed().withColumn("importance", F.col(IDX) % 10 * 0.1).withColumn("score", F.round(F.abs("f0"), 6))
+    df = df.withColumn("f1", F.when(F.col(IDX) % 50 == 20, F.col("f0")).when(F.col(IDX) % 71 != 9, F.col("f1"))).withColumn(
+        "f2", F.when(F.col(IDX) % 50 == 20, F.col("f0")).when(F.col(IDX) > 300, F.sin(F.col(IDX) * 2.2) * 40).otherwise(F.col("f2")))
+    calls, by_jobs = [], FU._weak_by_jobs
+    monkeypatch.setattr(FU, "_weak_by_jobs", lambda *a: (calls.append(1), by_jobs(*a))[1])
+    got = local(FU.weak_anomalies(df, cols, "score"))
+    assert not calls
+    monkeypatch.setattr(FU, "IN_TASK", 0)
+    want = local(FU.weak_anomalies(df, cols, "score"))
+    assert calls and len(got) > 50 and got["weak"].any() and set(got["label"]) == {0, 1}
+    pd.testing.assert_frame_equal(got, want[got.columns])

@@ -7,12 +7,14 @@ from collections.abc import Mapping, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
-from tidewatch.functions.grouped import matrix, per_group
+from tidewatch.functions.grouped import EMIT, matrix, per_group
 from tidewatch.functions.numeric import num, total
 from tidewatch.functions.order import areas
 from tidewatch.functions.quantile import percentiles
 from tidewatch.operators.evaluate import auc
+from tidewatch.operators.jumps import percentile
 from tidewatch.operators.layout import CHUNK, IDX, KEYS, LEN, SERIES, attach
 from tidewatch.operators.scale import calibration_score_z, safe_z, series_stats, symmetric, zscore_safe
 from tidewatch.session import stage
@@ -183,8 +185,80 @@ def weak_anomalies(
 
     A middle row is weakly anomalous when many features are far from their median, when it
     no longer correlates with a neighbour, when its surroundings have one strong frequency,
-    or when it is a weak jump.  Those in the top 30 % by score count as anomalies.
+    or when it is a weak jump.  Those in the top 30 % by score count as anomalies.  Series of up to ``IN_TASK`` rows
+    are marked within a task, after one shuffle; longer ones take a job per step.  Both ways take the same steps.
     """
+    keep = [*KEYS, IDX, LEN, *cols, score, *[c for c in ("importance",) if c in df.columns]]
+    df = stage(df.select(*dict.fromkeys(keep)), "weak-input")
+    short = _weak_in_task(df.filter(F.col(LEN) <= IN_TASK), cols, score, low, high)
+    long = df.filter(F.col(LEN) > IN_TASK)
+    return short if long.isEmpty() else short.unionByName(_weak_by_jobs(long, cols, score, low, high))
+
+
+def spectra_around(x: np.ndarray, half: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Per row, the mean magnitude of the spectrum of the rows up to ``half`` away, and the largest of the low frequencies."""
+    n, size = len(x), 2 * half + 1
+    mean, peak = np.empty(n), np.empty(n)
+
+    def fill(at, view: np.ndarray) -> None:  # rows x features x positions
+        m = view.shape[2]
+        turn = lambda ks: np.exp(-2j * np.pi * np.outer(np.arange(m), ks) / m)
+        mean[at] = np.abs(view @ turn(np.arange(m))).sum((1, 2)) / (m * x.shape[1])
+        peak[at] = np.abs(view @ turn(np.arange(1, max(1, m // 2 - 1) + 1))).max((1, 2))
+
+    inner = range(half, n - half)
+    if len(inner):
+        view = np.lib.stride_tricks.sliding_window_view(x, size, axis=0)
+        for lo in range(0, len(view), EMIT):
+            fill(slice(half + lo, half + min(lo + EMIT, len(view))), view[lo:lo + EMIT])
+    for i in (i for i in range(n) if i not in inner):
+        fill(slice(i, i + 1), x[max(0, i - half): i + half + 1].T[None])
+    return mean, peak
+
+
+def series_weak(x: np.ndarray, score: np.ndarray, importance: np.ndarray | None, low: float, high: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``weak_anomalies`` of one whole series: the weak rows, those where that is null, and the label, -1 for none; NaN is null."""
+    n, d = x.shape
+    at = np.arange(n)
+    there = lambda v: v[~np.isnan(v)]
+    middle_of = np.array([percentile(there(v), 0.5) if len(there(v)) else np.nan for v in x.T])
+    spread = np.array([there(v).std() if len(there(v)) else np.nan for v in x.T])
+    known = there(score)
+    lo, hi = (percentile(known, p) if len(known) else np.nan for p in (low, high))
+    distance = np.abs(x - middle_of) / (spread + 1e-10)
+    far, no_far = (distance > 3).sum(1) >= 0.3 * d, np.isnan(distance).any(1)
+    off = x - x.mean(1, keepdims=True)
+    size = (off * off).sum(1)
+    norm = np.sqrt(size[1:] * size[:-1])
+    alike = np.append(np.nan, np.where(norm > 0, (off[1:] * off[:-1]).sum(1) / np.where(norm > 0, norm, 1.0), np.nan))
+    apart = (at > 1) & (at < n - 1) & ((alike < 0.3) | (np.append(alike[1:], np.nan) < 0.3))
+    mean, peak = spectra_around(x)
+    hum, no_hum = peak > 5 * mean, np.isnan(mean)
+    jump, no_jump = (np.zeros(n, bool),) * 2 if importance is None else ((importance > 0.2) & (importance < 0.4), np.isnan(importance))
+    hit = (far & ~no_far) | apart | hum | jump
+    unsure = ~hit & (no_far | no_hum | no_jump)
+    middle = (score >= lo) & (score <= hi)
+    weak, null = middle & hit, np.where(np.isnan(score), hit | unsure, middle & unsure)
+    cut = percentile(score[weak], 0.7) if weak.any() else np.nan
+    strong = (score > hi) | (weak & (score >= cut))
+    return weak, null, np.where(strong, 1, np.where(score < lo, 0, -1)).astype(np.int32)
+
+
+def _weak_in_task(df: DataFrame, cols: Sequence[str], score: str, low: float, high: float) -> DataFrame:
+    kept = [SERIES, CHUNK, IDX, LEN, score]
+    schema = T.StructType([*[df.schema[c] for c in kept], T.StructField("weak", T.BooleanType()), T.StructField("label", T.IntegerType())])
+
+    def solve(group: pa.Table) -> pa.Table:
+        jump = matrix(group, ["importance"])[:, 0] if "importance" in group.column_names else None
+        with np.errstate(all="ignore"):
+            weak, null, label = series_weak(matrix(group, cols), matrix(group, [score])[:, 0], jump, low, high)
+        out = group.select(kept).append_column("weak", pa.array(weak, mask=null)).append_column("label", pa.array(label))
+        return out.filter(pa.array(label >= 0))
+
+    return per_group(df, [SERIES], [IDX], solve, schema)
+
+
+def _weak_by_jobs(df: DataFrame, cols: Sequence[str], score: str, low: float, high: float) -> DataFrame:
     from tidewatch.operators.layout import by_chunk, frame, home, long_form, with_halo
 
     d = len(cols)
@@ -201,7 +275,7 @@ def weak_anomalies(
         ma, mb = (F.aggregate(x, num(0), lambda s, v: s + v) / d for x in (a, b))
         da, db = F.transform(a, lambda v: v - ma), F.transform(b, lambda v: v - mb)
         dot_ = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u * v), num(0), lambda s, v: s + v)
-        return dot_(da, db) / F.sqrt(dot_(da, da) * dot_(db, db))
+        return F.try_divide(dot_(da, db), F.sqrt(dot_(da, da) * dot_(db, db)))  # null for a row of equal values
 
     wide = wide.withColumn("_prev", F.lag(F.array(*cols)).over(w)).withColumn("_next", F.lead(F.array(*cols)).over(w))
     wide = wide.withColumn("_near", F.collect_list(F.array(*cols)).over(frame(-5, 5)))
