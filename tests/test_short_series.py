@@ -345,3 +345,23 @@ def test_weak_anomalies_are_the_same_by_both_ways(indexed, monkeypatch):
     want = local(FU.weak_anomalies(df, cols, "score"))
     assert calls and len(got) > 50 and got["weak"].any() and set(got["label"]) == {0, 1}
     pd.testing.assert_frame_equal(got, want[got.columns])
+
+
+@pytest.mark.parametrize("unit", [True, False])
+def test_paths_start_the_same_by_both_ways(indexed, unit, monkeypatch):
+    """Start, roles and refinement of short series share one shuffle."""
+    cols = ["f0", "f1", "f2"]
+    rows = indexed(64).withColumn("unified", F.col(IDX) % 37 == 5).withColumn("importance", F.col(IDX) % 3 * 0.4)
+
+    def run():
+        df, names = K.spectral_paths(rows, cols, unit=unit, rows=64)
+        return K.key_rows(df, rows=64), names
+
+    got, names = run()
+    plan = K.refine_paths(got, cols, names, sparse=True, rows=64)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Join" not in plan
+    got = local(got)
+    monkeypatch.setattr(K, "IN_TASK", 0)
+    want = local(run()[0])
+    assert len(got) and sorted(got.columns) == sorted(want.columns)
+    pd.testing.assert_frame_equal(got, want[got.columns], rtol=1e-8)
