@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions.grouped import groups_of, per_group
-from tidewatch.functions.kernels import Kernel, best_kernel, candidates, path_error, triangles, weighted_sums
+from tidewatch.functions.kernels import Kernel, best_kernel, candidates, path_error, squares as kernel_squares, triangles, weighted_sums
 from conftest import local
 from tidewatch.operators import batch_scores as L, causal as C, evaluate as Q, fusion as FU, jumps as I, path_features as M, paths as K, regimes as H
 from tidewatch.operators.layout import IDX, SERIES
@@ -365,3 +365,34 @@ def test_paths_start_the_same_by_both_ways(indexed, unit, monkeypatch):
     want = local(run()[0])
     assert len(got) and sorted(got.columns) == sorted(want.columns)
     pd.testing.assert_frame_equal(got, want[got.columns], rtol=1e-8)
+
+
+def test_kernel_choice_is_the_same_by_both_ways(indexed, monkeypatch):
+    cols = ["f0", "f1", "f2"]
+    df = indexed(64).withColumns({f"p{i}": F.col(c) / (i + 9) for i, c in enumerate(cols)})
+    periods = df.select(SERIES).distinct().withColumn("periods", F.array(F.lit(7.5), F.lit(20.0)))
+    calls, by_jobs = [], L._kernel_auto_by_jobs
+    monkeypatch.setattr(L, "_kernel_auto_by_jobs", lambda *a: (calls.append(1), by_jobs(*a))[1])
+
+    def run():
+        scored, chosen = L.kernel_auto(df, cols, ["p0", "p1", "p2"], periods, size=40, rows=64)
+        return local(scored), local(chosen, SERIES)
+
+    got = run()
+    assert not calls
+    monkeypatch.setattr(L, "ROWS_IN_TASK", 0)
+    for a, b in zip(got, run()):
+        assert len(a)
+        pd.testing.assert_frame_equal(a, b[a.columns], rtol=1e-9)
+    assert calls
+
+
+def test_kernel_squares_are_those_of_matrices():
+    x = np.random.default_rng(8).normal(size=(40, 3))
+    tried = candidates([7.3, 20.0])
+    upper = np.triu_indices(40)
+    seen = []
+    for i, sq in kernel_squares(x, tried):
+        seen.append(i)
+        np.testing.assert_allclose(sq, tried[i].matrix(x, x)[upper] ** 2, rtol=1e-7, atol=1e-12)
+    assert sorted(seen) == list(range(len(tried)))
