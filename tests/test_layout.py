@@ -289,3 +289,25 @@ def test_windows_within_tasks_are_those_of_frames(spark):
     for name, table in [*[(c, five) for c in ("f1", "f2", "f3", "f4")], *[(c, got) for c in (*C.jump_columns(), "step", "local")]]:
         np.testing.assert_allclose(table[name], want[name], rtol=1e-9, atol=1e-9, err_msg=name)
     assert want["step"].isna().any()
+
+
+def test_local_deviations_within_tasks_are_those_of_frames(spark, wave):
+    """The rows of a chunk at once, missing values and series ends included; the rows are staged for all steps of a mask."""
+    raw = spark.createDataFrame(wave).withColumn("f0", F.when(F.col("t") % 53 > 9, F.col("f0")))
+    df = index_series(raw, ["t"], rows=64).withColumn("m", F.coalesce(F.col("f0") > 5, F.lit(False)))
+    want = local(home(with_halo(df, back=7, ahead=7, rows=64).withColumn("_local", G.local_std("f0", 7))))
+    got = G.with_local_std(df, "f0", 7, "_local", 64)
+    assert "Window [" not in G.with_local_std(stage(df, "rows"), "f0", 7, "_local", 64)._jdf.queryExecution().optimizedPlan().toString()
+    got = local(got)
+    assert np.isinf(want["_local"]).any()
+    np.testing.assert_allclose(got["_local"], want["_local"], rtol=1e-9)
+    marked, _ = G.adaptive_mask(df, "m", "f0", base_margin=3, max_margin=20, recovery=14, rows=64)
+    assert "_span" not in marked._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_running_back_takes_no_frame_to_the_end(indexed, wave):
+    got = running(stage(indexed(64), "rows"), {"low": F.col("f0")}, F.min, back=True)
+    assert "unboundedfollowing" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    for name, part in local(got).groupby("series_id"):
+        want = wave[wave["series_id"] == name].sort_values("t")["f0"].to_numpy()
+        assert (part["low"].to_numpy() == np.minimum.accumulate(want[::-1])[::-1]).all()

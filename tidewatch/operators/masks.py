@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import types as T
 
+from tidewatch.functions import trailing
+from tidewatch.functions.grouped import matrix, per_group
 from tidewatch.functions.numeric import num
 from tidewatch.functions.order import positions
 from tidewatch.operators.layout import (
     CHUNK, CHUNK_ROWS, IDX, KEYS, LEN, SERIES, chunk_of, frame, home, running, runs, with_halo,
 )
-from tidewatch.session import stage
+from tidewatch.session import stage, staged
 
 BASE_MARGIN = 50
 MAX_MARGIN = 300
@@ -97,6 +102,22 @@ def local_std(sig: str = "sig", half: int = RECOVERY // 2) -> Column:
     return F.when(F.count(sig).over(w) >= 5, F.stddev_pop(sig).over(w)).otherwise(num(float("inf")))
 
 
+def with_local_std(df: DataFrame, sig: str, half: int, name: str, rows: int = CHUNK_ROWS) -> DataFrame:
+    """Add ``local_std``; the windows of a chunk are taken at once within its task."""
+    wide = with_halo(df, back=half, ahead=half, rows=rows)
+    schema = T.StructType([f for f in wide.schema.fields if f.name != "home"] + [T.StructField(name, T.DoubleType())])
+
+    def deviations(group: pa.Table) -> pa.Table:
+        own, gap = group.column("home"), np.zeros(half)
+        x, known = matrix(group, [sig])[:, 0], group.column(sig).is_valid().to_numpy()
+        with np.errstate(all="ignore"):
+            count, _, square = trailing.moments(np.append(x, gap), np.append(known, gap > 0), 2 * half + 1)
+            value = np.where(count >= 5, np.sqrt(square / count), np.inf)[half:]
+        return group.drop_columns("home").append_column(name, pa.array(value)).filter(own)
+
+    return per_group(wide, KEYS, [IDX], deviations, schema)
+
+
 def covered(ranges: DataFrame, keys: list[str], rows: int = CHUNK_ROWS) -> DataFrame:
     """Rows covered by the union of ranges per ``keys``."""
     return fresh_rows(ranges, keys, rows).groupBy(*keys).agg(
@@ -112,8 +133,9 @@ def adaptive_mask(
 
     Returns the rows with boolean ``masked`` and one info row per series.  Margins work on
     runs of the mask, and only rows within ``max_margin`` of a run edge are looked at.
-    The tables of runs and margins are staged, as several steps read them.
+    The rows and the tables of runs and margins are staged, as several steps read them.
     """
+    df = staged(df, "margin-rows")
     n_rows = df.groupBy(SERIES).agg(F.max(LEN).alias(LEN))
     islands = stage(runs(df, flag, rows).join(n_rows, SERIES).select(SERIES, LEN, "start", "end"), "islands")
     far = mark_ranges(df, widen(islands, max_margin), "_near", rows)
@@ -125,10 +147,7 @@ def adaptive_mask(
         "baseline_std", F.when(~F.col("fallback"), F.col("_sd"))
     ), "calm")
     half = recovery // 2
-    noise = home(
-        with_halo(df.select(*KEYS, IDX, LEN, sig), back=half, ahead=half, rows=rows)
-        .withColumn("_local", local_std(sig, half))
-    )
+    noise = with_local_std(df.select(*KEYS, IDX, LEN, sig), sig, half, "_local", rows)
     # the nearest calm row before and after each row, carried over chunks
     quiet = noise.join(stats.select(SERIES, "baseline_std"), SERIES)
     calm_at = F.when(F.col("_local") <= ratio * F.col("baseline_std"), F.col(IDX))
